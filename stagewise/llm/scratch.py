@@ -1,0 +1,46 @@
+"""Intermediate tables in the folder that all executors share.
+
+A written table cuts the lineage: a lost executor costs a re-read, not a recomputation.
+"""
+
+from __future__ import annotations
+
+import atexit
+import contextlib
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, an own folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = f"file://{tempfile.gettempdir()}/stagewise-scratch"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return the table read back."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Delete every table written so far; results that still read them must be stored before."""
+    while _written:
+        spark, path = _written.pop()
+        with contextlib.suppress(Exception):  # the session may have ended; the folder is scratch
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+atexit.register(release)
