@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, tiff
+from . import contamination, packing, sharding, tiff
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op4_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir))
 
@@ -19,8 +23,16 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_texts(documents(spark, sf_dir))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contamination.contamination(documents(spark, sf_dir), benchmark)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES = {
+    "op1_packing": op1_packing,
     "op4_rendezvous": op4_rendezvous,
     "op5_tiff": op5_tiff,
+    "op7_decontamination": op7_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
