@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, packing, secrets, sharding, tiff
+from . import contamination, neardup, packing, secrets, sharding, tiff
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,11 +33,16 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
     "op4_rendezvous": op4_rendezvous,
     "op5_tiff": op5_tiff,
     "op7_decontamination": op7_decontamination,
+    "op8_neardup": op8_neardup,
 }
 ORACLE_SQL: dict[str, str] = {}
