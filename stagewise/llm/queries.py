@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, neardup, packing, secrets, sharding, tiff
+from . import contamination, lmscore, neardup, packing, secrets, sharding, tiff
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.language_scores(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
@@ -44,5 +48,6 @@ QUERIES = {
     "op5_tiff": op5_tiff,
     "op7_decontamination": op7_decontamination,
     "op8_neardup": op8_neardup,
+    "op10_lm": op10_lm,
 }
 ORACLE_SQL: dict[str, str] = {}
