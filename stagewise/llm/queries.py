@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, lmscore, neardup, packing, secrets, sharding, tiff
+from . import contamination, langid, lmscore, neardup, packing, quality, secrets, sharding, tiff
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +41,22 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.language_scores(documents(spark, sf_dir))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality.quality_scores(documents(spark, sf_dir), labels)
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
     "op4_rendezvous": op4_rendezvous,
     "op5_tiff": op5_tiff,
+    "op3_quality": op3_quality,
+    "op6_langid": op6_langid,
     "op7_decontamination": op7_decontamination,
     "op8_neardup": op8_neardup,
     "op10_lm": op10_lm,
