@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, langid, lmscore, neardup, packing, quality, secrets, sharding, tiff
+from . import contamination, langid, licenses, lmscore, neardup, packing, quality, secrets, sharding, tiff
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(documents(spark, sf_dir))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
@@ -59,6 +63,7 @@ QUERIES = {
     "op6_langid": op6_langid,
     "op7_decontamination": op7_decontamination,
     "op8_neardup": op8_neardup,
+    "op9_licenses": op9_licenses,
     "op10_lm": op10_lm,
 }
 ORACLE_SQL: dict[str, str] = {}
