@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import hashlib
+import re
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import STEP, alnum_words, mix
 
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
 
 class Grams:
     """Windows of benchmark items, by length: sorted hashes, the word numbers behind each and its items."""
@@ -86,17 +89,12 @@ def contamination(
     passes are joined by row.
     """
     kind = df.schema[key].dataType.simpleString()
-    spark = df.sparkSession
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col(item_text).cast("string"))), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
+    blocks = benchmark_blocks(benchmark, item, item_text, width, block_bytes)
     ddl = f"`{key}` {kind}, row long, n_words long, hit_runs array<struct<start:long,end:long>>, items array<string>"
     source = df.select(F.col(key), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").cast("binary"))
-    items = benchmark.select(F.col(item).cast("string"), F.col(item_text).cast("string").cast("binary"))
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     passes = []
-    for b in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64(items[0], items[1]), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast(Grams([(r[0], bytes(r[1]) if r[1] is not None else None) for r in part.toLocalIterator()], width))
+    for shared in blocks:
 
         def run(batches, shared=shared):
             grams = shared.value
@@ -114,7 +112,7 @@ def contamination(
 
         passes.append(source.mapInArrow(run, ddl))
     found = passes[0]
-    if blocks > 1:
+    if len(blocks) > 1:
         for more in passes[1:]:
             found = found.unionByName(more)
         found = found.groupBy("row").agg(
@@ -145,48 +143,63 @@ def joined_runs(spans):
     return F.aggregate(F.array_sort(spans), empty, add)
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", mode: str = "documents", **options) -> DataFrame:
+def benchmark_blocks(benchmark: DataFrame, item: str, item_text: str, width: int, block_bytes: int) -> list:
+    """Broadcast window sets, each of at most about ``block_bytes`` of item text by hash of the item."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).cast("string").cast("binary").alias("t"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_bytes))
+    out = []
+    for b in range(blocks):
+        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
+        out.append(spark.sparkContext.broadcast(Grams([(r[0], bytes(r[1]) if r[1] is not None else None) for r in part.toLocalIterator()], width)))
+    return out
+
+
+def decontaminate(
+    df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
+    mode: str = "documents", width: int = 10, block_bytes: int = 32 << 20,
+) -> DataFrame:
     """The documents without benchmark passages: hit ``documents`` go, or hit ``spans`` are cut from the texts.
 
-    ``documents`` drops every document with a hit word; ``spans`` replaces each run of hit words, with
-    what stands between them, by one space. Other columns stay. Rows go by key, nulls included:
-    rows that share a key stand or fall together.
+    ``documents`` drops every row with a hit word; ``spans`` replaces each run of hit words, with what
+    stands between them, by one space. Each row is judged by its own text, so keys don't matter and
+    nothing is shuffled; other columns stay. Null texts are kept.
     """
-    found = contamination(df, benchmark, key, text, **options).filter("contaminated")
-    if mode == "documents":
-        return df.join(found.select(F.col(key).alias("_hit")).distinct(), F.col(key).eqNullSafe(F.col("_hit")), "left_anti")
-    if mode != "spans":
+    if mode not in ("documents", "spans"):
         raise ValueError("mode is documents or spans")
-    spans = found.groupBy(F.col(key).alias("_hit")).agg(F.first("hit_runs").alias("_runs"))
-    cut = F.pandas_udf(cut_runs, "string")
-    return (
-        df.join(spans, F.col(key).eqNullSafe(F.col("_hit")), "left")
-        .withColumn(text, F.when(F.col("_runs").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("_runs"))))
-        .drop("_hit", "_runs")
-    )
 
+    def hits(shared):
+        @F.arrow_udf("array<struct<start:long,end:long>>")
+        def of(texts: pa.Array) -> pa.Array:
+            grams = shared.value
+            found = [[{"start": a, "end": z} for a, z in runs(grams.scan(t)[1])] for t in texts.to_pylist()]
+            return pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
 
-def cut_runs(texts, spans):
-    """Pandas UDF body: each text without its runs of words."""
-    import re
+        return of(F.col(text).cast("string").cast("binary"))
+
+    found = [hits(s) for s in benchmark_blocks(benchmark, item, item_text, width, block_bytes)]
+    every = F.flatten(F.array(*found)) if len(found) > 1 else found[0]
+    marked = df.withColumn("_hit_runs", every)
+    if mode == "documents":
+        return marked.filter(F.size("_hit_runs") == 0).drop("_hit_runs")
+    cut = F.pandas_udf(cut_runs, "string")
+    clean = F.when(F.size("_hit_runs") == 0, F.col(text)).otherwise(cut(F.col(text), joined_runs(F.col("_hit_runs"))))
+    return marked.withColumn(text, clean).drop("_hit_runs")
 
-    import pandas as pd
 
-    word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+def cut_runs(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """Each text without its runs of words."""
     out = []
-    for text, runs_ in zip(texts, spans, strict=True):
-        if text is None or runs_ is None:
+    for text, cuts in zip(texts, spans, strict=True):
+        if text is None or cuts is None or not len(cuts):
             out.append(text)
             continue
         raw = text.encode()
-        places = [m.span() for m in word.finditer(raw.lower())]
+        places = [m.span() for m in WORD.finditer(raw.lower())]
         parts, at = [], 0
-        for r in runs_:
+        for r in cuts:
             parts.append(raw[at : places[r["start"]][0]])
             at = places[r["end"] - 1][1]
         out.append(b" ".join([*parts, raw[at:]]).decode())
     return pd.Series(out)
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

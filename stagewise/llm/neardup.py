@@ -271,9 +271,17 @@ def near_duplicates(
     ).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
-def first_of_each(df: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` that their component keeps, one for each key, with all columns."""
-    keep = near_duplicates(df, key, **options).filter("kept").groupBy(F.col(key).alias("_keep")).agg(F.count("*").alias("_rows"))
-    kept = df.join(keep, F.col(key).eqNullSafe(F.col("_keep")))
-    single = kept.filter("_rows = 1").drop("_keep", "_rows")
-    return single.unionByName(kept.filter("_rows > 1").drop("_keep", "_rows").dropDuplicates([key]))
+def first_of_each(df: DataFrame, key: str = "doc_id", most_broadcast: int = 1_000_000, **options) -> DataFrame:
+    """The rows of ``df`` that their component keeps, one for each key, with all columns.
+
+    Of rows that repeat a kept key any one stays. Only keys to be dropped or thinned are joined: broadcast
+    if they are at most ``most_broadcast``, a number that is counted first, else shuffled.
+    """
+    found = near_duplicates(df, key, most_broadcast=most_broadcast, **options)
+    keys = found.groupBy(F.col(key).alias("_key")).agg(F.first("kept").alias("_kept"), F.count("*").alias("_rows"))
+    odd = scratch.table(keys.filter("not _kept or _rows > 1"), "odd-keys")
+    odd = F.broadcast(odd) if odd.count() <= most_broadcast else odd
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    single = df.join(odd, same, "left_anti")
+    repeated = df.join(odd.filter("_kept"), same, "left_semi").dropDuplicates([key])
+    return single.unionByName(repeated)

@@ -208,3 +208,23 @@ def quality_scores(
 
     source = df.select(F.col(key), (remainder(key, modulus) == held_out).alias("held_out"), F.col(text).cast("string").cast("binary"))
     return source.mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int, n_passages long, top_passage long, top_weight double")
+
+
+def score_column(model: Attention, text: str = "text"):
+    """The score of a text column, for filters; null and empty texts are one empty passage."""
+
+    @F.arrow_udf("double")
+    def of(texts: pa.Array) -> pa.Array:
+        out = []
+        for value in texts.to_pylist():
+            x = passages(value)
+            out.append(float(model.score(x, np.zeros(1, np.int64))[0][0]))
+        return pa.array(out, pa.float64())
+
+    return of(F.col(text).cast("string").cast("binary"))
+
+
+def keep_good(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3, modulus: int = 5, held_out: int = 0, sample_rows: int = 4000, sample_passages: int = 32) -> DataFrame:
+    """The rows of ``df`` whose score reaches the threshold, with all columns; nothing is shuffled."""
+    model = train_quality(df, labels, key, text, label, modulus, held_out, sample_rows, sample_passages)
+    return df.filter(score_column(model, text) >= threshold)
