@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from .words import STEP, alnum_words, mix
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -180,12 +181,13 @@ def decontaminate(
 
     found = [hits(s) for s in benchmark_blocks(benchmark, item, item_text, width, block_bytes)]
     every = F.flatten(F.array(*found)) if len(found) > 1 else found[0]
-    marked = df.withColumn("_hit_runs", every)
+    hit = scratch.fresh(df, "_hit")
+    marked = df.withColumn(hit, every)
     if mode == "documents":
-        return marked.filter(F.size("_hit_runs") == 0).drop("_hit_runs")
+        return marked.filter(F.size(hit) == 0).drop(hit)
     cut = F.pandas_udf(cut_runs, "string")
-    clean = F.when(F.size("_hit_runs") == 0, F.col(text)).otherwise(cut(F.col(text), joined_runs(F.col("_hit_runs"))))
-    return marked.withColumn(text, clean).drop("_hit_runs")
+    clean = F.when(F.size(hit) == 0, F.col(text)).otherwise(cut(F.col(text), joined_runs(F.col(hit))))
+    return marked.withColumn(text, clean).drop(hit)
 
 
 def cut_runs(texts: pd.Series, spans: pd.Series) -> pd.Series:

@@ -139,6 +139,7 @@ def languages(
     text if nothing could be learned. Repeated rows get a result each.
     """
     kind = df.schema[key].dataType.simpleString()
+    df = df.select(key, text, lang)
     labelled = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (remainder(key, modulus) != held_out))
     order = Window.partitionBy("_lang").orderBy("_order", "_id")
     chosen = (

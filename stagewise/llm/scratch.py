@@ -24,6 +24,13 @@ def folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have yet."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back."""
     spark = df.sparkSession
