@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -124,13 +122,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_pairs(table: list[tuple], percent: int) -> list[tuple[bytes, bytes]]:
-    """Pairs of one key's rows that this key answers for and that may be links.
+    """Pairs of one group value's rows that may be links and that this group answers for.
 
-    A row: (node, component, n, coll, bins, held, block); the key's halves are known from the rows.
-    Left out are pairs of one component, of sizes that rule a link out, of a sketch five deviations
-    below the similarity, and those whose first two shared collections make another key.
+    A row: (node, component, n, coll, bins, held, block, group). Left out are pairs that share no
+    other group, hence no table key, or that share an earlier one, which answers for them; pairs of
+    one component, of sizes that rule a link out, and of a sketch five deviations below the similarity.
     """
-    (first, second), blocks = table[0][7], [r[6] for r in table]
+    first, blocks = table[0][7], [r[6] for r in table]
     node = [r[0] for r in table]
     comp = np.unique([r[1] for r in table], return_inverse=True)[1]
     n = np.array([r[2] for r in table], np.float64)
@@ -149,8 +147,7 @@ def near_pairs(table: list[tuple], percent: int) -> list[tuple[bytes, bytes]]:
         if not len(js):
             continue
         same = coll[js] == coll[i]
-        ahead = same[:, :second].sum(1) - 1  # of the shared collections before ``second``, ``first`` alone
-        js = js[(ahead == 0) & same[:, first] & same[:, second]]
+        js = js[~same[:, :first].any(1) & (same.sum(1) > 1)]
         if not len(js):
             continue
         either = held[js] | held[i]
@@ -163,19 +160,19 @@ def near_pairs(table: list[tuple], percent: int) -> list[tuple[bytes, bytes]]:
 
 
 def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate (a, b) pairs between different components of each key, each pair from one key only."""
+    """Candidate (a, b) pairs between different components of each group value, each pair from one of them only."""
 
     def run(batches):
         now, held = None, []
         for batch in batches:
             found = []
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                group = r[:3]
+                group = r[:4]
                 if group != now:
                     if len(held) > 1:
                         found += near_pairs(held, percent)
                     now, held = group, []
-                held.append((*r[5:12], (r[3], r[4])))
+                held.append((*r[4:], r[0]))
             yield out(found)
         yield out(near_pairs(held, percent) if len(held) > 1 else [])
 
@@ -183,8 +180,8 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
         found = [(min(p), max(p)) for p in found]
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], ["a", "b"])
 
-    keyed = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return keyed.select("key", "lo", "hi", "first", "second", NODE, "component", "n", "coll", "bins", "held", "block").mapInArrow(run, "a binary, b binary")
+    keyed = rows.repartition("c", "v", "lo", "hi").sortWithinPartitions("c", "v", "lo", "hi")
+    return keyed.select("c", "v", "lo", "hi", NODE, "component", "n", "coll", "bins", "held", "block").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(
@@ -207,9 +204,10 @@ def near_duplicates(
     2. Groups' values that occur once can't meet, so only nodes that share two or more go on.
     3. In each table key every node is compared with the key's least node, on full sets, and the
        links' components are found; in a family of copies these few links join nearly all.
-    4. What a key still holds in different components is compared pair by pair, so that no
-       candidate is lost. Large keys are cut into blocks; of the pairs only those that a sketch
-       leaves open are emitted, each by one key, and confirmed on full sets.
+    4. Pairs in different components that share a table key are compared one by one, so that no
+       candidate is lost. They are found by the first group they share, whose rows are far fewer
+       than the keys'; large ones are cut into blocks. Of the pairs only those that a sketch leaves
+       open are emitted, each once, and confirmed on full sets.
 
     Null keys form a document of their own; rows that repeat a key are one document's rows, with all
     their sets' links. ``component_id`` is the smallest key reachable.
@@ -222,7 +220,6 @@ def near_duplicates(
     parts = nodes.select(NODE, F.posexplode("coll").alias("c", "v"))
     shared = parts.groupBy("c", "v").count().filter("count > 1").select("c", "v")
     able = parts.join(shared, ["c", "v"]).groupBy(NODE).agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("cv")).filter(F.size("cv") > 1)
-    places = list(combinations(range(collections), 2))
     able = scratch.table(able.join(nodes, NODE), "able")
     tables = able.select(
         NODE,
@@ -231,7 +228,6 @@ def near_duplicates(
             lambda y: F.struct(x["c"].alias("first"), y["c"].alias("second"), F.xxhash64(x["c"], y["c"], x["v"], y["v"]).alias("key")),
         )))).alias("t"),
     ).select(NODE, "t.*")
-    assert len(places) == collections * (collections - 1) // 2
     keys = tables.groupBy("key").agg(F.min(NODE).alias("center"), F.count("*").alias("size")).filter("size > 1")
     met = scratch.table(tables.join(keys, "key"), "met")
     sets = scratch.table(full_sets(df, able.join(met.select(NODE).distinct(), NODE, "left_semi").select(NODE, "rep"), key, text, width, most_broadcast), "sets")
@@ -250,10 +246,11 @@ def near_duplicates(
         found = nodes_.join(joined.withColumnRenamed("node", NODE), NODE, "left")
         return found.withColumn("component", F.coalesce("component", NODE))
 
-    labelled = with_component(met)
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("size").alias("size")).filter("low < high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    labelled = with_component(able.select(NODE, F.explode("cv").alias("x")).select(NODE, "x.c", "x.v"))
+    mixed = labelled.groupBy("c", "v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+    mixed = mixed.filter("low < high").select("c", "v", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     open_rows = (
-        labelled.select("key", "first", "second", NODE, "component").join(mixed, "key")
+        labelled.join(mixed, ["c", "v"])
         .withColumn("block", F.pmod(F.xxhash64(NODE), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
@@ -278,10 +275,11 @@ def first_of_each(df: DataFrame, key: str = "doc_id", most_broadcast: int = 1_00
     if they are at most ``most_broadcast``, a number that is counted first, else shuffled.
     """
     found = near_duplicates(df, key, most_broadcast=most_broadcast, **options)
-    keys = found.groupBy(F.col(key).alias("_key")).agg(F.first("kept").alias("_kept"), F.count("*").alias("_rows"))
-    odd = scratch.table(keys.filter("not _kept or _rows > 1"), "odd-keys")
+    at, stays = scratch.fresh(df, "_key"), scratch.fresh(df, "_stays")
+    keys = found.groupBy(F.col(key).alias(at)).agg(F.first("kept").alias(stays), F.count("*").alias("rows"))
+    odd = scratch.table(keys.filter(~F.col(stays) | (F.col("rows") > 1)).drop("rows"), "odd-keys")
     odd = F.broadcast(odd) if odd.count() <= most_broadcast else odd
-    same = F.col(key).eqNullSafe(F.col("_key"))
+    same = F.col(key).eqNullSafe(F.col(at))
     single = df.join(odd, same, "left_anti")
-    repeated = df.join(odd.filter("_kept"), same, "left_semi").dropDuplicates([key])
+    repeated = df.join(odd.filter(stays), same, "left_semi").dropDuplicates([key])
     return single.unionByName(repeated)
