@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-PLANS = ("core", "relational", "texts", "similarity", "metrics", "streams")
+PLANS = ("core", "relational", "texts", "similarity", "metrics", "streams", "reports")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
