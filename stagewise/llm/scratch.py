@@ -17,10 +17,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 def folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, an own folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/stagewise-scratch"
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/stagewise-scratch"
     return root.rstrip("/")
 
 
