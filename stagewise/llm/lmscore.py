@@ -52,6 +52,23 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def commonest(counts: DataFrame, most: int) -> DataFrame:
+    """The tokens above the least count step that leaves at most ``most`` of them.
+
+    Steps are eighths of a doubling, so a histogram of a few hundred rows at most finds the bound and
+    nothing is sorted; equal counts stay or go together.
+    """
+    step = F.floor(F.log2("c") * 8)
+    sizes = {r["step"]: r["count"] for r in counts.groupBy(step.alias("step")).count().collect()}
+    kept, bound = 0, max(sizes, default=0) + 1
+    for at in sorted(sizes, reverse=True):
+        kept += sizes[at]
+        if kept > most:
+            break
+        bound = at
+    return counts.filter(step >= bound)
+
+
 class Scorer:
     """The frequent tokens' counts and classes, and the model's tables: of fixed size, so broadcast."""
 
@@ -107,7 +124,7 @@ def language_scores(
     every row counts, also repeated ones. Learning takes the rows whose key's crc32 leaves another
     remainder than ``held_out``.
 
-    Counts cover every training token. The ``frequent`` commonest are broadcast, a fixed number;
+    Counts cover every training token. The commonest, ``frequent`` at most, are broadcast;
     each document's other tokens are summed up and joined with the count table by hash, so no
     vocabulary is ever held whole. Tokens are identified by 64-bit hashes.
 
@@ -118,11 +135,12 @@ def language_scores(
     """
     kind = df.schema[key].dataType.simpleString()
     spark = df.sparkSession
+    df = df.select(key, text)
     body = F.col(text).cast("string").cast("binary")
     learn = df.filter(remainder(key, modulus) != held_out)
     counts = scratch.table(token_counts(learn.select(body)), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(frequent).toArrow()
+    top = commonest(counts, frequent).toArrow()
     scorer = Scorer(top["h"].to_numpy().view(np.uint64), top["c"].to_numpy(), words)
     ids = learn.select(F.col(key).alias("_key"), F.xxhash64(key).alias("_order")).orderBy("_order", "_key").limit(sample_rows)
     chosen = df.join(F.broadcast(ids.select("_key").distinct()), F.col(key).eqNullSafe(F.col("_key")), "left_semi").select(F.xxhash64(key), body)
