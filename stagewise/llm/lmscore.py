@@ -11,13 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .logbilinear import LN10, train
+from .logbilinear import LN10, LogBilinear, improve, untrained
 from .words import hashes, space_words
 
 #: A word has no space, so no word has this hash by its spelling.
 END = xxhash.xxh3_64_intdigest(b" end")
 #: Tokens counted or scored in one go.
 AT_ONCE = 1 << 19
+#: Tokens of whole texts that a task trains on before its parameters go into the average.
+UNIT = 1 << 21
+#: Training tokens for each word that the model predicts by itself, and from which on it has more context classes.
+TOKENS_A_WORD, MORE_CONTEXTS = 1 << 15, 1 << 28
+#: Parameters are averaged as multiples of this, so that the sums don't depend on their order.
+GRAIN = 2.0**-18
 
 
 def remainder(key: str, modulus: int) -> Column:
@@ -70,22 +76,25 @@ def commonest(counts: DataFrame, most: int) -> DataFrame:
 
 
 class Scorer:
-    """The frequent tokens' counts and classes, and the model's tables: of fixed size, so broadcast."""
+    """The frequent tokens' counts and words, and the model."""
 
-    def __init__(self, frequent: np.ndarray, counts: np.ndarray, words: int):
+    def __init__(self, frequent: np.ndarray, counts: np.ndarray, words: int, all_tokens: int):
         order = np.argsort(frequent)
         self.known, self.count = frequent[order], counts[order]
-        # classes 0 .. words-1 by falling count, then the end, then all other words
+        # words by falling count, then the end, then all other words
         ranked = [i for i in np.lexsort((frequent, -counts)).tolist() if frequent[i] != END][:words]
-        self.end, self.other = words, words + 1
+        self.end, self.other = len(ranked), len(ranked) + 1
         by_place = np.full(len(frequent), self.other, np.int64)
         by_place[ranked] = np.arange(len(ranked))
         by_place[frequent == END] = self.end
         self.klass = by_place[order]
         self.log_count = np.log10(self.count + 1.0)
+        self.word_counts = np.zeros(self.other + 1)
+        np.add.at(self.word_counts, self.klass, self.count)
+        self.word_counts[self.other] += all_tokens - self.count.sum()
 
     def classes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class and place of each token, and whether it is a frequent one."""
+        """Word number and place of each token, and whether it is a frequent one."""
         if not len(self.known):
             return np.where(h == END, self.end, self.other), np.zeros(len(h), np.int64), np.zeros(len(h), bool)
         at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
@@ -93,18 +102,90 @@ class Scorer:
         # an end that no training text has (no training text at all) is still the end
         return np.where(ok, self.klass[at], np.where(h == END, self.end, self.other)), at, ok
 
-    def fit(self, texts: list[np.ndarray], all_tokens: int, **options) -> None:
-        size = self.other + 1
-        counts = np.zeros(size)
-        np.add.at(counts, self.klass, self.count)
-        counts[self.other] += all_tokens - self.count.sum()
-        self.model = train(texts, size, self.end, counts, **options)
-        self.near, self.far, self.norm = self.model.tables()
+    def take(self, model: LogBilinear, norm: np.ndarray) -> None:
+        self.model, self.norm = model, norm
+        self.near, self.far = model.predicted()
 
-    def log_probabilities(self, k: np.ndarray) -> np.ndarray:
-        """ln P of each class from the third on, given the two before."""
-        far, near, word = k[:-2], k[1:-1], k[2:]
-        return self.near[near, word] + self.far[far, word] - self.norm[far, near]
+    def log_probabilities(self, k: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+        """ln P of each word from the third on, given the two before."""
+        m, c = self.model, self.model.classes(k, self.end)
+        out = np.empty(len(k) - 2)
+        for at in range(0, len(out), block):
+            to = min(at + block, len(out))
+            far, near, word = c[at:to], c[at + 1 : to + 1], k[at + 2 : to + 2]
+            out[at:to] = np.einsum("ij,ij->i", self.near[near] + self.far[far], m.vectors[word]) + m.bias[word] - self.norm[far, near]
+        return out
+
+
+def training_units(learn: DataFrame, scorer: Scorer, total: int) -> DataFrame:
+    """(k): the word numbers of about UNIT tokens of whole texts, dealt by the key's hash: every training row is in one unit."""
+    shared = learn.sparkSession.sparkContext.broadcast(scorer)
+
+    def numbers(batches):
+        for batch in batches:
+            rows = [shared.value.classes(token_hashes(v.as_buffer().to_pybytes() if v.is_valid else None))[0].astype(np.int32).tobytes() for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["o", "k"])
+
+    def units(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for k in batch.column(1).to_pylist():
+                parts.append(k)
+                held += len(k) // 4
+                if held >= UNIT:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["k"])
+                    parts, held = [], 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["k"])
+
+    n = max(1, -(-total // UNIT))
+    dealt = learn.mapInArrow(numbers, "o long, k binary").repartitionById(n, F.pmod("o", F.lit(n)).cast("int")).sortWithinPartitions("o", "k")
+    return scratch.table(dealt.mapInArrow(units, "k binary"), "training-units")
+
+
+def averaged(units: DataFrame, model: LogBilinear, scorer: Scorer, seed: int, **options) -> LogBilinear:
+    """The model after one pass over every unit: each is trained on from ``model``, and each row of the parameters
+    becomes the mean of the units that moved it, weighted by how often they did."""
+    spark, end, counts = units.sparkSession, scorer.end, scorer.word_counts
+    shared = spark.sparkContext.broadcast((model, counts))
+    v, c, d = len(model.vectors), len(model.contexts), model.near.shape[0]
+    names = ["id", "n", *(f"x{i}" for i in range(d + 1))]
+
+    def run(batches):
+        for batch in batches:
+            for value in batch.column(0):
+                start, counts = shared.value
+                m = LogBilinear(*(x.copy() for x in vars(start).values()))
+                tokens = np.frombuffer(value.as_buffer(), np.int32)
+                moved = improve(m, tokens, end, counts, seed=seed, **options)
+                n = np.concatenate((moved["vectors"], moved["contexts"], np.full(2 * d, len(tokens), np.int32)))
+                at = np.flatnonzero(n)
+                x = np.zeros((v + c + 2 * d, d + 1), np.float32)
+                x[:, :d] = np.concatenate((m.vectors, m.contexts, m.near, m.far))
+                x[:v, d] = m.bias
+                x = np.round(x[at] / GRAIN).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), *(pa.array(np.ascontiguousarray(col)) for col in x.T)], names)
+
+    moved = units.mapInArrow(run, ", ".join(f"{name} int" for name in names))
+    means = moved.groupBy("id").agg(*((F.sum(F.col(name).cast("long") * F.col("n")) / F.sum("n")).alias(name) for name in names[2:])).toArrow()
+    x = np.concatenate((np.column_stack((model.vectors, model.bias)), np.pad(np.concatenate((model.contexts, model.near, model.far)), ((0, 0), (0, 1)))))
+    if means.num_rows:
+        x[means["id"].to_numpy()] = np.stack([means[name].to_numpy() for name in names[2:]], 1) * GRAIN
+    vectors, contexts, near, far = (np.ascontiguousarray(part) for part in np.split(x[:, :d].astype(np.float32), np.cumsum([v, c, d])))
+    return LogBilinear(vectors, contexts, near, far, x[:v, d].astype(np.float32))
+
+
+def normalisers(spark, model: LogBilinear) -> np.ndarray:
+    """norm[far, near] of all pairs of context classes, some far classes a task."""
+    shared, classes = spark.sparkContext.broadcast(model), len(model.contexts)
+
+    def run(batches):
+        for batch in batches:
+            for f in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([shared.value.norms(f).tobytes()], pa.binary())], ["f", "x"])
+
+    got = spark.range(0, classes, 1, max(1, min(classes, len(model.vectors) // 256))).mapInArrow(run, "f long, x binary").toArrow().sort_by("f")
+    return np.stack([np.frombuffer(x, np.float32) for x in got["x"].to_pylist()])
 
 
 def language_scores(
@@ -115,7 +196,9 @@ def language_scores(
     held_out: int = 2,
     frequent: int = 1 << 18,
     words: int = 1022,
-    sample_rows: int = 2000,
+    epochs: int = 2,
+    seed: int = 3,
+    d: int = 24,
     **options,
 ) -> DataFrame:
     """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -128,10 +211,13 @@ def language_scores(
     each document's other tokens are summed up and joined with the count table by hash, so no
     vocabulary is ever held whole. Tokens are identified by 64-bit hashes.
 
-    The log-bilinear model's classes are the ``words`` commonest words, the end, and any other word,
-    which then is drawn by its training count plus one, all unseen words sharing one such draw. It
-    is fitted on the texts of the first ``sample_rows`` training rows in order of their key's hash;
-    its scores are normalised. With no training rows it is the untrained model.
+    The log-bilinear model is fitted on every training row. It predicts the ``words`` commonest words,
+    or one word for each TOKENS_A_WORD training tokens if those are more (the broadcast ones at most);
+    the end; and any other word, which then is drawn by its training count plus one, all unseen words
+    sharing one such draw. As contexts it tells the ``words`` commonest apart, more of them by the cube
+    root of the tokens beyond MORE_CONTEXTS. Each of ``epochs`` rounds trains units of about UNIT tokens
+    from the same parameters and averages these. Scores are normalised. With no training rows it is the
+    untrained model.
     """
     kind = df.schema[key].dataType.simpleString()
     spark = df.sparkSession
@@ -141,18 +227,14 @@ def language_scores(
     counts = scratch.table(token_counts(learn.select(body)), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = commonest(counts, frequent).toArrow()
-    scorer = Scorer(top["h"].to_numpy().view(np.uint64), top["c"].to_numpy(), words)
-    ids = learn.select(F.col(key).alias("_key"), F.xxhash64(key).alias("_order")).orderBy("_order", "_key").limit(sample_rows)
-    chosen = df.join(F.broadcast(ids.select("_key").distinct()), F.col(key).eqNullSafe(F.col("_key")), "left_semi").select(F.xxhash64(key), body)
-
-    def class_rows(batches):
-        for batch in batches:
-            rows = [scorer.classes(token_hashes(v.as_buffer().to_pybytes() if v.is_valid else None)[:-1])[0].astype(np.int16) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["o", "k"])
-
-    sample = chosen.mapInArrow(class_rows, "o long, k binary").toArrow().sort_by([("o", "ascending"), ("k", "ascending")])
-    scorer.fit([np.frombuffer(k, np.int16).astype(np.int64) for k in sample["k"].to_pylist()], total, **options)
-    in_classes = scorer.klass < words
+    scorer = Scorer(top["h"].to_numpy().view(np.uint64), top["c"].to_numpy(), max(words, total // TOKENS_A_WORD), total)
+    contexts = min(scorer.end, int(words * max(1.0, (total / MORE_CONTEXTS) ** (1 / 3)))) + 2
+    model = untrained(scorer.other + 1, contexts, scorer.word_counts, d, seed)
+    units = training_units(learn.select(F.xxhash64(key), body), scorer, total)
+    for i in range(epochs):
+        model = averaged(units, model, scorer, seed + i, **options)
+    scorer.take(model, normalisers(spark, model))
+    in_classes = scorer.klass < scorer.end
     other_tokens = total - int(scorer.count[in_classes].sum()) - int(scorer.count[scorer.klass == scorer.end].sum())
     other_kinds = distinct - int(in_classes.sum()) - int((scorer.klass == scorer.end).sum())
     other_log = math.log10(other_tokens + other_kinds + 1)

@@ -1,4 +1,4 @@
-"""A log-bilinear language model over word classes, trained in numpy by noise-contrastive estimation."""
+"""A log-bilinear language model over words, trained in numpy by noise-contrastive estimation."""
 
 from __future__ import annotations
 
@@ -11,80 +11,129 @@ LN10 = float(np.log(10))
 
 @dataclass
 class LogBilinear:
-    """Score of a class after two others: its bias plus the product of its vector and the predicted one.
+    """Score of a word after two context classes: its bias plus the product of its vector and the predicted one.
 
     The predicted vector is the sum of the previous classes' vectors through a matrix for each
-    place. :meth:`tables` turns the model, by products of whole matrices, into tables from which any
-    token's normalised log-probability is four look-ups.
+    place. The classes are the words themselves or, where there are more words than classes, the
+    first of them, the end and one for all others (:meth:`classes`).
     """
 
-    vectors: np.ndarray  # classes x d, of the predicted class
-    contexts: np.ndarray  # classes x d, of the previous classes
+    vectors: np.ndarray  # words x d, of the predicted word
+    contexts: np.ndarray  # classes x d, of the previous words' classes
     near: np.ndarray  # d x d, for the class before
     far: np.ndarray  # d x d, for the one before that
     bias: np.ndarray
 
-    def tables(self, block: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(near, far, norm): ln P(w | f, n) = near[n, w] + far[f, w] - norm[f, n]."""
-        near = (self.contexts @ self.near) @ self.vectors.T + self.bias
-        far = (self.contexts @ self.far) @ self.vectors.T
-        norm = np.empty((len(far), len(near)), np.float32)
-        for at in range(0, len(far), block):
-            s = far[at : at + block, None, :] + near[None, :, :]
-            top = s.max(-1, keepdims=True)
-            s -= top
+    def classes(self, k: np.ndarray, end: int) -> np.ndarray:
+        """Context class of each word; the last two words are the end and any other word."""
+        n = len(self.contexts)
+        return k if n == len(self.vectors) else np.where(k < n - 2, k, np.where(k == end, n - 2, n - 1))
+
+    def predicted(self) -> tuple[np.ndarray, np.ndarray]:
+        """(near, far): each class's share of the predicted vector."""
+        return self.contexts @ self.near, self.contexts @ self.far
+
+    def norms(self, far: int, block: int = 1024) -> np.ndarray:
+        """ln of the summed exponentials of all words' scores, for one far class and every near one."""
+        near, fars = self.predicted()
+        q = near + fars[far]
+        top, total = np.full(len(q), -np.inf, np.float32), np.zeros(len(q))
+        for at in range(0, len(self.vectors), block):
+            s = q @ self.vectors[at : at + block].T + self.bias[at : at + block]
+            new = np.maximum(top, s.max(1))
+            s -= new[:, None]
             np.exp(s, out=s)
-            norm[at : at + block] = np.log(s.sum(-1)) + top[..., 0]
-        return near.astype(np.float32), far.astype(np.float32), norm
+            total = total * np.exp(top - new) + s.sum(1)
+            top = new
+        return (np.log(total) + top).astype(np.float32)
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(near, far, norm): ln P(w | f, n) = near[n, w] + far[f, w] - norm[f, n]."""
+        near, far = self.predicted()
+        norm = np.stack([self.norms(f) for f in range(len(far))])
+        return (near @ self.vectors.T + self.bias).astype(np.float32), (far @ self.vectors.T).astype(np.float32), norm
 
 
-def windows(texts: list[np.ndarray], end: int) -> np.ndarray:
-    """(far, near, word) of every token, the end included; a text starts after two ends."""
-    rows = [np.concatenate(([end, end], t, [end])) for t in texts]
-    return np.concatenate([np.stack([r[:-2], r[1:-1], r[2:]], 1) for r in rows]) if rows else np.zeros((0, 3), np.int64)
+def windows(tokens: np.ndarray, end: int) -> np.ndarray:
+    """(far, near, word) of every token of texts that close with an end each; a text starts after two ends."""
+    p = np.concatenate(([end, end], tokens)).astype(np.int32)
+    near = p[1:-1]
+    return np.stack([np.where(near == end, np.int32(end), p[:-2]), near, p[2:]])
 
 
-def train(
-    texts: list[np.ndarray], classes: int, end: int, counts: np.ndarray, d: int = 24, noise: int = 64, epochs: int = 3,
-    batch: int = 1024, rate: float = 0.15, seed: int = 3,
-) -> LogBilinear:
-    """Noise-contrastive estimation with AdaGrad; each batch shares ``noise`` draws from the unigram counts."""
+def untrained(words: int, classes: int, counts: np.ndarray, d: int = 24, seed: int = 3) -> LogBilinear:
+    """Small random vectors, and as biases the unigram shares."""
+    r = np.random.default_rng(seed)
+    small = lambda *shape: (r.standard_normal(shape) * 0.1).astype(np.float32)
+    p = (counts + 1.0) / (counts + 1.0).sum()
+    return LogBilinear(small(words, d), small(classes, d), np.eye(d, dtype=np.float32), np.eye(d, dtype=np.float32) * np.float32(0.5), np.log(p).astype(np.float32))
+
+
+def summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places and the sum of each one's values."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return at[first], np.add.reduceat(values[order], first, axis=0)
+
+
+def improve(
+    m: LogBilinear, tokens: np.ndarray, end: int, counts: np.ndarray, noise: int = 64, epochs: int = 1, batch: int = 1024,
+    rate: float = 0.15, seed: int = 3,
+) -> dict[str, np.ndarray]:
+    """Noise-contrastive estimation with AdaGrad, in place; each batch shares ``noise`` draws from the unigram counts.
+
+    Returns how often each word's and each class's vector was moved.
+    """
     r = np.random.default_rng(seed)
     p = (counts + 1.0) / (counts + 1.0).sum()
     drawn = np.cumsum(p)
-    small = lambda *shape: (r.standard_normal(shape) * 0.1).astype(np.float32)
-    m = LogBilinear(small(classes, d), small(classes, d), np.eye(d, dtype=np.float32), np.eye(d, dtype=np.float32) * np.float32(0.5), np.log(p).astype(np.float32))
     lift = (np.log(p) + np.log(noise)).astype(np.float32)
     sums = {k: np.full_like(v, 1e-3) for k, v in vars(m).items()}
-    data = windows(texts, end)
+    moved = {"vectors": np.zeros(len(m.vectors), np.int32), "contexts": np.zeros(len(m.contexts), np.int32)}
+    far_k, near_k, words = windows(tokens, end)
+    far_k, near_k = m.classes(far_k, end), m.classes(near_k, end)
 
-    def step(name: str, grad: np.ndarray) -> None:
-        sums[name] += grad * grad
-        vars(m)[name] -= rate * grad / np.sqrt(sums[name])
+    def step(name: str, grad: np.ndarray, at=slice(None)) -> None:
+        sums[name][at] += grad * grad
+        vars(m)[name][at] -= rate * grad / np.sqrt(sums[name][at])
 
     for _ in range(epochs):
-        order = r.permutation(len(data))
-        for at in range(0, len(order), batch):
-            far, near, word = data[order[at : at + batch]].T
+        order = r.permutation(len(words))
+        for start in range(0, len(order), batch):
+            here = order[start : start + batch]
+            far, near, word = far_k[here], near_k[here], words[here]
             n = len(word)
-            other = np.minimum(np.searchsorted(drawn, r.random(noise)), classes - 1)
+            other = np.minimum(np.searchsorted(drawn, r.random(noise)), len(p) - 1)
             x_near, x_far = m.contexts[near], m.contexts[far]
             q = x_near @ m.near + x_far @ m.far
-            true = (q * m.vectors[word]).sum(1) + m.bias[word] - lift[word]
-            false = q @ m.vectors[other].T + m.bias[other] - lift[other]
-            g_true = (-1 / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32) / n
-            g_false = (1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32) / n
-            dq = g_true[:, None] * m.vectors[word] + g_false @ m.vectors[other]
-            dv, db, dc = np.zeros_like(m.vectors), np.zeros_like(m.bias), np.zeros_like(m.contexts)
-            np.add.at(dv, word, g_true[:, None] * q)
-            np.add.at(dv, other, g_false.T @ q)
-            np.add.at(db, word, g_true)
-            np.add.at(db, other, g_false.sum(0))
-            np.add.at(dc, near, dq @ m.near.T)
-            np.add.at(dc, far, dq @ m.far.T)
+            v_word, v_other = m.vectors[word], m.vectors[other]
+            true = np.einsum("ij,ij->i", q, v_word) + m.bias[word] - lift[word]
+            false = q @ v_other.T + (m.bias[other] - lift[other])
+            g_true = (-1 / (1 + np.exp(np.clip(true, -30, 30)))) / np.float32(n)
+            np.clip(false, -30, 30, out=false)
+            np.negative(false, out=false)
+            np.exp(false, out=false)
+            false += 1
+            g_false = np.float32(1 / n) / false
+            dq = g_true[:, None] * v_word + g_false @ v_other
+            # the last column is the bias
+            ones = np.ones((n, 1), np.float32)
+            grad = np.concatenate((g_true[:, None] * np.concatenate((q, ones), 1), np.concatenate((g_false.T @ q, g_false.sum(0)[:, None]), 1)))
+            at, grad = summed(np.concatenate((word, other)), grad)
+            at_c, grad_c = summed(np.concatenate((near, far)), np.concatenate((dq @ m.near.T, dq @ m.far.T)))
             step("near", x_near.T @ dq)
             step("far", x_far.T @ dq)
-            step("vectors", dv)
-            step("bias", db)
-            step("contexts", dc)
+            step("vectors", grad[:, :-1], at)
+            step("bias", grad[:, -1], at)
+            step("contexts", grad_c, at_c)
+            moved["vectors"][at] += 1
+            moved["contexts"][at_c] += 1
+    return moved
+
+
+def train(texts: list[np.ndarray], classes: int, end: int, counts: np.ndarray, d: int = 24, epochs: int = 3, seed: int = 3, **options) -> LogBilinear:
+    """A model of these texts, every word a context class of its own."""
+    m = untrained(classes, classes, counts, d, seed)
+    improve(m, np.concatenate([np.append(t, end) for t in texts]) if texts else np.zeros(0, np.int64), end, counts, epochs=epochs, seed=seed, **options)
     return m

@@ -232,6 +232,32 @@ def test_base_scores_against_counts(spark, documents):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_every_training_row_reaches_the_language_model(spark):
+    # more rows than the 2,000 that the model once was fitted on
+    rows = [(i, f"left{i % 40} right{i % 40} " * 4) for i in range(4000)]
+    learn = spark.createDataFrame(rows, "doc_id long, text string").select(F.xxhash64("doc_id"), F.col("text").cast("binary"))
+    tokens = [lmscore.token_hashes(t.encode()) for _, t in rows]
+    h, c = np.unique(np.concatenate(tokens), return_counts=True)
+    units = lmscore.training_units(learn, lmscore.Scorer(h, c, 80, int(c.sum())), int(c.sum()))
+    got = np.concatenate([np.frombuffer(r.k, np.int32) for r in units.collect()])
+    assert len(got) == c.sum() and (got == 80).sum() == len(rows)
+
+
+def test_language_model_predicts_words_beyond_its_contexts():
+    # words 8 and 9 are no contexts of their own, yet each has its own place after another word
+    r = np.random.default_rng(5)
+    tokens = np.concatenate([[a, 8 if a == 0 else 9, 10] for a in r.integers(0, 2, 2000)])
+    counts = np.bincount(tokens, minlength=12).astype(float)
+    m = logbilinear.untrained(12, 4, counts, 12)
+    logbilinear.improve(m, tokens, 10, counts, noise=16, epochs=5, batch=128)
+    scorer = lmscore.Scorer(np.array([lmscore.END], np.uint64), np.array([1]), 10, 1)
+    scorer.end = 10
+    scorer.take(m, np.stack([m.norms(f) for f in range(4)]))
+    p = lambda *k: np.exp(scorer.log_probabilities(np.array(k)))[0]
+    assert abs(sum(p(10, 0, w) for w in range(12)) - 1) < 1e-4
+    assert p(10, 0, 8) > 0.7 > 0.1 > p(10, 0, 9) and p(10, 1, 9) > 0.7
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
