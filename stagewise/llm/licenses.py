@@ -97,12 +97,12 @@ def license_labels(
 ) -> DataFrame:
     """One row per input row: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    The index has the position of each rare word in each template. Of a document's words in the
-    index the ``rarest`` by document frequency over the whole table are looked up; postings that
-    agree on the template's place in the document are added up, weighted by rarity. A template whose
-    aligned weight is at least ``least`` of what its own ``rarest`` words could give, and whose
-    mandatory phrase occurs, gives its label. ``score`` is the greatest such share, 1 with a base
-    phrase, else 0. Null and empty texts have no words and no labels; repeated rows get a result each.
+    The index has the position of each rare word in each template; all of a document's words in the
+    index are looked up. Postings that agree on the template's place in the document are added up,
+    weighted by rarity over the whole table. A template whose aligned weight is at least ``least`` of
+    what its own ``rarest`` words could give, and whose mandatory phrase occurs, gives its label.
+    ``score`` is the greatest such share, 1 with a base phrase, else 0. Null and empty texts have no
+    words and no labels; repeated rows get a result each.
 
     Only the vocabulary's frequencies, at most one row for each of its words, reach the driver, and
     only the index is broadcast. All rows' findings are a written table, so texts are read once.
@@ -120,11 +120,8 @@ def license_labels(
     index = F.broadcast(spark.createDataFrame(postings, "word string, template int, at_template int, weight double"))
     wholes = F.array(*(F.lit(full[i]) for i in range(len(templates))))
     names = F.array(*(F.lit(t.label) for t in templates))
-    rank = F.create_map(*(x for w, v in weight.items() for x in (F.lit(w), F.lit(-v))))
-    top = F.slice(F.array_sort(F.transform("present", lambda w: F.struct(F.element_at(rank, w).alias("r"), w.alias("word")))), 1, rarest)
     looked_up = (
-        found.filter(F.size("able") > 0).withColumn("top", F.transform(top, lambda x: x["word"]))
-        .select("row", "able", F.explode(F.filter("places", lambda x: F.array_contains(F.col("top"), x["word"]))).alias("x"))
+        found.filter(F.size("able") > 0).select("row", "able", F.explode("places").alias("x"))
         .select("row", "able", F.col("x.word").alias("word"), F.col("x.at").alias("at"))
         .join(index, "word").filter(F.array_contains("able", F.col("template")))
     )

@@ -171,6 +171,15 @@ def test_licenses(spark):
     assert [r.labels for r in got[3:]] == ["gpl-3", "", "bsd"] and got[4].score == 0
 
 
+def test_every_licence_of_a_file_is_found(spark):
+    # the words of the second licence are commoner than the eight of the first one
+    notice = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
+    both = f"{notice}. licensed under the gnu general public license version 3"
+    texts = [both] + ["the gnu is licensed by a license"] * 20
+    got = licenses.license_labels(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    assert got.filter("doc_id = 0").first().labels == "gpl-3,mit"
+
+
 def test_languages_held_out(spark, documents):
     got = langid.languages(documents).join(documents.select("doc_id", "lang"), "doc_id")
     assert got.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
