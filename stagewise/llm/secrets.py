@@ -17,7 +17,20 @@ KEYWORDS = (b"passw", b"secret", b"token", b"api")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")  # a run is taken whole from its first AKIA, so a short one has no longer rest
 HEX = re.compile(rb"[0-9a-f]{24,}")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
-DIGIT = re.compile(rb"[0-9]")
+LEAST = 16
+JOINTS = b"+/_=-"
+
+
+def open_parts(start: int, end: int, taken: list[tuple[int, int]], raw: bytes):
+    """The parts of a run that no taken span covers; where one was cut off, joining characters go too."""
+    cut = False
+    for a, z in taken:
+        if a < end and start < z:
+            part = raw[start:a] if a > start else b""
+            yield start + (len(part) - len(part.lstrip(JOINTS)) if cut else 0), start + len(part.rstrip(JOINTS))
+            start, cut = max(start, z), True
+    part = raw[start:end]
+    yield start + (len(part) - len(part.lstrip(JOINTS)) if cut else 0), end
 
 
 def find_spans(raw: bytes, automata: dict[str, Automaton], least_bits: float) -> list[tuple[int, int, int]]:
@@ -29,11 +42,11 @@ def find_spans(raw: bytes, automata: dict[str, Automaton], least_bits: float) ->
     if b"AKIA" in raw:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(raw)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(raw)]
-    base = list(found)
+    taken = sorted((a, z) for a, _, z in found)
     for m in CANDIDATE.finditer(raw):
-        if DIGIT.search(raw, m.start(), m.end()) and not any(a < m.end() and m.start() < z for a, _, z in base):
-            if best_format(m[0].decode(), automata)[1] >= least_bits:
-                found.append((m.start(), 3, m.end()))
+        for a, z in open_parts(m.start(), m.end(), taken, raw) if taken else [m.span()]:
+            if z - a >= LEAST and best_format(raw[a:z].decode(), automata)[1] >= least_bits:
+                found.append((a, 3, z))
     found.sort()
     if raw.isascii():
         return found
@@ -52,7 +65,7 @@ def secret_spans(
     """One row per document: key, n_assign, n_access, n_hex, base_sha256, spans, n_format, found.
 
     ``spans`` joins kind:start:end by start; ``found`` has the same as structs. Candidates are the
-    runs of 16 or more credential characters with a digit that no base span touches; one is a
+    runs of 16 or more credential characters, cut at the base spans; one is a
     secret if its likeliest format beats plain strings by ``least_bits``. Null and empty texts have
     no spans, repeated rows a result each. The automata (a few hundred states, by default inferred
     from :func:`automata.labelled_credentials`) go to the workers with the function.

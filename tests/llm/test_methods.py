@@ -157,6 +157,14 @@ def test_secret_spans_and_redaction(spark):
     assert "ghp_" not in hidden and "AKIA" not in hidden and "the_long_function_name_1" in hidden and "[format]" in hidden
 
 
+def test_spans_of_credentials_without_digits_or_beside_others():
+    find = lambda text: secrets.find_spans(text, automata.default_automata(), 12.0)
+    token = b"glpat-QwErTyUiOpAsDfGhJkLz"
+    assert find(b"x " + token + b" y") == [(2, 3, 2 + len(token))]
+    assert find(b"0123456789abcdef01234567/" + token) == [(0, 2, 24), (25, 3, 25 + len(token))]
+    assert find(b"the_long_function_name_of_words and internationalization") == []
+
+
 def test_automata_tell_formats_apart():
     learned = automata.default_automata()
     found = [(label.startswith("plain"), automata.best_format(w, learned)[1] >= 12) for label, w in automata.labelled_credentials(40, 99)]
