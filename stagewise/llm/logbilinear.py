@@ -54,11 +54,20 @@ class LogBilinear:
         return (near @ self.vectors.T + self.bias).astype(np.float32), (far @ self.vectors.T).astype(np.float32), norm
 
 
-def windows(tokens: np.ndarray, end: int) -> np.ndarray:
-    """(far, near, word) of every token of texts that close with an end each; a text starts after two ends."""
-    p = np.concatenate(([end, end], tokens)).astype(np.int32)
-    near = p[1:-1]
-    return np.stack([np.where(near == end, np.int32(end), p[:-2]), near, p[2:]])
+def segments(tokens: np.ndarray, end: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, real): runs of ``length + 2`` words, each after the first two predicted from the two before it.
+
+    Texts close with an end each and start after two of them, so a second end follows each closing
+    one; ``real`` marks the words that are predicted, which that end and the filling are not.
+    """
+    ends = np.flatnonzero(tokens == end)
+    stream = np.insert(tokens, ends + 1, end)
+    real = np.ones(len(stream), bool)
+    real[ends + 1 + np.arange(len(ends))] = False
+    fill = -len(stream) % length
+    stream = np.concatenate(([end, end], stream, np.full(fill, end))).astype(np.int32)
+    rows = np.lib.stride_tricks.sliding_window_view(stream, length + 2)[::length] if len(stream) > 2 else np.zeros((0, length + 2), np.int32)
+    return rows, np.concatenate((real, np.zeros(fill, bool))).reshape(-1, length)
 
 
 def untrained(words: int, classes: int, counts: np.ndarray, d: int = 24, seed: int = 3) -> LogBilinear:
@@ -69,66 +78,78 @@ def untrained(words: int, classes: int, counts: np.ndarray, d: int = 24, seed: i
     return LogBilinear(small(words, d), small(classes, d), np.eye(d, dtype=np.float32), np.eye(d, dtype=np.float32) * np.float32(0.5), np.log(p).astype(np.float32))
 
 
-def summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct places and the sum of each one's values."""
-    order = np.argsort(at, kind="stable")
+def descend(table: np.ndarray, sums: np.ndarray, at: np.ndarray, grad: np.ndarray, rate: float) -> np.ndarray:
+    """One AdaGrad step of the rows ``at``, of which equal ones add up; returns the distinct rows."""
+    # a stable sort of 16-bit numbers is a radix sort
+    order = np.argsort(at.astype(np.uint16) if len(table) <= 1 << 16 else at, kind="stable")
     at = at[order]
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at[first], np.add.reduceat(values[order], first, axis=0)
+    first = np.concatenate(([True], at[1:] != at[:-1]))
+    rows, width = at[first], grad.shape[1]
+    group = np.empty(len(at), np.int64)
+    group[order] = (np.cumsum(first) - 1) * width
+    cells = (group[:, None] + np.arange(width)).ravel()
+    g = np.bincount(cells, grad.ravel(), len(rows) * width).reshape(-1, width).astype(np.float32)
+    x = sums[rows] + g * g
+    sums[rows] = x
+    table[rows] -= rate * g / np.sqrt(x)
+    return rows
 
 
 def improve(
     m: LogBilinear, tokens: np.ndarray, end: int, counts: np.ndarray, noise: int = 64, epochs: int = 1, batch: int = 1024,
-    rate: float = 0.15, seed: int = 3,
+    length: int = 32, rate: float = 0.15, seed: int = 3,
 ) -> dict[str, np.ndarray]:
     """Noise-contrastive estimation with AdaGrad, in place; each batch shares ``noise`` draws from the unigram counts.
 
-    Returns how often each word's and each class's vector was moved.
+    A batch has ``batch`` words in runs of ``length`` from anywhere in the tokens, so that a word's vector
+    as a context serves the two words after it. Returns how often each word's and each class's vector was moved.
     """
     r = np.random.default_rng(seed)
     p = (counts + 1.0) / (counts + 1.0).sum()
     drawn = np.cumsum(p)
     lift = (np.log(p) + np.log(noise)).astype(np.float32)
-    sums = {k: np.full_like(v, 1e-3) for k, v in vars(m).items()}
+    d = m.near.shape[0]
+    out = np.column_stack((m.vectors, m.bias))  # the last column is the bias
+    sums = {"out": np.full_like(out, 1e-3)} | {k: np.full_like(vars(m)[k], 1e-3) for k in ("contexts", "near", "far")}
     moved = {"vectors": np.zeros(len(m.vectors), np.int32), "contexts": np.zeros(len(m.contexts), np.int32)}
-    far_k, near_k, words = windows(tokens, end)
-    far_k, near_k = m.classes(far_k, end), m.classes(near_k, end)
-
-    def step(name: str, grad: np.ndarray, at=slice(None)) -> None:
-        sums[name][at] += grad * grad
-        vars(m)[name][at] -= rate * grad / np.sqrt(sums[name][at])
-
+    rows, real = segments(tokens, end, length)
+    step = max(1, batch // length)
     for _ in range(epochs):
-        order = r.permutation(len(words))
-        for start in range(0, len(order), batch):
-            here = order[start : start + batch]
-            far, near, word = far_k[here], near_k[here], words[here]
-            n = len(word)
+        order = r.permutation(len(rows))
+        for start in range(0, len(order), step):
+            here = order[start : start + step]
+            now, ok = rows[here], real[here].ravel()
+            word, n = now[:, 2:].ravel(), ok.size
+            context = m.classes(now[:, :-1], end)
             other = np.minimum(np.searchsorted(drawn, r.random(noise)), len(p) - 1)
-            x_near, x_far = m.contexts[near], m.contexts[far]
-            q = x_near @ m.near + x_far @ m.far
-            v_word, v_other = m.vectors[word], m.vectors[other]
-            true = np.einsum("ij,ij->i", q, v_word) + m.bias[word] - lift[word]
-            false = q @ v_other.T + (m.bias[other] - lift[other])
-            g_true = (-1 / (1 + np.exp(np.clip(true, -30, 30)))) / np.float32(n)
-            np.clip(false, -30, 30, out=false)
-            np.negative(false, out=false)
-            np.exp(false, out=false)
+            x = m.contexts[context]
+            x_near, x_far = x[:, 1:].reshape(n, d), x[:, :-1].reshape(n, d)
+            q = np.ones((n, d + 1), np.float32)
+            q[:, :d] = x_near @ m.near + x_far @ m.far
+            v_word, v_other = out[word], out[other]
+            true = np.einsum("ij,ij->i", q, v_word) - lift[word]
+            false = q @ v_other.T
+            false -= lift[other]
+            # sigmoid(s) = (1 + tanh(s / 2)) / 2, weighted by each word's share of the batch
+            share = (ok * (0.5 / max(int(ok.sum()), 1))).astype(np.float32)
+            false *= 0.5
+            np.tanh(false, out=false)
             false += 1
-            g_false = np.float32(1 / n) / false
-            dq = g_true[:, None] * v_word + g_false @ v_other
-            # the last column is the bias
-            ones = np.ones((n, 1), np.float32)
-            grad = np.concatenate((g_true[:, None] * np.concatenate((q, ones), 1), np.concatenate((g_false.T @ q, g_false.sum(0)[:, None]), 1)))
-            at, grad = summed(np.concatenate((word, other)), grad)
-            at_c, grad_c = summed(np.concatenate((near, far)), np.concatenate((dq @ m.near.T, dq @ m.far.T)))
-            step("near", x_near.T @ dq)
-            step("far", x_far.T @ dq)
-            step("vectors", grad[:, :-1], at)
-            step("bias", grad[:, -1], at)
-            step("contexts", grad_c, at_c)
-            moved["vectors"][at] += 1
-            moved["contexts"][at_c] += 1
+            false *= share[:, None]
+            g_true = (np.tanh(true * np.float32(0.5)) - 1) * share
+            v_word *= g_true[:, None]
+            dq = false @ v_other[:, :d] + v_word[:, :d]
+            grad = np.concatenate((g_true[:, None] * q, false.T @ q))
+            grad_c = np.zeros(x.shape, np.float32)
+            grad_c[:, 1:] = (dq @ m.near.T).reshape(-1, length, d)
+            grad_c[:, :-1] += (dq @ m.far.T).reshape(-1, length, d)
+            for name, side in (("near", x_near), ("far", x_far)):
+                g = side.T @ dq
+                sums[name] += g * g
+                vars(m)[name][:] -= rate * g / np.sqrt(sums[name])
+            moved["vectors"][descend(out, sums["out"], np.concatenate((word, other)), grad, rate)] += 1
+            moved["contexts"][descend(m.contexts, sums["contexts"], context.ravel(), grad_c.reshape(-1, d), rate)] += 1
+    m.vectors, m.bias = np.ascontiguousarray(out[:, :d]), np.ascontiguousarray(out[:, d])
     return moved
 
 
