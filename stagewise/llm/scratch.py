@@ -16,11 +16,24 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, an own folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/stagewise-scratch"
+    """``spark.checkpoint.dir`` of the session. Where it is unset, local sessions, as in tests, take an own folder.
+
+    On a cluster the executors have no common temporary folder, so the setting is required there.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/stagewise-scratch"
     return root.rstrip("/")
 
 
+def not_among(key: str, taken: list[str]) -> None:
+    """A key can't be called like a column that the result has beside it."""
+    if key.lower() in {c.lower() for c in taken}:
+        raise ValueError(f"the key column {key!r} has the name of a result column: rename it")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have yet."""
     while name in df.columns:

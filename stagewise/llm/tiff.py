@@ -1,4 +1,4 @@
-"""TIFF: image directories, strips and tiles, PackBits, LZW and deflate, predictors 1 and 2."""
+"""TIFF: image directories, strips and tiles, PackBits, LZW and deflate, predictors 1 to 3."""
 
 from __future__ import annotations
 
@@ -13,12 +13,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 # Fixed values of the TIFF 6.0 format.
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
+FILL_ORDER, SAMPLE_FORMAT = 266, 339
 KINDS = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
+#: Letters of numpy's kinds by sample format: unsigned, signed, floating.
+FORMATS = {1: "u", 2: "i", 3: "f"}
+#: How many bytes a compressed byte can give at most.
+RATIO = {NONE: 1, DEFLATE: 1032, OLD_DEFLATE: 1032, PACKBITS: 64, LZW: 4096}
+REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+#: What a damaged file can make the reader raise; nothing else stands for one.
+DAMAGE = (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError, OverflowError)
 
 
 @dataclass
@@ -30,12 +40,13 @@ class Page:
     compression: int
     predictor: int
     tiled: bool
+    format: int
     pixels: np.ndarray  # height x width x samples
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int | None = None) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and (most is None or len(out) < most):
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -66,12 +77,14 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first; 256 clears, 257 ends; widths change one code early."""
     table = [bytes((i,)) for i in range(256)] + [b"", b""]
     out: list[bytes] = []
-    width, last, acc, have = 9, None, 0, 0
+    width, last, acc, have, made = 9, None, 0, 0, 0
     for byte in data:
+        if most is not None and made >= most:
+            break
         acc, have = (acc << 8) | byte, have + 8
         if have < width:
             continue
@@ -93,6 +106,7 @@ def lzw_decode(data: bytes) -> bytes:
             if len(table) + 1 >= 1 << width and width < 12:
                 width += 1
         out.append(item)
+        made += len(item)
         last = item
     return b"".join(out)
 
@@ -136,15 +150,16 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack(data: bytes, compression: int) -> bytes:
+def unpack(data: bytes, compression: int, most: int | None = None) -> bytes:
+    """The decoded bytes; with ``most``, decoding ends once there are as many."""
     if compression == NONE:
         return data
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompress(data) if most is None else zlib.decompressobj().decompress(data, max(most, 1))
     if compression == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, most)
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     raise ValueError(f"compression {compression} is not supported")
 
 
@@ -171,69 +186,142 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
             tag, kind, count = struct.unpack_from(order + "HHI", data, entry)
             if kind not in KINDS:
                 continue
-            form = order + KINDS[kind] * count
-            size = struct.calcsize(form)
+            size = struct.calcsize(order + KINDS[kind]) * count
             place = entry + 8 if size <= 4 else struct.unpack_from(order + "I", data, entry + 8)[0]
-            tags[tag] = struct.unpack_from(form, data, place)
+            # values beyond the file's end leave the tag out before anything is made for them
+            if place + size <= len(data):
+                tags[tag] = struct.unpack_from(order + KINDS[kind] * count, data, place)
         yield order, tags
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
-def read_pages(data: bytes) -> Iterator[Page]:
-    """Each page with its samples; 8 and 16 bits, chunky samples, strips or tiles."""
+def samples(raw: bytes, rows: int, wide: int, n: int, bits: int, kind: np.dtype, predictor: int) -> np.ndarray:
+    """rows x wide x n samples of a decoded strip or tile; samples below 8 bits are unpacked, rows start at a byte."""
+    if bits < 8:
+        line = -(-wide * n * bits // 8)
+        packed = np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line, 1)
+        shifts = np.arange(8 - bits, -1, -bits, dtype=np.uint8)
+        return ((packed >> shifts) & ((1 << bits) - 1)).reshape(rows, -1)[:, : wide * n].reshape(rows, wide, n)
+    size = kind.itemsize
+    if predictor == 3:
+        # bytes are differences at a distance of n; the row's most significant bytes come first
+        planes = np.frombuffer(raw, np.uint8, rows * wide * n * size).reshape(rows, wide * size, n)
+        planes = np.cumsum(planes, axis=1, dtype=np.uint8).reshape(rows, size, wide * n)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, wide, n)
+    block = np.frombuffer(raw, kind, rows * wide * n).reshape(rows, wide, n)
+    return np.cumsum(block, axis=1, dtype=kind.newbyteorder("=")) if predictor == 2 else block
+
+
+def read_page(data: bytes, order: str, tags: dict[int, tuple], most_bytes: int = 1 << 28) -> Page:
+    """One directory's samples: 1, 2, 4, 8, 16, 32 or 64 bits, chunky or in planes, strips or tiles.
+
+    Sizes are held against what the file's strips can hold and against ``most_bytes`` of decoded
+    samples before memory is taken; a page beyond either is an error.
+    """
+
+    def one(tag: int, default: int | None = None) -> int:
+        value = tags.get(tag, (default,))[0]
+        if not isinstance(value, int) or value < 0:
+            raise ValueError(f"tag {tag} is not a number")
+        return value
+
+    width, height, n = one(WIDTH), one(LENGTH), one(SAMPLES, 1)
+    how, predictor, planar, form = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1), one(SAMPLE_FORMAT, 1)
+    bits = one(BITS, 1)
+    kinds = FORMATS.get(form, "?")
+    if any(b != bits for b in tags.get(BITS, (bits,))) or bits not in ((32, 64) if kinds == "f" else (1, 2, 4, 8, 16, 32, 64) if kinds == "u" else (8, 16, 32, 64)):
+        raise ValueError(f"samples of {tags.get(BITS, (1,))[:8]} bits, format {form}: not supported")
+    if how not in RATIO or planar not in (1, 2) or predictor not in (1, 2, 3) or (predictor == 2 and (bits < 8 or kinds == "f")) or (predictor == 3 and kinds != "f"):
+        raise ValueError(f"compression {how}, predictor {predictor}, planar {planar} of {bits} bits: not supported")
+    if not width or not height or not n:
+        raise ValueError("a page without samples")
+    kind = np.dtype(np.uint8) if bits <= 8 and kinds == "u" else np.dtype(f"{order}{kinds}{bits // 8}")
+    tiled = TILE_OFFSETS in tags
+    wide = one(TILE_WIDTH) if tiled else width
+    high = one(TILE_LENGTH) if tiled else min(one(ROWS_PER_STRIP, height), height)
+    if not wide or not high:
+        raise ValueError("strips or tiles without samples")
+    offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
+    across, down, layers = -(-width // wide), -(-height // high), n if planar == 2 else 1
+    deep = n // layers
+    if len(offsets) != len(counts) or len(offsets) < across * down * layers:
+        raise ValueError("too few strips or tiles for the page")
+    stored = sum(min(c, len(data)) for c in counts)
+    if max(width * height * n * kind.itemsize, wide * high * deep * kind.itemsize) > most_bytes:
+        raise ValueError(f"{width} x {height} x {n} samples are more than {most_bytes} bytes")
+    if width * height * n * bits > stored * 8 * RATIO[how]:
+        raise ValueError("the strips are too short for the page's size")
+    pixels = np.zeros((height, width, n), kind.newbyteorder("="))
+    flipped = one(FILL_ORDER, 1) == 2
+    for k in range(across * down * layers):
+        layer, place = divmod(k, across * down)
+        y, x = place // across * high, place % across * wide
+        rows = high if tiled else min(high, height - y)
+        part = bytes(data[offsets[k] : offsets[k] + counts[k]])
+        need = rows * -(-wide * deep * bits // 8)
+        raw = unpack(part.translate(REVERSED) if flipped else part, how, need)
+        block = samples(raw, rows, wide, deep, bits, kind, predictor)[: height - y, : width - x]
+        pixels[y : y + block.shape[0], x : x + block.shape[1], layer * deep : (layer + 1) * deep] = block
+    return Page(width, height, n, bits, how, predictor, tiled, form, pixels)
+
+
+def read_pages(data: bytes, most_bytes: int = 1 << 28) -> Iterator[Page]:
+    """Each page with its samples; one that can't be read is an error."""
     for order, tags in directories(data):
-        one = lambda tag, default: tags.get(tag, (default,))[0]
-        width, height, n = one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1)
-        bits, how, predictor = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-        if bits not in (8, 16) or predictor not in (1, 2) or (n > 1 and one(PLANAR, 1) != 1):
-            raise ValueError(f"{bits} bits, predictor {predictor}, planar {one(PLANAR, 1)}: not supported")
-        kind = np.dtype(np.uint8) if bits == 8 else np.dtype(order + "u2")
-        tiled = TILE_OFFSETS in tags
-        wide = one(TILE_WIDTH, width) if tiled else width
-        high = one(TILE_LENGTH, height) if tiled else min(one(ROWS_PER_STRIP, height), height)
-        offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
-        pixels = np.zeros((height, width, n), kind.newbyteorder("="))
-        across = -(-width // wide) if wide else 1
-        for k, (start, count) in enumerate(zip(offsets, counts, strict=True)):
-            y, x = k // across * high, k % across * wide
-            rows = high if tiled else min(high, height - y)
-            block = np.frombuffer(unpack(bytes(data[start : start + count]), how), kind, rows * wide * n)
-            block = block.reshape(rows, wide, n)
-            if predictor == 2:
-                block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
-            part = block[: height - y, : width - x]
-            pixels[y : y + part.shape[0], x : x + part.shape[1]] = part
-        yield Page(width, height, n, bits, how, predictor, tiled, pixels)
+        yield read_page(data, order, tags, most_bytes)
+
+
+def differences(part: np.ndarray, predictor: int, order: str) -> bytes:
+    """A strip's or tile's bytes after the predictor."""
+    if predictor == 2:
+        part = np.diff(part, axis=1, prepend=np.zeros_like(part[:, :1]))
+    if predictor != 3:
+        return part.astype(part.dtype.newbyteorder(order)).tobytes()
+    rows, wide, n = part.shape
+    raw = np.ascontiguousarray(part.astype(part.dtype.newbyteorder(">"))).view(np.uint8).reshape(rows, wide * n, -1)
+    planes = np.ascontiguousarray(raw.transpose(0, 2, 1)).reshape(rows, -1, n)
+    return np.diff(planes, axis=1, prepend=np.zeros_like(planes[:, :1])).tobytes()
 
 
 def write_pages(
     pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, strip_rows: int = 256,
-    tile: tuple[int, int] | None = None, order: str = "<",
+    tile: tuple[int, int] | None = None, order: str = "<", planar: int = 1, depth: int | None = None,
 ) -> bytes:
-    """A TIFF of the given height x width (x samples) arrays of 8 or 16 bits; ``tile`` is (rows, columns)."""
+    """A TIFF of the given height x width (x samples) arrays; ``tile`` is (rows, columns).
+
+    ``planar`` 2 stores each sample's plane by itself; ``depth`` 1, 2 or 4 packs 8-bit arrays of such values.
+    """
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
     for page in pages:
         page = page if page.ndim == 3 else page[:, :, None]
         height, width, n = page.shape
-        bits = page.dtype.itemsize * 8
+        bits = depth or page.dtype.itemsize * 8
+        form = {"u": 1, "i": 2, "f": 3}[page.dtype.kind]
         high, wide = tile or (strip_rows, width)
         blocks = []
-        for y in range(0, height, high):
-            for x in range(0, width, wide):
-                part = page[y : y + high, x : x + wide]
-                if tile:
-                    part = np.pad(part, ((0, high - part.shape[0]), (0, wide - part.shape[1]), (0, 0)))
-                if predictor == 2:
-                    part = np.diff(part, axis=1, prepend=np.zeros_like(part[:, :1]))
-                data = pack(part.astype(part.dtype.newbyteorder(order)).tobytes(), compression)
-                blocks.append((len(out), len(data)))
-                out += data
+        for layer in [page] if planar == 1 else [page[:, :, k : k + 1] for k in range(n)]:
+            for y in range(0, height, high):
+                for x in range(0, width, wide):
+                    part = layer[y : y + high, x : x + wide]
+                    if tile:
+                        part = np.pad(part, ((0, high - part.shape[0]), (0, wide - part.shape[1]), (0, 0)))
+                    if depth:
+                        flat = part.reshape(part.shape[0], -1)
+                        digits = (flat[:, :, None] >> np.arange(depth - 1, -1, -1, dtype=np.uint8)) & 1
+                        data = np.packbits(digits.reshape(part.shape[0], -1), axis=1).tobytes()
+                    else:
+                        data = differences(part, predictor, order)
+                    data = pack(data, compression)
+                    blocks.append((len(out), len(data)))
+                    out += data
         offsets, counts = [b[0] for b in blocks], [b[1] for b in blocks]
         tags = {
             WIDTH: ("I", [width]), LENGTH: ("I", [height]), BITS: ("H", [bits] * n), COMPRESSION: ("H", [compression]),
-            PHOTOMETRIC: ("H", [1]), SAMPLES: ("H", [n]), PLANAR: ("H", [1]), PREDICTOR: ("H", [predictor]),
+            PHOTOMETRIC: ("H", [1]), SAMPLES: ("H", [n]), PLANAR: ("H", [planar]), PREDICTOR: ("H", [predictor]),
         }
+        if form != 1:
+            tags[SAMPLE_FORMAT] = ("H", [form] * n)
         if tile:
             tags |= {TILE_WIDTH: ("I", [wide]), TILE_LENGTH: ("I", [high]), TILE_OFFSETS: ("I", offsets), TILE_COUNTS: ("I", counts)}
         else:
@@ -256,31 +344,41 @@ def write_pages(
 
 PAGE_COLUMNS = (
     "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean,"
-    " pixels binary, error string"
+    " format int, pixels binary, error string"
 )
 
 
-def tiff_pages(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """One row per page: the key, PAGE_COLUMNS; samples in rows from the top, 16-bit ones little-endian.
+def tiff_pages(df: DataFrame, key: str = "doc_id", media: str = "media", most_bytes: int = 1 << 28) -> DataFrame:
+    """One row per page: the key, PAGE_COLUMNS; samples in rows from the top, little-endian, those below 8 bits a byte each.
 
-    A null media value gives no row; one that can't be read (empty, cut, another format) gives one
-    row with page -1 and the reason in ``error``, after the pages before the fault. Repeated rows
-    give repeated pages.
+    A page that can't be read (damaged, of another kind, of more than ``most_bytes`` decoded bytes)
+    gives a row with its number and the reason in ``error``, and the walk goes on with the next
+    directory. A file that isn't a TIFF or whose chain of directories breaks gives a row with page -1
+    and the reason, after the pages before the fault. A null media value gives no row, an empty table
+    none; repeated rows give repeated pages. The key may have any name but those of PAGE_COLUMNS.
     """
+    scratch.not_among(key, [c.split()[0] for c in PAGE_COLUMNS.split(", ")])
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
+        def row(k, page, *values, error=None):
+            return pa.RecordBatch.from_pylist([dict(zip(names, (k, page, *(values or [None] * (len(names) - 3)), error), strict=True))], schema)
+
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if not data.is_valid:
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not value.is_valid:
                     continue
-                page = -1
+                data = value.as_buffer().to_pybytes()
                 try:
-                    for page, p in enumerate(read_pages(data.as_buffer().to_pybytes())):
-                        raw = p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes()
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, (k, page, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, raw, None), strict=True))], schema)
-                except (ValueError, KeyError, struct.error, zlib.error, IndexError) as e:
-                    yield pa.RecordBatch.from_pylist([dict.fromkeys(names) | {key: k, "page": -1, "error": str(e)}], schema)
+                    for page, (order, tags) in enumerate(directories(data)):
+                        try:
+                            p = read_page(data, order, tags, most_bytes)
+                            raw = p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes()
+                            yield row(k, page, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.format, raw)
+                        except DAMAGE as e:
+                            yield row(k, page, error=str(e) or type(e).__name__)
+                except DAMAGE as e:
+                    yield row(k, -1, error=str(e) or type(e).__name__)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -311,7 +409,8 @@ def stored_texts(
     """Each text as a TIFF of 64 columns, read back by :func:`read_pages`: digests and features of what was read.
 
     The text's UTF-8 bytes, with bytes 0 up to a positive multiple of 64, are the samples; a long
-    text takes several pages of ``page_rows``. A null text counts as empty. Columns: key, n_bytes,
+    text takes several pages of ``page_rows``. A null text counts as empty; repeated rows get a result
+    each, an empty table none; equal texts have equal values. Columns: key, n_bytes,
     payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_pages.
     """
     kind = df.schema[key].dataType.simpleString()

@@ -52,6 +52,54 @@ def test_page_rows_and_faults(spark):
     assert {(r.doc_id, r.page) for r in got if r.error} == {(2, -1), (4, -1)}
 
 
+@pytest.mark.parametrize("how", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+@pytest.mark.parametrize("tile", [None, (16, 32)])
+@pytest.mark.parametrize("planar", [1, 2])
+def test_other_depths_and_planes_round_trip(how, tile, planar):
+    r = np.random.default_rng(2)
+    floats = [r.standard_normal((19, 23, 3)).astype(np.float32), r.standard_normal((5, 40))]
+    for order in "<>":
+        for predictor in (1, 3):
+            for p, want in zip(tiff.read_pages(tiff.write_pages(floats, how, predictor, 7, tile, order, planar)), floats, strict=True):
+                assert np.array_equal(p.pixels.reshape(want.shape), want) and p.format == 3
+        whole = [r.integers(0, 1 << 31, (9, 21, 2), dtype=np.uint32), r.integers(-9, 9, (9, 21), dtype=np.int16)]
+        for p, want in zip(tiff.read_pages(tiff.write_pages(whole, how, 2, 7, tile, order, planar)), whole, strict=True):
+            assert np.array_equal(p.pixels.reshape(want.shape), want)
+    for depth in (1, 2, 4):
+        want = r.integers(0, 1 << depth, (13, 29, 3), dtype=np.uint8)
+        (p,) = tiff.read_pages(tiff.write_pages([want], how, 1, 7, tile, "<", planar, depth))
+        assert np.array_equal(p.pixels, want) and p.bits == depth
+
+
+def changed_tag(data: bytes, tag: int, kind: int, count: int, value: int) -> bytes:
+    """The little-endian file with the first directory's entry for a tag rewritten."""
+    out = bytearray(data)
+    at = struct.unpack_from("<I", out, 4)[0]
+    for k in range(struct.unpack_from("<H", out, at)[0]):
+        if struct.unpack_from("<H", out, at + 2 + 12 * k)[0] == tag:
+            struct.pack_into("<HHII", out, at + 2 + 12 * k, tag, kind, count, value)
+    return bytes(out)
+
+
+def test_a_damaged_page_neither_kills_the_job_nor_hides_the_next(spark):
+    good = tiff.write_pages([np.zeros((3, 4), np.uint8), np.ones((2, 2), np.uint8)])
+    huge = changed_tag(changed_tag(good, tiff.WIDTH, 4, 1, 0x7FFFFFFF), tiff.LENGTH, 4, 1, 0x7FFFFFFF)
+    files = {
+        1: huge, 2: changed_tag(good, tiff.WIDTH, 2, 1, 65), 3: changed_tag(good, tiff.WIDTH, 4, 0xFFFFFFFF, 8), 4: changed_tag(good, tiff.COMPRESSION, 3, 1, 7),
+        5: changed_tag(good, tiff.ROWS_PER_STRIP, 4, 1, 0), 6: changed_tag(good, tiff.STRIP_OFFSETS, 4, 1, 0xFFFFFFF0), 7: changed_tag(good, tiff.SAMPLES, 3, 1, 0),
+    }
+    rows = spark.createDataFrame(list(files.items()), "doc_id int, media binary")
+    got = tiff.tiff_pages(rows).collect()
+    assert {(r.doc_id, r.page) for r in got if r.error} == {(k, 0) for k in files}
+    assert {(r.doc_id, r.page, r.width) for r in got if not r.error} == {(k, 1, 2) for k in files}
+    for cut in range(len(good)):
+        for page in (good[:cut], good[:cut] + b"\xff" * (len(good) - cut)):
+            try:
+                list(tiff.read_pages(page))
+            except tiff.DAMAGE:
+                pass
+
+
 def test_windows_hold_and_stay_bounded():
     r = random.Random(3)
     bins, out = packing.OpenWindows(100, 5), []
@@ -165,6 +213,36 @@ def test_spans_of_credentials_without_digits_or_beside_others():
     assert find(b"the_long_function_name_of_words and internationalization") == []
 
 
+def test_secret_spans_take_linear_time():
+    import time
+
+    times = []
+    for n in (4_000, 40_000):
+        raw = ("é password=abcdef12345 0123456789abcdef01234567 x " * n).encode()
+        began = time.process_time()
+        spans = secrets.find_spans(raw, automata.default_automata(), 12.0)
+        times.append(time.process_time() - began)
+        assert len(spans) == 2 * n and raw.decode()[spans[-1][0] : spans[-1][2]] == "0123456789abcdef01234567"
+    assert times[1] < 40 * times[0]
+
+
+def test_base_spans_against_a_plain_version(spark, documents):
+    import hashlib
+    import re
+
+    patterns = {
+        "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("(password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))"), re.ASCII), lambda m: len(m[2]) >= 6),
+        "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), "hex": (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    }
+    got = {r.doc_id: r for r in secrets.secret_spans(documents).collect()}
+    for r in documents.collect():
+        spans = [(m.start(), k, m.end(), name) for k, (name, (p, ok)) in enumerate(patterns.items()) for m in p.finditer(r.text or "") if ok(m)]
+        listed = [f"{name}:{a}:{z}" for a, _, z, name in sorted(spans)]
+        own = got[r.doc_id]
+        assert [own.n_assign, own.n_access, own.n_hex] == [sum(s[1] == k for s in spans) for k in range(3)]
+        assert own.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest() and set(listed) <= set(own.spans.split(","))  | {""}
+
+
 def test_automata_tell_formats_apart():
     learned = automata.default_automata()
     found = [(label.startswith("plain"), automata.best_format(w, learned)[1] >= 12) for label, w in automata.labelled_credentials(40, 99)]
