@@ -3,71 +3,88 @@
 from __future__ import annotations
 
 import re
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .words import STEP, alnum_words, mix
+from .words import alnum_words, hashes
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+#: Odd multiplier of the rolling hash of windows.
+ROLL = 0x9E3779B97F4A7C15
+#: A window set has at most this many bytes for each byte of item text: a text of one-character words has
+#: half a window a byte, of 8 bytes for the hash, 8 for the place, 4 for the length, and 12 for the item.
+BYTES_A_BYTE = 18
+
+
 class Grams:
-    """Windows of benchmark items, by length: sorted hashes, the word numbers behind each and its items."""
+    """Windows of benchmark items as arrays: by length, sorted hashes, where the window's words stand, and its items.
+
+    Words are kept once, as the items' normalised text, so a hit is verified on the words themselves.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], width: int):
-        self.words: dict[bytes, int] = {}
         self.items = [i for i, _ in items]
-        found: dict[int, dict[tuple[int, ...], set[int]]] = {}
+        texts, at = [], 0
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for k, (_, text) in enumerate(items):
-            ids = [self.words.setdefault(w, len(self.words)) for w in alnum_words(text)]
-            n = min(width, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                found.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set()).add(k)
-        self.by_hash: dict[int, dict[int, list[tuple[np.ndarray, set[int]]]]] = {}
-        self.sorted: dict[int, np.ndarray] = {}
-        for n, windows in found.items():
-            table: dict[int, list] = {}
-            for ids, where in windows.items():
-                numbers = np.array(ids, np.int64)
-                table.setdefault(int(window_hashes(numbers, n)[0]), []).append((numbers, where))
-            self.by_hash[n], self.sorted[n] = table, np.sort(np.fromiter(table, np.uint64, len(table)))
+            words = alnum_words(text)
+            if not words:
+                continue
+            n, ends = min(width, len(words)), np.cumsum([len(w) + 1 for w in words])
+            starts = np.concatenate(([0], ends[:-1]))
+            last = len(words) - n + 1
+            found.setdefault(n, []).append((window_hashes(hashes(words), n), at + starts[:last], ends[n - 1 :] - 1 - starts[:last], np.full(last, k)))
+            texts.append(b" ".join(words) + b" ")
+            at += len(texts[-1])
+        self.text = b"".join(texts)
+        self.tables: dict[int, tuple[np.ndarray, ...]] = {}
+        for n, parts in found.items():
+            h, where, size, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((item, h))
+            self.tables[n] = h[order], where[order].astype(np.int64), size[order].astype(np.int32), item[order].astype(np.int32)
+
+    def size(self) -> int:
+        return len(self.text) + sum(x.nbytes for t in self.tables.values() for x in t)
 
     def scan(self, text: bytes | None) -> tuple[int, np.ndarray, set[int]]:
         """Number of words, which of them lie in an occurring window, and the items met."""
         words = alnum_words(text)
-        ids = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
-        hit, met = np.zeros(len(ids), bool), set()
-        for n, known in self.sorted.items():
-            if len(ids) < n:
-                continue
-            # places where n words in a row are benchmark words
-            unknown = np.concatenate(([0], np.cumsum(ids < 0)))
-            at = np.flatnonzero(unknown[n:] == unknown[:-n])
-            if not len(at):
+        hit, met = np.zeros(len(words), bool), set()
+        if not words or not self.tables:
+            return len(words), hit, met
+        each = hashes(words)
+        for n, (known, where, size, item) in self.tables.items():
+            if len(words) < n:
                 continue
-            h = window_hashes(ids, n, at)
+            h = window_hashes(each, n)
             near = np.searchsorted(known, h)
             near[near == len(known)] = 0
-            for i, value in zip(at[ok := known[near] == h].tolist(), h[ok].tolist(), strict=True):
-                for numbers, where in self.by_hash[n][value]:
-                    if np.array_equal(ids[i : i + n], numbers):
+            for i in np.flatnonzero(known[near] == h).tolist():
+                window, at = None, int(near[i])
+                while at < len(known) and known[at] == h[i]:
+                    window = window or b" ".join(words[i : i + n])
+                    if self.text[where[at] : where[at] + size[at]] == window:
                         hit[i : i + n] = True
-                        met |= where
-        return len(ids), hit, met
+                        met.add(int(item[at]))
+                    at += 1
+        return len(words), hit, met
 
 
-def window_hashes(ids: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
-    at = np.arange(len(ids) - n + 1) if at is None else at
-    x = ids.astype(np.uint64)
-    h = np.full(len(at), n, np.uint64)
+def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of ``n`` word hashes."""
+    last = len(words) - n + 1
+    h = np.zeros(last, np.uint64)
     for j in range(n):
-        h = mix(h * STEP + x[at + j])
+        h *= np.uint64(ROLL)
+        h += words[j : j + last]
     return h
 
 
@@ -78,49 +95,61 @@ def runs(hit: np.ndarray) -> list[tuple[int, int]]:
 
 def contamination(
     df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-    item_text: str = "text", width: int = 10, block_bytes: int = 32 << 20,
+    item_text: str = "text", width: int = 10, most_bytes: int = 128 << 20,
 ) -> DataFrame:
     """One row per document: key, n_words, n_hit, n_items, items_sha256, contaminated, hit_runs.
 
     Words and windows as in the package's contract: runs of ``width`` item words; a shorter item is
-    one window; null texts have no words; an item without words never occurs; repeated rows and
-    items count once for their id. ``hit_runs`` lists the hit words as (start, end) in words.
-    The window set is broadcast in blocks of at most ``block_bytes`` of item text, a size that is
-    measured first; a larger benchmark takes one pass over the documents for each block, and the
-    passes are joined by row.
+    one window; null texts have no words; an item without words never occurs; repeated rows get a
+    result each, repeated items count once for their id; empty tables give no rows or no hits.
+    ``hit_runs`` lists the hit words as (start, end) in words.
+    A broadcast window set has at most ``most_bytes``, bounded from the items' measured text. A
+    larger benchmark takes one pass over the documents for each set, one after another; each pass
+    is a written table, and documents are told apart by key and digest of the text.
     """
+    scratch.not_among(key, ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_runs"])
     kind = df.schema[key].dataType.simpleString()
-    blocks = benchmark_blocks(benchmark, item, item_text, width, block_bytes)
-    ddl = f"`{key}` {kind}, row long, n_words long, hit_runs array<struct<start:long,end:long>>, items array<string>"
-    source = df.select(F.col(key), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").cast("binary"))
+    source = df.select(F.col(key), F.col(text).cast("string").cast("binary"))
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    passes = []
-    for shared in blocks:
+    ddl = f"`{key}` {kind}, _digest binary, n_words long, hit_runs array<struct<start:long,end:long>>, items array<string>"
 
-        def run(batches, shared=shared):
+    def scanned(shared, digest: bool) -> DataFrame:
+        def run(batches):
             grams = shared.value
             for batch in batches:
-                n_words, spans, met = [], [], []
-                for value in batch.column(2).to_pylist():
-                    n, hit, items_met = grams.scan(value)
+                n_words, spans, met, digests = [], [], [], []
+                for value in batch.column(1):
+                    raw = value.as_buffer().to_pybytes() if value.is_valid else None
+                    n, hit, items_met = grams.scan(raw)
                     n_words.append(n)
                     spans.append([{"start": a, "end": z} for a, z in runs(hit)] if items_met else [])
                     met.append(sorted({grams.items[i] for i in items_met if grams.items[i] is not None}))
+                    digests.append(xxhash.xxh3_128_digest(raw or b"") if digest else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, span_type), pa.array(met, pa.list_(pa.string()))],
-                    [key, "row", "n_words", "hit_runs", "items"],
+                    [batch.column(0), pa.array(digests, pa.binary()), pa.array(n_words, pa.int64()), pa.array(spans, span_type), pa.array(met, pa.list_(pa.string()))],
+                    [key, "_digest", "n_words", "hit_runs", "items"],
                 )
 
-        passes.append(source.mapInArrow(run, ddl))
-    found = passes[0]
-    if len(blocks) > 1:
-        for more in passes[1:]:
-            found = found.unionByName(more)
-        found = found.groupBy("row").agg(
-            F.first(key).alias(key), F.max("n_words").alias("n_words"),
-            F.flatten(F.collect_list("hit_runs")).alias("hit_runs"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        ).withColumn("hit_runs", joined_runs(F.col("hit_runs")))
+        return source.mapInArrow(run, ddl)
+
+    parts = benchmark_parts(benchmark, item, item_text, most_bytes)
+    if len(parts) == 1:
+        found = scanned(broadcast_grams(parts[0], width), False)
+    else:
+        every, more = None, None
+        for part in parts:
+            shared = broadcast_grams(part, width)
+            now = scratch.table(scanned(shared, True), "contamination")
+            shared.unpersist(blocking=True)
+            every = now if every is None else every
+            hits = now.filter(F.size("items") > 0)
+            more = hits if more is None else more.unionByName(hits)
+        more = more.groupBy(F.col(key).alias("_k"), F.col("_digest").alias("_d")).agg(
+            joined_runs(F.flatten(F.collect_set("hit_runs"))).alias("more_runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("more_items"),
+        )
+        found = every.join(more, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_d")), "left").select(
+            F.col(key), "n_words", F.coalesce("more_runs", "hit_runs").alias("hit_runs"), F.coalesce("more_items", "items").alias("items")
+        )
     n_hit = F.aggregate("hit_runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
     return found.select(
         F.col(key), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -144,28 +173,30 @@ def joined_runs(spans):
     return F.aggregate(F.array_sort(spans), empty, add)
 
 
-def benchmark_blocks(benchmark: DataFrame, item: str, item_text: str, width: int, block_bytes: int) -> list:
-    """Broadcast window sets, each of at most about ``block_bytes`` of item text by hash of the item."""
-    spark = benchmark.sparkSession
+def benchmark_parts(benchmark: DataFrame, item: str, item_text: str, most_bytes: int) -> list[DataFrame]:
+    """The items (i, t) in as many parts, by hash, as keep a part's window set within about ``most_bytes``."""
     items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).cast("string").cast("binary").alias("t"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    out = []
-    for b in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        out.append(spark.sparkContext.broadcast(Grams([(r[0], bytes(r[1]) if r[1] is not None else None) for r in part.toLocalIterator()], width)))
-    return out
+    n = max(1, -(-size * BYTES_A_BYTE // most_bytes))
+    return [items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) for b in range(n)]
+
+
+def broadcast_grams(part: DataFrame, width: int):
+    rows = [(r[0], bytes(r[1]) if r[1] is not None else None) for r in part.toLocalIterator()]
+    return part.sparkSession.sparkContext.broadcast(Grams(rows, width))
 
 
 def decontaminate(
     df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-    mode: str = "documents", width: int = 10, block_bytes: int = 32 << 20,
+    mode: str = "documents", width: int = 10, most_bytes: int = 128 << 20,
 ) -> DataFrame:
     """The documents without benchmark passages: hit ``documents`` go, or hit ``spans`` are cut from the texts.
 
     ``documents`` drops every row with a hit word; ``spans`` replaces each run of hit words, with what
     stands between them, by one space. Each row is judged by its own text, so keys don't matter and
-    nothing is shuffled; other columns stay. Null texts are kept.
+    nothing is shuffled; other columns stay. Null and empty texts are kept, an empty benchmark keeps
+    all, an empty table gives none. A benchmark beyond ``most_bytes`` goes set by set: of documents,
+    each set thins a written table of what the last one left; of spans, each adds its hits to it.
     """
     if mode not in ("documents", "spans"):
         raise ValueError("mode is documents or spans")
@@ -179,15 +210,24 @@ def decontaminate(
 
         return of(F.col(text).cast("string").cast("binary"))
 
-    found = [hits(s) for s in benchmark_blocks(benchmark, item, item_text, width, block_bytes)]
-    every = F.flatten(F.array(*found)) if len(found) > 1 else found[0]
-    hit = scratch.fresh(df, "_hit")
-    marked = df.withColumn(hit, every)
+    hit, more = scratch.fresh(df, "_hit"), scratch.fresh(df, "_more")
+    parts = benchmark_parts(benchmark, item, item_text, most_bytes)
+    now = df
+    for i, part in enumerate(parts):
+        shared = broadcast_grams(part, width)
+        if mode == "documents":
+            now = now.withColumn(hit, hits(shared)).filter(F.size(hit) == 0).drop(hit)
+        elif i == 0:
+            now = now.withColumn(hit, hits(shared))
+        else:
+            now = now.withColumn(more, hits(shared)).withColumn(hit, joined_runs(F.concat(hit, more))).drop(more)
+        if i + 1 < len(parts):
+            now = scratch.table(now, "decontaminated")
+            shared.unpersist(blocking=True)
     if mode == "documents":
-        return marked.filter(F.size(hit) == 0).drop(hit)
+        return now
     cut = F.pandas_udf(cut_runs, "string")
-    clean = F.when(F.size(hit) == 0, F.col(text)).otherwise(cut(F.col(text), joined_runs(F.col(hit))))
-    return marked.withColumn(text, clean).drop(hit)
+    return now.withColumn(text, F.when(F.size(hit) == 0, F.col(text)).otherwise(cut(F.col(text), F.col(hit)))).drop(hit)
 
 
 def cut_runs(texts: pd.Series, spans: pd.Series) -> pd.Series:

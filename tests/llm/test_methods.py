@@ -146,14 +146,53 @@ def test_rendezvous_moves_only_to_the_new_shard(spark):
 def test_contamination_blocks_and_spans(spark):
     docs = spark.createDataFrame([(1, "x one two three four five six seven eight nine ten eleven y"), (2, "Aa, bb! cc"), (3, "aa bb"), (4, "one two three")], "doc_id int, text string")
     bench = spark.createDataFrame([(7, "One two three, four five six seven eight nine ten eleven"), (8, "aa bb cc"), (9, "zz zz")], "item_id int, text string")
-    one, many = (contamination.contamination(docs, bench, block_bytes=b).orderBy("doc_id").collect() for b in (1 << 20, 8))
+    one, many = (contamination.contamination(docs, bench, most_bytes=b).orderBy("doc_id").collect() for b in (1 << 20, 300))
     assert one == many
     assert [(r.n_words, r.n_hit, r.n_items) for r in one] == [(13, 11, 1), (3, 3, 1), (2, 0, 0), (3, 0, 0)]
-    cut = {r.doc_id: r.text for r in contamination.decontaminate(docs, bench, mode="spans", block_bytes=8).collect()}
+    cut = {r.doc_id: r.text for r in contamination.decontaminate(docs, bench, mode="spans", most_bytes=300).collect()}
     assert cut == {1: "x   y", 2: " ", 3: "aa bb", 4: "one two three"}
     assert [r.doc_id for r in contamination.decontaminate(docs, bench).orderBy("doc_id").collect()] == [3, 4]
 
 
+def test_window_sets_keep_within_their_bound():
+    r = random.Random(8)
+    for words in (["a", "b", "c"], [f"word{i}" for i in range(500)], ["é" * 9]):
+        items = [(str(i), " ".join(r.choice(words) for _ in range(r.choice([3, 10, 400]))).encode()) for i in range(60)]
+        grams = contamination.Grams(items, 10)
+        assert 0 < grams.size() <= contamination.BYTES_A_BYTE * sum(len(t) for _, t in items)
+
+
+def test_contamination_against_plain_windows(spark, documents, sf_dir):
+    import hashlib
+    import re
+
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    docs = documents.limit(150).unionByName(documents.limit(1).withColumn("doc_id", F.lit(10**6)).withColumn("text", F.concat(F.lit("so "), F.lit(benchmark.first().text), F.lit(" it is"))))
+    docs = docs.cache()
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: word.findall((t or "").translate(fold))
+    windows = {}
+    for r in benchmark.collect():
+        w = words(r.text)
+        for i in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[i : i + 10]), set()).add(str(r.item_id))
+    lengths = {len(x) for x in windows}
+    for most in (128 << 20, 100_000):
+        got = {r.doc_id: r for r in contamination.contamination(docs, benchmark, most_bytes=most).collect()}
+        for r in docs.collect():
+            w, hit, met = words(r.text), set(), set()
+            for n in lengths:
+                for i in range(len(w) - n + 1):
+                    if items := windows.get(tuple(w[i : i + n])):
+                        hit |= set(range(i, i + n))
+                        met |= items
+            own = got[r.doc_id]
+            assert (own.n_words, own.n_hit, own.n_items) == (len(w), len(hit), len(met))
+            assert own.items_sha256 == hashlib.sha256(",".join(sorted(met)).encode()).hexdigest()
+        assert got[10**6].contaminated
+
+
 def test_components_against_union_find(spark):
     r = random.Random(4)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 560)]
