@@ -6,9 +6,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from .lmscore import remainder
 from .words import STEP, hashes, mix
 
@@ -112,15 +114,23 @@ class Attention:
         }
 
 
+def moments(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each feature over all passages, bag by bag."""
+    n, total, squares = 0, np.zeros(WIDTH), np.zeros(WIDTH)
+    for b in bags:
+        x = b.astype(np.float64)
+        n, total, squares = n + len(x), total + x.sum(0), squares + (x * x).sum(0)
+    mean = total / n
+    return mean.astype(np.float32), np.maximum(np.sqrt(np.maximum(squares / n - mean * mean, 0)), 0.01).astype(np.float32)
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 12, batch: int = 64, rate: float = 2e-3, decay: float = 2e-4, seed: int = 5) -> Attention:
     """Adam on the log loss of whole documents. With no rows, or of one label only, the prior is all it knows."""
     if not bags:
         m = Attention(np.zeros(WIDTH, np.float32), np.ones(WIDTH, np.float32))
         m.start(hidden, gate, 0.5, seed)
         return m
-    every = np.concatenate(bags)
-    m = Attention(every.mean(0), np.maximum(every.std(0), 0.01))
-    del every
+    m = Attention(*moments(bags))
     m.start(hidden, gate, float(np.clip(labels.mean(), 0.01, 0.99)), seed)
     r = np.random.default_rng(seed)
     first, second, step = {k: np.zeros_like(v) for k, v in m.p.items()}, {k: np.zeros_like(v) for k, v in m.p.items()}, 0
@@ -131,7 +141,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int
             sizes = np.array([len(bags[i]) for i in now])
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             step += 1
-            for k, g in m.gradients(np.concatenate([bags[i] for i in now]), starts, labels[now], decay).items():
+            for k, g in m.gradients(np.concatenate([bags[i] for i in now]).astype(np.float32), starts, labels[now], decay).items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 m.p[k] = (m.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
@@ -139,7 +149,12 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int
 
 
 def train_quality(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, modulus: int, held_out: int, sample_rows: int, sample_passages: int) -> Attention:
-    """Fit on the first ``sample_rows`` labelled rows by their key's hash; of a long one, as many passages, evenly spaced."""
+    """Fit on labelled rows in the order of their key's hash, every passage of each.
+
+    At most ``sample_rows`` keys and rows are taken, and only as many of these, in that order, as have
+    ``sample_passages`` passages together; a row that has more by itself can't be among them. Both
+    bounds are on what reaches the driver: passages are a kilobyte each.
+    """
     usable = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & (remainder(key, modulus) != held_out))
     chosen = (
         usable.groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("double").alias("_label"))
@@ -149,32 +164,40 @@ def train_quality(df: DataFrame, labels: DataFrame, key: str, text: str, label:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for value in batch.column(2):
+            for o, y, value in zip(*batch.columns, strict=True):
                 x = passages(value.as_buffer().to_pybytes() if value.is_valid else None)
-                if len(x) > sample_passages:
-                    x = x[np.linspace(0, len(x) - 1, sample_passages).round().astype(int)]
-                out.append(x.astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["o", "y", "x"])
-
-    got = rows.select(F.xxhash64("_key"), "_label", "_text").mapInArrow(run, "o long, y double, x binary").toArrow()
-    got = got.sort_by([("o", "ascending"), ("x", "ascending")])
-    bags = [np.frombuffer(x, np.float16).astype(np.float32).reshape(-1, WIDTH) for x in got["x"].to_pylist()]
+                if len(x) <= sample_passages:
+                    raw = x.astype(np.float16).tobytes()
+                    yield pa.RecordBatch.from_pylist([{"o": o.as_py(), "tie": xxhash.xxh3_64_intdigest(raw) >> 1, "y": y.as_py(), "n": len(x), "x": raw}], schema)
+
+    schema = pa.schema([("o", pa.int64()), ("tie", pa.int64()), ("y", pa.float64()), ("n", pa.int64()), ("x", pa.binary())])
+    encoded = scratch.table(rows.select(F.xxhash64("_key"), "_label", "_text").mapInArrow(run, "o long, tie long, y double, n long, x binary"), "passages")
+    sizes = encoded.select("o", "tie", "n").orderBy("o", "tie").limit(sample_rows).toArrow()
+    taken = int(np.searchsorted(np.cumsum(sizes["n"].to_numpy()), sample_passages, side="right"))
+    if not taken:
+        return fit([], np.zeros(0))
+    o, tie = sizes["o"][taken - 1].as_py(), sizes["tie"][taken - 1].as_py()
+    last = (F.col("o") < o) | ((F.col("o") == o) & (F.col("tie") <= tie))
+    # equal rows beyond the last one taken are cut off by number
+    got = encoded.filter(last).orderBy("o", "tie").limit(taken).toArrow()
+    bags = [np.frombuffer(x, np.float16).reshape(-1, WIDTH) for x in got["x"].to_pylist()]
     return fit(bags, got["y"].to_numpy())
 
 
 def quality_scores(
     df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3,
-    modulus: int = 5, held_out: int = 0, sample_rows: int = 4000, sample_passages: int = 32, model: Attention | None = None,
+    modulus: int = 5, held_out: int = 0, sample_rows: int = 4000, sample_passages: int = 40_000, model: Attention | None = None,
 ) -> DataFrame:
     """One row per document: key, held_out, score, predicted, n_passages, top_passage, top_weight.
 
     Every passage of the whole text is encoded and weighed; ``top_passage`` is the one with most
     weight. Labels are read only where the key's crc32 leaves another remainder than ``held_out``;
     of several labels for a key the greatest holds. Null and empty texts are one empty passage;
-    repeated rows get a result each. The fit uses at most ``sample_rows`` documents and of each at
-    most ``sample_passages`` passages; scoring has no limits.
+    repeated rows get a result each, an empty table none; without labels every score is near a half.
+    The fit uses whole documents, at most ``sample_rows`` with at most ``sample_passages`` passages
+    together (:func:`train_quality`); scoring has no limits.
     """
+    scratch.not_among(key, ["held_out", "score", "predicted", "n_passages", "top_passage", "top_weight"])
     kind = df.schema[key].dataType.simpleString()
     model = model or train_quality(df, labels, key, text, label, modulus, held_out, sample_rows, sample_passages)
 
@@ -224,7 +247,10 @@ def score_column(model: Attention, text: str = "text"):
     return of(F.col(text).cast("string").cast("binary"))
 
 
-def keep_good(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3, modulus: int = 5, held_out: int = 0, sample_rows: int = 4000, sample_passages: int = 32) -> DataFrame:
-    """The rows of ``df`` whose score reaches the threshold, with all columns; nothing is shuffled."""
+def keep_good(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3, modulus: int = 5, held_out: int = 0, sample_rows: int = 4000, sample_passages: int = 40_000) -> DataFrame:
+    """The rows of ``df`` whose score reaches the threshold, with all columns; nothing is shuffled.
+
+    Null and empty texts are judged as one empty passage, repeated rows alike; an empty table gives none.
+    """
     model = train_quality(df, labels, key, text, label, modulus, held_out, sample_rows, sample_passages)
     return df.filter(score_column(model, text) >= threshold)
