@@ -312,10 +312,59 @@ def test_languages_held_out(spark, documents):
 
 def test_backoff_shortens():
     tables = {0: {"word": np.array([0.0, -9.0])}, 5: {}, 4: {"|abc": np.array([-1.0, -3.0])}, 3: {}, 2: {}, 1: {"z": np.array([-5.0, -4.0])}}
-    m = langid.Backoff(["a", "b"], tables)
+    m = langid.Backoff.of(["a", "b"], tables)
     assert m.predict("Word")[0] == "a" and m.predict("abcx")[0] == "a" and m.predict("zz")[0] == "b" and m.predict("12 !") == ("und", 0.0)
 
 
+def test_languages_against_a_plain_version(spark, documents):
+    import math
+    from collections import Counter
+
+    rows = documents.collect()
+    train = [r for r in rows if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
+    names = sorted({r.lang for r in train})
+    words = lambda t: [w.decode("utf-8", "replace") for w in langid.letter_words(t)]
+    pieces = lambda w, n: [w] if n == 0 else langid.grams(w.encode(), n)
+    count = {(name, n): Counter() for name in names for n in range(6)}
+    for r in train:
+        for w in words(r.text):
+            for n in range(6):
+                count[r.lang, n].update(pieces(w, n))
+    kinds = {n: len(set().union(*(count[name, n] for name in names))) for n in range(6)}
+    totals = {k: c.total() for k, c in count.items()}
+    value = lambda item, n: [math.log((count[name, n][item] + 0.5) / (totals[name, n] + 0.5 * kinds[n])) for name in names]
+
+    def vector(w):
+        for n in (0, 5, 4, 3, 2, 1):
+            known = [value(g, n) for g in pieces(w, n) if any(count[name, n][g] for name in names)]
+            if known:
+                return np.mean(known, axis=0)
+        return np.zeros(len(names))
+
+    got = {r.doc_id: r for r in langid.languages(documents).collect()}
+    for r in rows:
+        own = got[r.doc_id]
+        if not langid.has_letter(r.text):
+            assert (own.lang_pred, own.score) == ("und", 0.0)
+            continue
+        total = sum(vector(w) * c for w, c in Counter(words(r.text)).items())
+        p = np.exp(total - total.max())
+        assert own.lang_pred == names[int(p.argmax())] and abs(own.score - p.max() / p.sum()) < 1e-3
+        assert own.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_every_passage_of_the_sample_is_encoded(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda bags, labels: seen.update(sizes=sorted(map(len, bags)), labels=len(labels)))
+    docs = spark.createDataFrame([(i, "word " * (100 * n)) for i, n in enumerate([1, 700, 3, 40, 2])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    train = lambda rows, passages: quality.train_quality(docs, labels, "doc_id", "text", "quality", 10**9, -1, rows, passages)
+    train(10, 40_000)
+    assert seen == {"sizes": [1, 2, 3, 40, 700], "labels": 5}
+    train(10, 100)
+    assert 700 not in seen["sizes"] and sum(seen["sizes"]) <= 100
+
+
 def test_quality_learns_on_held_out(spark, sf_dir):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
