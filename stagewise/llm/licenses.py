@@ -28,66 +28,79 @@ PHRASES = {
     "cc-by-nc": "cc by nc",
 }
 
-# Notices of public licences, lower case, without punctuation.
+# Notices of public licences, lower case, without punctuation; the last part is the mandatory phrase, a part of the text.
 TEMPLATES = (
     Template("mit", "released under the mit license", "mit license"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+    Template("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "the software is provided as is without warranty of any kind"),
     Template("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
     Template("apache-2", "you may obtain a copy of the license at http www apache org licenses license 2 0", "apache org licenses license 2 0"),
+    Template("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "software distributed under the license is distributed on an as is basis"),
     Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    Template("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", "attribution noncommercial"),
+    Template("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", "attribution noncommercial 4 0"),
+    Template("cc-by-nc-sa", "creative commons attribution noncommercial sharealike 4 0 international license", "attribution noncommercial sharealike"),
+    Template("cc-by-nd", "creative commons attribution noderivatives 4 0 international license", "attribution noderivatives"),
     Template("cc-by-sa", "creative commons attribution sharealike 4 0 international license", "attribution sharealike"),
     Template("cc-by", "creative commons attribution 4 0 international license", "commons attribution 4 0 international"),
     Template("cc0", "cc0 1 0 universal public domain dedication", "public domain dedication"),
     Template("gpl-3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
+    Template("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "either version 3 of the license"),
     Template("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    Template("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "either version 2 of the license"),
     Template("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
     Template("agpl-3", "licensed under the gnu affero general public license version 3", "gnu affero general public license"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    Template("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "used to endorse or promote products derived from this software"),
     Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "for any purpose with or without fee"),
+    Template("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "altered source versions must be plainly marked as such"),
+    Template("boost", "distributed under the boost software license version 1 0", "boost software license version 1 0"),
+    Template("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license 2 0"),
+    Template("ofl", "this font software is licensed under the sil open font license version 1 1", "sil open font license"),
+    Template("artistic-2", "licensed under the artistic license 2 0", "artistic license 2 0"),
+    Template("psf-2", "licensed under the python software foundation license version 2", "python software foundation license"),
+    Template("cddl", "subject to the terms of the common development and distribution license", "common development and distribution license"),
+    Template("eupl", "licensed under the european union public licence v 1 2", "european union public licence"),
 )
 
-# Words of notices that are too common to be looked up.
-COMMON = frozenset(
-    "a and any are at by for form forms following free in into is may met of on or org provided purpose source subject terms that the this to under use"
-    " with without www http you v 0 1 2 3 4 person general version work code conditions public software copy".split()
-)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The letters beyond ASCII that lower-casing would turn into ASCII ones.
+TO_ASCII = ("\u212a", "\u0130")
+NO_PLACES = "CAST(array() AS array<struct<word:string,at:int>>)"
+
+
+def vocabulary(templates: tuple[Template, ...], phrases: dict[str, str]) -> list[str]:
+    """The words of the templates and phrases."""
+    return sorted({w for t in templates for w in t.text.split()} | {w for p in phrases.values() for w in p.split()})
 
 
-def rare_words(templates: tuple[Template, ...], phrases: dict[str, str]) -> list[str]:
-    """The vocabulary of the index: words of the templates and phrases that aren't common."""
-    words = {w for t in templates for w in t.text.split()} | {w for p in phrases.values() for w in p.split()}
-    return sorted(words - COMMON)
+def phrase_at(template: Template) -> int:
+    """Where in its template the mandatory phrase starts."""
+    words, phrase = template.text.split(), template.phrase.split()
+    return next(i for i in range(len(words) - len(phrase) + 1) if words[i : i + len(phrase)] == phrase)
 
 
-def phrase_places(words: Column, phrase: str, present: Column) -> Column:
-    """Where the phrase's words stand in a row; looked for only where its rare words are ``present``."""
-    parts = phrase.split()
-    here = [w for w in parts if w not in COMMON]
-    fits = lambda i: reduce(lambda a, b: a & b, (F.get(words, i + k) == w for k, w in enumerate(parts)))
-    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), fits)
-    able = reduce(lambda a, b: a & b, (F.array_contains(present, w) for w in here))
-    return F.when(able, places).otherwise(F.expr("CAST(array() AS array<int>)"))
+def phrase_places(words: Column, places: Column, phrase: str) -> Column:
+    """The places among ``places`` where the phrase's words stand one after another."""
+    first, *rest = phrase.split()
+    fits = lambda x: reduce(lambda a, b: a & b, (F.get(words, x["at"] + k + 1) == w for k, w in enumerate(rest)), x["word"] == first)
+    return F.transform(F.filter(places, fits), lambda x: x["at"])
 
 
 def scan_words(df: DataFrame, key: str, text: str, templates: tuple[Template, ...], phrases: dict[str, str]) -> DataFrame:
-    """Per row: number of words, places of each phrase, the vocabulary's words with their places, templates whose phrase occurs."""
-    vocabulary = F.array(*(F.lit(w) for w in rare_words(templates, phrases)))
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
+    """Per row: number of words, the vocabulary's words with their places, and the places of each phrase."""
+    known = vocabulary(templates, phrases)
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    special = reduce(lambda a, b: a | b, (F.contains(body, F.lit(c)) for c in TO_ASCII))
+    words = F.regexp_extract_all(F.when(special, F.translate(body, UPPER, UPPER.lower())).otherwise(F.lower(body)), F.lit(WORD), F.lit(0))
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words.alias("words"))
-    rows = rows.withColumn("present", F.array_intersect("words", vocabulary))
-    some = F.size("present") > 0
-    nothing = "CAST(array() AS array<struct<word:string,at:int>>)"
-    at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(F.col("present"), x["word"]))
-    joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    occurring = F.array_compact(F.array(*(F.when(F.contains(F.col("joined"), F.lit(f" {t.phrase} ")), F.lit(i)) for i, t in enumerate(templates))))
-    return rows.withColumn("joined", F.when(some, joined)).select(
-        "row", "key", F.size("words").cast("long").alias("n_words"), "present",
-        F.when(some, at).otherwise(F.expr(nothing)).alias("places"),
-        F.when(some, occurring).otherwise(F.expr("CAST(array() AS array<int>)")).alias("able"),
-        *(phrase_places(F.col("words"), p, F.col("present")).alias(f"base{k}") for k, p in enumerate(phrases.values())),
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(known))
+    places = F.transform(at, lambda i: F.struct(F.get("words", i).alias("word"), i.alias("at")))
+    rows = rows.withColumn("places", F.when(F.size("words") > 0, places).otherwise(F.expr(NO_PLACES)))
+    return rows.select(
+        "row", "key", F.size("words").cast("long").alias("n_words"), "places",
+        *(phrase_places(F.col("words"), F.col("places"), p).alias(f"base{k}") for k, p in enumerate(phrases.values())),
     )
 
 
@@ -97,38 +110,48 @@ def license_labels(
 ) -> DataFrame:
     """One row per input row: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    The index has the position of each rare word in each template; all of a document's words in the
-    index are looked up. Postings that agree on the template's place in the document are added up,
-    weighted by rarity over the whole table. A template whose aligned weight is at least ``least`` of
-    what its own ``rarest`` words could give, and whose mandatory phrase occurs, gives its label.
-    ``score`` is the greatest such share, 1 with a base phrase, else 0. Null and empty texts have no
-    words and no labels; repeated rows get a result each.
-
-    Only the vocabulary's frequencies, at most one row for each of its words, reach the driver, and
-    only the index is broadcast. All rows' findings are a written table, so texts are read once.
+    A word's weight is its inverse document frequency over the whole table. The index has, of each
+    template, the positions of its ``rarest`` heaviest words; all of a document's words in the index
+    are looked up, and postings that agree on the template's place in the document are added up. A
+    template whose share of its indexed weight is at least ``least`` at one place is a candidate; it
+    gives its label if its mandatory phrase stands, word by word, where that place puts it. ``score``
+    is the greatest such share, 1 with a base phrase, else 0.
+
+    Null and empty texts have no words and no labels; repeated rows get a result each, an empty table
+    none; labels are a set, so ties don't matter. Only the vocabulary's frequencies, at most one row
+    for each of its words, reach the driver, and only the index is broadcast. All rows' findings are a
+    written table, so texts are read once.
     """
+    scratch.not_among(key, ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
     spark = df.sparkSession
     found = scratch.table(scan_words(df, key, text, templates, phrases), "licence-words")
     total = max(found.count(), 1)
-    seen = {r["word"]: r["n"] for r in found.select(F.explode("present").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
-    weight = {w: math.log(1 + total / seen.get(w, 1)) for w in rare_words(templates, phrases)}
-    postings, full = [], {}
+    present = F.array_distinct(F.transform("places", lambda x: x["word"]))
+    seen = {r["word"]: r["n"] for r in found.select(F.explode(present).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    weight = {w: math.log(1 + total / seen.get(w, 1)) for w in vocabulary(templates, phrases)}
+    postings, full, phrase_words = [], [], []
     for i, t in enumerate(templates):
-        own = [(w, p) for p, w in enumerate(t.text.split()) if w in weight]
-        postings += [(w, i, p, weight[w]) for w, p in own]
-        full[i] = sum(sorted({w: weight[w] for w, _ in own}.values(), reverse=True)[:rarest])
+        words = t.text.split()
+        own = sorted(range(len(words)), key=lambda p: (-weight[words[p]], p))[:rarest]
+        postings += [(words[p], i, p, weight[words[p]]) for p in own]
+        full.append(sum(weight[words[p]] for p in own))
+        start = phrase_at(t)
+        phrase_words.append([(w, start + k) for k, w in enumerate(t.phrase.split())])
     index = F.broadcast(spark.createDataFrame(postings, "word string, template int, at_template int, weight double"))
-    wholes = F.array(*(F.lit(full[i]) for i in range(len(templates))))
-    names = F.array(*(F.lit(t.label) for t in templates))
+    wholes, names = F.array(*map(F.lit, full)), F.array(*(F.lit(t.label) for t in templates))
+    needed = F.array(*(F.array(*(F.struct(F.lit(w).alias("word"), F.lit(p).alias("at")) for w, p in own)) for own in phrase_words))
+    indexed = sorted({w for w, *_ in postings})
     looked_up = (
-        found.filter(F.size("able") > 0).select("row", "able", F.explode("places").alias("x"))
-        .select("row", "able", F.col("x.word").alias("word"), F.col("x.at").alias("at"))
-        .join(index, "word").filter(F.array_contains("able", F.col("template")))
+        found.select("row", F.explode(F.filter("places", lambda x: x["word"].isin(indexed))).alias("x"))
+        .select("row", F.col("x.word").alias("word"), F.col("x.at").alias("at")).join(index, "word")
     )
     aligned = looked_up.groupBy("row", "template", (F.col("at") - F.col("at_template")).alias("shift")).agg(F.sum(F.round("weight", 9).cast("decimal(20,9)")).cast("double").alias("got"))
     share = F.least(F.col("got") / F.get(wholes, F.col("template")), F.lit(1.0))
+    candidates = aligned.withColumn("share", share).filter(F.col("share") >= least).select("row", "template", "shift", "share")
+    own_phrase = F.get(needed, F.col("template"))
+    standing = F.filter("places", lambda x: F.array_contains(own_phrase, F.struct(x["word"].alias("word"), (x["at"] - F.col("shift")).alias("at"))))
     labelled = (
-        aligned.withColumn("share", share).filter(F.col("share") >= least)
+        candidates.join(found.select("row", "places"), "row").filter(F.size(standing) == F.size(own_phrase))
         .groupBy("row").agg(F.array_sort(F.collect_set(F.get(names, F.col("template")))).alias("more"), F.max("share").alias("share"))
     )
     bases = [F.col(f"base{k}") for k in range(len(phrases))]
@@ -141,4 +164,3 @@ def license_labels(
         F.array_join(F.array_sort(F.array_union(base_labels, F.coalesce("more", F.expr("CAST(array() AS array<string>)")))), ",").alias("labels"),
         F.when(F.size(every) > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )
-
