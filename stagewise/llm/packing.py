@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -23,11 +24,20 @@ PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 KEPT_WORDS = 300_000
 
+# The tokenizer rules under which words can be encoded one by one and plain ones cut by PIECE.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+
 
 class WordIds(dict):
     """Token ids (little-endian unsigned 32-bit) of each white-space separated word, made once.
 
     No token spans white space under a tokenizer that drops it, so a text's ids are its words' ids.
+    Only a file with the rules NORMALIZER and PRE_TOKENIZER is known to do so; with any other one whole
+    texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -37,6 +47,10 @@ class WordIds(dict):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.byte_chars = byte_characters()
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        special = all(t["content"].startswith("<|") for t in rules.get("added_tokens") or [])
+        self.by_word = special and rules.get("normalizer") == NORMALIZER and rules.get("pre_tokenizer") == PRE_TOKENIZER
 
     def encode(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -55,7 +69,7 @@ class WordIds(dict):
         return ids
 
     def text(self, text: str) -> bytes:
-        if SEPARATORS.search(text):
+        if not self.by_word or SEPARATORS.search(text):
             return self.encode(text)
         return b"".join(map(self.__getitem__, text.split()))
 
@@ -129,9 +143,14 @@ def pack(
     ``open_windows`` windows open and puts a rest where it fits best; when none fits, the fullest is
     closed. What is open at a partition's end is packed again with the leftovers of ``merged_parts``
     partitions, longest first, so such a group has at most ``merged_parts * open_windows`` windows
-    whatever the input's size. A null or empty text is its end token alone; repeated rows are packed
-    each; an empty table gives no rows. Pieces, not texts, are shuffled, and only the leftovers.
+    whatever the input's size. Of windows with equal room the oldest takes the piece, of leftovers of one
+    length the one of the first partition and window goes first. A null or empty text is its end token
+    alone; repeated rows are packed each; an empty table gives no rows. Pieces, not texts, are shuffled, and only the leftovers.
     """
+    scratch.not_among(key, ["start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset"])
+    asked, key = key, "_key"
+    df = df.select(F.col(asked).alias(key), F.col(text).alias("_text"))
+    text = "_text"
     kind = df.schema[key].dataType.simpleString()
     columns = "start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if keep_ids else "")
     names = [key, *(c.split()[0] for c in columns.split(", "))]
@@ -192,7 +211,7 @@ def pack(
 
     left = placed.filter("open").withColumn("group", F.floor(F.col("part") / merged_parts).cast("long"))
     merged = left.groupBy("group").applyInArrow(merge, f"`{key}` {kind}, {columns}, sequence_id long, offset long")
-    return closed.unionByName(merged)
+    return closed.unionByName(merged).withColumnRenamed(key, asked)
 
 
 def sequences(pieces: DataFrame, key: str = "doc_id", window: int = 4096, pad_id: int = 0) -> DataFrame:
