@@ -16,6 +16,7 @@ from .words import hashes, mix, shingles, space_words
 AT_ONCE = 1 << 18
 BINS = 512
 BLOCK = 512
+MOST_HOT = 4096
 NODE = "node"
 
 
@@ -210,17 +211,23 @@ def near_duplicates(
        open are emitted, each once, and confirmed on full sets.
 
     Null keys form a document of their own; rows that repeat a key are one document's rows, with all
-    their sets' links. ``component_id`` is the smallest key reachable.
+    their sets' links. ``component_id`` is the smallest key reachable. Null and empty texts have no
+    shingles; an empty table gives no rows.
+
+    No shuffle of rows is dealt by a set that many rows have: sets of at least a MOST_HOT-th of all rows,
+    MOST_HOT at most, are broadcast, and rows without a set aren't joined at all.
     """
-    spark = df.sparkSession
+    scratch.not_among(key, ["n_shingles", "component_id", "kept"])
+    asked = key
+    key, df, text = "_doc", df.select(F.col(key).alias("_doc"), F.col(text).alias("_text")), "_text"
     rows = scratch.table(sketch(df, key, text, collections, each, width), "sketches")
     # rows of one key are one document: their nodes are linked without a comparison
-    nodes = rows.filter(F.col(NODE).isNotNull()).groupBy(NODE).agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n"), F.first("coll").alias("coll"))
+    nodes = rows.filter(F.col(NODE).isNotNull()).groupBy(NODE).agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n"), F.first("coll").alias("coll"), F.count("*").alias("copies"))
     nodes = scratch.table(nodes, "nodes")
     parts = nodes.select(NODE, F.posexplode("coll").alias("c", "v"))
     shared = parts.groupBy("c", "v").count().filter("count > 1").select("c", "v")
     able = parts.join(shared, ["c", "v"]).groupBy(NODE).agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("cv")).filter(F.size("cv") > 1)
-    able = scratch.table(able.join(nodes, NODE), "able")
+    able = scratch.table(able.join(nodes.drop("copies"), NODE), "able")
     tables = able.select(
         NODE,
         F.explode(F.flatten(F.transform("cv", lambda x, i: F.transform(
@@ -259,27 +266,35 @@ def near_duplicates(
     more = confirmed(cross_pairs(open_rows, percent), sets, percent)
     links = scratch.table(links.unionByName(more), "all-links")
     final = components(links)
-    labels = rows.filter(F.col(NODE).isNotNull()).select(key, NODE).join(final.withColumnRenamed("node", NODE), NODE)
-    least = labels.groupBy("component").agg(F.min(key).alias("least"))
+    least = nodes.select(NODE, "rep").join(final.withColumnRenamed("node", NODE), NODE).groupBy("component").agg(F.min("rep").alias("least"))
     by_node = final.withColumnRenamed("node", NODE).join(least, "component").select(NODE, "least")
-    alone = nodes.select(NODE, "rep").join(by_node, NODE, "left").select(NODE, F.coalesce("least", "rep").alias("component_id"))
-    return rows.join(alone, NODE, "left").select(
-        F.col(key), "n_shingles", F.coalesce("component_id", F.col(key)).alias("component_id"),
-    ).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    home = nodes.select(NODE, "rep", "copies").join(by_node, NODE, "left").select(NODE, F.coalesce("least", "rep").alias("component_id"), "copies")
+    home = scratch.table(home, "homes")
+    enough = (home.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] or 0) / MOST_HOT
+    hot = F.broadcast(home.filter((F.col("copies") >= enough) & (F.col("copies") > 1)).select(NODE, F.col("component_id").alias("hot_id")))
+    some = rows.select(key, "n_shingles", NODE).filter(F.col(NODE).isNotNull()).join(hot, NODE, "left")
+    out = rows.filter(F.col(NODE).isNull()).select(key, "n_shingles", F.col(key).alias("component_id"))
+    out = out.unionByName(some.filter(F.col("hot_id").isNotNull()).select(key, "n_shingles", F.col("hot_id").alias("component_id")))
+    out = out.unionByName(some.filter(F.col("hot_id").isNull()).join(home, NODE).select(key, "n_shingles", F.coalesce("component_id", F.col(key)).alias("component_id")))
+    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id"))).withColumnRenamed(key, asked)
 
 
 def first_of_each(df: DataFrame, key: str = "doc_id", most_broadcast: int = 1_000_000, **options) -> DataFrame:
     """The rows of ``df`` that their component keeps, one for each key, with all columns.
 
-    Of rows that repeat a kept key any one stays. Only keys to be dropped or thinned are joined: broadcast
-    if they are at most ``most_broadcast``, a number that is counted first, else shuffled.
+    Of rows that repeat a kept key the one with the least text stays, by all its columns if texts are
+    equal. Null and empty texts stay, an empty table gives none. Only keys to be dropped or thinned are
+    joined: broadcast if they are at most ``most_broadcast``, a number that is counted first, else shuffled.
     """
+    text = options.get("text", "text")
     found = near_duplicates(df, key, most_broadcast=most_broadcast, **options)
     at, stays = scratch.fresh(df, "_key"), scratch.fresh(df, "_stays")
-    keys = found.groupBy(F.col(key).alias(at)).agg(F.first("kept").alias(stays), F.count("*").alias("rows"))
-    odd = scratch.table(keys.filter(~F.col(stays) | (F.col("rows") > 1)).drop("rows"), "odd-keys")
+    keys = found.groupBy(F.col(key).alias(at)).agg(F.first("kept").alias(stays), F.count("*").alias("_rows"))
+    odd = scratch.table(keys.filter(~F.col(stays) | (F.col("_rows") > 1)).drop("_rows"), "odd-keys")
     odd = F.broadcast(odd) if odd.count() <= most_broadcast else odd
     same = F.col(key).eqNullSafe(F.col(at))
     single = df.join(odd, same, "left_anti")
-    repeated = df.join(odd.filter(stays), same, "left_semi").dropDuplicates([key])
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    first = F.min_by(row, F.struct(F.col(text).alias("t"), F.to_json(row, {"ignoreNullFields": "false"}).alias("j")))
+    repeated = df.join(odd.filter(stays), same, "left_semi").groupBy(F.col(key).alias(at)).agg(first.alias(at + "row")).select(at + "row.*")
     return single.unionByName(repeated)
