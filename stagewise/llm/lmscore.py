@@ -217,11 +217,13 @@ def language_scores(
     sharing one such draw. As contexts it tells the ``words`` commonest apart, more of them by the cube
     root of the tokens beyond MORE_CONTEXTS. Each of ``epochs`` rounds trains units of about UNIT tokens
     from the same parameters and averages these. Scores are normalised. With no training rows it is the
-    untrained model.
+    untrained model; an empty table gives no rows. Of tokens with one count at the bound of the broadcast
+    ones all or none are broadcast; among the predicted words the smaller hash goes first.
     """
+    scratch.not_among(key, ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    spark, asked = df.sparkSession, key
+    key, df, text = "_key", df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text"
     kind = df.schema[key].dataType.simpleString()
-    spark = df.sparkSession
-    df = df.select(key, text)
     body = F.col(text).cast("string").cast("binary")
     learn = df.filter(remainder(key, modulus) != held_out)
     counts = scratch.table(token_counts(learn.select(body)), "token-counts")
@@ -287,7 +289,7 @@ def language_scores(
     rare = rare.join(counts, "h").groupBy("row").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.log10(F.col("c") + 1)).alias("logs"))
     logs = F.coalesce("logs", F.lit(0.0))
     return part.drop("rare").join(rare, "row", "left").select(
-        F.col(key), "held_out", "n_tokens", (F.col("frequent") + F.coalesce("n", F.lit(0))).alias("n_known"),
+        F.col(key).alias(asked), "held_out", "n_tokens", (F.col("frequent") + F.coalesce("n", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("log_counts") + logs - F.col("n_tokens") * F.lit(base_log)).alias("base_score"),
         (F.col("model") + F.col("other_logs") + logs - F.col("others") * F.lit(other_log)).alias("score"),

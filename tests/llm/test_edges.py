@@ -45,6 +45,23 @@ def test_empty_table(spark, docs, name):
     assert operators(spark)[name](docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("name", ["packing", "neardup", "lmscore", "langid", "licenses", "secrets"])
+@pytest.mark.parametrize("key", ["node", "part", "row", "words", "kept"])
+def test_any_key_name(spark, name, key):
+    call = {"packing": packing.pack, "neardup": neardup.near_duplicates, "lmscore": lambda d, **k: lmscore.language_scores(d, words=30, **k), "langid": langid.languages, "licenses": licenses.license_labels, "secrets": secrets.secret_spans}[name]
+    df = spark.createDataFrame([(1, "a b c d e f", "en"), (2, "a b c d e f", "en")], f"{key} int, text string, lang string")
+    if (name, key) == ("neardup", "kept"):
+        with pytest.raises(ValueError):
+            call(df, key=key)
+    else:
+        assert {r[key] for r in call(df, key=key).collect()} == {1, 2}
+
+
+def test_first_of_each_has_a_defined_choice(spark):
+    df = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (1, "a", 1), (2, None, 5), (2, None, 4)], "doc_id int, text string, x int")
+    assert sorted(map(tuple, neardup.first_of_each(df).collect())) == [(1, "a", 1), (2, None, 4)]
+
+
 def test_defined_results(spark, docs):
     by = lambda df: {r.doc_id: r for r in df.collect()}
     ops = operators(spark)

@@ -132,6 +132,17 @@ def test_packing_against_the_tokenizer(spark, documents):
     assert packing.padding(pieces).first().padding < 0.05
 
 
+def test_other_tokenizers_see_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "Hello World, it is 2024."
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    (r,) = packing.pack(spark.createDataFrame([(1, text)], "doc_id int, text string"), tokenizer_path=path, keep_ids=True).collect()
+    assert np.frombuffer(r.ids, "<u4").tolist() == [*want, 2]
+
+
 def test_rendezvous_moves_only_to_the_new_shard(spark):
     df = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     got = {r.doc_id: r for r in sharding.shard_rows(df, weights=[1, 1, 2]).collect()}
@@ -296,6 +307,29 @@ def test_licenses(spark):
     assert [r.labels for r in got[3:]] == ["gpl-3", "", "bsd"] and got[4].score == 0
 
 
+def test_licence_base_places_against_a_plain_version(spark, documents):
+    import re
+
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    odd = spark.createDataFrame([(10**6, "under the M\u0130T license; CC by NC, cc.by.nc, under the \u212ait license", "", "", 0), (10**6 + 1, None, "", "", 0)], documents.schema)
+    docs = documents.unionByName(odd)
+    got = {r.doc_id: r for r in licenses.license_labels(docs).collect()}
+    for r in docs.collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r.text or "").translate(fold))
+        places = [(i, label) for label, p in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        own = got[r.doc_id]
+        assert (own.n_words, own.n_base) == (len(words), len(places))
+        assert (own.first_word, own.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert own.base_labels == ",".join(sorted({x for _, x in places})) and set(own.base_labels.split(",")) - {""} <= set(own.labels.split(","))
+
+
+def test_a_template_needs_its_phrase_in_place(spark):
+    text = "permission is granted hereby free of charge to any person obtaining a copy of this software and associated documentation files"
+    texts = [text, text.replace("granted hereby", "hereby granted"), "either version 3 of the license; under the terms of the gnu general public license as published by the free software foundation"]
+    got = licenses.license_labels(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["", "mit", ""]
+
+
 def test_every_licence_of_a_file_is_found(spark):
     # the words of the second licence are commoner than the eight of the first one
     notice = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
