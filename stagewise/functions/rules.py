@@ -8,16 +8,24 @@ SQL's logic of nulls is the language's: unknown is null. ``and``, ``or`` and ``n
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""\s*(?:(?P<number>\d+(?:[.,]\d+)?)|(?P<text>"[^"]*"|'[^']*')|(?P<op><=|>=|==|!=|=|<|>)|(?P<bracket>[()])|(?P<name>[\w#\-]+(?:\.(?:PD|RD|ID))?))""")
+WORD = re.compile(
+    r"""(?P<number>\d+(?:[.,]\d+)?)|(?P<text>"[^"]*"|'[^']*')|(?P<op><=|>=|==|!=|[=<>()])"""
+    r"""|(?P<name>[\w#\-]+(?:\.(?:PD|RD|ID))?)|(?P<bad>\S)"""
+)
 OPS: dict[str, Callable[[Column, Column], Column]] = {
     "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b,
 }
+#: How strongly each operator binds, from the loosest.
+BINDING = {"or": 1, "and": 2} | dict.fromkeys(("=", "==", "!=", *OPS), 4)
+NOT = 3
+END = ("end", "the end", -1)
 
 
 class RuleError(ValueError):
@@ -34,86 +42,104 @@ class Ref:
         return f"{self.code}.{self.stage}"
 
 
-def tokens(text: str) -> list[tuple[str, str, int]]:
-    out, at = [], 0
-    while text[at:].strip():
-        m = TOKEN.match(text, at)
-        if not m:
-            raise RuleError(f"unexpected character at {at} of {text!r}")
-        out.append((m.lastgroup or "", m[m.lastgroup or 0], m.start(m.lastgroup or 0)))
-        at = m.end()
-    return out
-
-
-class Parser:
-    """Turns a rule into nested tuples: (kind, parts...)."""
+class Reader:
+    """Reads a rule by precedence climbing into nested tuples (kind, parts...); values stay as they are."""
 
     def __init__(self, text: str):
-        self.text, self.tokens, self.at = text, tokens(text), 0
-
-    def peek(self) -> str:
-        return self.tokens[self.at][1] if self.at < len(self.tokens) else ""
-
-    def take(self, expected: str | None = None) -> tuple[str, str, int]:
-        if self.at == len(self.tokens) or (expected and self.peek().lower() != expected):
-            raise RuleError(f"expected {expected or 'more'} after token {self.at} of {self.text!r}")
-        self.at += 1
-        return self.tokens[self.at - 1]
-
-    def parse(self):
-        tree = self.chain("or", lambda: self.chain("and", self.one))
-        if self.at < len(self.tokens):
-            raise RuleError(f"unexpected {self.peek()!r} in {self.text!r}")
+        self.text = text
+        self.queue = deque((m.lastgroup or "", m[0], m.start()) for m in WORD.finditer(text))
+        self.queue.append(END)
+
+    def wrong(self, expected: str) -> RuleError:
+        return RuleError(f"expected {expected} instead of {self.queue[0][1]!r} at {self.queue[0][2]} of {self.text!r}")
+
+    def met(self, *words: str) -> str | None:
+        """The next word, taken, if it is one of these."""
+        kind, word, _ = self.queue[0]
+        if kind in ("op", "name") and word.lower() in words:
+            self.queue.popleft()
+            return word.lower()
+        return None
+
+    def whole(self):
+        tree = truth(self.expression(0))
+        if self.queue[0] != END:
+            raise self.wrong("the end")
         return tree
 
-    def chain(self, word: str, part: Callable):
-        parts = [part()]
-        while self.peek().lower() == word:
-            self.take()
-            parts.append(part())
-        return parts[0] if len(parts) == 1 else (word, *parts)
-
-    def one(self):
-        word = self.peek().lower()
-        if word == "not":
-            self.take()
-            return ("not", self.one())
-        if word == "(":
-            self.take()
-            inside = self.chain("or", lambda: self.chain("and", self.one))
-            self.take(")")
+    def expression(self, least: int):
+        left = self.operand()
+        while (word := self.queue[0][1].lower()) in BINDING and self.queue[0][0] != "text" and BINDING[word] >= least:
+            self.queue.popleft()
+            right = self.expression(BINDING[word] + 1)
+            if word in ("and", "or"):
+                left = (word, truth(left), truth(right))
+            elif isinstance(left, tuple) or isinstance(right, tuple):
+                raise RuleError(f"{word!r} compares values, not conditions, in {self.text!r}")
+            else:
+                left = ("compare", "==" if word == "=" else word, left, right)
+        return left
+
+    def operand(self):
+        if self.met("not"):
+            return ("not", truth(self.expression(NOT)))
+        if self.met("("):
+            inside = truth(self.expression(0))
+            if not self.met(")"):
+                raise self.wrong("a closing bracket")
             return inside
-        if word in ("exists", "missing"):
-            self.take()
-            self.take("(")
-            ref = self.side()
-            self.take(")")
-            if not isinstance(ref, Ref):
-                raise RuleError(f"{word} needs a reference in {self.text!r}")
-            return (word, ref)
-        left = self.side()
-        if self.at < len(self.tokens) and self.tokens[self.at][0] == "op":
-            op = self.take()[1]
-            return ("compare", {"=": "=="}.get(op, op), left, self.side())
-        return ("truth", left)
-
-    def side(self):
-        kind, value, at = self.take()
+        if test := self.met("exists", "missing"):
+            ref = self.operand() if self.queue[0][1] == "(" and self.queue.popleft() else None
+            if not isinstance(ref, Ref) or not self.met(")"):
+                raise self.wrong(f"a bracketed reference after {test}")
+            return (test, ref)
+        return self.value()
+
+    def value(self):
+        kind, word, _ = self.queue[0]
+        out = None
         if kind == "number":
-            return float(value.replace(",", "."))
-        if kind == "text":
-            return value[1:-1]
-        if kind == "name" and value.lower() in ("true", "false"):
-            return value.lower() == "true"
-        if kind == "name" and "." in value:
-            return Ref(*value.rsplit(".", 1))
-        raise RuleError(f"unexpected {value!r} at {at} of {self.text!r}")
+            out = float(word.replace(",", "."))
+        elif kind == "text":
+            out = word[1:-1]
+        elif kind == "name" and word.lower() in ("true", "false"):
+            out = word.lower() == "true"
+        elif kind == "name" and "." in word:
+            out = Ref(*word.rsplit(".", 1))
+        if out is None:
+            raise self.wrong("a value")
+        self.queue.popleft()
+        return out
+
+
+def truth(tree):
+    """A value where a condition is wanted is true or false by itself."""
+    return tree if isinstance(tree, tuple) else ("truth", tree)
 
 
 def refs(tree) -> set[Ref]:
-    if isinstance(tree, Ref):
-        return {tree}
-    return set().union(*map(refs, tree)) if isinstance(tree, tuple) else set()
+    """All references in a rule."""
+    found, open_ = set(), [tree]
+    while open_:
+        now = open_.pop()
+        if isinstance(now, Ref):
+            found.add(now)
+        elif isinstance(now, tuple):
+            open_.extend(now)
+    return found
+
+
+def unknown_codes(rules: Iterable[tuple[str, str, str]], codes: Iterable[str]) -> dict[str, list[str]]:
+    """By rule, the codes it refers to that aren't known; a rule that can't be read counts with its error."""
+    known, out = set(codes), {}
+    for rule_id, condition, expected in rules:
+        try:
+            used = {r.code for part in (condition, expected) for r in refs(Reader(part).whole())}
+            if used - known:
+                out[rule_id] = sorted(used - known)
+        except RuleError as e:
+            out[rule_id] = [str(e)]
+    return out
 
 
 def typed(side) -> tuple[Column, Column, Column]:
@@ -159,7 +185,7 @@ def compile_rules(rules: Iterable[tuple[str, str, str]]) -> tuple[dict[str, tupl
     good, bad = {}, {}
     for rule_id, condition, expected in rules:
         try:
-            trees = Parser(condition).parse(), Parser(expected).parse()
+            trees = Reader(condition).whole(), Reader(expected).whole()
             good[rule_id] = (compile_tree(trees[0]), compile_tree(trees[1]), refs(trees[0]) | refs(trees[1]))
         except RuleError as e:
             bad[rule_id] = str(e)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Sequence
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,58 +36,77 @@ def token_sort_ratio(a: str, b: str) -> float:
     return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
+# Words up to this length have no inflections; so many equal first letters, one less for
+# short words, make two words forms of one; a misread word needs two and this similarity.
+EXACT_UP_TO, STEM, MISREAD = 2, 5, (2, 90)
+
+
 def same_form(a: str, b: str) -> bool:
-    """Two inflections of a word: short words must be equal; longer ones share a beginning."""
-    if a == b:
-        return True
-    if min(len(a), len(b)) <= 2:
-        return False
-    shared = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    return shared >= min(5, min(len(a), len(b)) - 1) or (shared >= 2 and ratio(a, b) >= 90)
+    """Two inflections of a word: its beginning decides, not the likeness of the whole."""
+    shorter = min(len(a), len(b))
+    if a == b or shorter <= EXACT_UP_TO:
+        return a == b
+    shared = len(commonprefix((a, b)))
+    return shared >= min(STEM, shorter - 1) or (shared >= MISREAD[0] and ratio(a, b) >= MISREAD[1])
+
+
+def pairs_off(a: list[str], b: list[str]) -> int:
+    """How many words of the shorter list find a form of their own in the other; equal words go first, then the likest."""
+    left, right = Counter(a) - Counter(b), Counter(b) - Counter(a)
+    equal = len(a) - left.total()
+    options = sorted((-len(commonprefix((x, y))), x, y) for x in left for y in right if same_form(x, y))
+    for _, x, y in options:
+        n = min(left[x], right[y])
+        left[x], right[y], equal = left[x] - n, right[y] - n, equal + n
+    return equal
 
 
 def similar(a: str, b: str) -> bool:
     """Labels of one control point: the same numbers, and words that pair off by form; with numbers one may say more."""
-    if NUMBERS.findall(a) != NUMBERS.findall(b):
+    numbers, words = [NUMBERS.findall(x) for x in (a, b)], [WORDS.findall(x) for x in (a, b)]
+    if numbers[0] != numbers[1] or (not numbers[0] and not all(words)):
         return False
-    short, long = sorted((WORDS.findall(a), WORDS.findall(b)), key=len)
-    left = list(long)
-    for word in short:
-        hit = next((w for w in left if same_form(word, w)), None)
-        if hit is None:
-            return False
-        left.remove(hit)
-    return not left or bool(NUMBERS.search(a))
+    fewer, more = sorted(map(len, words))
+    return (fewer == more or bool(numbers[0])) and pairs_off(*words) == fewer
+
+
+def merged_labels(labels: list[tuple[str, set[str]]]) -> dict[str, str]:
+    """The group of each label: (label, stages) in order; a group is named by its first label and compared by it.
+
+    Groups merge if they have no stage in common and their names are similar, the first such pair first.
+    Numbers block the comparison, so labels with different ones never meet.
+    """
+    blocks: dict[tuple, list[list]] = {}
+    for label, stages in labels:
+        blocks.setdefault(tuple(NUMBERS.findall(label)), []).append([[label], set(stages)])
+    for groups in blocks.values():
+        i = 0
+        while i < len(groups):
+            names, stages = groups[i]
+            j = next((j for j in range(i + 1, len(groups)) if not stages & groups[j][1] and similar(names[0], groups[j][0][0])), None)
+            if j is None:
+                i += 1
+            else:
+                others, more = groups.pop(j)
+                names += others
+                stages |= more
+    return {label: names[0] for groups in blocks.values() for names, _ in groups for label in names}
 
 
 def match_points(df: DataFrame, keys: Sequence[str], label: str = "label", stage: str = "stage") -> DataFrame:
-    """Adds ``point``: the first label of the group that a label belongs to.
+    """Adds ``point``: the first label of the group that a label belongs to; null labels have none.
 
-    Equal labels are one group. Then groups that have no stage in common merge if any two of their
-    labels are similar, the first such pair first. Only distinct (label, stage) pairs of one
-    parameter reach a task, in which numbers block the comparison.
+    Only the distinct labels of one parameter with their stages reach a task: what its matrix row
+    names, not its values.
     """
-    pairs = df.select(*keys, label, stage).filter(F.col(label).isNotNull()).distinct()
+    pairs = df.filter(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.collect_set(stage).alias("_stages"))
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        stages = rows.groupby(label)[stage].agg(set)
-        groups = [([name], set(s)) for name, s in sorted(stages.items())]
-        by_number: dict[tuple, list[int]] = {}
-        for i, (names, _) in enumerate(groups):
-            by_number.setdefault(tuple(NUMBERS.findall(names[0])), []).append(i)
-        home = list(range(len(groups)))
-        for block in by_number.values():
-            for at, i in enumerate(block):
-                for j in block[at + 1 :]:
-                    if home[i] == i and home[j] == j and not groups[i][1] & groups[j][1] and any(similar(a, b) for a in groups[i][0] for b in groups[j][0]):
-                        groups[i][0].extend(groups[j][0])
-                        groups[i][1].update(groups[j][1])
-                        home[j] = i
-        point = {n: groups[i][0][0] for i, h in enumerate(home) if h == i for n in groups[i][0]}
-        out = rows[[*keys, label]].drop_duplicates()
-        return out.assign(point=out[label].map(point))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema if f.name != stage) + ", point string"
+        rows = rows.sort_values(label)
+        point = merged_labels([(name, set(s)) for name, s in zip(rows[label], rows["_stages"], strict=True)])
+        return rows[[*keys, label]].assign(point=rows[label].map(point))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema if f.name != "_stages") + ", point string"
     found = pairs.groupBy(*keys).applyInPandas(merge, schema)
     return df.join(found, [*keys, label], "left")
 

@@ -160,25 +160,19 @@ def light(positives: Column, open_: Column, total: Column) -> Column:
     return F.when(positives > 0, "RED").when((open_ > 0) | (total == 0), "YELLOW").otherwise("GREEN")
 
 
-def revision_roles(files: DataFrame, group: Sequence[str], authoritative: str, approved: str, when: str, order: Sequence[str]) -> DataFrame:
+def revision_roles(files: DataFrame, group: Sequence[str], authoritative: str, approved: str) -> DataFrame:
     """ACTUAL, SUPERSEDED or CONFLICT of each file of a revision group, and the reason.
 
-    One authoritative file supersedes the rest; several conflict. Without any, one approved file does
-    so. Else a group of one is actual and a larger one in conflict. The authoritative flag has three
-    states: unknown is not false.
+    The only authoritative file supersedes the rest, else the only approved one does; a file alone is
+    actual, and other groups are in conflict. Unknown authority is not false. Counts are partial
+    aggregates joined back, so a large group needs no task of its own.
     """
-    w = Window.partitionBy(*group)
-    n_auth = F.count_if(F.col(authoritative)).over(w)
-    n_approved = F.count_if(F.col(approved)).over(w)
-    n = F.count("*").over(w)
-    role = (
-        F.when(n_auth == 1, F.when(F.coalesce(F.col(authoritative), F.lit(False)), "ACTUAL").otherwise("SUPERSEDED"))
-        .when(n_auth > 1, F.when(F.coalesce(F.col(authoritative), F.lit(False)), "CONFLICT").otherwise("SUPERSEDED"))
-        .when(n_approved == 1, F.when(F.coalesce(F.col(approved), F.lit(False)), "ACTUAL").otherwise("SUPERSEDED"))
-        .when(n == 1, "ACTUAL").otherwise("CONFLICT")
-    )
-    reason = F.when(n_auth > 0, "authoritative").when(n_approved == 1, "approved").when(n == 1, "single").otherwise("ambiguous")
-    return files.withColumn("role", role).withColumn("reason", reason)
+    is_auth, is_approved = F.coalesce(F.col(authoritative), F.lit(False)), F.coalesce(F.col(approved), F.lit(False))
+    sizes = files.groupBy(*group).agg(F.count("*").alias("_n"), F.count_if(is_auth).alias("_auth"), F.count_if(is_approved).alias("_approved"))
+    keep = F.when(F.col("_n") == 1, True).when(F.col("_auth") == 1, is_auth).when(F.col("_approved") == 1, is_approved)
+    reason = F.when(F.col("_n") == 1, "single").when(F.col("_auth") == 1, "authoritative").when(F.col("_approved") == 1, "approved").otherwise("ambiguous")
+    rows = files.join(sizes, list(group))
+    return rows.withColumn("role", F.when(keep, "ACTUAL").when(keep.isNull(), "CONFLICT").otherwise("SUPERSEDED")).withColumn("reason", reason).drop("_n", "_auth", "_approved")
 
 
 def scenario(pd: Column, rd: Column, id_: Column) -> Column:

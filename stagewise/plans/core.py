@@ -177,11 +177,11 @@ def cmp03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.select("object_id", "code", F.when(fits, "APPLICABLE").otherwise(R.NOT_APPLICABLE).alias("applicability"))
 
 
-@query("cmp05_missing_outcome", f"""WITH {PARAMS_SQL}, {EXTRACTIONS_SQL}, want AS (SELECT s_suppkey object_id, code param, unnest(['PD','RD','ID']) stage FROM supplier, params WHERE n % 4 = 0)
+@query("cmp05_missing_outcome", f"""WITH {PARAMS_SQL}, {EXTRACTIONS_SQL}, want AS (SELECT s_suppkey object_id, code param, unnest(['PD','RD','ID']) stage FROM supplier, params)
   SELECT w.object_id, w.param, count(*) missing_stages FROM want w WHERE NOT EXISTS (SELECT 1 FROM ext e WHERE e.object_id = w.object_id AND e.param = w.param AND e.stage = w.stage AND NOT e.bad) GROUP BY 1, 2""")
 def cmp05(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    want = t.supplier.select(F.col("s_suppkey").alias("object_id")).crossJoin(params(t).filter("n % 4 = 0").select(F.col("code").alias("param")))
+    want = t.supplier.select(F.col("s_suppkey").alias("object_id")).crossJoin(params(t).select(F.col("code").alias("param")))  # objects x a matrix of fixed size
     want = want.withColumn("stage", F.explode(F.array(*map(F.lit, R.STAGES))))
     have = extractions(t).filter("not bad").select("object_id", "param", "stage")
     return want.join(have, ["object_id", "param", "stage"], "left_anti").groupBy("object_id", "param").agg(F.count("*").alias("missing_stages"))
@@ -218,16 +218,20 @@ def cmp17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(Tables(spark, sf_dir)).select(*KEYS, R.finding_key(*map(F.col, KEYS)).alias("finding_key"))
 
 
-@query("cmp20_incremental_plan", f"""WITH {PARAMS_SQL}, own AS (SELECT p_brand code, CASE CAST(substr(p_brand, 7) AS INT) % 3 WHEN 1 THEN 'PD' WHEN 2 THEN 'RD' ELSE 'ID' END stage, p_type mark FROM part WHERE p_size > 45),
-  changed AS (SELECT DISTINCT CASE l_linenumber % 3 WHEN 1 THEN 'PD' WHEN 2 THEN 'RD' ELSE 'ID' END stage, p_type mark FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 500 = 7)
+@query("cmp20_incremental_plan", f"""WITH {PARAMS_SQL}, own AS (SELECT p_brand code, CASE CAST(substr(p_brand, 7) AS INT) % 3 WHEN 1 THEN 'PD' WHEN 2 THEN 'RD' ELSE 'ID' END stage, p_size || ' ' || p_type mark FROM part),
+  changed AS (SELECT DISTINCT CASE l_linenumber % 3 WHEN 1 THEN 'PD' WHEN 2 THEN 'RD' ELSE 'ID' END stage, p_size || ' ' || p_type mark FROM lineitem JOIN part ON l_partkey = p_partkey
+    WHERE l_shipdate > (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 20 DAY)
   SELECT DISTINCT code FROM own JOIN changed USING (stage, mark)""")
 def cmp20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files of the last twenty days of shipping change."""
     t = Tables(spark, sf_dir)
     n = F.substring("p_brand", 7, 100).cast("int") % 3
     stage = lambda k: F.when(k == 1, "PD").when(k == 2, "RD").otherwise("ID")
-    own = t.part.filter("p_size > 45").groupBy(F.col("p_brand").alias("code"), stage(n).alias("stage")).agg(F.collect_set("p_type").alias("marks"))
-    lines = t.lineitem.filter("l_orderkey % 500 = 7").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    changed = lines.groupBy("l_orderkey", stage(F.col("l_linenumber") % 3).alias("stage")).agg(F.collect_set("p_type").alias("marks"))
+    mark = F.concat_ws(" ", "p_size", "p_type")
+    own = t.part.groupBy(F.col("p_brand").alias("code"), stage(n).alias("stage")).agg(F.collect_set(mark).alias("marks"))
+    last = t.lineitem.agg(F.max("l_shipdate").alias("last"))
+    lines = t.lineitem.join(F.broadcast(last), F.col("l_shipdate") > F.expr("last - INTERVAL 20 DAYS")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    changed = lines.groupBy("l_orderkey", stage(F.col("l_linenumber") % 3).alias("stage")).agg(F.collect_set(mark).alias("marks"))
     return R.affected(own, changed)
 
 
@@ -244,19 +248,21 @@ def cmp23(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cmp01_revision_roles", """WITH f AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN true WHEN l_returnflag = 'R' THEN false END auth, l_linestatus = 'F' approved FROM lineitem),
   g AS (SELECT *, count(*) FILTER (auth) OVER w na, count(*) FILTER (approved) OVER w np, count(*) OVER w n FROM f WINDOW w AS (PARTITION BY l_orderkey))
-  SELECT l_orderkey, l_linenumber, CASE WHEN na = 1 THEN CASE WHEN auth THEN 'ACTUAL' ELSE 'SUPERSEDED' END WHEN na > 1 THEN CASE WHEN auth THEN 'CONFLICT' ELSE 'SUPERSEDED' END
-    WHEN np = 1 THEN CASE WHEN approved THEN 'ACTUAL' ELSE 'SUPERSEDED' END WHEN n = 1 THEN 'ACTUAL' ELSE 'CONFLICT' END "role",
-    CASE WHEN na > 0 THEN 'authoritative' WHEN np = 1 THEN 'approved' WHEN n = 1 THEN 'single' ELSE 'ambiguous' END reason FROM g""")
+  SELECT l_orderkey, l_linenumber, CASE WHEN n = 1 THEN 'ACTUAL' WHEN na = 1 THEN CASE WHEN auth THEN 'ACTUAL' ELSE 'SUPERSEDED' END
+    WHEN np = 1 THEN CASE WHEN approved THEN 'ACTUAL' ELSE 'SUPERSEDED' END ELSE 'CONFLICT' END "role",
+    CASE WHEN n = 1 THEN 'single' WHEN na = 1 THEN 'authoritative' WHEN np = 1 THEN 'approved' ELSE 'ambiguous' END reason FROM g""")
 def cmp01(spark: SparkSession, sf_dir: str) -> DataFrame:
     auth = F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "R", False)
-    files = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", auth.alias("auth"), (F.col("l_linestatus") == "F").alias("approved"), "l_shipdate")
-    return R.revision_roles(files, ["l_orderkey"], "auth", "approved", "l_shipdate", ["l_linenumber"]).select("l_orderkey", "l_linenumber", "role", "reason")
+    files = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", auth.alias("auth"), (F.col("l_linestatus") == "F").alias("approved"))
+    return R.revision_roles(files, ["l_orderkey"], "auth", "approved").select("l_orderkey", "l_linenumber", "role", "reason")
 
 
-@query("agg09_ambiguous_revisions", """SELECT l_orderkey, count(*) files, count(*) FILTER (l_linestatus = 'F') approved FROM lineitem GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (l_linestatus = 'F') <> 1""")
+@query("agg09_ambiguous_revisions", """SELECT l_orderkey, count(*) files, count(*) FILTER (l_linestatus = 'F') approved FROM lineitem GROUP BY 1
+  HAVING count(*) >= 2 AND count(*) FILTER (l_linestatus = 'F') <> 1 AND count(*) FILTER (l_returnflag = 'A') <> 1""")
 def agg09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = Tables(spark, sf_dir).lineitem.groupBy("l_orderkey").agg(F.count("*").alias("files"), F.count_if(F.col("l_linestatus") == "F").alias("approved"))
-    return by.filter("files >= 2 AND approved <> 1")
+    files = Tables(spark, sf_dir).lineitem.select("l_orderkey", (F.col("l_returnflag") == "A").alias("auth"), (F.col("l_linestatus") == "F").alias("approved"))
+    found = R.revision_roles(files, ["l_orderkey"], "auth", "approved").filter("role = 'CONFLICT'")
+    return found.groupBy("l_orderkey").agg(F.count("*").alias("files"), F.count_if("approved").alias("approved"))
 
 
 @query("agg11_scenario", """WITH s AS (SELECT l_orderkey, bool_or(l_linenumber % 3 = 1) pd, bool_or(l_linenumber % 3 = 2) rd, bool_or(l_linenumber % 3 = 0) idd FROM lineitem GROUP BY 1)
@@ -284,11 +290,11 @@ def agg21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.groupBy("param").agg(F.count_if("PD").alias("pd"), F.count_if("RD").alias("rd"), F.count_if("ID").alias("id_objects"), F.count_if(F.col("PD") & F.col("RD")).alias("both_stages"))
 
 
-@query("agg21_not_found", f"""WITH {PARAMS_SQL}, {EXTRACTIONS_SQL} SELECT s_suppkey object_id, code param FROM supplier, params WHERE NOT EXISTS (SELECT 1 FROM ext WHERE object_id = s_suppkey AND param = code AND stage = 'PD')""")
+@query("agg21_not_found", f"""WITH {PARAMS_SQL}, {EXTRACTIONS_SQL} SELECT s_suppkey object_id, code param FROM supplier, params WHERE NOT EXISTS (SELECT 1 FROM ext WHERE object_id = s_suppkey AND param = code AND stage = 'PD' AND value > 45)""")
 def agg21_not_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     want = t.supplier.select(F.col("s_suppkey").alias("object_id")).crossJoin(params(t).select(F.col("code").alias("param")))
-    return want.join(extractions(t).filter("stage = 'PD'"), ["object_id", "param"], "left_anti")
+    return want.join(extractions(t).filter("stage = 'PD' AND value > 45"), ["object_id", "param"], "left_anti")
 
 
 @query("agg22_shared_values", f"WITH {EXTRACTIONS_SQL} SELECT l_orderkey, value, count(DISTINCT param) params FROM ext GROUP BY 1, 2 HAVING count(DISTINCT param) >= 3")
