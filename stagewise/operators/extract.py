@@ -55,17 +55,19 @@ def rule_values(pages: DataFrame, rules: Sequence[Rule] = RULES, document: str =
 
 
 def chosen_values(values: DataFrame, rules: Sequence[Rule] = RULES, document: str = "doc_id", page: str = "page") -> DataFrame:
-    """One value for each document and code: the first, the least or the greatest; ties by place."""
+    """One value for each document and code: the first, the least or the greatest; ties by place, then value."""
     way = F.create_map(*(x for r in rules for x in (F.lit(r.code), F.lit({"first": 0.0, "min": 1.0, "max": -1.0}[r.pick]))))
-    rank = F.row_number().over(Window.partitionBy(document, "code").orderBy(F.element_at(way, F.col("code")) * F.col("value"), page, "place"))
+    rank = F.row_number().over(Window.partitionBy(document, "code").orderBy(F.element_at(way, F.col("code")) * F.col("value"), page, "place", "value"))
     return values.withColumn("r", rank).filter("r = 1").drop("r")
 
 
 # Strength classes of concrete.
-CONCRETE = "B3.5 B5 B7.5 B10 B12.5 B15 B20 B22.5 B25 B27.5 B30 B35 B40 B45 B50 B55 B60 B70 B80 B90 B100".split()
+CONCRETE = (
+    "B3.5", "B5", "B7.5", "B10", "B12.5", "B15", "B20", "B22.5", "B25", "B27.5", "B30", "B35", "B40", "B45", "B50", "B55", "B60",
+)
 
 
 def concrete_classes(text):
-    """The known strength classes that a text names, in order, each once."""
-    found = F.regexp_extract_all(lookalike(text), F.lit(r"(?<![\p{L}\d])B\s?\d{1,3}(?:[.,]5)?(?!\d)"), F.lit(0))
-    return F.array_distinct(F.filter(F.transform(found, lambda x: F.translate(F.regexp_replace(x, r"\s", ""), ",", ".")), lambda x: x.isin(CONCRETE)))
+    """The known strength classes that a text names, in order, each once; a small letter before a number is a preposition."""
+    found = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\d])[BВ]\s?\d{1,3}(?:[.,]5)?(?![\d\p{L}])"), F.lit(0))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.translate(F.regexp_replace(lookalike(x), r"\s", ""), ",", ".")), lambda x: x.isin(*CONCRETE)))

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stagewise import scratch
+
 WORDS = re.compile(r"[^\W\d_]+")
 NUMBERS = re.compile(r"\d+(?:[.,]\d+)?")
 
@@ -112,21 +114,22 @@ def match_points(df: DataFrame, keys: Sequence[str], label: str = "label", stage
 
 
 def greedy_pairs(df: DataFrame, block: Sequence[str], left: str, right: str, order: Sequence[str], descending: Sequence[bool]) -> DataFrame:
-    """One-to-one pairs inside each block, best first; the order must be total."""
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b, keep = set(), set(), []
-        for i, (x, y) in enumerate(zip(rows[left], rows[right], strict=True)):
-            if x not in a and y not in b:
-                a.add(x)
-                b.add(y)
-                keep.append(i)
-        return rows.iloc[keep]
-
-    def sorted_assign(rows: pd.DataFrame) -> pd.DataFrame:
-        return assign(rows.sort_values(list(order), ascending=[not d for d in descending], kind="stable"))
+    """One-to-one pairs inside each block, best first; the order must be total over numbers.
 
-    return df.groupBy(*block).applyInPandas(sorted_assign, df.schema)
+    An edge that is the best one of both its ends is taken whatever happens elsewhere, so each round takes
+    all of these at once and drops the other edges of their ends, until none is left. That is the result of
+    going through the edges one by one, without any block in one task. A round is a written table; the
+    number of rounds is the longest chain of edges of which each waits for the one before it.
+    """
+    rank = F.struct(*(-F.col(c) if d else F.col(c) for c, d in zip(order, descending, strict=True)))
+    now, taken = scratch.table(df, "edges"), df.limit(0)
+    while not now.isEmpty():
+        best = [now.groupBy(*block, end).agg(F.min(rank).alias(name)) for end, name in ((left, "_of_left"), (right, "_of_right"))]
+        met = now.join(best[0], [*block, left]).join(best[1], [*block, right])
+        won = scratch.table(met.filter((rank == F.col("_of_left")) & (rank == F.col("_of_right"))).select(*df.columns), "won")
+        taken = taken.unionByName(won)
+        now = scratch.table(now.join(won.select(*block, left), [*block, left], "left_anti").join(won.select(*block, right), [*block, right], "left_anti").select(*df.columns), "edges")
+    return taken
 
 
 def nearest(df: DataFrame, other: DataFrame, page: Sequence[str], x: str, y: str, ox: str, oy: str, pick: Column, limit: float, key: str) -> DataFrame:
@@ -165,13 +168,90 @@ def inverse_frequency(df: DataFrame, key: str, mark: str) -> DataFrame:
 
 
 def weighted_jaccard(marks: DataFrame, idf: DataFrame, key: str, mark: str, least_marks: int = 2, least_weight: float = 3.0) -> DataFrame:
-    """(a, b, score) of keys that share enough marks and weight: shared idf over the idf of either."""
+    """(a, b, score) of keys that share enough marks and weight: shared idf over the idf of either.
+
+    Keys meet by their rare marks only. In the order of falling weight, two keys that share enough have a
+    common mark before the point from which on a key's marks are too few or weigh too little; so the
+    marks after it, which are the common ones, are not joined. Shared marks are then counted on whole sets.
+    """
     rows = marks.select(key, mark).distinct().join(idf, mark)
-    whole = rows.groupBy(key).agg(F.sum("idf").alias("w"))
-    a, b = rows.select(mark, "idf", F.col(key).alias("a")), rows.select(mark, F.col(key).alias("b"))
-    shared = a.join(b, mark).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("idf").alias("s")).filter((F.col("n") >= least_marks) & (F.col("s") >= least_weight))
-    both = shared.join(whole.withColumnsRenamed({key: "a", "w": "wa"}), "a").join(whole.withColumnsRenamed({key: "b", "w": "wb"}), "b")
-    return both.select("a", "b", (F.col("s") / (F.col("wa") + F.col("wb") - F.col("s"))).alias("score"))
+    heavy = F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("less"), F.col(mark).alias("m"))))
+    sets = rows.groupBy(key).agg(heavy.alias("s"), F.sum("idf").alias("w")).filter(F.size("s") >= least_marks)
+    after = lambda i: F.aggregate(F.slice("s", i + 1, F.size("s")), F.lit(0.0), lambda t, x: t - x["less"])
+    early = F.filter(F.transform("s", lambda x, i: F.struct(x["m"].alias("m"), i.alias("i"))), lambda x: (x["i"] <= F.size("s") - least_marks) & (after(x["i"]) >= least_weight - 1e-9))
+    prefixes = sets.select(key, F.explode(F.transform(early, lambda x: x["m"])).alias("m"))
+    pairs = prefixes.select("m", F.col(key).alias("a")).join(prefixes.select("m", F.col(key).alias("b")), "m").filter("a < b").select("a", "b").distinct()
+    both = pairs.join(sets.withColumnsRenamed({key: "a", "s": "sa", "w": "wa"}), "a").join(sets.withColumnsRenamed({key: "b", "s": "sb", "w": "wb"}), "b")
+    common = both.withColumn("shared", F.array_intersect("sa", "sb")).withColumn("s", -F.aggregate("shared", F.lit(0.0), lambda t, x: t + x["less"]))
+    enough = common.filter((F.size("shared") >= least_marks) & (F.col("s") >= least_weight))
+    return enough.select("a", "b", (F.col("s") / (F.col("wa") + F.col("wb") - F.col("s"))).alias("score"))
+
+
+def set_twins(df: DataFrame, key: str, items: str, least: float) -> DataFrame:
+    """(a, b, jaccard) of different sets at least so similar, between the least keys of equal sets; ``items`` is a sorted array.
+
+    Equal sets are one set, so copies make no pairs among themselves (:func:`same_sets` has them). Sets meet
+    by rare items: in the order of rising frequency two similar sets share one of their first
+    (1 - least) * size + 1 items; sizes too far apart are passed over, and pairs confirmed on whole sets.
+    """
+    sets = df.filter(F.size(items) > 0).groupBy(F.col(items).alias("w")).agg(F.min(key).alias("id"))
+    n = F.size("w")
+    each = sets.select("id", n.alias("n"), F.explode("w").alias("x"))
+    ranked = each.join(each.groupBy("x").agg(F.count("*").alias("f")), "x").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("by"))
+    first = F.floor(F.col("n") * (1 - least) + 1e-9).cast("int") + 1
+    early = ranked.select("id", "n", F.explode(F.slice("by", F.lit(1), first)).alias("e")).select("id", "n", "e.x")
+    a, b = early.select("x", F.col("id").alias("a"), F.col("n").alias("na")), early.select("x", F.col("id").alias("b"), F.col("n").alias("nb"))
+    pairs = a.join(b, "x").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    shared = F.size(F.array_intersect("wa", "wb"))
+    return both.select("a", "b", (shared / (F.size("wa") + F.size("wb") - shared)).alias("jaccard")).filter(F.col("jaccard") >= least - 1e-12)
+
+
+def same_sets(df: DataFrame, key: str, items: str) -> DataFrame:
+    """(key, first): the least key of the same (not empty) set, for every key."""
+    digest = F.sha2(F.to_json(F.array_sort(items)), 256)
+    rows = df.filter(F.size(items) > 0).select(key, digest.alias("_set"))
+    return rows.join(rows.groupBy("_set").agg(F.min(key).alias("first")), "_set").select(key, "first")
+
+
+def room_pairs(sheets: DataFrame, rooms: DataFrame, least: int = 2) -> DataFrame:
+    """(a, b, shared, score, share): sheets that share enough rooms; the same system and equipment on both count more.
+
+    ``sheets`` has sheet, system and equipment, ``rooms`` distinct (sheet, room). Sheets with equal sets of
+    rooms are one text and no pair. ``share`` is of the smaller set.
+    """
+    sizes = rooms.groupBy("sheet").agg(F.count("*").alias("n"))
+    one = lambda k: sheets.join(sizes, "sheet").select(*(F.col(c).alias(f"{k}_{c}" if c != "sheet" else k) for c in ("sheet", "system", "equipment", "n")))
+    pairs = rooms.select(F.col("sheet").alias("a"), "room").join(rooms.select(F.col("sheet").alias("b"), "room"), "room").filter("a < b")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least).join(one("a"), "a").join(one("b"), "b")
+    bonus = F.when(F.col("a_system") == F.col("b_system"), 1000).otherwise(0) + F.when(F.col("a_equipment") & F.col("b_equipment"), 5).otherwise(0)
+    pairs = pairs.filter((F.col("shared") < F.col("a_n")) | (F.col("shared") < F.col("b_n")))
+    return pairs.select("a", "b", "shared", (F.col("shared") + bonus).alias("score"), (F.col("shared") / F.least("a_n", "b_n")).alias("share"))
+
+
+def sheet_pairs(sheets: DataFrame, marks: DataFrame, top: int = 12, by_title: float = 60.0) -> DataFrame:
+    """(block, a, b, score): one-to-one pairs of sheets of side 0 and side 1 in one block.
+
+    Candidates of a sheet are its ``top`` best by title and its ``top`` best by the weight of shared marks.
+    Titles are compared in full only between sheets whose lengths let them reach ``by_title`` and that share
+    a word. The score is the title's likeness plus the weight of shared marks.
+    """
+    names = sheets.select("block", "side", "sheet", "title")
+    left = names.filter("side = 0").select("block", F.col("sheet").alias("a"), F.col("title").alias("ta"))
+    right = names.filter("side = 1").select("block", F.col("sheet").alias("b"), F.col("title").alias("tb"))
+    word = lambda t: F.explode(F.array_distinct(F.split(F.lower(t), r"\s+"))).alias("word")
+    n, m = F.length("ta"), F.length("tb")
+    meet = left.select("block", "a", "ta", word("ta")).join(right.select("block", "b", "tb", word("tb")), ["block", "word"])
+    meet = meet.filter(F.least(n, m) * 200 >= by_title * (n + m)).select("block", "a", "b", "ta", "tb").distinct()
+    title = meet.withColumn("t", F.round(text_score("token_sort_ratio")(F.col("ta"), F.col("tb")), 4)).filter(F.col("t") >= by_title).select("block", "a", "b", "t")
+    weights = inverse_frequency(marks, "sheet", "mark")
+    weighed = names.select("block", "side", "sheet").join(marks, "sheet").join(weights, "mark")
+    own = lambda side, name: weighed.filter(F.col("side") == side).select("block", "mark", "idf", F.col("sheet").alias(name))
+    shared = own(0, "a").join(own(1, "b").drop("idf"), ["block", "mark"]).groupBy("block", "a", "b").agg(F.round(F.sum("idf"), 6).alias("w"))
+    best = lambda df, c: df.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc(c), "b"))).filter(F.col("r") <= top).drop("r")
+    both = best(title, "t").join(best(shared, "w"), ["block", "a", "b"], "full")
+    scored = both.select("block", "a", "b", F.round(F.coalesce("t", F.lit(0.0)) + F.coalesce("w", F.lit(0.0)), 4).alias("score"))
+    return greedy_pairs(scored, ["block"], "a", "b", ["score", "a", "b"], [True, False, False])
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -30,10 +30,20 @@ def join13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("a", "b", "votes", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query("join14_greedy_pairs")
+def greedy_sql(edges: str, block: str, a: str, b: str, order: str) -> str:
+    """Common tables ``picked``: the edges that a walk in order takes, block by block, as ends are still free."""
+    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY {block} ORDER BY {order}) i FROM {edges}),
+  walk AS (SELECT DISTINCT {block}, 0::BIGINT i, []::BIGINT[] ua, []::BIGINT[] ub, false AS won FROM ranked UNION ALL
+    SELECT w.{block}, r.i, CASE WHEN list_contains(ua, r.{a}) OR list_contains(ub, r.{b}) THEN ua ELSE list_append(ua, r.{a}) END, CASE WHEN list_contains(ua, r.{a}) OR list_contains(ub, r.{b}) THEN ub ELSE list_append(ub, r.{b}) END,
+      NOT (list_contains(ua, r.{a}) OR list_contains(ub, r.{b})) FROM walk w JOIN ranked r ON r.{block} = w.{block} AND r.i = w.i + 1),
+  picked AS (SELECT r.* FROM walk w JOIN ranked r USING ({block}, i) WHERE won)"""
+
+
+@query("join14_greedy_pairs", f"""WITH RECURSIVE {SHINGLES_SQL}, edges AS (SELECT lang, a, b, i / (n + m - i) jaccard FROM j JOIN documents ON doc_id = a WHERE i / (n + m - i) >= 0.5),
+  {greedy_sql('edges', 'lang', 'a', 'b', 'jaccard DESC, a, b')} SELECT lang, a, b, round(jaccard, 6) jaccard FROM picked""")
 def join14(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Tables(spark, sf_dir).documents.select("doc_id", "text", "lang")
-    found = M.shingle_pairs(d, "doc_id", words()).withColumn("block", F.lit(0)).join(d.select(F.col("doc_id").alias("a"), "lang"), "a")
+    found = M.shingle_pairs(d, "doc_id", words()).join(d.select(F.col("doc_id").alias("a"), "lang"), "a")
     return M.greedy_pairs(found, ["lang"], "a", "b", ["jaccard", "a", "b"], [True, False, False]).select("lang", "a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -94,14 +104,11 @@ def join11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("join15_sheet_pairs")
 def join15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = Tables(spark, sf_dir).part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    a = part.filter("p_partkey % 2 = 0").select("p_brand", "p_type", F.col("p_partkey").alias("a"), F.col("p_name").alias("left_name"))
-    b = part.filter("p_partkey % 2 = 1").select("p_brand", "p_type", F.col("p_partkey").alias("b"), F.col("p_name").alias("right_name"))
-    score = M.text_score("token_sort_ratio")
-    pairs = a.join(b, ["p_brand", "p_type"]).withColumn("score", F.round(score(F.col("left_name"), F.col("right_name")), 4))
-    top = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
-    pairs = pairs.withColumn("r", top).filter("r <= 12").select("p_brand", "p_type", "a", "b", "score")
-    return M.greedy_pairs(pairs, ["p_brand", "p_type"], "a", "b", ["score", "a", "b"], [True, False, False])
+    """Sheets of two stages in one discipline, by title or by weighted shared marks (here, the orders they are in)."""
+    t = Tables(spark, sf_dir)
+    sheets = t.part.select(F.concat_ws(" ", "p_brand", "p_type").alias("block"), F.col("p_partkey").alias("sheet"), F.col("p_name").alias("title"), (F.col("p_partkey") % 2).alias("side"))
+    marks = t.lineitem.select(F.col("l_partkey").alias("sheet"), F.col("l_orderkey").alias("mark")).distinct()
+    return M.sheet_pairs(sheets, marks).select("block", "a", "b", "score")
 
 
 @query("join17_nearest_label", f"""{BOX_SQL}, p AS (SELECT a.k, a.n, b.n m, sqrt((a.x0 - b.x0) ** 2 + (a.y0 - b.y0) ** 2) d FROM b a JOIN b ON a.k = b.k AND a.n <> b.n)
@@ -161,20 +168,35 @@ def join29(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_per_group(a.join(b, "k"), ["k"], [F.col("s") != F.col("s2"), F.abs(F.col("q") - F.col("q2")), "n", "m"], 3).select("k", "n", "m")
 
 
-@query("join30_word_set_twins", r"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '\p{L}+')) w FROM documents) SELECT a.doc_id, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) jaccard FROM w a JOIN w b ON b.doc_id = a.doc_id + 1
-  WHERE len(a.w) > 0 AND len(b.w) > 0""")
+@query("join30_word_set_twins", r"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '\p{L}+')) w FROM documents), k AS (SELECT * FROM w WHERE len(w) > 0)
+  SELECT a.doc_id a, b.doc_id b, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) jaccard FROM k a JOIN k b ON a.doc_id < b.doc_id AND len(a.w) * 5 >= len(b.w) * 4 AND len(b.w) * 5 >= len(a.w) * 4
+  WHERE a.w <> b.w AND len(list_intersect(a.w, b.w)) * 5 >= (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) * 4
+    AND a.doc_id = (SELECT min(doc_id) FROM k x WHERE list_sort(x.w) = list_sort(a.w)) AND b.doc_id = (SELECT min(doc_id) FROM k x WHERE list_sort(x.w) = list_sort(b.w))""")
 def join30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Tables(spark, sf_dir).documents.select("doc_id", F.array_distinct(words()).alias("w")).filter(F.size("w") > 0)
-    both = w.join(w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v")), "doc_id")
-    n = F.size(F.array_intersect("w", "v"))
-    return both.select("doc_id", F.round(n / (F.size("w") + F.size("v") - n), 6).alias("jaccard"))
+    d = Tables(spark, sf_dir).documents.select("doc_id", F.array_sort(F.array_distinct(words())).alias("w"))
+    return M.set_twins(d, "doc_id", "w", 0.8).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
 
+ROOMS_SQL = """r AS (SELECT DISTINCT l_suppkey s, l_partkey p FROM lineitem), z AS (SELECT s, count(*) n FROM r GROUP BY 1),
+  c AS (SELECT a.s a, b.s b, count(*) shared FROM r a JOIN r b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2 HAVING count(*) >= 2),
+  e AS (SELECT 0 block, a, b, shared, shared + CASE WHEN x.s_nationkey = y.s_nationkey THEN 1000 ELSE 0 END + CASE WHEN x.s_name LIKE '%7%' AND y.s_name LIKE '%7%' THEN 5 ELSE 0 END score, round(shared / least(n.n, m.n), 9) AS share
+    FROM c JOIN supplier x ON x.s_suppkey = a JOIN supplier y ON y.s_suppkey = b JOIN z n ON n.s = a JOIN z m ON m.s = b WHERE NOT (shared = n.n AND shared = m.n))"""
 
-@query("join31_shared_rooms", """WITH r AS (SELECT DISTINCT l_suppkey s, l_partkey p FROM lineitem WHERE l_quantity > 40) SELECT a.s a, b.s b, count(*) shared FROM r a JOIN r b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2 HAVING count(*) >= 2""")
+
+def room_sheets(t: Tables) -> tuple[DataFrame, DataFrame]:
+    sheets = t.supplier.select(F.col("s_suppkey").alias("sheet"), F.col("s_nationkey").alias("system"), F.col("s_name").contains("7").alias("equipment"))
+    return sheets, t.lineitem.select(F.col("l_suppkey").alias("sheet"), F.col("l_partkey").alias("room")).distinct()
+
+
+@query("join31_shared_rooms", f"WITH {ROOMS_SQL} SELECT a, b, shared, score, share FROM e")
 def join31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = Tables(spark, sf_dir).lineitem.filter("l_quantity > 40").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
-    pairs = r.select(F.col("s").alias("a"), "p").join(r.select(F.col("s").alias("b"), "p"), "p").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter("shared >= 2")
+    return M.room_pairs(*room_sheets(Tables(spark, sf_dir))).select("a", "b", "shared", "score", F.round("share", 9).alias("share"))
+
+
+@query("join31_assigned_sheets", f"WITH RECURSIVE {ROOMS_SQL}, {greedy_sql('e', 'block', 'a', 'b', 'score DESC, share DESC, a, b')} SELECT a, b, score FROM picked")
+def join31_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = M.room_pairs(*room_sheets(Tables(spark, sf_dir))).withColumn("share", F.round("share", 9))
+    return M.greedy_pairs(pairs, [], "a", "b", ["score", "share", "a", "b"], [True, True, False, False]).select("a", "b", "score")
 
 
 @query("str14_changed_numbers_ext19")
@@ -231,11 +253,12 @@ def ext01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.rule_values(construction_pages(Tables(spark, sf_dir))).select("doc_id", "page", "code", "value")
 
 
-@query("ext09_chosen_values", """WITH v AS (SELECT l_orderkey doc_id, l_linenumber % 6 c, l_quantity::INT q FROM lineitem) SELECT doc_id, 'slab_thickness' code, min(q * 25.0::DOUBLE) "value" FROM v WHERE c = 4 AND q * 25 >= 300 GROUP BY 1
-  UNION ALL SELECT doc_id, 'door_width', min(q / 20) FROM v WHERE c = 3 AND q / 20 BETWEEN 0.5 AND 5 GROUP BY 1 UNION ALL SELECT doc_id, 'daily_flow', max(q::DOUBLE) FROM v WHERE c = 2 GROUP BY 1""")
+@query("ext09_chosen_values", """WITH v AS (SELECT l_orderkey doc_id, l_linenumber % 6 c, l_quantity::INT q, l_linenumber * 1000 + l_quantity::INT n FROM lineitem) SELECT doc_id, 'slab_thickness' code, min(q * 25.0::DOUBLE) "value" FROM v WHERE c = 4 AND q * 25 >= 300 GROUP BY 1
+  UNION ALL SELECT doc_id, 'door_width', min(q / 20) FROM v WHERE c = 3 AND q / 20 BETWEEN 0.5 AND 5 GROUP BY 1 UNION ALL SELECT doc_id, 'daily_flow', max(q::DOUBLE) FROM v WHERE c = 2 GROUP BY 1
+  UNION ALL SELECT doc_id, 'useful_area', arg_min(q * 10.0::DOUBLE, n) FROM v WHERE c = 0 AND q * 10 >= 100 GROUP BY 1 UNION ALL SELECT doc_id, 'zero_level', arg_min(q + 100.0::DOUBLE, n) FROM v WHERE c = 1 GROUP BY 1""")
 def ext09(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = E.rule_values(construction_pages(Tables(spark, sf_dir)))
-    return E.chosen_values(values).filter(F.col("code").isin("slab_thickness", "door_width", "daily_flow")).select("doc_id", "code", "value")
+    return E.chosen_values(values).select("doc_id", "code", "value")
 
 
 @query("ext08_concrete_class_str08", "SELECT l_orderkey doc_id, l_linenumber page, ['B25', 'B30', 'B35'][l_quantity::INT % 3 + 1] class FROM lineitem WHERE l_linenumber % 6 = 5")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stagewise import scratch
 from stagewise.sources.documents import flow_layout
 from stagewise.streaming import jobs
 
@@ -22,8 +22,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    root = stream.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/stagewise-streams"
-    return jobs.run_once(stream, f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}", mode)
+    return jobs.run_once(stream, f"{scratch.folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}", mode)
 
 
 @query("stm01_once_each", "SELECT count(DISTINCT event_id) messages FROM events")
@@ -74,7 +73,8 @@ def src16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src17_cache_misses", "SELECT sha256(doc_id::VARCHAR) sha256 FROM documents WHERE doc_id % 3 <> 0")
 def src17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from stagewise.sources.documents import cache_misses
+    from stagewise import scratch
+from stagewise.sources.documents import cache_misses
 
     d = Tables(spark, sf_dir).documents.select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("sha256"))
     return cache_misses(d.select("sha256"), d.filter("doc_id % 3 = 0").select("sha256", F.lit("1").alias("version")), "1")

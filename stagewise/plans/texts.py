@@ -11,10 +11,13 @@ from .core import EXTRACTIONS_SQL, KEYS, extractions
 from .registry import Tables, query
 
 
-@query("str01_collapse", r"SELECT doc_id, trim(regexp_replace(translate(text, '‐‑‒–—−', '------'), '\s+', ' ', 'g')) collapsed FROM documents WHERE NOT regexp_matches(text, '[\x{00A0}\x{0085}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1680}\v]')")
+# Every kind of white space, as the pattern language of the SQL has no class for it.
+SPACES = r"[\t-\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query("str01_collapse", f"SELECT doc_id, trim(regexp_replace(translate(text, '{text.DASHES}', '{'-' * len(text.DASHES)}'), '{SPACES}', ' ', 'g')) collapsed FROM documents")
 def str01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Tables(spark, sf_dir).documents.filter(~F.col("text").rlike(r"[\x{00A0}\x{0085}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1680}\x0B]"))
-    return d.select("doc_id", text.collapse(F.col("text")).alias("collapsed"))
+    return Tables(spark, sf_dir).documents.select("doc_id", text.collapse(F.col("text")).alias("collapsed"))
 
 
 @query("str03_lookalike", "SELECT p_partkey, translate(upper(p_name), 'АВЕКМНОРСТХУ', 'ABEKMHOPCTXY') k FROM part")
@@ -27,15 +30,19 @@ def str04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).supplier.select("s_suppkey", text.norm_code(F.col("s_name")).alias("code"))
 
 
-@query("str05_first_number", r"SELECT doc_id, try_cast(replace(regexp_replace(regexp_extract(replace(text, '−', '-'), '-?\d{1,3}(?:[ \x{00A0}]\d{3})+(?:[.,]\d+)?|-?\d+(?:[.,]\d+)?'), '[ \x{00A0}]', '', 'g'), ',', '.') AS DOUBLE) first_number FROM documents")
+GAPS = r" \x{00A0}\x{2007}\x{2009}\x{202F}"
+
+
+@query("str05_first_number", rf"""SELECT doc_id, try_cast(replace(regexp_replace(regexp_extract(replace(text, '−', '-'), '[-+]?\d{{1,3}}(?:[{GAPS}]\d{{3}})+(?:[.,]\d+)?|[-+]?\d+(?:[.,]\d+)?'), '[{GAPS}]', '', 'g'), ',', '.') AS DOUBLE) first_number FROM documents""")
 def str05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).documents.select("doc_id", text.number(F.col("text")).alias("first_number"))
 
 
-@query("str07_decimals", "SELECT l_orderkey, l_linenumber, length(regexp_extract(l_extendedprice::VARCHAR, '[.,]([0-9]+)', 1)) places FROM lineitem WHERE l_extendedprice % 1 <> 0 AND l_extendedprice > 1")
+@query("str07_decimals", "SELECT l_orderkey, l_linenumber, l_partkey, length(regexp_extract(l_extendedprice::VARCHAR, '[.,]([0-9]+)', 1)) places, length(regexp_extract(l_quantity::INT::VARCHAR, '[.,]([0-9]+)', 1)) whole FROM lineitem")
 def str07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Tables(spark, sf_dir).lineitem.filter((F.col("l_extendedprice") % 1 != 0) & (F.col("l_extendedprice") > 1))
-    return rows.select("l_orderkey", "l_linenumber", text.decimals(F.col("l_extendedprice").cast("string")).cast("long").alias("places"))
+    price, whole = F.col("l_extendedprice").cast("decimal(18,6)").cast("string"), F.col("l_quantity").cast("int").cast("string")
+    shown = F.regexp_replace(price, r"(\.\d+?)0+$", "$1")
+    return Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_partkey", text.decimals(shown).cast("long").alias("places"), text.decimals(whole).cast("long").alias("whole"))
 
 
 @query("str13_shingles", r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') w FROM documents), s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) s FROM w) SELECT doc_id, count(*) shingles FROM s GROUP BY 1""")
