@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import contamination, langid, licenses, lmscore, neardup, packing, quality, secrets, sharding, tiff
+from .oracles import ORACLE_SQL
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +67,5 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_lm": op10_lm,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

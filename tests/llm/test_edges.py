@@ -81,3 +81,17 @@ def test_first_of_each_keeps_columns_and_one_row(spark, docs):
     got = neardup.first_of_each(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id for r in got.collect()), key=str) == sorted([1, 2, 3, 4, 5, 6, 7, None], key=str)
+
+
+def test_sql_twins(spark, sf_dir):
+    import duckdb
+
+    from stagewise.llm import queries
+
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark", "labels"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        want = duck.sql(sql).df()
+        got = queries.QUERIES[name](spark, sf_dir).select(*want.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.itertuples(index=False))), name
