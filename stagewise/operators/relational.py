@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,3 +95,14 @@ def carried_forward(df: DataFrame, keys: Cols, position: str, value: str, reach:
     w = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     at = F.last(F.when(F.col(value).isNotNull(), F.col(position)), ignorenulls=True).over(w)
     return df.withColumn(name, F.when(F.col(position) - at <= reach, F.last(value, ignorenulls=True).over(w)))
+
+
+def recomputed(before: DataFrame, rows: DataFrame, changed: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The results of ``compute`` over ``rows``, made anew only for the keys of ``changed``, with a flag ``recomputed``.
+
+    All other results are taken from ``before``; the rows of the other keys are filtered out before any
+    work on them.
+    """
+    keys = changed.select(key).distinct()
+    fresh = compute(rows.join(keys, key, "left_semi")).withColumn("recomputed", F.lit(True))
+    return fresh.unionByName(before.join(keys, key, "left_anti").withColumn("recomputed", F.lit(False)))

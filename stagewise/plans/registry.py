@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-PLANS = ("core", "engine", "intake", "relational", "texts", "similarity", "metrics", "streams", "reports", "details")
+PLANS = ("core", "engine", "intake", "layout", "relational", "texts", "similarity", "metrics", "streams", "reports", "details")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

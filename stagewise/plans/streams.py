@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagewise import scratch
@@ -21,8 +21,12 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    return jobs.run_once(stream, f"{scratch.folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}", mode)
+def own_folder(spark: SparkSession) -> str:
+    return f"{scratch.folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def finished(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    return jobs.run_once(stream, own_folder(stream.sparkSession), mode, keys)
 
 
 @query("stm01_once_each", "SELECT count(DISTINCT event_id) messages FROM events")
@@ -96,3 +100,77 @@ def src22(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jsn02(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(F.col("event_id") % 11 == 0, F.lit("{broken")).otherwise(F.col("props"))
     return Tables(spark, sf_dir).events.filter(F.from_json(body, "k BIGINT")["k"].isNull() | F.col("value").isNull()).select("event_id")
+
+
+SIGNS_SQL = "s AS (SELECT user_id, event_id, ts, row_number() OVER w i, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'DONE' ELSE 'SENT' END WHEN 'click' THEN CASE WHEN event_id % 5 = 0 THEN 'TIMEOUT' ELSE 'SENT' END ELSE 'SENT' END sign FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))"
+
+
+def sign_of() -> Column:
+    kind, n = F.col("event_type"), F.col("event_id")
+    return F.when(kind == "error", "FAILED").when((kind == "purchase") & (n % 3 == 0), "DONE").when((kind == "click") & (n % 5 == 0), "TIMEOUT").otherwise("SENT")
+
+
+@query("stm02_lifecycle_stream", f"""WITH {SIGNS_SQL}, f AS (SELECT *, count(*) FILTER (sign = 'FAILED') OVER (PARTITION BY user_id ORDER BY i) fails FROM s),
+  e AS (SELECT user_id, min(i) FILTER (sign IN ('DONE','TIMEOUT') OR (sign = 'FAILED' AND fails = 3)) stop FROM f GROUP BY 1)
+  SELECT f.user_id, CASE WHEN max(stop) IS NULL THEN 'SENT' WHEN bool_or(i = stop AND sign = 'DONE') THEN 'DONE' ELSE 'FAILED' END status, 1 + least(2, count(*) FILTER (sign = 'FAILED' AND i <= coalesce(stop, i) AND NOT (i = stop AND fails = 3))) attempt
+  FROM f JOIN e USING (user_id) GROUP BY 1""")
+def stm02_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signs = event_stream(spark, sf_dir).select("user_id", sign_of().alias("sign"), "at")
+    return finished(jobs.lifecycles(signs, "user_id", "sign", "at"), "update", ("user_id",)).select("user_id", "status", "attempt")
+
+
+@query("stm03_lost_sessions", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END opens FROM events),
+  n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) n FROM g), s AS (SELECT user_id, n, min(ts) began, max(ts) AS last, bool_or(event_type = 'purchase') done FROM n GROUP BY 1, 2)
+  SELECT user_id, strftime(began, '%Y-%m-%d %H:%M:%S') began, strftime(last, '%Y-%m-%d %H:%M:%S') AS last FROM s WHERE NOT done AND last + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stm03_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lost = jobs.lost_jobs(event_stream(spark, sf_dir), "at", "user_id", F.col("event_type") == "purchase", "12 hours", "1 hour")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return finished(lost).select("user_id", shown("began"), shown("last"))
+
+
+@query("stm06_snk07_delivered_once", "SELECT user_id || ':v' || (event_id % 4) AS key FROM events WHERE event_type = 'purchase' GROUP BY 1")
+def stm06_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results pushed to a receiver by process and version, each of which comes several times."""
+    s = event_stream(spark, sf_dir).filter("event_type = 'purchase'").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    keyed = s.select(F.concat(F.col("user_id").cast("string"), F.lit(":v"), (F.col("event_id") % 4).cast("string")).alias("key"), "value")
+    return jobs.delivered(keyed, own_folder(spark), "key").select("key")
+
+
+@query("stm06_due_attempts", "SELECT event_id, strftime(ts + to_seconds([0, 60, 300, 900][(event_id % 5)::INT + 1]), '%Y-%m-%d %H:%M:%S') due FROM events WHERE event_id % 5 <= 3 AND ts + to_seconds([0, 60, 300, 900][(event_id % 5)::INT + 1]) <= TIMESTAMP '2024-01-20'")
+def stm06_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Tables(spark, sf_dir).events.select("event_id", F.col("ts").alias("created"), (F.col("event_id") % 5).cast("int").alias("attempts"))
+    return jobs.due(rows, (60, 300, 900), F.lit("2024-01-20").cast("timestamp_ntz")).select("event_id", F.date_format("due", "yyyy-MM-dd HH:mm:ss").alias("due"))
+
+
+@query("stm07_received_packages", "SELECT event_id package, CASE WHEN user_id % 4 = 1 THEN 'DEFERRED' ELSE 'APPLIED' END state FROM events WHERE event_id % 6 <> 0")
+def stm07_received(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Tables(spark, sf_dir).events.select(F.col("event_id").alias("package"), F.col("user_id").alias("process"))
+    return jobs.received(e.unionByName(e), e.filter("package % 6 = 0"), e.filter("process % 4 = 1"), "package", "process").select("package", "state")
+
+
+@query("stm08_audit_operations", """WITH a AS (SELECT user_id, ts, event_id, CASE WHEN event_type IN ('signup', 'view') THEN 'start' ELSE 'finish' END phase FROM events), n AS (SELECT *, lead(phase) OVER w nxt, lead(ts) OVER w AS next_ts FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+  SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') began, CASE WHEN nxt = 'finish' THEN strftime(next_ts, '%Y-%m-%d %H:%M:%S') END ended FROM n WHERE phase = 'start'""")
+def stm08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit is appended to by a stream; operations are read from what was appended."""
+    phase = F.when(F.col("event_type").isin("signup", "view"), "start").otherwise("finish")
+    audit = finished(event_stream(spark, sf_dir).select("user_id", "at", "event_id", phase.alias("phase")))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return jobs.operations(audit, "user_id", "at", "phase", "event_id").select("user_id", shown("began"), shown("ended"))
+
+
+@query("stm11_kept_results", "SELECT event_id FROM events WHERE event_type = 'view' OR ts > TIMESTAMP '2024-01-25' - INTERVAL 7 DAY")
+def stm11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Tables(spark, sf_dir).events.select("event_id", F.when(F.col("event_type") != "view", F.col("ts")).alias("finished"))
+    return jobs.kept_results(rows, F.lit("2024-01-25").cast("timestamp_ntz"), "7 DAYS", "finished").select("event_id")
+
+
+@query("stm12_incremental_update", """WITH o AS (SELECT o_custkey k, count(*) n, max(o_totalprice) top FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), c AS (SELECT o_custkey k, count(*) n, max(o_totalprice) top FROM orders GROUP BY 1)
+  SELECT c.k, c.n, c.top, o.k IS NULL OR o.n <> c.n AS recomputed FROM c LEFT JOIN o ON o.k = c.k""")
+def stm12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New files arrive: only the processes they belong to are computed again, the others are carried over."""
+    from stagewise.operators.relational import recomputed
+
+    orders = Tables(spark, sf_dir).orders.withColumnRenamed("o_custkey", "k")
+    compute = lambda rows: rows.groupBy("k").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top"))
+    before = compute(orders.filter("o_orderkey % 2 = 0"))
+    return recomputed(before, orders, orders.filter("o_orderkey % 2 <> 0"), "k", compute)
