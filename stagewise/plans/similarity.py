@@ -199,11 +199,13 @@ def join31_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.greedy_pairs(pairs, [], "a", "b", ["score", "share", "a", "b"], [True, True, False, False]).select("a", "b", "score")
 
 
-@query("str14_changed_numbers_ext19")
+@query("str14_changed_numbers_ext19", "SELECT p_partkey, p_size || '>' || (p_size + 1) change FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, '2,5>3,5' FROM part WHERE p_partkey % 4 = 1")
 def str14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Tables(spark, sf_dir).documents.select("doc_id", "text")
-    pairs = M.shingle_pairs(d, "doc_id", words()).join(d.withColumnsRenamed({"doc_id": "a", "text": "x"}), "a").join(d.withColumnsRenamed({"doc_id": "b", "text": "y"}), "b")
-    return M.number_changes(pairs, "x", "y").select("a", "b", F.explode("changes").alias("change"))
+    """Two versions of a sentence for each part; of some, a number or two are not the same."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    sentence = lambda n, m: F.concat(F.lit("the wall between the rooms has a width of "), n.cast("string"), F.lit(" mm over its whole length and a height of "), m, F.lit(" m above the floor level of the house"))
+    pairs = Tables(spark, sf_dir).part.select("p_partkey", sentence(size, F.lit("2,5")).alias("x"), sentence(size + F.when(k % 3 == 0, 1).otherwise(0), F.when(k % 4 == 1, "3,5").otherwise("2,5")).alias("y"))
+    return M.number_changes(pairs, "x", "y").select("p_partkey", F.explode("changes").alias("change"))
 
 
 @query("str16_token_sort_ratio")
@@ -219,13 +221,22 @@ def agg30(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("role", M.text_score("wer")(F.col("text"), F.col("after")).alias("w")).groupBy("role").agg(F.round(F.avg("w"), 6).alias("wer"))
 
 
-@query("win10_bands")
+@query("win10_bands", f"""{BOX_SQL.replace('WITH', 'WITH RECURSIVE')}, o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY y0, n) i FROM b),
+  walk AS (SELECT k, i, y0, y1, 0 band FROM o WHERE i = 1 UNION ALL SELECT o.k, o.i, CASE WHEN apart THEN o.y0 ELSE w.y0 END, CASE WHEN apart THEN o.y1 ELSE w.y1 END, band + apart::INT
+    FROM walk w JOIN o ON o.k = w.k AND o.i = w.i + 1, LATERAL (SELECT greatest(least(o.y1, w.y1) - greatest(o.y0, w.y0), 0) / greatest(least(o.y1 - o.y0, w.y1 - w.y0), 1e-12) < 0.4 apart))
+  SELECT k, max(band) + 1 bands FROM walk GROUP BY 1""")
 def win10(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(Tables(spark, sf_dir)).select("k", "n", "y0", "y1")
     return M.banded(b, ["k"], "y0", "y1", ["y0", "n"]).groupBy("k").agg((F.max("band") + 1).alias("bands"))
 
 
-@query("ext17_box_suppression")
+@query("ext17_box_suppression", f"""{BOX_SQL.replace('WITH', 'WITH RECURSIVE')}, s AS (SELECT b.*, l_discount score FROM b JOIN lineitem ON k = l_orderkey AND n = l_linenumber),
+  o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, n, x0, y0) i FROM s),
+  walk AS (SELECT k, i, [{{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] kept FROM o WHERE i = 1 UNION ALL
+    SELECT o.k, o.i, CASE WHEN len(list_filter(kept, lambda q: greatest(least(q.x1, o.x1) - greatest(q.x0, o.x0), 0) * greatest(least(q.y1, o.y1) - greatest(q.y0, o.y0), 0) /
+      ((q.x1 - q.x0) * (q.y1 - q.y0) + (o.x1 - o.x0) * (o.y1 - o.y0) - greatest(least(q.x1, o.x1) - greatest(q.x0, o.x0), 0) * greatest(least(q.y1, o.y1) - greatest(q.y0, o.y0), 0)) >= 0.4)) > 0
+      THEN kept ELSE list_append(kept, {{'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1}}) END FROM walk w JOIN o ON o.k = w.k AND o.i = w.i + 1)
+  SELECT k, arg_max(len(kept), i) kept FROM walk GROUP BY 1""")
 def ext17(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     b = boxes(t).join(t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_discount").alias("score")), ["k", "n"])
