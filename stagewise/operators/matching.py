@@ -142,13 +142,17 @@ def nearest(df: DataFrame, other: DataFrame, page: Sequence[str], x: str, y: str
 def shingle_pairs(df: DataFrame, key: str, words: Column, width: int = 4, least: int = 15, top: int = 5, share: float = 0.5, most_rows: int | None = None) -> DataFrame:
     """Pairs of similar texts: shingles that are not too common vote; of the top voted, those similar enough.
 
-    A shingle in more than max(50, a tenth of the texts) counts in no vote. Columns: a, b, votes, jaccard.
+    Texts with equal shingles are one, named by the least key (:func:`same_sets` has the others), so copies
+    neither use up the best places nor make shingles common. A shingle in more than max(50, a tenth of
+    these) counts in no vote, and a text keeps its ``top`` voted partners among later ones: that is the
+    model's rule and what it loses. Columns: a, b, votes, jaccard.
     """
     from stagewise.functions.text import shingles
 
-    sets = df.select(F.col(key).alias("id"), F.array_distinct(shingles(words, width)).alias("s")).filter(F.size("s") >= least)
+    every = df.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(shingles(words, width))).alias("s")).filter(F.size("s") >= least)
+    sets = scratch.table(every.groupBy("s").agg(F.min("id").alias("id")), "shingle-sets")
     rows = sets.select("id", F.explode("s").alias("s"))
-    total = most_rows or df.count()
+    total = most_rows or sets.count()
     common = rows.groupBy("s").count().filter((F.col("count") > 1) & (F.col("count") <= max(50, total // 10))).select("s")
     kept = rows.join(common, "s")
     votes = kept.select("s", F.col("id").alias("a")).join(kept.select("s", F.col("id").alias("b")), "s").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("votes"))
@@ -259,6 +263,22 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def nearest_anchor(vectors: DataFrame, anchors: DataFrame, key: str, vector: str, owner: str, anchor: str, most: int = 4096, digits: int = 6) -> DataFrame:
+    """(key, owner, similarity): of all anchors the one with the greatest cosine; ties go to the least owner.
+
+    Anchors are counted; ``most`` at a time are broadcast, and more take a pass over the vectors for each
+    such block, so neither memory nor a shuffle grows with their number.
+    """
+    blocks = max(1, -(-anchors.count() // most))
+    found = None
+    for b in range(blocks):
+        part = anchors if blocks == 1 else anchors.filter(F.pmod(F.xxhash64(owner), F.lit(blocks)) == b)
+        scored = vectors.crossJoin(F.broadcast(part.select(owner, anchor))).select(key, owner, F.round(cosine(F.col(vector), F.col(anchor)), digits).alias("s"))
+        found = scored if found is None else found.unionByName(scored)
+    best = found.groupBy(key).agg(F.max(F.struct("s", (-F.col(owner)).alias("less"))).alias("m"))
+    return best.select(key, (-F.col("m.less")).alias(owner), F.col("m.s").alias("similarity"))
+
+
 def changed_numbers(a: str | None, b: str | None, context: int = 3, most_changed: float = 0.3) -> list[str]:
     """Numbers that differ between two aligned texts, as ``old>new``, where enough words around agree."""
     x, y = (re.findall(r"\w+(?:[.,]\d+)?", t or "") for t in (a, b))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stagewise.functions import text as T
+from stagewise.operators import decisions as D
 from stagewise.operators import reconcile as R
 from stagewise.operators import relational as O
 
@@ -24,12 +25,18 @@ def srt07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", F.col("place").cast("long").alias("place"))
 
 
-@query("dsl02_kleene_logic_dsl03_dsl04", """WITH v(x) AS (VALUES (true), (false), (NULL)) SELECT a.x::VARCHAR a, b.x::VARCHAR b, (a.x AND b.x)::VARCHAR both_true, (a.x OR b.x)::VARCHAR either, (NOT a.x)::VARCHAR negated FROM v a, v b""")
+@query("dsl02_kleene_logic_dsl03_dsl04", """WITH v(x) AS (VALUES (true), (false), (NULL)) SELECT coalesce(a.x::VARCHAR, '') a, coalesce(b.x::VARCHAR, '') b, (a.x AND b.x)::VARCHAR both_true, (a.x OR b.x)::VARCHAR either, (NOT a.x)::VARCHAR negated,
+  (a.x = b.x)::VARCHAR equal, (a.x IS NOT NULL)::VARCHAR there, NULL::VARCHAR ordered FROM v a, v b""")
 def dsl02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.createDataFrame([(True,), (False,), (None,)], "x boolean")
-    both = v.select(F.col("x").alias("p")).crossJoin(v.select(F.col("x").alias("q")))
-    text = lambda c, n: c.cast("string").alias(n)
-    return both.select(text(F.col("p"), "a"), text(F.col("q"), "b"), text(F.col("p") & F.col("q"), "both_true"), text(F.col("p") | F.col("q"), "either"), text(~F.col("p"), "negated"))
+    """The truth table of rules as they are read and compiled, over two staged values."""
+    from stagewise.functions import rules
+
+    states = (True, False, None)
+    value = "struct<num:double,str:string,bool:boolean>"
+    rows = spark.createDataFrame([((None, None, a), (None, None, b)) for a in states for b in states], f"`A.PD` {value}, `B.RD` {value}")
+    asked = {"both_true": "A.PD and B.RD", "either": "A.PD or B.RD", "negated": "not A.PD", "equal": "A.PD == B.RD", "there": "exists(A.PD)", "ordered": "A.PD < B.RD"}
+    shown = lambda c: F.coalesce(F.col(c)["bool"].cast("string"), F.lit(""))
+    return rows.select(shown("`A.PD`").alias("a"), shown("`B.RD`").alias("b"), *(rules.compile_tree(rules.Reader(t).whole()).cast("string").alias(n) for n, t in asked.items()))
 
 
 @query("str06_only_numbers", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size + 0.5 END \"value\" FROM part")
@@ -39,55 +46,45 @@ def str06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).part.select("p_partkey", T.only_number(cell).alias("value"))
 
 
-@query("str22_document_code", r"SELECT page_id, regexp_extract(url, '([a-z]+[0-9][a-z0-9]*)', 1) code FROM pages")
+@query("str22_document_code", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'ЖС-РД-' || (270000 + p_partkey) || '-АР' WHEN 1 THEN NULL WHEN 2 THEN 'НВС-2025.03-4.2-КР' || p_size END code FROM part")
 def str22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).pages.select("page_id", F.regexp_extract("url", r"([a-z]+[0-9][a-z0-9]*)", 1).alias("code"))
+    """The document's code among dates, numbers and shorter marks."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    code = F.when(k % 4 == 0, F.concat(F.lit("ЖС-РД-"), (k + 270000).cast("string"), F.lit("-АР"))).when(k % 4 == 2, F.concat(F.lit("НВС-2025.03-4.2-КР"), size)).otherwise(F.lit("без шифра"))
+    return Tables(spark, sf_dir).part.select("p_partkey", T.document_code(F.concat(F.lit("от 12.05.2024, лист АР-1, шифр "), code, F.lit(", стадия П"))).alias("code"))
 
 
 @query("str27_registry_parsers", """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'APPROVED' WHEN 'P' THEN 'DRAFT' ELSE 'UNKNOWN' END approval, CASE WHEN o_orderpriority LIKE '%URGENT' THEN true WHEN o_orderpriority LIKE '%LOW' THEN false END signed FROM orders""")
 def str27(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = {"F": "APPROVED", "P": "DRAFT"}
-    table = F.create_map(*(F.lit(x) for kv in words.items() for x in kv))
-    signed = F.when(F.col("o_orderpriority").endswith("URGENT"), True).when(F.col("o_orderpriority").endswith("LOW"), False)
-    return Tables(spark, sf_dir).orders.select("o_orderkey", F.coalesce(F.element_at(table, F.col("o_orderstatus")), F.lit("UNKNOWN")).alias("approval"), signed.alias("signed"))
+    state, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    word = F.when(state == "F", " Утверждён,").when(state == "P", "Проект").otherwise("на рассмотрении")
+    sign = F.when(priority.endswith("URGENT"), "Подписано УКЭП").when(priority.endswith("LOW"), "Не подписан").otherwise("?")
+    return Tables(spark, sf_dir).orders.select("o_orderkey", T.approval(word).alias("approval"), T.signed(sign).alias("signed"))
 
 
-@query("str20_mojibake_repair")
+@query("str20_mojibake_repair", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'План этажа ' || s_suppkey || '.pdf' ELSE s_name END AS name FROM supplier")
 def str20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names whose bytes were read as the wrong Cyrillic page: one vectorised step on distinct names."""
-
-    @F.pandas_udf("string")
-    def repair(names):
-        def one(name):
-            try:
-                fixed = name.encode("mac_cyrillic").decode("cp866")
-            except (UnicodeError, AttributeError):
-                return name
-            return fixed if sum("а" <= c.lower() <= "я" for c in fixed) > sum("а" <= c.lower() <= "я" for c in name) else name
-
-        return names.map(one)
-
-    return Tables(spark, sf_dir).supplier.select("s_suppkey", repair(F.col("s_name")).alias("name"))
+    broken = F.lit("План этажа ".encode("cp866").decode("mac_cyrillic"))
+    name = F.when(F.col("s_suppkey") % 2 == 0, F.concat(broken, F.col("s_suppkey").cast("string"), F.lit(".pdf"))).otherwise(F.col("s_name"))
+    return Tables(spark, sf_dir).supplier.select("s_suppkey", T.repaired_name(name).alias("name"))
 
 
-@query("cmp16_signed_delta", "SELECT o_orderkey, CASE WHEN o_totalprice >= 100000 THEN '+' ELSE '' END || printf('%.2f', o_totalprice - 100000) delta FROM orders WHERE o_totalprice <> 100000")
+@query("cmp16_signed_delta", "SELECT o_orderkey, CASE WHEN o_totalprice >= 100000 THEN '+' ELSE '' END || printf('%.2f', o_totalprice - 100000) delta FROM orders")
 def cmp16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    diff = F.col("o_totalprice") - 100000
-    return Tables(spark, sf_dir).orders.filter("o_totalprice <> 100000").select("o_orderkey", F.format_string("%+.2f", diff).alias("delta"))
+    return Tables(spark, sf_dir).orders.select("o_orderkey", F.format_string("%+.2f", F.col("o_totalprice") - 100000).alias("delta"))
 
 
 @query("cmp21_upload_status", """SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'A') THEN 'FAILED' WHEN count(DISTINCT l_linenumber % 3) = 3 THEN 'COMPLETE' ELSE 'PARTIALLY_LOADED' END status FROM lineitem GROUP BY 1""")
 def cmp21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stages = sum(F.bool_or(F.col("l_linenumber") % 3 == k).cast("int") for k in range(3))
-    status = F.when(F.bool_or(F.col("l_returnflag") == "A"), "FAILED").when(stages == 3, "COMPLETE").otherwise("PARTIALLY_LOADED")
-    return Tables(spark, sf_dir).lineitem.groupBy("l_orderkey").agg(status.alias("status"))
+    stage = F.element_at(F.array(*map(F.lit, ("ID", "PD", "RD"))), F.col("l_linenumber") % 3 + 1)
+    by = Tables(spark, sf_dir).lineitem.groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "A").alias("failed"), F.collect_set(stage).alias("present"))
+    return by.select("l_orderkey", D.upload_status(F.col("failed"), F.col("present"), F.array(*map(F.lit, R.STAGES))).alias("status"))
 
 
 @query("cmp31_model_states", """SELECT o_orderkey, CASE WHEN o_orderkey = max(o_orderkey) FILTER (o_orderstatus = 'F') OVER (PARTITION BY o_custkey) THEN 'APPROVED' WHEN o_orderstatus = 'F' THEN 'ROLLED_BACK' WHEN o_orderstatus = 'O' THEN 'PENDING' ELSE 'REJECTED' END state FROM orders""")
 def cmp31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).over(Window.partitionBy("o_custkey"))
-    state = F.when(F.col("o_orderkey") == F.col("last"), "APPROVED").when(F.col("o_orderstatus") == "F", "ROLLED_BACK").when(F.col("o_orderstatus") == "O", "PENDING").otherwise("REJECTED")
-    return Tables(spark, sf_dir).orders.withColumn("last", done).select("o_orderkey", state.alias("state"))
+    status = F.col("o_orderstatus")
+    return D.model_states(Tables(spark, sf_dir).orders, "o_custkey", "o_orderkey", status == "F", status != "O").select("o_orderkey", "state")
 
 
 @query("stm07_deferred_packages", """SELECT event_id, CASE WHEN ts < max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id) THEN 'APPLIED' ELSE 'DEFERRED' END state FROM events""")

@@ -288,14 +288,18 @@ def agg16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("l_orderkey", "revision", F.date_format("d", "yyyy-MM-dd").alias("latest"), F.round(0.5 + 0.4 * F.col("top") / F.col("n"), 2).alias("confidence"))
 
 
-@query("agg32_dataset_version", """WITH s AS (SELECT o_orderkey, o_custkey, CASE WHEN ('0x' || substr(sha256(o_custkey::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < 0.7 THEN 'TRAIN' ELSE 'REST' END split FROM orders)
-  SELECT split, count(*) items, count(DISTINCT o_custkey) objects, sha256(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey::VARCHAR)) digest FROM s GROUP BY 1""")
+HASHED_SQL = "h AS (SELECT split, sha256(o_orderkey::VARCHAR) h FROM s), p AS (SELECT split, substr(h, 1, 2) a, substr(h, 3, 2) b, sha256(string_agg(h, '' ORDER BY h)) h FROM h GROUP BY 1, 2, 3), q AS (SELECT split, a, sha256(string_agg(h, '' ORDER BY b)) h FROM p GROUP BY 1, 2)"
+
+
+@query("agg32_dataset_version", f"""WITH s AS (SELECT o_orderkey, o_custkey, CASE WHEN ('0x' || substr(sha256(o_custkey::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < 0.7 THEN 'TRAIN' ELSE 'REST' END split FROM orders), {HASHED_SQL},
+  d AS (SELECT split, sha256(string_agg(h, '' ORDER BY a)) digest FROM q GROUP BY 1) SELECT split, count(*) items, count(DISTINCT o_custkey) objects, any_value(digest) digest FROM s JOIN d USING (split) GROUP BY 1""")
 def agg32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stagewise.operators.decisions import set_digest
     from stagewise.operators.learning import split_of
 
     s = Tables(spark, sf_dir).orders.withColumn("split", split_of(F.col("o_custkey"), (("TRAIN", 0.7), ("REST", 1.0))))
-    digest = F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("o_orderkey").cast("string"))), ","), 256)
-    return s.groupBy("split").agg(F.count("*").alias("items"), F.count_distinct("o_custkey").alias("objects"), digest.alias("digest"))
+    counts = s.groupBy("split").agg(F.count("*").alias("items"), F.count_distinct("o_custkey").alias("objects"))
+    return counts.join(set_digest(s, ["split"], F.col("o_orderkey")), "split")
 
 
 @query("agg38_status_counters", "SELECT event_type, count(*) n, count(*) FILTER (value > 50) due, strftime(max(ts), '%Y-%m-%d %H:%M:%S') last_at FROM events GROUP BY 1")

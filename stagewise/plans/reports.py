@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stagewise.functions import text as T
+from stagewise.operators import decisions as D
 from stagewise.operators import reconcile as R
 from stagewise.operators import relational as O
 
@@ -25,39 +26,39 @@ def flt10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).lineitem.filter(x.between(0.5, 1) & y.between(0.68, 1)).select("l_orderkey", "l_linenumber")
 
 
-@query("cmp04_mark_tokens", r"SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(p_type), '[A-Z]{2,5}'))), ',') marks FROM part")
+@query("cmp04_mark_tokens", r"""WITH m AS (SELECT p_partkey, regexp_extract_all(upper(p_type || p_size || '-AP7, X, ' || p_brand), '[A-Z]{2,5}[0-9]*') f, regexp_extract_all(regexp_replace(upper(p_type || p_size || '-AP7, X, ' || p_brand), '[^A-Z0-9]+', '  ', 'g'), '(?:^| )[A-Z]{2,5}[0-9]*(?: |$)') g FROM part),
+  t AS (SELECT p_partkey, list_transform(g, lambda x: trim(x)) g FROM m) SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(g, list_transform(g, lambda x: regexp_replace(x, '[0-9]+$', ''))))), ',') marks FROM t""")
 def cmp04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = F.array_sort(F.array_distinct(F.regexp_extract_all(F.upper("p_type"), F.lit(r"[A-Z]{2,5}"), F.lit(0))))
-    return Tables(spark, sf_dir).part.select("p_partkey", F.array_join(marks, ",").alias("marks"))
+    name = F.concat("p_type", F.col("p_size").cast("string"), F.lit("-AP7, X, "), "p_brand")
+    return Tables(spark, sf_dir).part.select("p_partkey", F.array_join(T.marks(name), ",").alias("marks"))
 
 
-@query("cmp13_text_comparator", r"SELECT c.conv_id, c.turn, trim(regexp_replace(lower(c.text), '\s+', ' ', 'g'), ' .,;') <> trim(regexp_replace(lower(d.text), '\s+', ' ', 'g'), ' .,;') hit FROM conversations c JOIN conversations d ON d.conv_id = c.conv_id AND d.turn = c.turn + 1")
+@query("cmp13_text_comparator", r"SELECT c.conv_id, c.turn, regexp_replace(lower(regexp_replace(c.text, '\s+', ' ', 'g')), '^[\s.,;:-]+|[\s.,;:-]+$', '', 'g') <> regexp_replace(lower(regexp_replace(d.text, '\s+', ' ', 'g')), '^[\s.,;:-]+|[\s.,;:-]+$', '', 'g') hit FROM conversations c JOIN conversations d ON d.conv_id = c.conv_id AND d.turn = c.turn + 1")
 def cmp13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    same = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), r"\s+", " "), r"^[ .,;]+|[ .,;]+$", "")
     c = Tables(spark, sf_dir).conversations.select("conv_id", "turn", "text")
     d = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("after"))
-    return c.join(d, ["conv_id", "turn"]).select("conv_id", "turn", (same(F.col("text")) != same(F.col("after"))).alias("hit"))
+    return c.join(d, ["conv_id", "turn"]).select("conv_id", "turn", T.changed_text(F.col("text"), F.col("after")).alias("hit"))
 
 
 @query("cmp22_worst_status", "SELECT l_orderkey, greatest(max(CASE l_returnflag WHEN 'A' THEN 3 WHEN 'R' THEN 2 ELSE 1 END), max(CASE l_linestatus WHEN 'F' THEN 2 ELSE 1 END)) worst FROM lineitem GROUP BY 1")
 def cmp22(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.when(F.col("l_returnflag") == "A", 3).when(F.col("l_returnflag") == "R", 2).otherwise(1)
     b = F.when(F.col("l_linestatus") == "F", 2).otherwise(1)
-    return Tables(spark, sf_dir).lineitem.groupBy("l_orderkey").agg(F.greatest(F.max(a), F.max(b)).alias("worst"))
+    return Tables(spark, sf_dir).lineitem.groupBy("l_orderkey").agg(D.worst(F.max(a), F.max(b)).alias("worst"))
 
 
-@query("cmp24_decision_state", "SELECT user_id, CASE arg_max(event_type, (ts, event_id)) WHEN 'click' THEN 'CONFIRMED_VIOLATION' WHEN 'view' THEN 'NEGATIVE_VERIFIED' WHEN 'error' THEN 'CLARIFICATION_REQUIRED' ELSE 'PENDING' END status, count(*) decisions, count(*) FILTER (event_type = 'view') rejections FROM events GROUP BY 1")
+@query("cmp24_decision_state", "SELECT user_id, CASE arg_max(event_type, (ts, event_id)) WHEN 'click' THEN 'CONFIRMED_VIOLATION' WHEN 'view' THEN 'NEGATIVE_VERIFIED' WHEN 'error' THEN 'CLARIFICATION_REQUIRED' ELSE 'PENDING' END state, count(*) decisions, count(*) FILTER (event_type = 'view') rejections FROM events GROUP BY 1")
 def cmp24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = F.max_by("event_type", F.struct("ts", "event_id"))
-    by = Tables(spark, sf_dir).events.groupBy("user_id").agg(last.alias("last"), F.count("*").alias("decisions"), F.count_if(F.col("event_type") == "view").alias("rejections"))
-    status = F.when(F.col("last") == "click", "CONFIRMED_VIOLATION").when(F.col("last") == "view", "NEGATIVE_VERIFIED").when(F.col("last") == "error", "CLARIFICATION_REQUIRED").otherwise("PENDING")
-    return by.select("user_id", status.alias("status"), "decisions", "rejections")
+    kind = F.col("event_type")
+    action = F.when(kind == "click", "CONFIRM").when(kind == "view", "REJECT").when(kind == "error", "CLARIFY")
+    return D.decision_states(Tables(spark, sf_dir).events.withColumn("action", action), "user_id", "action", ["ts", "event_id"])
 
 
-@query("cmp25_split_checks", "SELECT o_orderkey || '#' || part AS child FROM (SELECT o_orderkey, unnest(['a', 'b']) part FROM orders WHERE o_orderstatus = 'P')")
+@query("cmp25_split_checks", "SELECT o_orderkey || '#' || part AS child FROM (SELECT o_orderkey, unnest(CASE o_orderstatus WHEN 'P' THEN ['a', 'b'] WHEN 'O' THEN [o_orderpriority] ELSE [] END) part FROM orders)")
 def cmp25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = Tables(spark, sf_dir).orders.filter("o_orderstatus = 'P'")
-    return o.withColumn("part", F.explode(F.array(F.lit("a"), F.lit("b")))).select(F.concat_ws("#", F.col("o_orderkey").cast("string"), "part").alias("child"))
+    status = F.col("o_orderstatus")
+    parts = F.when(status == "P", F.array(F.lit("a"), F.lit("b"), F.lit("a"))).when(status == "O", F.array("o_orderpriority"))
+    return D.split_children(Tables(spark, sf_dir).orders, "o_orderkey", parts).select("child")
 
 
 @query("cmp26_finalisable", f"{WITH_VERDICTS} SELECT object_id, count(*) FILTER (verdict = 'CANDIDATE') = 0 allowed FROM verdicts GROUP BY 1")
@@ -101,14 +102,15 @@ def snk01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.to_json(F.struct(F.col("param").alias("code"), label.alias("label"), F.col("object_id").alias("object"), F.col("rule_key").alias("point"))).alias("line"))
 
 
-@query("snk04_xml_rows", "SELECT '<check id=\"' || o_orderkey || '\"><status>' || o_orderstatus || '</status></check>' line FROM orders")
+@query("snk04_xml_rows", """SELECT '<check id="' || o_orderkey || '"><status>' || o_orderstatus || ' &lt;&amp;&gt; ' || o_orderkey || '</status></check>' line FROM orders""")
 def snk04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).orders.select(F.format_string('<check id="%d"><status>%s</status></check>', "o_orderkey", "o_orderstatus").alias("line"))
+    status = F.concat("o_orderstatus", F.lit(" <&> "), F.col("o_orderkey").cast("string"))
+    return Tables(spark, sf_dir).orders.select(D.xml_element("check", {"id": F.col("o_orderkey")}, {"status": status}).alias("line"))
 
 
-@query("str02_keys", r"SELECT p_partkey, regexp_replace(replace(lower(trim(regexp_replace(p_name || ' .', '\s+', ' ', 'g'))), 'ё', 'е'), '^[\s.,;:]+|[\s.,;:]+$', '', 'g') k FROM part")
+@query("str02_keys", r"SELECT p_partkey, regexp_replace(replace(lower(trim(regexp_replace('- ' || p_name || ' .–', '\s+', ' ', 'g'))), 'ё', 'е'), '^[\s.,;:–-]+|[\s.,;:–-]+$', '', 'g') k FROM part")
 def str02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).part.select("p_partkey", T.key(F.concat("p_name", F.lit(" ."))).alias("k"))
+    return Tables(spark, sf_dir).part.select("p_partkey", T.key(F.concat(F.lit("- "), "p_name", F.lit(" .–"))).alias("k"))
 
 
 @query("str17_canonical_numbers", "SELECT l_orderkey, l_linenumber, regexp_replace(regexp_replace(l_discount::DECIMAL(6,3)::VARCHAR, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') n FROM lineitem")

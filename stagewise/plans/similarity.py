@@ -14,8 +14,8 @@ from .texts import BOX_SQL, boxes
 
 WORDS = r"\p{L}+"
 SHINGLES_SQL = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') w FROM documents),
-  s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) s FROM w WHERE len(w) >= 4), k AS (SELECT * FROM s WHERE len(s) >= 15),
-  e AS (SELECT doc_id, unnest(s) g FROM k), c AS (SELECT g FROM e GROUP BY 1 HAVING count(*) BETWEEN 2 AND greatest(50, (SELECT count(*) FROM documents) // 10)), f AS (SELECT e.* FROM e JOIN c USING (g)),
+  s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) s FROM w WHERE len(w) >= 4), k AS (SELECT min(doc_id) doc_id, s FROM (SELECT doc_id, list_sort(s) s FROM s WHERE len(s) >= 15) GROUP BY s),
+  e AS (SELECT doc_id, unnest(s) g FROM k), c AS (SELECT g FROM e GROUP BY 1 HAVING count(*) BETWEEN 2 AND greatest(50, (SELECT count(*) FROM k) // 10)), f AS (SELECT e.* FROM e JOIN c USING (g)),
   v AS (SELECT a.doc_id a, b.doc_id b, count(*) votes FROM f a JOIN f b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2), t AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY a ORDER BY votes DESC, b) <= 5),
   j AS (SELECT a, b, votes, len(list_intersect(x.s, y.s)) i, len(x.s) n, len(y.s) m FROM t JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b)"""
 
@@ -39,6 +39,13 @@ def greedy_sql(edges: str, block: str, a: str, b: str, order: str) -> str:
   picked AS (SELECT r.* FROM walk w JOIN ranked r USING ({block}, i) WHERE won)"""
 
 
+@query("join13_equal_sets", f"WITH {SHINGLES_SQL} SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(s)) AS first FROM s WHERE len(s) >= 15")
+def join13_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which text stands for each text in the pairs: the first one with the same shingles."""
+    d = Tables(spark, sf_dir).documents.select("doc_id", F.array_distinct(T.shingles(words(), 4)).alias("s")).filter(F.size("s") >= 15)
+    return M.same_sets(d, "doc_id", "s")
+
+
 @query("join14_greedy_pairs", f"""WITH RECURSIVE {SHINGLES_SQL}, edges AS (SELECT lang, a, b, i / (n + m - i) jaccard FROM j JOIN documents ON doc_id = a WHERE i / (n + m - i) >= 0.5),
   {greedy_sql('edges', 'lang', 'a', 'b', 'jaccard DESC, a, b')} SELECT lang, a, b, round(jaccard, 6) jaccard FROM picked""")
 def join14(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,28 +76,27 @@ def agg18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.weighted_jaccard(m, M.inverse_frequency(m, "k", "m"), "k", "m").select("a", "b", F.round("score", 6).alias("score"))
 
 
-@query("join27_cosine_owner", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings), o AS (SELECT label, min(vec_id) id FROM embeddings GROUP BY 1), a AS (SELECT label, v FROM o JOIN v ON id = vec_id),
-  c AS (SELECT vec_id, label, list_cosine_similarity(v.v, a.v) s FROM v, a) SELECT vec_id, arg_max(label, (round(s, 6), -label)) owner, max(round(s, 6)) similarity FROM c GROUP BY 1 HAVING max(round(s, 6)) >= 0.1""")
-def join27(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(spark, sf_dir)
+ANCHORS_SQL = """v AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings), o AS (SELECT label, min(vec_id) id FROM embeddings GROUP BY 1), a AS (SELECT label, v FROM o JOIN v ON id = vec_id),
+  c AS (SELECT vec_id, label, round(list_cosine_similarity(v.v, a.v), 6) s FROM v, a)"""
+
+
+def owned(t: Tables) -> DataFrame:
+    """(vec_id, owner, similarity): the label whose anchor, its first vector, is nearest to each vector."""
     v = t.embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     anchors = t.embeddings.groupBy("label").agg(F.min("vec_id").alias("vec_id")).join(v.drop("label"), "vec_id").select(F.col("label").alias("owner"), F.col("v").alias("a"))
-    # every label competes for every vector: as many anchors as there are labels
-    scored = v.select("vec_id", "v").crossJoin(anchors).select("vec_id", "owner", F.round(M.cosine(F.col("v"), F.col("a")), 6).alias("s"))
-    best = scored.groupBy("vec_id").agg(F.max(F.struct("s", (-F.col("owner")).alias("less"))).alias("m"))
-    return best.select("vec_id", (-F.col("m.less")).alias("owner"), F.col("m.s").alias("similarity")).filter("similarity >= 0.1")
+    return M.nearest_anchor(v.select("vec_id", "v"), anchors, "vec_id", "v", "owner", "a")
 
 
-@query("join28_exclusive_labels", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings), o AS (SELECT label, min(vec_id) id FROM embeddings GROUP BY 1), a AS (SELECT label, v FROM o JOIN v ON id = vec_id),
-  c AS (SELECT vec_id, label, round(list_cosine_similarity(v.v, a.v), 6) s FROM v, a), w AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) = 1) SELECT label, vec_id, s FROM w QUALIFY row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) = 1""")
+@query("join27_cosine_owner", f"WITH {ANCHORS_SQL} SELECT vec_id, arg_max(label, (s, -label)) owner, max(s) similarity FROM c GROUP BY 1 HAVING max(s) >= 0.1")
+def join27(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return owned(Tables(spark, sf_dir)).filter("similarity >= 0.1")
+
+
+@query("join28_exclusive_labels", f"""WITH {ANCHORS_SQL}, w AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) = 1)
+  SELECT label, vec_id, s FROM w QUALIFY row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) = 1""")
 def join28(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(spark, sf_dir)
-    v = t.embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    anchors = t.embeddings.groupBy("label").agg(F.min("vec_id").alias("vec_id")).join(v.drop("label"), "vec_id").select("label", F.col("v").alias("a"))
-    scored = v.select("vec_id", "v").crossJoin(anchors).select("vec_id", "label", F.round(M.cosine(F.col("v"), F.col("a")), 6).alias("s"))
-    owner = scored.groupBy("vec_id").agg(F.max(F.struct("s", (-F.col("label")).alias("less"))).alias("m")).select("vec_id", (-F.col("m.less")).alias("label"), "m.s")
-    best = owner.groupBy("label").agg(F.max(F.struct("s", (-F.col("vec_id")).alias("less"))).alias("m"))
-    return best.select("label", (-F.col("m.less")).alias("vec_id"), "m.s")
+    best = owned(Tables(spark, sf_dir)).groupBy("owner").agg(F.max(F.struct("similarity", (-F.col("vec_id")).alias("less"))).alias("m"))
+    return best.select(F.col("owner").alias("label"), (-F.col("m.less")).alias("vec_id"), F.col("m.similarity").alias("s"))
 
 
 @query("join11_matched_points")
