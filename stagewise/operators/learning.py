@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -63,8 +64,9 @@ def newton(x: np.ndarray, y: np.ndarray, l2: float = 1.0, weights: np.ndarray |
     return w[:-1], float(w[-1])
 
 
-def newton_sums(df: DataFrame, features: Sequence[str], label: str, l2: float = 1.0, rounds: int = 25) -> tuple[list[float], float]:
+def newton_sums(df: DataFrame, features: Sequence[str], label: str, l2: float = 1.0, rounds: int = 25, weight: str | None = None) -> tuple[list[float], float]:
     """The same fit over a table of any size: each round is one aggregation to a matrix of fixed size."""
+    c = F.lit(1.0) if weight is None else F.col(weight)
     names = [*features, None]
     value = lambda n: F.lit(1.0) if n is None else F.coalesce(F.col(n).cast("double"), F.lit(0.0))
     k = len(names)
@@ -73,9 +75,9 @@ def newton_sums(df: DataFrame, features: Sequence[str], label: str, l2: float =
     penalty[-1] = 1e-9
     for _ in range(rounds):
         p = probability([value(n) for n in names], w.tolist(), 0.0)
-        gradient = [F.sum((p - F.col(label)) * value(n)) for n in names]
+        gradient = [F.sum(c * (p - F.col(label)) * value(n)) for n in names]
         pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        row = df.agg(*gradient, *(F.sum(p * (1 - p) * value(names[i]) * value(names[j])) for i, j in pairs)).first()
+        row = df.agg(*gradient, *(F.sum(c * p * (1 - p) * value(names[i]) * value(names[j])) for i, j in pairs)).first()
         if row[0] is None:
             break
         h = np.diag(penalty)
@@ -89,6 +91,48 @@ def newton_sums(df: DataFrame, features: Sequence[str], label: str, l2: float =
     return w[:-1].tolist(), float(w[-1])
 
 
+@dataclass(frozen=True)
+class Scorer:
+    """A logistic model by feature name: features are standardised, and an unknown one counts as its mean."""
+
+    weights: dict[str, float]
+    bias: float
+    means: dict[str, float]
+    scales: dict[str, float]
+    threshold: float = 0.5
+
+    def probability(self, features: Mapping[str, Column]) -> Column:
+        """The model's probability over columns by name; features that the model doesn't know are passed over."""
+        scaled = [(features[n] - self.means[n]) / self.scales[n] if n in features else F.lit(0.0) for n in self.weights]
+        return probability(scaled, list(self.weights.values()), self.bias)
+
+
+def train_scorer(df: DataFrame, features: Sequence[str], label: str, l2: float = 1.0, recall: float = 0.95) -> Scorer:
+    """A scorer with classes of equal weight, and the highest threshold, 0.5 at most, that keeps the recall.
+
+    One aggregation gives means, deviations and class counts, each Newton round another; no rows reach the
+    driver. Null features count as their mean. With a class missing the weights are all 0.
+    """
+    y = F.col(label).cast("double")
+    value = lambda n: F.col(n).cast("double")
+    row = df.agg(F.count("*"), F.coalesce(F.sum(y), F.lit(0.0)), *(x for n in features for x in (F.avg(value(n)), F.stddev_pop(value(n))))).first()
+    n, ones = row[0], row[1]
+    means = {f: row[2 + 2 * i] or 0.0 for i, f in enumerate(features)}
+    scales = {f: row[3 + 2 * i] or 1.0 for i, f in enumerate(features)}
+    if not 0 < ones < n:
+        return Scorer(dict.fromkeys(features, 0.0), 0.0, means, scales)
+    scaled = df.select(
+        F.when(y == 1, n / (2 * ones)).otherwise(n / (2 * (n - ones))).alias("_w"), y.alias("_y"),
+        *(((F.coalesce(value(f), F.lit(means[f])) - means[f]) / scales[f]).alias(f) for f in features),
+    )
+    weights, bias = newton_sums(scaled, features, "_y", l2, weight="_w")
+    scorer = Scorer(dict(zip(features, weights, strict=True)), bias, means, scales)
+    missed = int((1 - recall) * ones)
+    score = scorer.probability({f: value(f) for f in features})
+    place = df.filter(y == 1).select(score.alias("s")).agg(F.percentile("s", missed / max(ones - 1, 1))).first()[0]
+    return replace(scorer, threshold=float(min(place, 0.5)))
+
+
 def confusion(df: DataFrame, truth: Column, predicted: Column, keys: Sequence[str] = ()) -> DataFrame:
     """tp, fp, fn, tn and from them precision, recall, f1, accuracy and false_positive_rate; 0/0 is 0."""
     c = df.groupBy(*keys).agg(
