@@ -45,7 +45,7 @@ def test_number_comparator(spark):
 def test_revision_roles_keep_unknown_apart(spark):
     rows = [("a", 1, True, None), ("a", 2, None, True), ("b", 1, None, True), ("b", 2, None, False), ("c", 1, None, None), ("d", 1, True, None), ("d", 2, True, None)]
     df = spark.createDataFrame(rows, "g string, i int, auth boolean, ok boolean")
-    got = {(r.g, r.i): r.role for r in R.revision_roles(df, ["g"], "auth", "ok", "i", ["i"]).collect()}
+    got = {(r.g, r.i): r.role for r in R.revision_roles(df, ["g"], "auth", "ok").collect()}
     assert got == {("a", 1): "ACTUAL", ("a", 2): "SUPERSEDED", ("b", 1): "ACTUAL", ("b", 2): "SUPERSEDED", ("c", 1): "ACTUAL", ("d", 1): "CONFLICT", ("d", 2): "CONFLICT"}
 
 
