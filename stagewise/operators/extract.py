@@ -8,46 +8,64 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagewise.functions.text import lookalike
+from stagewise.functions.text import first_match, lookalike
 
 NUMBER = r"(\d+(?:[.,]\d+)?)"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Text around a value (one group), the plausible range and which of several values counts."""
+    """Text around a value (one group), the plausible range and which of several values counts.
+
+    All is looked for within a sentence: one that has ``exclude`` or lacks ``require`` gives no value, and
+    ``keys`` (name, pattern) say what the value belongs to, by the first pattern that the sentence has.
+    """
 
     code: str
     pattern: str
     low: float
     high: float
     pick: str = "first"  # first, min or max of a document
-    exclude: str | None = None  # a text that has this gives no value
+    exclude: str | None = None
+    require: str | None = None
+    keys: tuple[tuple[str, str], ...] = ()
 
 
-# Words that introduce a value, and plausible ranges.
+# Words that introduce a value, what rules it out, what it belongs to, and plausible ranges.
+WATER_SYSTEMS = (("В1", r"(?iU)хозяйственно|питьев"), ("Т3", r"(?iU)горяч"), ("К1", r"(?iU)водоотвед|канализац|сток"))
 RULES = (
     Rule("useful_area", rf"(?iU)полезн\w*\s+площад\w*[^\d]{{0,40}}{NUMBER}", 100, 1e7),
-    Rule("zero_level", rf"(?iU)отметк\w*[^.\d]{{0,60}}{NUMBER}\s*м", 20, 500),
-    Rule("daily_flow", rf"(?iU)расход[^\d]{{0,60}}{NUMBER}\s*м3/сут", 0, 1e6, "max", "пожаротуш"),
+    Rule("zero_level", rf"(?iU)отметк\w*[^\d]{{0,60}}{NUMBER}\s*м\b", 20, 500, require=r"(?iU)нул[яюе]|0[.,]000"),
+    Rule("daily_flow", rf"(?iU)расход[^\d]{{0,80}}{NUMBER}\s*м3/сут", 0, 1e6, "max", r"(?iU)пожаротуш|полив|подпитк", keys=WATER_SYSTEMS),
     Rule("door_width", rf"(?iU)двер\w*[^\d]{{0,40}}{NUMBER}\s*м\b", 0.5, 5, "min"),
     Rule("slab_thickness", rf"(?iU)(?:плит|ростверк)\w*[^\d]{{0,40}}{NUMBER}\s*мм", 300, 4000, "min"),
     Rule("outlet_diameter", rf"(?iU)выпуск\w*[^\d]{{0,40}}{NUMBER}\s*мм", 50, 1000, "max"),
 )
+SENTENCE = r"(?<=[.;!?])\s+(?=[\p{Lu}«\"])"
 
 
 def rule_values(pages: DataFrame, rules: Sequence[Rule] = RULES, document: str = "doc_id", page: str = "page", text: str = "text", most: int = 20) -> DataFrame:
-    """(document, page, code, place, raw, value): what each rule finds, in order, ``most`` a page and rule.
+    """(document, page, code, place, raw, value, key): what each rule finds, in order, ``most`` a page and rule.
 
     All rules read a page once; a document's choice among values is :func:`chosen_values`.
     """
-    none = F.expr("CAST(array() AS array<struct<code:string,place:int,raw:string,value:double>>)")
+    none = F.expr("CAST(array() AS array<struct<code:string,place:int,raw:string,value:double,key:string>>)")
+    sentences = F.split(F.col(text), SENTENCE)
 
     def values_of(r: Rule):
-        values = F.slice(F.regexp_extract_all(F.col(text), F.lit(r.pattern), F.lit(1)), 1, most)
-        if r.exclude:
-            values = F.when(~F.lower(F.col(text)).contains(r.exclude), values)
-        named = F.transform(values, lambda v, i: F.struct(F.lit(r.code).alias("code"), i.alias("place"), v.alias("raw"), F.translate(v, ",", ".").cast("double").alias("value")))
+        key = lambda s: first_match(s, [(pattern, name) for name, pattern in r.keys]) if r.keys else F.lit(None).cast("string")
+
+        def of(s):
+            fits = F.lit(True)
+            if r.exclude:
+                fits = fits & ~s.rlike(r.exclude)
+            if r.require:
+                fits = fits & s.rlike(r.require)
+            found = F.transform(F.regexp_extract_all(s, F.lit(r.pattern), F.lit(1)), lambda v: F.struct(v.alias("raw"), key(s).alias("key")))
+            return F.when(fits, found).otherwise(F.slice(found, 1, 0))
+
+        values = F.slice(F.flatten(F.transform(sentences, of)), 1, most)
+        named = F.transform(values, lambda v, i: F.struct(F.lit(r.code).alias("code"), i.alias("place"), v["raw"].alias("raw"), F.translate(v["raw"], ",", ".").cast("double").alias("value"), v["key"].alias("key")))
         return F.coalesce(F.filter(named, lambda x: x["value"].between(r.low, r.high)), none)
 
     every = F.flatten(F.array(*map(values_of, rules)))
@@ -55,10 +73,34 @@ def rule_values(pages: DataFrame, rules: Sequence[Rule] = RULES, document: str =
 
 
 def chosen_values(values: DataFrame, rules: Sequence[Rule] = RULES, document: str = "doc_id", page: str = "page") -> DataFrame:
-    """One value for each document and code: the first, the least or the greatest; ties by place, then value."""
+    """One value for each document, code and key: the first, the least or the greatest, ties by place and value.
+
+    ``raws`` joins the distinct values as they stand, from the least. One aggregation; of its values a
+    document has at most ``most`` a page and rule.
+    """
     way = F.create_map(*(x for r in rules for x in (F.lit(r.code), F.lit({"first": 0.0, "min": 1.0, "max": -1.0}[r.pick]))))
-    rank = F.row_number().over(Window.partitionBy(document, "code").orderBy(F.element_at(way, F.col("code")) * F.col("value"), page, "place", "value"))
-    return values.withColumn("r", rank).filter("r = 1").drop("r")
+    order = F.struct((F.element_at(way, F.col("code")) * F.col("value")).alias("w"), F.col(page).alias("p"), "place", "value", "raw")
+    raws = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("value", "raw"))), lambda x: x["raw"]), ", ")
+    best = values.groupBy(document, "code", "key").agg(F.min(order).alias("m"), raws.alias("raws"))
+    return best.select(document, "code", "key", F.col("m.value").alias("value"), F.col("m.raw").alias("raw"), F.col("m.p").alias(page), "raws")
+
+
+def fallback_values(candidates: DataFrame, found: DataFrame, params: DataFrame, document: str = "doc_id", least: float = 0.5) -> DataFrame:
+    """(document, code, value, similarity): for parameters without a value of a rule, the candidate nearest in meaning.
+
+    ``candidates`` has document, id, vector, value and unit; ``params`` has code, vector, unit, low, high and
+    integer. Each candidate goes to its nearest parameter only; its unit must be the parameter's, its value
+    plausible and, if asked, whole; a document keeps one value of a parameter. Ties go to the least id.
+    """
+    from .matching import nearest_anchor
+
+    numbered = params.withColumn("n", F.row_number().over(Window.orderBy("code")))  # a matrix of fixed size
+    owner = nearest_anchor(candidates, numbered.select(F.col("n").alias("owner"), F.col("vector").alias("anchor")), "id", "vector", "owner", "anchor").filter(F.col("similarity") >= least)
+    known = candidates.drop("vector").join(owner, "id").join(F.broadcast(numbered.select(F.col("n").alias("owner"), "code", F.col("unit").alias("wanted"), "low", "high", "integer")), "owner")
+    fits = F.col("unit").eqNullSafe(F.col("wanted")) & F.col("value").between(F.col("low"), F.col("high")) & (~F.col("integer") | (F.col("value") == F.floor("value")))
+    free = known.filter(fits).join(found.select(document, "code"), [document, "code"], "left_anti")
+    best = free.groupBy(document, "code").agg(F.max(F.struct("similarity", (-F.col("id")).alias("less"), "value")).alias("m"))
+    return best.select(document, "code", F.col("m.value").alias("value"), F.col("m.similarity").alias("similarity"))
 
 
 # Strength classes of concrete.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stagewise.functions import lexicon as L
 from stagewise.functions import rules
+from stagewise.functions import text as T
 from stagewise.operators import layout as O
 
 from .registry import Tables, query
@@ -180,3 +181,63 @@ def join23(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Tables(spark, sf_dir).conversations.select((F.col("conv_id") % 20).alias("page"), (F.col("conv_id") * 100 + F.col("turn")).alias("n"), F.substring("text", 1, 80).alias("text"))
     read = c.filter("n % 9 <> 0").select("page", "n", F.when(F.col("n") % 2 == 0, F.regexp_replace("text", "a", "")).otherwise(F.col("text")).alias("text"))
     return O.line_errors(c, read, ["page"])
+
+
+@query("str32_salvaged_lists", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 2 END items, event_id % 7 AS first FROM events")
+def str32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with a JSON list in prose; of a third of them the list breaks off in its second object."""
+    n = F.col("event_id")
+    item = lambda v: F.to_json(F.struct(v.alias("k"), F.lit('a "b} {c').alias("t")))
+    whole = F.concat(F.lit("Вот список: ["), item(n % 7), F.lit(", "), item(n % 5))
+    answer = F.when(n % 3 == 0, whole.substr(F.lit(1), F.length(whole) - 4)).otherwise(F.concat(whole, F.lit("] Готово.")))
+    rows = Tables(spark, sf_dir).events.select("event_id", T.salvaged(answer, "k BIGINT, t STRING").alias("x"))
+    return rows.select("event_id", F.size("x").alias("items"), F.get("x", F.lit(0))["k"].alias("first"))
+
+
+@query("ext16_title_blocks", """WITH b AS (SELECT l_orderkey page, l_linenumber n, l_quantity / 50 x, l_tax * 12.5 y FROM lineitem) SELECT page, count(*) words FROM b WHERE x BETWEEN 0.5 AND 1 AND y BETWEEN 0.68 AND 1 GROUP BY 1""")
+def ext16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = F.col("l_quantity") / 50, F.col("l_tax") * 12.5
+    words = Tables(spark, sf_dir).lineitem.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n"), F.lit("слово").alias("text"), x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1"))
+    return O.region_text(words, ["page"]).select("page", F.regexp_count("text", F.lit("слово")).cast("long").alias("words"))
+
+
+@query("ext18_equipment_gap", """WITH e AS (SELECT l_suppkey % 4 page, l_partkey room, l_quantity x, l_tax * 100 y, l_linenumber % 3 s FROM lineitem), r AS (SELECT page, room, min(x) x, min(y) y FROM e GROUP BY 1, 2)
+  SELECT page, room FROM r WHERE EXISTS (SELECT 1 FROM e WHERE e.page = r.page AND s = 1 AND sqrt((e.x - r.x) ** 2 + (e.y - r.y) ** 2) <= 0.9) AND NOT EXISTS (SELECT 1 FROM e WHERE e.page = r.page AND s = 2 AND sqrt((e.x - r.x) ** 2 + (e.y - r.y) ** 2) <= 0.9)""")
+def ext18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Tables(spark, sf_dir).lineitem.select((F.col("l_suppkey") % 4).alias("page"), F.col("l_partkey").alias("room"), F.col("l_quantity").alias("x"), (F.col("l_tax") * 100).alias("y"), (F.col("l_linenumber") % 3).alias("s"))
+    rooms = e.groupBy("page", "room").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    return O.equipment_gap(rooms, e.filter("s = 1"), e.filter("s = 2"), ["page"], 0.9)
+
+
+@query("ext12_fallback_values", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] v FROM embeddings), a AS (SELECT label, v FROM v WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)),
+  c AS (SELECT v.vec_id, a.label, round(list_cosine_similarity(v.v, a.v), 6) s FROM v, a), w AS (SELECT * FROM c WHERE s >= 0.1 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) = 1),
+  f AS (SELECT vec_id % 20 doc_id, label, s, vec_id, vec_id % 13 + CASE WHEN vec_id % 4 = 0 THEN 0.5 ELSE 0 END x, CASE WHEN vec_id % 3 = 0 THEN 'len' END u FROM w WHERE NOT (vec_id % 20 = 7 AND label % 2 = 0))
+  SELECT doc_id, 'p' || label code, arg_max(x, (s, -vec_id)) AS value, max(s) similarity FROM f WHERE u IS NOT DISTINCT FROM CASE WHEN label % 2 = 0 THEN 'len' END AND x BETWEEN 1 AND 10 AND (label % 3 <> 0 OR x = floor(x)) GROUP BY 1, 2""")
+def ext12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as candidates of twenty documents; each label's first vector stands for a parameter."""
+    from stagewise.operators.extract import fallback_values
+
+    t = Tables(spark, sf_dir)
+    k, label = F.col("vec_id"), F.col("label")
+    v = t.embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
+    anchors = t.embeddings.groupBy("label").agg(F.min("vec_id").alias("vec_id")).join(v.drop("label"), "vec_id")
+    code = F.concat(F.lit("p"), label.cast("string"))
+    params = anchors.select(code.alias("code"), "vector", F.when(label % 2 == 0, "len").alias("unit"), F.lit(1.0).alias("low"), F.lit(10.0).alias("high"), (label % 3 == 0).alias("integer"))
+    candidates = v.select((k % 20).alias("doc_id"), k.alias("id"), "vector", ((k % 13) + F.when(k % 4 == 0, 0.5).otherwise(0.0)).alias("value"), F.when(k % 3 == 0, "len").alias("unit"))
+    found = v.select(F.lit(7).cast("long").alias("doc_id"), "label").distinct().filter("label % 2 = 0").select("doc_id", code.alias("code"))
+    return fallback_values(candidates, found, params, least=0.1)
+
+
+FACTS = (
+    "Абсолютная отметка пола 120,5 м. Относительная отметка 0,000 соответствует абсолютной отметке 134,2 м", "Расход горячей воды 12,5 м3/сут. Расход воды на полив 90 м3/сут. Общий расход горячей воды 14 м3/сут; Хозяйственно-питьевой расход 30 м3/сут",
+    "Ширина двери 1,2 м. Двери эвакуационные 0,9 м. Дверь шкафа 0,3 м",
+)
+
+
+@query("ext05_ext06_ext07_facts", """SELECT p_partkey doc_id, x.code, x.key, x."value", x.raws FROM part, (VALUES (0, 'zero_level', NULL, 134.2, '134,2'), (1, 'daily_flow', 'Т3', 14.0, '12,5, 14'), (1, 'daily_flow', 'В1', 30.0, '30'), (2, 'door_width', NULL, 0.9, '0,9, 1,2')) x(n, code, key, "value", raws) WHERE p_partkey % 3 = x.n""")
+def ext05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of which some are about other things: the level that isn't of zero, water for the garden, a cupboard's door."""
+    from stagewise.operators import extract as X
+
+    pages = Tables(spark, sf_dir).part.select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.element_at(F.array(*map(F.lit, FACTS)), (F.col("p_partkey") % 3 + 1).cast("int")).alias("text"))
+    return X.chosen_values(X.rule_values(pages)).select("doc_id", "code", "key", "value", "raws")
