@@ -106,7 +106,7 @@ def scan_words(df: DataFrame, key: str, text: str, templates: tuple[Template, ..
 
 def license_labels(
     df: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[Template, ...] = TEMPLATES,
-    phrases: dict[str, str] = PHRASES, rarest: int = 8, least: float = 0.5,
+    phrases: dict[str, str] = PHRASES, rarest: int = 8, least: float = 0.5, most_broadcast: int = 1_000_000,
 ) -> DataFrame:
     """One row per input row: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -119,8 +119,9 @@ def license_labels(
 
     Null and empty texts have no words and no labels; repeated rows get a result each, an empty table
     none; labels are a set, so ties don't matter. Only the vocabulary's frequencies, at most one row
-    for each of its words, reach the driver, and only the index is broadcast. All rows' findings are a
-    written table, so texts are read once.
+    for each of its words, reach the driver. Broadcast are the index and the candidates, a few numbers each,
+    if they are at most ``most_broadcast``, which is counted; else the rows' places are shuffled to them.
+    All rows' findings are a written table, so texts are read once.
     """
     scratch.not_among(key, ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
     spark = df.sparkSession
@@ -148,6 +149,8 @@ def license_labels(
     aligned = looked_up.groupBy("row", "template", (F.col("at") - F.col("at_template")).alias("shift")).agg(F.sum(F.round("weight", 9).cast("decimal(20,9)")).cast("double").alias("got"))
     share = F.least(F.col("got") / F.get(wholes, F.col("template")), F.lit(1.0))
     candidates = aligned.withColumn("share", share).filter(F.col("share") >= least).select("row", "template", "shift", "share")
+    candidates = scratch.table(candidates, "licence-candidates")
+    candidates = F.broadcast(candidates) if candidates.count() <= most_broadcast else candidates
     own_phrase = F.get(needed, F.col("template"))
     standing = F.filter("places", lambda x: F.array_contains(own_phrase, F.struct(x["word"].alias("word"), (x["at"] - F.col("shift")).alias("at"))))
     labelled = (
