@@ -60,11 +60,11 @@ class WordIds(dict):
             self.clear()
         if "<|" in word or not PLAIN.fullmatch(word):
             ids = self.encode(word)
-        else:
-            found = []
-            for piece in PIECE.findall(word.lower()):
-                found += [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_chars))]
-            ids = np.array(found, "<u4").tobytes()
+        elif (low := word.lower()) == word and (low.isalpha() or len(PIECE.findall(low)) == 1):
+            shown = low if low.isascii() else low.encode().decode("latin-1").translate(self.byte_chars)
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+        else:  # words differ in case and marks more than their pieces do
+            ids = b"".join(map(self.__getitem__, PIECE.findall(low)))
         self[word] = ids
         return ids
 
