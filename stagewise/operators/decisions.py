@@ -79,3 +79,35 @@ def xml_element(name: str, attributes: Mapping[str, Column], children: Mapping[s
 def canonical_json(**fields: Column) -> Column:
     """A JSON object with its names in order and nulls written, so that equal values are equal texts."""
     return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})
+
+
+def next_version(previous: DataFrame, fresh: DataFrame, affected: DataFrame, key: str, parent: str, param: str, signature: str, decision: str) -> DataFrame:
+    """The checks of a new version, with ``origin``: carried, same, changed or new.
+
+    Checks of parameters that aren't ``affected`` are carried over with all they have. Of the others the
+    fresh ones count: where the earlier check has the same evidence its decision stays, and its split
+    children (rows whose ``parent`` is its key) come along; where the evidence changed the decision is
+    open again. Earlier checks that weren't found again are gone. All joins are on keys.
+    """
+    changed = affected.select(param).distinct()
+    carried = previous.join(changed, param, "left_anti").withColumn("origin", F.lit("carried"))
+    old = previous.join(changed, param, "left_semi")
+    before = old.filter(F.col(parent).isNull()).select(key, F.col(signature).alias("_sig"), F.col(decision).alias("_decision"))
+    met = fresh.join(before, key, "left")
+    same = F.col("_sig").eqNullSafe(F.col(signature)) & F.col("_sig").isNotNull()
+    origin = F.when(same, "same").when(F.col("_sig").isNotNull(), "changed").otherwise("new")
+    checks = met.withColumn("origin", origin).withColumn(decision, F.when(same, F.col("_decision"))).drop("_sig", "_decision")
+    children = old.filter(F.col(parent).isNotNull()).join(checks.filter("origin = 'same'").select(F.col(key).alias(parent)), parent, "left_semi").withColumn("origin", F.lit("same"))
+    return carried.unionByName(checks.select(*carried.columns)).unionByName(children.select(*carried.columns))
+
+
+def guarded(rows: DataFrame, state: str, allowed: Sequence[str], what: str) -> DataFrame:
+    """The rows, if all are in an allowed state; the first one that isn't ends the job with ``what``."""
+    message = F.concat(F.lit(f"{what}: state "), F.coalesce(F.col(state), F.lit("unknown")))
+    ok = F.when(F.coalesce(F.col(state).isin(*allowed), F.lit(False)), True).otherwise(F.raise_error(message).cast("boolean"))
+    return rows.filter(ok)
+
+
+def incompleteness(label: Column, sources: Column, pages: Column) -> Column:
+    """The first thing that a gold record lacks: label, sources of both sides, or their pages; null if nothing."""
+    return F.when(~F.coalesce(label, F.lit(False)), "label").when(~F.coalesce(sources, F.lit(False)), "sources").when(~F.coalesce(pages, F.lit(False)), "pages")

@@ -153,3 +153,32 @@ def agg09_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cmp16_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     diff, base = (F.col("p_size") * 137 - 2500).cast("double") / 8, (F.col("p_size") % 3 * 40).cast("double")
     return Tables(spark, sf_dir).part.select("p_partkey", E.signed_delta(diff, base).alias("delta"))
+
+
+VERSION_SQL = """p AS (SELECT o_orderkey::VARCHAR k, NULL::VARCHAR parent, o_orderpriority param, o_orderstatus sig, CASE WHEN o_orderkey % 2 = 0 THEN 'CONFIRM' END decision FROM orders WHERE o_orderkey % 3 <> 0),
+  c AS (SELECT k || '#a' k, k parent, param, sig, 'REJECT' decision FROM p WHERE sig = 'P'), before AS (SELECT * FROM p UNION ALL SELECT * FROM c),
+  f AS (SELECT o_orderkey::VARCHAR k, NULL::VARCHAR parent, o_orderpriority param, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END sig FROM orders WHERE o_orderkey % 3 <> 1 AND o_orderpriority IN ('1-URGENT', '3-MEDIUM'))"""
+
+
+@query("join25_next_version", f"""WITH {VERSION_SQL}, m AS (SELECT f.k, f.parent, f.param, f.sig, CASE WHEN p.sig = f.sig THEN p.decision END decision, CASE WHEN p.sig = f.sig THEN 'same' WHEN p.sig IS NOT NULL THEN 'changed' ELSE 'new' END origin FROM f LEFT JOIN p USING (k))
+  SELECT *, 'carried' origin FROM before WHERE param NOT IN ('1-URGENT', '3-MEDIUM') UNION ALL SELECT * FROM m UNION ALL SELECT c.*, 'same' FROM c WHERE parent IN (SELECT k FROM m WHERE origin = 'same')""")
+def join25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second run of the checks of two priorities after new files came; children of split checks go along."""
+    from stagewise.operators import decisions as D
+
+    o = Tables(spark, sf_dir).orders
+    n, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    none = F.lit(None).cast("string")
+    p = o.filter(n % 3 != 0).select(key.alias("k"), none.alias("parent"), F.col("o_orderpriority").alias("param"), F.col("o_orderstatus").alias("sig"), F.when(n % 2 == 0, "CONFIRM").alias("decision"))
+    c = p.filter("sig = 'P'").select(F.concat("k", F.lit("#a")).alias("k"), F.col("k").alias("parent"), "param", "sig", F.lit("REJECT").alias("decision"))
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "3-MEDIUM")
+    f = o.filter((n % 3 != 1) & urgent).select(key.alias("k"), none.alias("parent"), F.col("o_orderpriority").alias("param"), F.when(n % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("sig"), none.alias("decision"))
+    affected = o.filter(urgent).select(F.col("o_orderpriority").alias("param"))
+    return D.next_version(p.unionByName(c), f, affected, "k", "parent", "param", "sig", "decision")
+
+
+@query("flt15_decidable", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P')")
+def flt15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stagewise.operators import decisions as D
+
+    return D.guarded(Tables(spark, sf_dir).orders.filter("o_orderstatus <> 'O'"), "o_orderstatus", ["F", "P"], "no decision can be taken").select("o_orderkey")

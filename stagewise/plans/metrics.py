@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagewise.operators import learning as L
+from stagewise.operators.decisions import incompleteness
 from stagewise.operators.reconcile import CANDIDATE, NEGATIVE
 
 from .core import WITH_VERDICTS, verdicts
@@ -120,8 +121,7 @@ def newton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cmp28(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     by = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.bool_and(F.col("l_linenumber") < 6).alias("pages"))
-    reasons = F.array_compact(F.array(F.when(F.col("o_totalprice") < 1000, "label"), F.when(F.col("n") < 2, "sources"), F.when(~F.col("pages"), "pages")))
-    return t.orders.join(by, "o_orderkey").select("o_orderkey", F.get(reasons, F.lit(0)).alias("reason"))
+    return t.orders.join(by, "o_orderkey").select("o_orderkey", incompleteness(F.col("o_totalprice") >= 1000, F.col("n") >= 2, F.col("pages")).alias("reason"))
 
 
 @query("cmp29_submission_mapping", f"""{WITH_VERDICTS} SELECT object_id, param, rule_key, CASE verdict WHEN 'CANDIDATE' THEN 'VIOLATION' WHEN 'NEGATIVE_VERIFIED' THEN 'NO_VIOLATION' WHEN 'MISSING_EVIDENCE' THEN CASE WHEN pd_n = 0 THEN 'PD_MISSING' ELSE 'RD_MISSING' END ELSE 'NOT_EVALUATED' END violation_label,

@@ -165,3 +165,10 @@ def test_escaping(spark):
 
     e = ElementTree.fromstring(row.x)
     assert e.get("x") == e.find("y").text == "<a&\"b'>" and row.j == '{"a":1,"b":null}'
+
+
+def test_guard_names_the_state(spark):
+    df = spark.createDataFrame([(1, "OPEN"), (2, "FINAL")], "i int, s string")
+    assert D.guarded(df.filter("i = 1"), "s", ["OPEN"], "closed").count() == 1
+    with pytest.raises(Exception, match="closed: state FINAL"):
+        D.guarded(df, "s", ["OPEN"], "closed").collect()
