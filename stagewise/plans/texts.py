@@ -211,12 +211,12 @@ def agg35(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("agg14_quality_rollup_ext15", """WITH q AS (SELECT *, CASE WHEN n_chars < 50 THEN 'ABSTAIN' WHEN n_chars < 300 THEN 'LOW_QUALITY' ELSE 'OK' END q, doc_id // 100 file FROM documents) SELECT file, count(*) pages, count(*) FILTER (q='LOW_QUALITY') low, count(*) FILTER (q='ABSTAIN') abstain,
-  coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (q='LOW_QUALITY'), '') low_pages, round(avg(least(n_chars, 1000) / 1000), 4) confidence FROM q GROUP BY 1""")
+  coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (q='LOW_QUALITY'), '') low_pages, round(avg(least(n_chars, 1000) / 1000), 6) confidence FROM q GROUP BY 1""")
 def agg14(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.when(F.col("n_chars") < 50, "ABSTAIN").when(F.col("n_chars") < 300, "LOW_QUALITY").otherwise("OK")
     low = F.array_join(F.array_sort(F.collect_list(F.when(F.col("q") == "LOW_QUALITY", F.col("doc_id")))).cast("array<string>"), ",")
     # a list of pages is as long as its file: here, a hundred pages
     return Tables(spark, sf_dir).documents.withColumn("q", q).groupBy(F.floor(F.col("doc_id") / 100).alias("file")).agg(
         F.count("*").alias("pages"), F.count_if(F.col("q") == "LOW_QUALITY").alias("low"), F.count_if(F.col("q") == "ABSTAIN").alias("abstain"), low.alias("low_pages"),
-        F.round(F.avg(F.least("n_chars", F.lit(1000)) / 1000), 4).alias("confidence"),
+        F.round(F.avg(F.least("n_chars", F.lit(1000)) / 1000), 6).alias("confidence"),
     )
