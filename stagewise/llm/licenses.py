@@ -106,16 +106,17 @@ def scan_words(df: DataFrame, key: str, text: str, templates: tuple[Template, ..
 
 def license_labels(
     df: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[Template, ...] = TEMPLATES,
-    phrases: dict[str, str] = PHRASES, rarest: int = 8, least: float = 0.5, most_broadcast: int = 1_000_000,
+    phrases: dict[str, str] = PHRASES, rarest: int = 8, lightest: float = 0.5, least: float = 0.5, most_broadcast: int = 1_000_000,
 ) -> DataFrame:
     """One row per input row: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     A word's weight is its inverse document frequency over the whole table. The index has, of each
-    template, the positions of its ``rarest`` heaviest words; all of a document's words in the index
-    are looked up, and postings that agree on the template's place in the document are added up. A
-    template whose share of its indexed weight is at least ``least`` at one place is a candidate; it
-    gives its label if its mandatory phrase stands, word by word, where that place puts it. ``score``
-    is the greatest such share, 1 with a base phrase, else 0.
+    template, the positions of its ``rarest`` heaviest words, without those of less than ``lightest`` of
+    the heaviest one's weight; all of a document's words in the index are looked up, and postings that
+    agree on the template's place in the document are added up. A template whose share of its indexed
+    weight is at least ``least`` at one place is a candidate; it gives its label if its mandatory phrase
+    stands, word by word, where that place puts it. ``score`` is the greatest such share, 1 with a base
+    phrase, else 0.
 
     Null and empty texts have no words and no labels; repeated rows get a result each, an empty table
     none; labels are a set, so ties don't matter. Only the vocabulary's frequencies, at most one row
@@ -134,6 +135,7 @@ def license_labels(
     for i, t in enumerate(templates):
         words = t.text.split()
         own = sorted(range(len(words)), key=lambda p: (-weight[words[p]], p))[:rarest]
+        own = [p for p in own if weight[words[p]] >= lightest * weight[words[own[0]]]]
         postings += [(words[p], i, p, weight[words[p]]) for p in own]
         full.append(sum(weight[words[p]] for p in own))
         start = phrase_at(t)
