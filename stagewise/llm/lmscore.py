@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagewise import scratch
-from .logbilinear import LN10, LogBilinear, improve, untrained
+from .logbilinear import LN10, LogBilinear, improve, single_threaded, untrained
 from .words import hashes, space_words
 
 #: A word has no space, so no word has this hash by its spelling.
@@ -152,6 +152,7 @@ def averaged(units: DataFrame, model: LogBilinear, scorer: Scorer, seed: int, **
     names = ["id", "n", *(f"x{i}" for i in range(d + 1))]
 
     def run(batches):
+        single_threaded()
         for batch in batches:
             for value in batch.column(0):
                 start, counts = shared.value

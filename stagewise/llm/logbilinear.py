@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 
 LN10 = float(np.log(10))
 
 
+def single_threaded() -> None:
+    """One thread for numpy's small matrix products in this process: tasks already fill the cores.
+
+    Spark asks for as many as an executor has cores. Where numpy has another library than its own, nothing is done.
+    """
+    for path in Path(np.__file__).parents[1].glob("numpy.libs/libscipy_openblas*"):
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(str(path)).scipy_openblas_set_num_threads64_(1)
+
+
 @dataclass
 class LogBilinear:
     """Score of a word after two context classes: its bias plus the product of its vector and the predicted one.
