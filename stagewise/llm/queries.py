@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, langid, licenses, lmscore, neardup, packing, quality, secrets, sharding, tiff
+from . import complement, contamination, langid, licenses, lmscore, neardup, packing, quality, secrets, sharding, tiff
 from .oracles import ORACLE_SQL
 
 
@@ -55,6 +55,10 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_labels(documents(spark, sf_dir))
 
 
+def op12_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return complement.pack_exactly(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
@@ -66,6 +70,7 @@ QUERIES = {
     "op8_neardup": op8_neardup,
     "op9_licenses": op9_licenses,
     "op10_lm": op10_lm,
+    "op12_bestfit": op12_bestfit,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
