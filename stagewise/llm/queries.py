@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import complement, contamination, langid, licenses, lmscore, neardup, packing, quality, secrets, sharding, tiff
+from . import complement, contamination, langid, licenses, lmscore, neardup, packing, quality, secrets, sharding, spelling, tiff
 from .oracles import ORACLE_SQL
 
 
@@ -59,6 +59,10 @@ def op12_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complement.pack_exactly(documents(spark, sf_dir))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
@@ -71,6 +75,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_lm": op10_lm,
     "op12_bestfit": op12_bestfit,
+    "op13_spelling": op13_spelling,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
