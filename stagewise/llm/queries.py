@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import complement, contamination, langid, licenses, lmscore, neardup, packing, quality, secrets, sharding, spelling, tiff
+from . import alignment, complement, contamination, langid, licenses, lmscore, neardup, packing, quality, secrets, sharding, spelling, tiff
 from .oracles import ORACLE_SQL
 
 
@@ -55,6 +55,10 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_labels(documents(spark, sf_dir))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(documents(spark, sf_dir))
+
+
 def op12_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complement.pack_exactly(documents(spark, sf_dir))
 
@@ -74,6 +78,7 @@ QUERIES = {
     "op8_neardup": op8_neardup,
     "op9_licenses": op9_licenses,
     "op10_lm": op10_lm,
+    "op11_alignment": op11_alignment,
     "op12_bestfit": op12_bestfit,
     "op13_spelling": op13_spelling,
 }
