@@ -23,7 +23,7 @@ SPACE = rb"(?:[\t-\r\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa
 BESIDE = re.compile(rb"%b | %b|\A%b|%b\Z" % ((SPACE,) * 4))
 #: In a text with a space before it: a space between two other characters.
 CUT = re.compile(r"(?<=\S)(?= \S)")
-INFO = ["ok", "groups", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+INFO = ["groups", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
 class Tokenizers:
@@ -81,21 +81,27 @@ def units_of(text: bytes | None, cuts_at_spaces: bool = True) -> list[bytes]:
     return [part[1:].encode() for part in CUT.split(" " + text.decode("utf-8", "replace"))]
 
 
-def token_rows(tokens: DataFrame, side: str) -> DataFrame:
-    """(u, end, side): tokens of a side with their byte ends, by a running sum of lengths."""
-    rows = tokens.select("u", F.posexplode(F.arrays_zip(F.col(f"{side}_ids").alias("id"), F.col(f"{side}_lens").alias("n"))).alias("pos", "t"))
-    end = F.sum("t.n").over(Window.partitionBy("u").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("u", end.alias("end"), F.col("t.id").alias(side))
+def token_ends(tokens: DataFrame) -> DataFrame:
+    """(u, end, a, b): the byte ends of both sides' tokens, by running sums of lengths, with the token of each side that ends there.
+
+    A full equi-join of the sides on unit and end, written as a grouping: units stay where they are, so their tokens
+    are never shuffled.
+    """
+    side = lambda s: F.transform(F.arrays_zip(F.col(f"{s}_ids").alias("id"), F.col(f"{s}_lens").alias("n")), lambda t: F.struct(F.lit(s).alias("side"), t["id"].alias("id"), t["n"].alias("n")))
+    rows = tokens.select("u", F.posexplode(F.concat(side("a"), side("b"))).alias("pos", "t")).select("u", "pos", "t.*")
+    end = F.sum("n").over(Window.partitionBy("u", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select("u", end.alias("end"), "side", "id")
+    return rows.groupBy("u", "end").agg(*(F.max(F.when(F.col("side") == s, F.col("id"))).alias(s) for s in ("a", "b")))
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
     """(u, groups, n_a, n_b, n_groups, links) of (u, a_ids, a_lens, b_ids, b_lens) rows whose sides have equal bytes.
 
-    The sides meet at equal ends. Ends that both have are cuts, and the number of cuts from an end on is its group.
+    ``tokens`` is dealt by ``u``. The sides meet at equal ends. Ends that both have are cuts, and the number of cuts from an end on is its group.
     Between two neighbouring ends of either side lies one token of A and one of B, the next ones that end: these
     are the links, each pair of overlapping tokens once. ``links`` holds A's id times 2^32 plus B's.
     """
-    ends = token_rows(tokens, "a").join(token_rows(tokens, "b"), ["u", "end"], "full")
+    ends = token_ends(tokens)
     later = Window.partitionBy("u").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     rows = ends.select(
         "u", "end", "a", "b",
@@ -144,7 +150,7 @@ def counted_units(df: DataFrame, cuts: bool, most_seeds: int = 8) -> tuple[DataF
 
 
 def encoded(units: DataFrame, path_a: str | None, path_b: str | None) -> DataFrame:
-    """(u, ok, a_ids, a_lens, b_ids, b_lens) of each unit; lists are empty where a side's bytes differ from the unit's."""
+    """(u, a_ids, a_lens, b_ids, b_lens) of each unit; lists are empty where a side's bytes differ from the unit's."""
     names = ["a_ids", "a_lens", "b_ids", "b_lens"]
 
     def run(batches):
@@ -154,9 +160,9 @@ def encoded(units: DataFrame, path_a: str | None, path_b: str | None) -> DataFra
                 part = batch.slice(at, ENCODED)
                 found = held.encode(part.column(1).to_pylist())
                 lists = zip(*(f or ([], [], [], []) for f in found), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f is not None for f in found]), *(pa.array(x, pa.list_(pa.int32())) for x in lists)], ["u", "ok", *names])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.list_(pa.int32())) for x in lists)], ["u", *names])
 
-    return units.select("u", "unit").mapInArrow(run, "u long, ok boolean, " + ", ".join(f"{n} array<int>" for n in names))
+    return units.select("u", "unit").mapInArrow(run, "u long, " + ", ".join(f"{n} array<int>" for n in names))
 
 
 def unit_numbers(df: DataFrame, common: np.ndarray, seed: int, cuts: bool) -> DataFrame:
@@ -196,10 +202,10 @@ def with_units(texts: DataFrame, info: DataFrame, common: DataFrame, names: list
     """(row, _key, pos, *names): each text's units with what ``info`` (u, *names) has for them.
 
     Common units are looked up in ``common`` (number, u), which is broadcast; the others are few in a text and bring
-    theirs by a join, first by hash, then to their text.
+    theirs by a join, first by hash, then to their text. A unit that ``info`` lacks has nulls.
     """
     value = F.struct(*names)
-    of_rare = texts.select("row", F.posexplode("rare").alias("k", "u")).join(info.select("u", value.alias("info")), "u")
+    of_rare = texts.select("row", F.posexplode("rare").alias("k", "u")).join(info.select("u", value.alias("info")), "u", "left")
     of_rare = of_rare.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "info"))).alias("of_rare"))
     wanted = F.filter("units", lambda n: (n < 0) | (n % 2 == 1)) if first_only else F.col("units")
     rows = texts.select("row", "_key", "units").join(of_rare.hint("merge"), "row", "left").select(
@@ -212,8 +218,8 @@ def with_units(texts: DataFrame, info: DataFrame, common: DataFrame, names: list
     return rows.join(F.broadcast(frequent), "number", "left").select("row", "_key", "pos", *(got[n].alias(n) for n in names))
 
 
-def all_true(name: str) -> Column:
-    return F.min(F.col(name).cast("int")) == 1
+def all_have(name: str) -> Column:
+    return F.count(name) == F.count("*")
 
 
 def unit_values(units: DataFrame, pair_counts: DataFrame, most_broadcast: int) -> DataFrame:
@@ -250,15 +256,15 @@ def alignments(
     source = df.select(F.col(key).alias("_key"), F.col(text).cast("string").cast("binary").alias("_text"))
     cuts = tokenizers(path_a, path_b).cuts_at_spaces
     units, seed = counted_units(source, cuts)
-    tokens = scratch.table(encoded(units, path_a, path_b), "unit-tokens")
-    found = scratch.table(tokens.select("u", "ok").join(aligned(tokens), "u", "left"), "aligned-units")
+    tokens = encoded(units, path_a, path_b).repartition("u")
+    found = scratch.table(aligned(tokens), "aligned-units")
     hashes = np.sort(commonest(units, frequent).select("u").toArrow()["u"].to_numpy())
     numbers = pa.table({"number": pa.array(np.arange(len(hashes)), pa.int64()), "u": pa.array(hashes, pa.int64())})
     common = scratch.table(df.sparkSession.createDataFrame(numbers), "common-units")
     texts = scratch.table(unit_numbers(source, hashes, seed, cuts), "unit-numbers")
 
-    pairs = found.select("u", "ok", F.array_distinct("links").alias("pairs"))
-    held = with_units(texts, pairs, common, ["ok", "pairs"], True).groupBy("row").agg(all_true("ok").alias("ok"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    pairs = found.select("u", F.array_distinct("links").alias("pairs"))
+    held = with_units(texts, pairs, common, ["pairs"], True).groupBy("row").agg(all_have("pairs").alias("ok"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     counts = scratch.table(held.filter("ok").select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("docs")), "pair-docs")
     values = found.join(unit_values(found, counts, most_broadcast), "u", "left").withColumn("n_links", F.size("links").cast("long")).select("u", *INFO)
     values = scratch.table(values, "unit-values")
@@ -266,7 +272,7 @@ def alignments(
     sums = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     parts = F.array_sort(F.collect_list(F.struct("pos", "groups")))
     ended = with_units(texts, values, common, INFO, False).groupBy("row", "_key").agg(
-        all_true("ok").alias("ok"), *(F.sum(c).alias(c) for c in sums), F.sha2(F.array_join(F.transform(parts, lambda x: x["groups"]), ";"), 256).alias("groups_sha256"),
+        all_have("groups").alias("ok"), *(F.sum(c).alias(c) for c in sums), F.sha2(F.array_join(F.transform(parts, lambda x: x["groups"]), ";"), 256).alias("groups_sha256"),
     )
     zeros = texts.filter(F.size("units") == 0).select(F.col("_key").alias(key), *(F.lit(0).cast("long").alias(c) for c in sums), F.lit("").alias("groups_sha256"))
     return ended.select(
