@@ -44,8 +44,8 @@ RULES = (
 SENTENCE = r"(?<=[.;!?])\s+(?=[\p{Lu}«\"])"
 
 
-def rule_values(pages: DataFrame, rules: Sequence[Rule] = RULES, document: str = "doc_id", page: str = "page", text: str = "text", most: int = 20) -> DataFrame:
-    """(document, page, code, place, raw, value, key): what each rule finds, in order, ``most`` a page and rule.
+def rule_values(pages: DataFrame, rules: Sequence[Rule] = RULES, document: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
+    """(document, page, code, place, raw, value, key): all that each rule finds, in order.
 
     All rules read a page once; a document's choice among values is :func:`chosen_values`.
     """
@@ -64,7 +64,7 @@ def rule_values(pages: DataFrame, rules: Sequence[Rule] = RULES, document: str =
             found = F.transform(F.regexp_extract_all(s, F.lit(r.pattern), F.lit(1)), lambda v: F.struct(v.alias("raw"), key(s).alias("key")))
             return F.when(fits, found).otherwise(F.slice(found, 1, 0))
 
-        values = F.slice(F.flatten(F.transform(sentences, of)), 1, most)
+        values = F.flatten(F.transform(sentences, of))
         named = F.transform(values, lambda v, i: F.struct(F.lit(r.code).alias("code"), i.alias("place"), v["raw"].alias("raw"), F.translate(v["raw"], ",", ".").cast("double").alias("value"), v["key"].alias("key")))
         return F.coalesce(F.filter(named, lambda x: x["value"].between(r.low, r.high)), none)
 
@@ -75,8 +75,7 @@ def rule_values(pages: DataFrame, rules: Sequence[Rule] = RULES, document: str =
 def chosen_values(values: DataFrame, rules: Sequence[Rule] = RULES, document: str = "doc_id", page: str = "page") -> DataFrame:
     """One value for each document, code and key: the first, the least or the greatest, ties by place and value.
 
-    ``raws`` joins the distinct values as they stand, from the least. One aggregation; of its values a
-    document has at most ``most`` a page and rule.
+    ``raws`` joins the distinct values as they stand, from the least. One aggregation.
     """
     way = F.create_map(*(x for r in rules for x in (F.lit(r.code), F.lit({"first": 0.0, "min": 1.0, "max": -1.0}[r.pick]))))
     order = F.struct((F.element_at(way, F.col("code")) * F.col("value")).alias("w"), F.col(page).alias("p"), "place", "value", "raw")

@@ -19,14 +19,16 @@ NUMBERS = re.compile(r"\d+(?:[.,]\d+)?")
 
 
 def common_run(a: str, b: str) -> int:
-    """Length of the longest common subsequence, with one row of the table."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], left)
-            left = row[j]
-    return row[-1]
+    """Length of the longest common subsequence; the table's row is one number, a bit for each place of ``a``."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    row = every
+    for y in b:
+        hit = row & places.get(y, 0)
+        row = ((row + hit) | (row - hit)) & every
+    return len(a) - row.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
@@ -139,29 +141,17 @@ def nearest(df: DataFrame, other: DataFrame, page: Sequence[str], x: str, y: str
     return near.groupBy(*page, key).agg(F.min(F.struct("distance", pick.alias("nearest"))).alias("m")).select(*page, key, "m.nearest", F.col("m.distance").alias("distance"))
 
 
-def shingle_pairs(df: DataFrame, key: str, words: Column, width: int = 4, least: int = 15, top: int = 5, share: float = 0.5, most_rows: int | None = None) -> DataFrame:
-    """Pairs of similar texts: shingles that are not too common vote; of the top voted, those similar enough.
+def shingle_pairs(df: DataFrame, key: str, words: Column, width: int = 4, least: int = 15, share: float = 0.5) -> DataFrame:
+    """All pairs of texts with at least ``least`` shingles whose shingle sets have a Jaccard of ``share`` or more.
 
-    Texts with equal shingles are one, named by the least key (:func:`same_sets` has the others), so copies
-    neither use up the best places nor make shingles common. A shingle in more than max(50, a tenth of
-    these) counts in no vote, and a text keeps its ``top`` voted partners among later ones: that is the
-    model's rule and what it loses. Columns: a, b, votes, jaccard.
+    Texts with equal shingles are one, named by the least key (:func:`same_sets` has the others). Texts meet by their
+    rare shingles as in :func:`set_twins`, so no pair is lost, however common its shingles are and however many
+    partners a text has. Columns: a, b, votes (the shingles that both have), jaccard.
     """
     from stagewise.functions.text import shingles
 
     every = df.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(shingles(words, width))).alias("s")).filter(F.size("s") >= least)
-    sets = scratch.table(every.groupBy("s").agg(F.min("id").alias("id")), "shingle-sets")
-    rows = sets.select("id", F.explode("s").alias("s"))
-    total = most_rows or sets.count()
-    common = rows.groupBy("s").count().filter((F.col("count") > 1) & (F.col("count") <= max(50, total // 10))).select("s")
-    kept = rows.join(common, "s")
-    votes = kept.select("s", F.col("id").alias("a")).join(kept.select("s", F.col("id").alias("b")), "s").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("votes"))
-    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("votes"), "b"))
-    votes = votes.withColumn("r", best).filter(F.col("r") <= top).drop("r")
-    both = votes.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
-    common_n = F.size(F.array_intersect("sa", "sb"))
-    jaccard = common_n / (F.size("sa") + F.size("sb") - common_n)
-    return both.select("a", "b", "votes", jaccard.alias("jaccard")).filter(F.col("jaccard") >= share)
+    return set_twins(every, "id", "s", share).select("a", "b", F.col("shared").cast("long").alias("votes"), "jaccard")
 
 
 def inverse_frequency(df: DataFrame, key: str, mark: str) -> DataFrame:
@@ -192,7 +182,7 @@ def weighted_jaccard(marks: DataFrame, idf: DataFrame, key: str, mark: str, leas
 
 
 def set_twins(df: DataFrame, key: str, items: str, least: float) -> DataFrame:
-    """(a, b, jaccard) of different sets at least so similar, between the least keys of equal sets; ``items`` is a sorted array.
+    """(a, b, shared, jaccard) of different sets at least so similar, between the least keys of equal sets; ``items`` is a sorted array.
 
     Equal sets are one set, so copies make no pairs among themselves (:func:`same_sets` has them). Sets meet
     by rare items: in the order of rising frequency two similar sets share one of their first
@@ -208,7 +198,18 @@ def set_twins(df: DataFrame, key: str, items: str, least: float) -> DataFrame:
     pairs = a.join(b, "x").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
-    return both.select("a", "b", (shared / (F.size("wa") + F.size("wb") - shared)).alias("jaccard")).filter(F.col("jaccard") >= least - 1e-12)
+    return both.select("a", "b", shared.alias("shared"), (shared / (F.size("wa") + F.size("wb") - shared)).alias("jaccard")).filter(F.col("jaccard") >= least - 1e-12)
+
+
+def letter_places(text: Column) -> Column:
+    """Each character of a text with the number of its like before it: two texts share as many of these as they have characters in common."""
+    letters = F.array_sort(F.filter(F.split(text, ""), lambda x: x != ""))
+    return F.transform(letters, lambda x, i: F.concat(x, (i + 1 - F.array_position(letters, x)).cast("string")))
+
+
+def may_reach(a: Column, b: Column, shared_letters: Column, score: float) -> Column:
+    """Whether texts with so many characters in common can have a :func:`ratio` of ``score``: what both have is no longer than these."""
+    return F.least(F.length(a), F.length(b), shared_letters) * 200 >= score * (F.length(a) + F.length(b)) - 1e-9
 
 
 def same_sets(df: DataFrame, key: str, items: str) -> DataFrame:
@@ -237,16 +238,14 @@ def sheet_pairs(sheets: DataFrame, marks: DataFrame, top: int = 12, by_title: fl
     """(block, a, b, score): one-to-one pairs of sheets of side 0 and side 1 in one block.
 
     Candidates of a sheet are its ``top`` best by title and its ``top`` best by the weight of shared marks.
-    Titles are compared in full only between sheets whose lengths let them reach ``by_title`` and that share
-    a word. The score is the title's likeness plus the weight of shared marks.
+    Titles are compared in full only between sheets of a block whose lengths and characters let them reach
+    ``by_title``; that is a bound of the likeness, so none is lost. The score is the title's likeness plus the weight
+    of shared marks.
     """
     names = sheets.select("block", "side", "sheet", "title")
-    left = names.filter("side = 0").select("block", F.col("sheet").alias("a"), F.col("title").alias("ta"))
-    right = names.filter("side = 1").select("block", F.col("sheet").alias("b"), F.col("title").alias("tb"))
-    word = lambda t: F.explode(F.array_distinct(F.split(F.lower(t), r"\s+"))).alias("word")
-    n, m = F.length("ta"), F.length("tb")
-    meet = left.select("block", "a", "ta", word("ta")).join(right.select("block", "b", "tb", word("tb")), ["block", "word"])
-    meet = meet.filter(F.least(n, m) * 200 >= by_title * (n + m)).select("block", "a", "b", "ta", "tb").distinct()
+    titles = names.select("block", "side", "sheet", "title", letter_places(F.array_join(F.array_sort(F.split(F.trim("title"), r"\s+")), " ")).alias("p"))
+    of = lambda side, name: titles.filter(F.col("side") == side).select("block", F.col("sheet").alias(name), F.col("title").alias(f"t{name}"), F.col("p").alias(f"p{name}"))
+    meet = of(0, "a").join(of(1, "b"), "block").filter(may_reach(F.col("ta"), F.col("tb"), F.size(F.array_intersect("pa", "pb")), by_title))
     title = meet.withColumn("t", F.round(text_score("token_sort_ratio")(F.col("ta"), F.col("tb")), 4)).filter(F.col("t") >= by_title).select("block", "a", "b", "t")
     weights = inverse_frequency(marks, "sheet", "mark")
     weighed = names.select("block", "side", "sheet").join(marks, "sheet").join(weights, "mark")

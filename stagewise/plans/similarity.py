@@ -15,16 +15,15 @@ from .texts import BOX_SQL, boxes
 WORDS = r"\p{L}+"
 SHINGLES_SQL = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') w FROM documents),
   s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) s FROM w WHERE len(w) >= 4), k AS (SELECT min(doc_id) doc_id, s FROM (SELECT doc_id, list_sort(s) s FROM s WHERE len(s) >= 15) GROUP BY s),
-  e AS (SELECT doc_id, unnest(s) g FROM k), c AS (SELECT g FROM e GROUP BY 1 HAVING count(*) BETWEEN 2 AND greatest(50, (SELECT count(*) FROM k) // 10)), f AS (SELECT e.* FROM e JOIN c USING (g)),
-  v AS (SELECT a.doc_id a, b.doc_id b, count(*) votes FROM f a JOIN f b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2), t AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY a ORDER BY votes DESC, b) <= 5),
-  j AS (SELECT a, b, votes, len(list_intersect(x.s, y.s)) i, len(x.s) n, len(y.s) m FROM t JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b)"""
+  e AS (SELECT doc_id, unnest(s) g FROM k), v AS (SELECT a.doc_id a, b.doc_id b, count(*) i FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  j AS (SELECT a, b, i, len(x.s) n, len(y.s) m FROM v JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b)"""
 
 
 def words() -> Column:
     return F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))
 
 
-@query("join13_shingle_pairs", f"WITH {SHINGLES_SQL} SELECT a, b, votes, round(i / (n + m - i), 6) jaccard FROM j WHERE i / (n + m - i) >= 0.5")
+@query("join13_shingle_pairs", f"WITH {SHINGLES_SQL} SELECT a, b, i votes, round(i / (n + m - i), 6) jaccard FROM j WHERE i / (n + m - i) >= 0.5")
 def join13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = M.shingle_pairs(Tables(spark, sf_dir).documents.select("doc_id", "text"), "doc_id", words())
     return found.select("a", "b", "votes", F.round("jaccard", 6).alias("jaccard"))

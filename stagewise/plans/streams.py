@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stagewise import scratch
 from stagewise.sources.documents import flow_layout
-from stagewise.streaming import jobs
+from stagewise.streaming import jobs, stateful
 
 from .registry import Tables, query
 
@@ -128,12 +128,64 @@ def stm03_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(lost).select("user_id", shown("began"), shown("last"))
 
 
-@query("stm06_snk07_delivered_once", "SELECT user_id || ':v' || (event_id % 4) AS key FROM events WHERE event_type = 'purchase' GROUP BY 1")
+@query("stm06_snk07_delivered_once", "SELECT user_id || ':v' || (event_id % 4) AS key, CASE WHEN user_id % 3 = 0 THEN 'CANCELLED' ELSE 'DELIVERED' END state FROM events WHERE event_type = 'purchase' GROUP BY ALL")
 def stm06_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results pushed to a receiver by process and version, each of which comes several times."""
+    """Results pushed by process and version, each of which comes several times; those of open processes are cancelled."""
     s = event_stream(spark, sf_dir).filter("event_type = 'purchase'").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    keyed = s.select(F.concat(F.col("user_id").cast("string"), F.lit(":v"), (F.col("event_id") % 4).cast("string")).alias("key"), "value")
-    return jobs.delivered(keyed, own_folder(spark), "key").select("key")
+    keyed = s.select(F.concat(F.col("user_id").cast("string"), F.lit(":v"), (F.col("event_id") % 4).cast("string")).alias("key"), "user_id", "value")
+    final = Tables(spark, sf_dir).events.filter("user_id % 3 <> 0").select("user_id")
+    return stateful.delivered(keyed, own_folder(spark), "key", "user_id", lambda: final).select("key", "state").distinct()
+
+
+def with_state(stream: DataFrame) -> DataFrame:
+    with stateful.state_store(stream.sparkSession):
+        return finished(stream)
+
+
+def shown(column: str) -> Column:
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
+
+
+LIMIT_SQL = "CASE {0} WHEN 'view' THEN INTERVAL 6 HOUR WHEN 'click' THEN INTERVAL 12 HOUR WHEN 'signup' THEN INTERVAL 24 HOUR ELSE INTERVAL 48 HOUR END"
+
+
+@query("stm03_deadlines_by_kind", f"""WITH RECURSIVE o AS (SELECT user_id, ts, event_type kind, event_type = 'purchase' done, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'purchase', event_type) i FROM events),
+  w AS (SELECT user_id, i, NOT done AS open, kind, ts AS began, ts AS last, NULL::VARCHAR lk, NULL::TIMESTAMP lb, NULL::TIMESTAMP ll FROM o WHERE i = 1 UNION ALL
+    SELECT n.user_id, n.i, NOT n.done, CASE WHEN w.open AND NOT gone THEN w.kind ELSE n.kind END, CASE WHEN w.open AND NOT gone THEN w.began ELSE n.ts END, n.ts, CASE WHEN w.open AND gone THEN w.kind END, w.began, w.last
+    FROM (SELECT w.*, w.last + {LIMIT_SQL.format("w.kind")} stop FROM w) w JOIN o n ON n.user_id = w.user_id AND n.i = w.i + 1 CROSS JOIN LATERAL (SELECT w.stop < n.ts AS gone)),
+  lost AS (SELECT user_id, lk kind, lb began, ll AS last FROM w WHERE lk IS NOT NULL UNION ALL SELECT user_id, kind, began, last FROM w WHERE open AND i = (SELECT max(i) FROM o WHERE o.user_id = w.user_id) AND last + {LIMIT_SQL.format("kind")} < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)
+  SELECT user_id, kind, strftime(began, '%Y-%m-%d %H:%M:%S') began, strftime(last, '%Y-%m-%d %H:%M:%S') AS last, strftime(last + {LIMIT_SQL.format("kind")}, '%Y-%m-%d %H:%M:%S') deadline FROM lost""")
+def stm03_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open jobs of users, each with the time of its first sign's kind; timers sweep those that went silent."""
+    hour = 3600
+    lost = stateful.lost_by_deadline(event_stream(spark, sf_dir), "user_id", "event_type", "at", F.col("event_type") == "purchase", {"view": 6 * hour, "click": 12 * hour, "signup": 24 * hour}, 48 * hour, "1 hour")
+    return with_state(lost).select("user_id", "kind", shown("began"), shown("last"), shown("deadline"))
+
+
+@query("stm11_results_with_ttl", """WITH e AS (SELECT user_id, ts, event_type <> 'purchase' asked, event_id::VARCHAR v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type <> 'purchase', event_id::VARCHAR) i, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type <> 'purchase', event_id::VARCHAR) next_ts FROM events),
+  r AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY i) replaced FROM e WHERE NOT asked), q AS (SELECT e.user_id, e.ts, r.v, r.ts held FROM e ASOF LEFT JOIN r ON r.user_id = e.user_id AND e.i >= r.i WHERE e.asked),
+  late AS (SELECT r.user_id, r.ts, r.v, (SELECT min(e.ts) FROM e WHERE e.user_id = r.user_id AND e.i > r.i AND e.ts > r.ts + INTERVAL 3 DAY) after FROM r WHERE replaced IS NULL OR replaced > ts + INTERVAL 3 DAY)
+  SELECT user_id, CASE WHEN held + INTERVAL 3 DAY >= ts THEN 'FOUND' ELSE 'UNKNOWN' END answer, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, CASE WHEN held + INTERVAL 3 DAY >= ts THEN v END AS value FROM q
+  UNION ALL SELECT user_id, 'EVICTED', strftime(ts + INTERVAL 3 DAY, '%Y-%m-%d %H:%M:%S'), v FROM late WHERE after IS NOT NULL OR ts + INTERVAL 3 DAY < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stm11_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's last purchase is the result that other events ask for; it lives for three days."""
+    rows = stateful.results_with_ttl(event_stream(spark, sf_dir), "user_id", "at", F.col("event_type") != "purchase", F.col("event_id"), 3 * 86_400, "1 hour")
+    return with_state(rows).select("user_id", "answer", shown("at"), "value")
+
+
+@query("stm07_deferring_inbox", """WITH e AS (SELECT user_id, ts, CASE WHEN event_type IN ('view', 'click') THEN 'p' || (event_id % 50) END p, CASE event_type WHEN 'signup' THEN 'FINALIZED' WHEN 'error' THEN 'PROCESSING' WHEN 'purchase' THEN 'DRAFT' END s FROM events),
+  o AS (SELECT *, row_number() OVER w i FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, p NULLS LAST, s)), n AS (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i) now FROM o),
+  a AS (SELECT user_id, p, min(i) i FROM n WHERE p IS NOT NULL AND now IS DISTINCT FROM 'PROCESSING' GROUP BY 1, 2), k AS (SELECT a.*, n.ts, n.now FROM a JOIN n USING (user_id, i)),
+  f AS (SELECT k.user_id, k.p, min(n.i) i FROM k JOIN n ON n.user_id = k.user_id AND n.i > k.i AND n.s = 'DRAFT' WHERE k.now = 'FINALIZED' GROUP BY 1, 2)
+  SELECT user_id, p package, CASE WHEN now = 'FINALIZED' THEN 'DEFERRED' ELSE 'APPLIED' END state, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM k UNION ALL SELECT f.user_id, f.p, 'APPLIED', strftime(n.ts, '%Y-%m-%d %H:%M:%S') FROM f JOIN n USING (user_id, i)""")
+def stm07_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages of a user, some sent again, between changes of the user's process."""
+    kind = F.col("event_type")
+    rows = event_stream(spark, sf_dir).select(
+        "user_id", "at", F.when(kind.isin("view", "click"), F.concat(F.lit("p"), (F.col("event_id") % 50).cast("string"))).alias("package"),
+        F.when(kind == "signup", "FINALIZED").when(kind == "error", "PROCESSING").when(kind == "purchase", "DRAFT").alias("status"),
+    )
+    return with_state(stateful.inbox(rows, "user_id", "package", "status", "at")).select("user_id", "package", "state", shown("at"))
 
 
 @query("stm06_due_attempts", "SELECT event_id, strftime(ts + to_seconds([0, 60, 300, 900][(event_id % 5)::INT + 1]), '%Y-%m-%d %H:%M:%S') due FROM events WHERE event_id % 5 <= 3 AND ts + to_seconds([0, 60, 300, 900][(event_id % 5)::INT + 1]) <= TIMESTAMP '2024-01-20'")

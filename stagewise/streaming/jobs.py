@@ -75,18 +75,6 @@ def lifecycles(stream: DataFrame, job: str, sign: str, order: str) -> DataFrame:
     return stream.select(job, sign, order).groupBy(job).applyInPandasWithState(advance, f"`{job}` {kind}, status string, attempt int", "status string, attempt int", "update", "NoTimeout")
 
 
-def delivered(stream: DataFrame, folder: str, key: str) -> DataFrame:
-    """The rows that reach a receiver which must get each key once, however often it comes or a batch is repeated."""
-    out, spark = f"{folder}/delivered", stream.sparkSession
-
-    def push(rows: DataFrame, batch: int) -> None:
-        before = spark.read.schema(stream.schema).parquet(f"{out}/batch=*") if batch else rows.limit(0)
-        rows.dropDuplicates([key]).join(before.select(key), key, "left_anti").select(*rows.columns).write.mode("overwrite").parquet(f"{out}/batch={batch}")
-
-    stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(push).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/batch=*")
-
-
 def due(outbox: DataFrame, delays: Sequence[int], now: Column, attempts: str = "attempts", created: str = "created") -> DataFrame:
     """Outbox rows whose turn has come: the first attempt at once, later ones after their delays in seconds, none after the last."""
     waits = F.array(*map(F.lit, (0, *delays)))

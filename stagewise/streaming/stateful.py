@@ -60,7 +60,7 @@ class Deadlines(StatefulProcessor):
         now = tuple(self.open.get()) if self.open.exists() else None
         now = now and (now[0], pd.Timestamp(now[1]), pd.Timestamp(now[2]))
         lost = []
-        for r in in_order(rows, "at"):
+        for r in in_order(rows, "at", "done", "kind"):
             if now and self.limit(now[0], now[2]) < r.at:
                 lost.append(now)
                 now = None
@@ -108,7 +108,7 @@ class Results(StatefulProcessor):
         held = tuple(self.held.get()) if self.held.exists() else None
         held = held and (pd.Timestamp(held[0]), held[1])
         out = []
-        for r in in_order(rows, "at", "asked"):
+        for r in in_order(rows, "at", "asked", "value"):
             if held and held[0] + self.ttl < r.at:
                 out.append((key[0], "EVICTED", held[0] + self.ttl, held[1]))
                 held = None
@@ -164,7 +164,7 @@ class Inbox(StatefulProcessor):
         status = self.status.get()[0] if self.status.exists() else None
         waiting = [w[0] for w in self.waiting.get()] if self.waiting.exists() else []
         out = []
-        for r in in_order(rows, "at", "package"):
+        for r in in_order(rows, "at", "package", "status"):
             if pd.isna(r.package):
                 status = r.status
                 if status != FINAL_STATE and status not in BUSY:
