@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagewise import scratch
@@ -23,41 +23,59 @@ SPACE = rb"(?:[\t-\r\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa
 BESIDE = re.compile(rb"%b | %b|\A%b|%b\Z" % ((SPACE,) * 4))
 #: In a text with a space before it: a space between two other characters.
 CUT = re.compile(r"(?<=\S)(?= \S)")
-INFO = ["groups", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+LISTS = ["a_ids", "a_lens", "b_ids", "b_lens"]
+INFO = ["groups", "n_a", "n_b", "n_groups", "links"]
+# Fixed value: how byte-level pre-tokenizers cut a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Tokenizers:
     """The byte-level tokenizer A and the piece tokenizer B, with the bytes of each token."""
 
     def __init__(self, path_a: str | None, path_b: str | None):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
         if path_a is None or path_b is None:
             import public_tokenizers
 
             path_a, path_b = path_a or public_tokenizers.path("byte_bpe_50k.json"), path_b or public_tokenizers.path("piece_bpe_32k.model")
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        with open(path_a, encoding="utf-8") as f:
+            rules = json.load(f)
         back = {chr(shown): byte for byte, shown in byte_characters().items()}
-        self.a_bytes = {i: bytes(map(back.__getitem__, token)) for token, i in self.a.get_vocab().items() if all(c in back for c in token)}
+        ranks = {bytes(map(back.__getitem__, token)): i for token, i in rules["model"]["vocab"].items() if i not in {t["id"] for t in rules["added_tokens"]}}
+        merges = [m if isinstance(m, str) else " ".join(m) for m in rules["model"]["merges"]]
+        in_order = [rules["model"]["vocab"][m.replace(" ", "")] for m in merges]
+        plain = rules["normalizer"] is None and rules["pre_tokenizer"]["type"] == "ByteLevel" and rules["pre_tokenizer"]["use_regex"] and not rules["pre_tokenizer"]["add_prefix_space"]
+        if not plain or in_order != sorted(in_order):
+            raise ValueError(f"{path_a} is not a byte-level tokenizer whose ids rise with its merges")
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.a_len = np.zeros(max(ranks.values()) + 1, np.int32)
+        self.a_len[list(ranks.values())] = [len(token) for token in ranks]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.b_len = np.array([len(x) for x in self.b_bytes], np.int32)
         #: A cuts before each single space; B does unless a piece goes on after a word's end.
         self.cuts_at_spaces = not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def encode(self, units: list[str]) -> list[tuple[list[int], list[int], list[int], list[int]] | None]:
-        """Ids and byte lengths of A and B over a space and each unit; None if their bytes differ from that."""
+    def encode(self, units: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Ids of A and B over a space and each unit; None if B's bytes differ from that. A never changes a byte."""
         out = []
-        for unit, a, b in zip(units, self.a.encode_batch([" " + u for u in units], add_special_tokens=False), self.b.encode(units, num_threads=1), strict=True):
-            data = (" " + unit).encode()
-            held_a, held_b = [self.a_bytes.get(i, b"") for i in a.ids], [self.b_bytes[i] for i in b]
-            same = b"".join(held_a) == data == b"".join(held_b)
-            out.append((a.ids, [len(x) for x in held_a], b, [len(x) for x in held_b]) if same else None)
+        for unit, b in zip(units, self.b.encode(units, num_threads=1) if units else [], strict=True):
+            full = " " + unit
+            same = b"".join(map(self.b_bytes.__getitem__, b)) == full.encode()
+            out.append((self.a.encode_ordinary(full), b) if same else None)
+        return out
+
+    def columns(self, found: list[tuple[list[int], list[int]]]) -> list[pa.Array]:
+        """LISTS of encoded units, as Arrow arrays."""
+        out = []
+        for side, lengths in ((0, self.a_len), (1, self.b_len)):
+            sizes = np.array([len(f[side]) for f in found], np.int64)
+            ids = np.fromiter((i for f in found for i in f[side]), np.int32, int(sizes.sum()))
+            at = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            out += [pa.ListArray.from_arrays(at, pa.array(x)) for x in (ids, lengths[ids])]
         return out
 
 
@@ -81,201 +99,179 @@ def units_of(text: bytes | None, cuts_at_spaces: bool = True) -> list[bytes]:
     return [part[1:].encode() for part in CUT.split(" " + text.decode("utf-8", "replace"))]
 
 
-def token_ends(tokens: DataFrame) -> DataFrame:
-    """(u, end, a, b): the byte ends of both sides' tokens, by running sums of lengths, with the token of each side that ends there.
+def token_ends(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, end, a, b): the byte ends of both sides' tokens, by running sums of lengths, with the token of each side that ends there.
 
-    A full equi-join of the sides on unit and end, written as a grouping: units stay where they are, so their tokens
-    are never shuffled.
+    A full equi-join of the sides on keys and end, written as a grouping: ``tokens`` is dealt by the first key, so
+    its tokens are never shuffled.
     """
     side = lambda s: F.transform(F.arrays_zip(F.col(f"{s}_ids").alias("id"), F.col(f"{s}_lens").alias("n")), lambda t: F.struct(F.lit(s).alias("side"), t["id"].alias("id"), t["n"].alias("n")))
-    rows = tokens.select("u", F.posexplode(F.concat(side("a"), side("b"))).alias("pos", "t")).select("u", "pos", "t.*")
-    end = F.sum("n").over(Window.partitionBy("u", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.select("u", end.alias("end"), "side", "id")
-    return rows.groupBy("u", "end").agg(*(F.max(F.when(F.col("side") == s, F.col("id"))).alias(s) for s in ("a", "b")))
+    rows = tokens.select(*keys, F.posexplode(F.concat(side("a"), side("b"))).alias("pos", "t")).select(*keys, "pos", "t.*")
+    end = F.sum("n").over(Window.partitionBy(*keys, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select(*keys, end.alias("end"), "side", "id")
+    return rows.groupBy(*keys, "end").agg(*(F.max(F.when(F.col("side") == s, F.col("id"))).alias(s) for s in ("a", "b")))
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """(u, groups, n_a, n_b, n_groups, links) of (u, a_ids, a_lens, b_ids, b_lens) rows whose sides have equal bytes.
+def aligned(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, INFO) of (keys, LISTS) rows whose sides have equal bytes.
 
-    ``tokens`` is dealt by ``u``. The sides meet at equal ends. Ends that both have are cuts, and the number of cuts from an end on is its group.
+    The sides meet at equal ends. Ends that both have are cuts, and the number of cuts from an end on is its group.
     Between two neighbouring ends of either side lies one token of A and one of B, the next ones that end: these
     are the links, each pair of overlapping tokens once. ``links`` holds A's id times 2^32 plus B's.
     """
-    ends = token_ends(tokens)
-    later = Window.partitionBy("u").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = ends.select(
-        "u", "end", "a", "b",
+    later = Window.partitionBy(*keys).orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = token_ends(tokens, keys).select(
+        *keys, "end", "a", "b",
         F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(later).alias("from_end"),
         (F.shiftleft(F.last("a", True).over(later).cast("long"), 32) + F.last("b", True).over(later)).alias("link"),
     )
-    ids = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side)))), lambda x: x[side].cast("string")), ",")
-    groups = rows.groupBy("u", "from_end").agg(
-        F.concat(ids("a"), F.lit("|"), ids("b")).alias("ids"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.collect_list("link").alias("links"),
-    )
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("from_end")).alias("at"), "ids")))
-    return groups.groupBy("u").agg(
-        F.array_join(F.transform(ordered, lambda x: x["ids"]), ";").alias("groups"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"),
-        F.count("*").alias("n_groups"), F.flatten(F.collect_list("links")).alias("links"),
-    )
-
+    one = lambda side, i: F.struct((-F.col("from_end")).alias("group"), F.lit(i).alias("side"), "end", F.col(side).alias("id"))
+    both = F.collect_list(F.array(one("a", 0), one("b", 1)))
+    grouped = rows.groupBy(*keys).agg(
+        both.alias("tokens"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max("from_end").alias("n_groups"), F.collect_list("link").alias("links"),
+    ).withColumn("tokens", F.array_sort(F.filter(F.flatten("tokens"), lambda t: t["id"].isNotNull())))
 
-def counted_units(df: DataFrame, cuts: bool, most_seeds: int = 8) -> tuple[DataFrame, int]:
-    """(u, unit, c) of all texts, and the seed under which no two units have the same 64-bit hash ``u``."""
+    def shown(t, i):
+        after = F.get("tokens", i + 1)
+        mark = F.when(after.isNull(), "").when(after["group"] != t["group"], ";").when(after["side"] != t["side"], "|").otherwise(",")
+        return F.concat(t["id"].cast("string"), mark)
 
-    def run_with(seed):
-        def run(batches):
-            counts: Counter = Counter()
+    return grouped.select(*keys, F.array_join(F.transform("tokens", shown), "").alias("groups"), *INFO[1:])
 
-            def rows():
-                keys = list(counts)
-                h = np.fromiter((xxhash.xxh3_64_intdigest(k, seed) for k in keys), np.uint64, len(keys))
-                out = pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([k.decode("utf-8", "replace") for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], ["u", "unit", "c"])
-                counts.clear()
-                return out
 
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    counts.update(units_of(text, cuts))
-                    if len(counts) >= AT_ONCE:
-                        yield rows()
-            yield rows()
+def common_units(df: DataFrame, cuts: bool, most: int, longest: int, paths: tuple) -> DataFrame:
+    """(number, unit, LISTS): frequent units of all texts, ``most`` of ``longest`` bytes at most, numbered from 0.
 
-        return run
-
-    for seed in range(most_seeds):
-        units = scratch.table(df.select("_text").mapInArrow(run_with(seed), "u long, unit string, c long").groupBy("u", "unit").agg(F.sum("c").alias("c")), "units")
-        if units.groupBy("u").count().filter("count > 1").isEmpty():
-            return units, seed
-    raise RuntimeError(f"units collide under {most_seeds} seeds: the hash is broken")
+    They are found by counts of what a task meets at least twice at a time. A unit that is missed so is looked up less
+    quickly, not otherwise.
+    """
 
+    def run(batches):
+        counts: Counter = Counter()
 
-def encoded(units: DataFrame, path_a: str | None, path_b: str | None) -> DataFrame:
-    """(u, a_ids, a_lens, b_ids, b_lens) of each unit; lists are empty where a side's bytes differ from the unit's."""
-    names = ["a_ids", "a_lens", "b_ids", "b_lens"]
+        def rows():
+            often = {k.decode("utf-8", "replace"): n for k, n in counts.items() if n > 1 and len(k) <= longest}
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(often), pa.string()), pa.array(list(often.values()), pa.int64())], ["unit", "c"])
 
-    def run(batches):
-        held = tokenizers(path_a, path_b)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts.update(units_of(text, cuts))
+                if len(counts) >= AT_ONCE:
+                    yield rows()
+        yield rows()
+
+    def encode(batches):
+        held = tokenizers(*paths)
         for batch in batches:
             for at in range(0, batch.num_rows, ENCODED):
-                part = batch.slice(at, ENCODED)
-                found = held.encode(part.column(1).to_pylist())
-                lists = zip(*(f or ([], [], [], []) for f in found), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.list_(pa.int32())) for x in lists)], ["u", *names])
+                units = batch.column(0).slice(at, ENCODED).to_pylist()
+                found = [(u, f) for u, f in zip(units, held.encode(units), strict=True) if f]
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.string()), *held.columns([f for _, f in found])], ["unit", *LISTS])
 
-    return units.select("u", "unit").mapInArrow(run, "u long, " + ", ".join(f"{n} array<int>" for n in names))
+    counted = scratch.table(df.select("_text").mapInArrow(run, "unit string, c long").groupBy("unit").agg(F.sum("c").alias("c")), "unit-counts")
+    lists = ", ".join(f"{n} array<int>" for n in LISTS)
+    good = scratch.table(commonest(counted, most).select("unit").mapInArrow(encode, f"unit string, {lists}"), "common-units")
+    units = sorted(good.select("unit").toArrow()["unit"].to_pylist())
+    numbers = pa.table({"number": pa.array(range(len(units)), pa.int64()), "unit": pa.array(units, pa.string())})
+    return scratch.table(df.sparkSession.createDataFrame(numbers).join(good, "unit"), "numbered-units")
 
 
-def unit_numbers(df: DataFrame, common: np.ndarray, seed: int, cuts: bool) -> DataFrame:
-    """(row, _key, units, rare): each text as numbers of its units, in order.
+def unit_numbers(df: DataFrame, common: dict[bytes, int], cuts: bool, paths: tuple) -> DataFrame:
+    """(row, _key, units, rare): each text as the numbers of its units in order, -k for the k-th one that has no number.
 
-    A common unit is twice its place in ``common``, and one more where it is the text's first of that kind; the k-th
-    other unit is -k, from 1 on, and its hash is in ``rare``.
+    ``rare`` has those units' tokens (LISTS). Both are empty for a text without units or with bytes that B changes.
     """
     shared = df.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        known = shared.value
+        number, held = shared.value.get, tokenizers(*paths)
         for batch in batches:
-            units, rare = [], []
+            units, rare, sizes = [], [], []
             for text in batch.column(2).to_pylist():
                 parts = units_of(text, cuts)
-                h = np.fromiter((xxhash.xxh3_64_intdigest(p, seed) for p in parts), np.uint64, len(parts)).view(np.int64)
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1) if len(known) else np.zeros(len(h), np.int64)
-                ok = known[at] == h if len(known) else np.zeros(len(h), bool)
-                number = (at * 2).astype(np.int32)
-                number[np.unique(at, return_index=True)[1]] += 1
-                if len(first := np.flatnonzero(~ok)):
-                    # a rare unit may have stood first at a common one's place
-                    number = (at * 2).astype(np.int32)
-                    here = np.flatnonzero(ok)
-                    number[here[np.unique(at[here], return_index=True)[1]]] += 1
-                    number[first] = -1 - np.arange(len(first), dtype=np.int32)
-                units.append(number)
-                rare.append(h[first] if len(first) else h[:0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(units, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.int64()))], ["row", "_key", "units", "rare"])
+                n = np.fromiter((number(p, -1) for p in parts), np.int32, len(parts))
+                at = np.flatnonzero(n < 0)
+                found = held.encode([parts[i].decode("utf-8", "replace") for i in at.tolist()])
+                if None in found:
+                    n, found = n[:0], []
+                else:
+                    n[at] = -1 - np.arange(len(at), dtype=np.int32)
+                units.append(n)
+                rare += found
+                sizes.append(len(found))
+            lists = pa.StructArray.from_arrays(held.columns(rare), LISTS)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(units, pa.list_(pa.int32())), pa.ListArray.from_arrays(offsets, lists)], ["row", "_key", "units", "rare"])
 
     kind = df.schema["_key"].dataType.simpleString()
-    return df.select(F.monotonically_increasing_id().alias("row"), "_key", "_text").mapInArrow(run, f"row long, _key {kind}, units array<int>, rare array<long>")
+    lists = ", ".join(f"{n}: array<int>" for n in LISTS)
+    return df.select(F.monotonically_increasing_id().alias("row"), "_key", "_text").mapInArrow(run, f"row long, _key {kind}, units array<int>, rare array<struct<{lists}>>")
 
 
-def with_units(texts: DataFrame, info: DataFrame, common: DataFrame, names: list[str], first_only: bool) -> DataFrame:
-    """(row, _key, pos, *names): each text's units with what ``info`` (u, *names) has for them.
+def aligned_texts(texts: DataFrame, common: DataFrame) -> DataFrame:
+    """(row, _key, n_a, n_b, n_groups, n_links, groups_sha256, links) of texts with units.
 
-    Common units are looked up in ``common`` (number, u), which is broadcast; the others are few in a text and bring
-    theirs by a join, first by hash, then to their text. A unit that ``info`` lacks has nulls.
+    ``common`` (number, INFO) is broadcast. A text's other units are aligned where the text is: it is shuffled once.
+    """
+    texts = texts.filter(F.size("units") > 0).repartition("row")
+    rare = aligned(texts.select("row", F.posexplode("rare").alias("k", "t")).select("row", "k", "t.*"), ["row", "k"])
+    of_rare = rare.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", F.struct(*INFO).alias("info")))).alias("of_rare"))
+    of_unit = F.transform("units", lambda n: F.struct(n.cast("long").alias("number"), F.when(n < 0, F.get("of_rare", -n - 1)["info"]).alias("info")))
+    rows = texts.select("row", "_key", "units").join(of_rare.hint("merge"), "row", "left").select("row", "_key", F.posexplode(of_unit).alias("pos", "x"))
+    rows = rows.select("row", "_key", "pos", F.col("x.number").alias("number"), F.col("x.info").alias("info"))
+    rows = rows.join(F.broadcast(common.select("number", F.struct(*INFO).alias("found"))), "number", "left").withColumn("info", F.coalesce("info", "found"))
+    parts = F.array_sort(F.collect_list(F.struct("pos", F.col("info.groups").alias("groups"))))
+    return rows.groupBy("row", "_key").agg(
+        *(F.sum(f"info.{c}").alias(c) for c in ("n_a", "n_b", "n_groups")), F.flatten(F.collect_list("info.links")).alias("links"),
+        F.sha2(F.array_join(F.transform(parts, lambda x: x["groups"]), ";"), 256).alias("groups_sha256"),
+    ).withColumn("n_links", F.size("links").cast("long"))
+
+
+def link_sums(texts: DataFrame, most_broadcast: int) -> DataFrame:
+    """(row, n_best, count_sum): over each text's links, how many texts have the pair of ids, and whether no pair of that A id is in more.
+
+    The counts of the commonest pairs are broadcast; the others' are joined to each text's own count of them.
     """
-    value = F.struct(*names)
-    of_rare = texts.select("row", F.posexplode("rare").alias("k", "u")).join(info.select("u", value.alias("info")), "u", "left")
-    of_rare = of_rare.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "info"))).alias("of_rare"))
-    wanted = F.filter("units", lambda n: (n < 0) | (n % 2 == 1)) if first_only else F.col("units")
-    rows = texts.select("row", "_key", "units").join(of_rare.hint("merge"), "row", "left").select(
-        "row", "_key", F.posexplode(F.transform(wanted, lambda n: F.struct(
-            n.alias("n"), F.when(n < 0, F.get(F.col("of_rare"), -n - 1)["info"]).alias("info"),
-        ))).alias("pos", "x"))
-    frequent = common.join(info, "u").select("number", value.alias("found"))
-    rows = rows.select("row", "_key", "pos", F.when(F.col("x.n") >= 0, F.shiftright("x.n", 1).cast("long")).alias("number"), F.col("x.info").alias("info"))
-    got = F.coalesce("info", "found")
-    return rows.join(F.broadcast(frequent), "number", "left").select("row", "_key", "pos", *(got[n].alias(n) for n in names))
-
-
-def all_have(name: str) -> Column:
-    return F.count(name) == F.count("*")
-
-
-def unit_values(units: DataFrame, pair_counts: DataFrame, most_broadcast: int) -> DataFrame:
-    """(u, n_best, count_sum): sums over each unit's links of its pairs' counts, and of those that are the best of their A id."""
-    links = units.select("u", F.explode("links").alias("pair"))
-    best = pair_counts.groupBy(F.shiftright("pair", 32).cast("int").alias("a")).agg(F.max("docs").alias("best"))
-    scored = pair_counts.withColumn("a", F.shiftright("pair", 32).cast("int")).join(F.broadcast(best), "a")
-    scored = scored.select("pair", "docs", (F.col("docs") == F.col("best")).cast("long").alias("is_best"))
-    in_units = scratch.table(links.groupBy("pair").agg(F.count("*").alias("c")).join(scored, "pair"), "pair-counts")
-    hot = commonest(in_units, most_broadcast).drop("c")
-    first = links.join(F.broadcast(hot), "pair", "left")
-    other = first.filter("docs IS NULL").select("u", "pair").join(in_units.drop("c"), "pair")
-    rows = first.filter("docs IS NOT NULL").select("u", "docs", "is_best").unionByName(other.select("u", "docs", "is_best"))
-    return rows.groupBy("u").agg(F.sum("is_best").alias("n_best"), F.sum("docs").alias("count_sum"))
+    counts = scratch.table(texts.select(F.explode(F.array_distinct("links")).alias("pair")).groupBy("pair").agg(F.count("*").alias("c")), "pair-counts")
+    a = F.shiftright("pair", 32).cast("int").alias("a")
+    best = counts.groupBy(a).agg(F.max("c").alias("best"))  # no more rows than A has ids
+    scored = counts.select("pair", "c", a).join(F.broadcast(best), "a").select("pair", "c", (F.col("c") == F.col("best")).cast("long").alias("is_best"))
+    links = texts.select("row", F.explode("links").alias("pair"))
+    found = links.join(F.broadcast(commonest(scored, most_broadcast)), "pair", "left")
+    common = found.filter("c IS NOT NULL").groupBy("row").agg(F.sum("is_best").alias("n_best"), F.sum("c").alias("count_sum"))
+    other = found.filter("c IS NULL").groupBy("row", "pair").agg(F.count("*").alias("times")).join(scored, "pair")
+    other = other.groupBy("row").agg(F.sum(F.col("is_best") * F.col("times")).alias("n_best"), F.sum(F.col("c") * F.col("times")).alias("count_sum"))
+    return common.unionByName(other).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 
 
 def alignments(
     df: DataFrame, key: str = "doc_id", text: str = "text", path_a: str | None = None, path_b: str | None = None,
-    frequent: int = 1 << 18, most_broadcast: int = 1 << 17,
+    frequent: int = 1 << 18, longest: int = 64, most_broadcast: int = 1 << 17,
 ) -> DataFrame:
     """One row per text: key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     Both tokenizers cut before a single space between other characters, so a text is a row of units that start there,
-    and what lies in a unit is the same wherever it stands. Each distinct unit is encoded once; its tokens become
-    rows, lengths are summed up in windows, the sides are joined on unit and end, running counts of common ends are
-    the groups and neighbouring ends the links (``aligned``). Texts then are joined with their units: the commonest,
-    ``frequent`` at most, are broadcast, the others shuffled. A pair of ids is counted once for each row whose text has
-    it linked, so repeated rows count each; ``count_sum`` and ``n_best`` are summed from the units' own.
+    and what lies in a unit is the same wherever it stands. Units' tokens become rows, lengths are summed up in
+    windows, the sides meet on unit and end, running counts of common ends are the groups and neighbouring ends the
+    links (``aligned``). Frequent units, at most ``frequent`` of at most ``longest`` bytes, are aligned once and
+    broadcast; the others are aligned in their texts. A pair of ids is counted once for each row whose text has it
+    linked, so repeated rows count each.
 
-    Null and empty texts, and those whose bytes either tokenizer changes, have zeros and an empty digest and count
+    Null and empty texts, and those whose bytes a tokenizer changes, have zeros and an empty digest and count
     for no pair. An empty table gives no rows. With a B that has pieces across spaces a text is one unit.
     """
     scratch.not_among(key, ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
     source = df.select(F.col(key).alias("_key"), F.col(text).cast("string").cast("binary").alias("_text"))
-    cuts = tokenizers(path_a, path_b).cuts_at_spaces
-    units, seed = counted_units(source, cuts)
-    tokens = encoded(units, path_a, path_b).repartition("u")
-    found = scratch.table(aligned(tokens), "aligned-units")
-    hashes = np.sort(commonest(units, frequent).select("u").toArrow()["u"].to_numpy())
-    numbers = pa.table({"number": pa.array(np.arange(len(hashes)), pa.int64()), "u": pa.array(hashes, pa.int64())})
-    common = scratch.table(df.sparkSession.createDataFrame(numbers), "common-units")
-    texts = scratch.table(unit_numbers(source, hashes, seed, cuts), "unit-numbers")
-
-    pairs = found.select("u", F.array_distinct("links").alias("pairs"))
-    held = with_units(texts, pairs, common, ["pairs"], True).groupBy("row").agg(all_have("pairs").alias("ok"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    counts = scratch.table(held.filter("ok").select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("docs")), "pair-docs")
-    values = found.join(unit_values(found, counts, most_broadcast), "u", "left").withColumn("n_links", F.size("links").cast("long")).select("u", *INFO)
-    values = scratch.table(values, "unit-values")
-
+    paths = (path_a, path_b)
+    cuts = tokenizers(*paths).cuts_at_spaces
+    units = common_units(source, cuts, frequent, longest, paths)
+    held = units.select("number", "unit").toArrow()
+    numbers = {u.encode(): n for n, u in zip(held["number"].to_pylist(), held["unit"].to_pylist(), strict=True)}
+    texts = scratch.table(unit_numbers(source, numbers, cuts, paths), "unit-numbers")
+    common = scratch.table(aligned(units.repartition("number"), ["number"]), "aligned-units")
+    done = scratch.table(aligned_texts(texts, common), "aligned-texts")
     sums = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    parts = F.array_sort(F.collect_list(F.struct("pos", "groups")))
-    ended = with_units(texts, values, common, INFO, False).groupBy("row", "_key").agg(
-        all_have("groups").alias("ok"), *(F.sum(c).alias(c) for c in sums), F.sha2(F.array_join(F.transform(parts, lambda x: x["groups"]), ";"), 256).alias("groups_sha256"),
-    )
+    counted = done.drop("links").join(link_sums(done, most_broadcast), "row")
     zeros = texts.filter(F.size("units") == 0).select(F.col("_key").alias(key), *(F.lit(0).cast("long").alias(c) for c in sums), F.lit("").alias("groups_sha256"))
-    return ended.select(
-        F.col("_key").alias(key), *(F.when(F.col("ok"), F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c) for c in sums),
-        F.when(F.col("ok"), F.col("groups_sha256")).otherwise("").alias("groups_sha256"),
-    ).unionByName(zeros)
+    return counted.select(F.col("_key").alias(key), *(F.col(c).cast("long").alias(c) for c in sums), "groups_sha256").unionByName(zeros)
