@@ -17,13 +17,19 @@ from .lmscore import commonest
 from .packing import byte_characters
 
 #: Distinct units that a task counts before it emits them, and units that it encodes in one go.
-AT_ONCE, ENCODED = 300_000, 4096
+AT_ONCE, ENCODED = 300_000, 2048
+#: Tokens of rare units in a partition of texts.
+IN_PARTITION = 2_000_000
 #: UTF-8 of white space, by Unicode's property and Python's; where such a character is beside a space, no cut is known.
-SPACE = rb"(?:[\t-\r\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)"
-BESIDE = re.compile(rb"%b | %b|\A%b|%b\Z" % ((SPACE,) * 4))
+WIDE = rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)"
+BESIDE = [re.compile(x) for x in (rb" [\t-\r\x1c-\x20]", rb"[\t-\r\x1c-\x1f] ")]
+BESIDE_WIDE = [re.compile(x) for x in (b" " + WIDE, WIDE + b" ", rb"\A" + WIDE, WIDE + rb"\Z")]
+SPACES = b" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 #: In a text with a space before it: a space between two other characters.
 CUT = re.compile(r"(?<=\S)(?= \S)")
-LISTS = ["a_ids", "a_lens", "b_ids", "b_lens"]
+#: Of some units: tokens as twice their id, and one more for B, each with its bytes, and how many tokens each unit has.
+LISTS, LIST_TYPES = ["tokens", "lens", "sizes"], ["array<int>", "array<short>", "array<int>"]
+LIST_DDL = ", ".join(f"{n} {t}" for n, t in zip(LISTS, LIST_TYPES, strict=True))
 INFO = ["groups", "n_a", "n_b", "n_groups", "links"]
 # Fixed value: how byte-level pre-tokenizers cut a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -59,24 +65,66 @@ class Tokenizers:
         #: A cuts before each single space; B does unless a piece goes on after a word's end.
         self.cuts_at_spaces = not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def encode(self, units: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of A and B over a space and each unit; None if B's bytes differ from that. A never changes a byte."""
-        out = []
-        for unit, b in zip(units, self.b.encode(units, num_threads=1) if units else [], strict=True):
-            full = " " + unit
-            same = b"".join(map(self.b_bytes.__getitem__, b)) == full.encode()
-            out.append((self.a.encode_ordinary(full), b) if same else None)
-        return out
-
-    def columns(self, found: list[tuple[list[int], list[int]]]) -> list[pa.Array]:
-        """LISTS of encoded units, as Arrow arrays."""
-        out = []
-        for side, lengths in ((0, self.a_len), (1, self.b_len)):
-            sizes = np.array([len(f[side]) for f in found], np.int64)
-            ids = np.fromiter((i for f in found for i in f[side]), np.int32, int(sizes.sum()))
-            at = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-            out += [pa.ListArray.from_arrays(at, pa.array(x)) for x in (ids, lengths[ids])]
-        return out
+    def encode(self, unit: str) -> tuple[list[int], list[int]] | None:
+        """Ids of A and B over a space and the unit; None if B's bytes differ from that. A never changes a byte."""
+        a, b = self.a.encode_ordinary(" " + unit), self.b.encode(unit)
+        return (a, b) if b"".join(map(self.b_bytes.__getitem__, b)) == (" " + unit).encode() else None
+
+    def flat(self, units: list[str]) -> tuple[np.ndarray, ...] | None:
+        """(unit, token, bytes) of all units, A's tokens of a unit before B's; None if a unit has no tokens.
+
+        Units without white space at their ends are encoded in one go, as both tokenizers cut between them.
+        """
+        parts = []
+        apart = [i for i, u in enumerate(units) if not u or u[0].isspace() or u[-1].isspace()]
+        joined = sorted(set(range(len(units))) - set(apart))
+        for at in range(0, len(joined), ENCODED):
+            some = joined[at : at + ENCODED]
+            text = " " + " ".join([units[i] for i in some])
+            ends = np.cumsum([1 + len(units[i].encode()) for i in some])
+            a, b = self.a.encode_ordinary(text), self.b.encode(text[1:])
+            found = []
+            for side, ids, lengths in ((0, a, self.a_len), (1, b, self.b_len)):
+                ids = np.array(ids, np.int32)
+                n = lengths[ids]
+                stop = np.cumsum(n)
+                where = np.searchsorted(ends, stop)
+                found.append((where, ids * 2 + side, n, np.isin(ends, stop).all()))
+            if not self.cuts_at_spaces or not all(f[3] for f in found) or b"".join(map(self.b_bytes.__getitem__, b)) != text.encode():
+                apart += some
+                continue
+            numbers = np.array(some)
+            parts += [(numbers[where], ids, n) for where, ids, n, _ in found]
+        for i in apart:
+            found = self.encode(units[i])
+            if found is None:
+                return None
+            for side, ids, lengths in ((0, found[0], self.a_len), (1, found[1], self.b_len)):
+                ids = np.array(ids, np.int32)
+                parts.append((np.full(len(ids), i), ids * 2 + side, lengths[ids]))
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        unit, tokens, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((tokens & 1, unit))
+        return unit[order], tokens[order], n[order]
+
+    def columns(self, rows: list[list[str]]) -> tuple[list[pa.Array], np.ndarray]:
+        """LISTS of the units of each row, as Arrow arrays, and which rows have a unit without tokens: these have none at all."""
+        counts = np.array([len(r) for r in rows], np.int64)
+        bad = np.zeros(len(rows), bool)
+        found = self.flat([u for r in rows for u in r])
+        if found is None:
+            bad = np.array([any(self.encode(u) is None for u in r) for r in rows])
+            counts[bad] = 0
+            found = self.flat([u for r, b in zip(rows, bad, strict=True) for u in r if not b])
+        unit, tokens, n = found
+        sizes = np.bincount(unit, minlength=int(counts.sum()))
+        last = np.cumsum(counts)
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        offsets = lambda x: pa.array(np.concatenate(([0], x)).astype(np.int32))
+        by_token = offsets(ends[last])
+        lists = [pa.ListArray.from_arrays(by_token, pa.array(tokens.astype(np.int32))), pa.ListArray.from_arrays(by_token, pa.array(n.astype(np.int16)))]
+        return [*lists, pa.ListArray.from_arrays(offsets(last), pa.array(sizes.astype(np.int32)))], bad
 
 
 @lru_cache(2)
@@ -94,33 +142,37 @@ def units_of(text: bytes | None, cuts_at_spaces: bool = True) -> list[bytes]:
         return []
     if not cuts_at_spaces:
         return [text]
-    if not BESIDE.search(text):
+    beside = text[:1] in SPACES or text[-1:] in SPACES or any(p.search(text) for p in BESIDE)
+    if not beside and (text.isascii() or not any(p.search(text) for p in BESIDE_WIDE)):
         return text.split(b" ")
     return [part[1:].encode() for part in CUT.split(" " + text.decode("utf-8", "replace"))]
 
 
-def token_ends(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, end, a, b): the byte ends of both sides' tokens, by running sums of lengths, with the token of each side that ends there.
+def token_ends(units: DataFrame, key: str) -> DataFrame:
+    """(key, k, end, a, b): the byte ends of both sides' tokens, by running sums of lengths, with the token of each side that ends there.
 
-    A full equi-join of the sides on keys and end, written as a grouping: ``tokens`` is dealt by the first key, so
-    its tokens are never shuffled.
+    A full equi-join of the sides on unit and end, written as a grouping: ``units`` is dealt by the key, so its tokens
+    are never shuffled.
     """
-    side = lambda s: F.transform(F.arrays_zip(F.col(f"{s}_ids").alias("id"), F.col(f"{s}_lens").alias("n")), lambda t: F.struct(F.lit(s).alias("side"), t["id"].alias("id"), t["n"].alias("n")))
-    rows = tokens.select(*keys, F.posexplode(F.concat(side("a"), side("b"))).alias("pos", "t")).select(*keys, "pos", "t.*")
+    keys = [key, "k"]
+    of_unit = F.flatten(F.transform("sizes", lambda n, i: F.array_repeat(i, n)))
+    rows = units.select(key, F.posexplode(F.arrays_zip(F.col("tokens").alias("t"), F.col("lens").alias("n"), of_unit.alias("k"))).alias("pos", "x"))
+    rows = rows.select(key, "pos", "x.k", "x.n", F.shiftright("x.t", 1).alias("id"), F.when(F.col("x.t") % 2 == 0, "a").otherwise("b").alias("side"))
     end = F.sum("n").over(Window.partitionBy(*keys, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.select(*keys, end.alias("end"), "side", "id")
     return rows.groupBy(*keys, "end").agg(*(F.max(F.when(F.col("side") == s, F.col("id"))).alias(s) for s in ("a", "b")))
 
 
-def aligned(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, INFO) of (keys, LISTS) rows whose sides have equal bytes.
+def aligned(units: DataFrame, key: str) -> DataFrame:
+    """(key, k, INFO) of the k-th unit in each row of (key, LISTS), from 0; both sides have the same bytes.
 
     The sides meet at equal ends. Ends that both have are cuts, and the number of cuts from an end on is its group.
     Between two neighbouring ends of either side lies one token of A and one of B, the next ones that end: these
     are the links, each pair of overlapping tokens once. ``links`` holds A's id times 2^32 plus B's.
     """
+    keys = [key, "k"]
     later = Window.partitionBy(*keys).orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = token_ends(tokens, keys).select(
+    rows = token_ends(units, key).select(
         *keys, "end", "a", "b",
         F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(later).alias("from_end"),
         (F.shiftleft(F.last("a", True).over(later).cast("long"), 32) + F.last("b", True).over(later)).alias("link"),
@@ -164,58 +216,55 @@ def common_units(df: DataFrame, cuts: bool, most: int, longest: int, paths: tupl
     def encode(batches):
         held = tokenizers(*paths)
         for batch in batches:
-            for at in range(0, batch.num_rows, ENCODED):
-                units = batch.column(0).slice(at, ENCODED).to_pylist()
-                found = [(u, f) for u, f in zip(units, held.encode(units), strict=True) if f]
-                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.string()), *held.columns([f for _, f in found])], ["unit", *LISTS])
+            units = batch.column(0).to_pylist()
+            lists, bad = held.columns([[u] for u in units])
+            good = pa.array(~bad)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), *(x.filter(good) for x in lists)], ["unit", *LISTS])
 
     counted = scratch.table(df.select("_text").mapInArrow(run, "unit string, c long").groupBy("unit").agg(F.sum("c").alias("c")), "unit-counts")
-    lists = ", ".join(f"{n} array<int>" for n in LISTS)
-    good = scratch.table(commonest(counted, most).select("unit").mapInArrow(encode, f"unit string, {lists}"), "common-units")
+    good = scratch.table(commonest(counted, most).select("unit").mapInArrow(encode, f"unit string, {LIST_DDL}"), "common-units")
     units = sorted(good.select("unit").toArrow()["unit"].to_pylist())
     numbers = pa.table({"number": pa.array(range(len(units)), pa.int64()), "unit": pa.array(units, pa.string())})
     return scratch.table(df.sparkSession.createDataFrame(numbers).join(good, "unit"), "numbered-units")
 
 
 def unit_numbers(df: DataFrame, common: dict[bytes, int], cuts: bool, paths: tuple) -> DataFrame:
-    """(row, _key, units, rare): each text as the numbers of its units in order, -k for the k-th one that has no number.
+    """(row, _key, units, LISTS): each text as the numbers of its units in order, -1 - k for the k-th one, from 0, that has no number.
 
-    ``rare`` has those units' tokens (LISTS). Both are empty for a text without units or with bytes that B changes.
+    LISTS are those units' tokens. All are empty for a text without units or with bytes that B changes.
     """
     shared = df.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         number, held = shared.value.get, tokenizers(*paths)
         for batch in batches:
-            units, rare, sizes = [], [], []
-            for text in batch.column(2).to_pylist():
-                parts = units_of(text, cuts)
-                n = np.fromiter((number(p, -1) for p in parts), np.int32, len(parts))
-                at = np.flatnonzero(n < 0)
-                found = held.encode([parts[i].decode("utf-8", "replace") for i in at.tolist()])
-                if None in found:
-                    n, found = n[:0], []
-                else:
+            for first in range(0, batch.num_rows, 512):
+                some, units, rare = batch.slice(first, 512), [], []
+                for text in some.column(2).to_pylist():
+                    parts = units_of(text, cuts)
+                    n = np.fromiter((number(p, -1) for p in parts), np.int32, len(parts))
+                    at = np.flatnonzero(n < 0)
                     n[at] = -1 - np.arange(len(at), dtype=np.int32)
-                units.append(n)
-                rare += found
-                sizes.append(len(found))
-            lists = pa.StructArray.from_arrays(held.columns(rare), LISTS)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(units, pa.list_(pa.int32())), pa.ListArray.from_arrays(offsets, lists)], ["row", "_key", "units", "rare"])
+                    units.append(n)
+                    rare.append([parts[i].decode("utf-8", "replace") for i in at.tolist()])
+                lists, bad = held.columns(rare)
+                units = [n[:0] if b else n for n, b in zip(units, bad, strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(units, pa.list_(pa.int32())), *lists], ["row", "_key", "units", *LISTS])
 
     kind = df.schema["_key"].dataType.simpleString()
-    lists = ", ".join(f"{n}: array<int>" for n in LISTS)
-    return df.select(F.monotonically_increasing_id().alias("row"), "_key", "_text").mapInArrow(run, f"row long, _key {kind}, units array<int>, rare array<struct<{lists}>>")
+    return df.select(F.monotonically_increasing_id().alias("row"), "_key", "_text").mapInArrow(run, f"row long, _key {kind}, units array<int>, {LIST_DDL}")
 
 
 def aligned_texts(texts: DataFrame, common: DataFrame) -> DataFrame:
     """(row, _key, n_a, n_b, n_groups, n_links, groups_sha256, links) of texts with units.
 
-    ``common`` (number, INFO) is broadcast. A text's other units are aligned where the text is: it is shuffled once.
+    ``common`` (number, INFO) is broadcast. A text's other units are aligned where the text is: it is shuffled once,
+    into partitions of about IN_PARTITION of their tokens.
     """
-    texts = texts.filter(F.size("units") > 0).repartition("row")
-    rare = aligned(texts.select("row", F.posexplode("rare").alias("k", "t")).select("row", "k", "t.*"), ["row", "k"])
+    tokens = texts.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    n = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // IN_PARTITION))
+    texts = texts.filter(F.size("units") > 0).repartition(n, "row")
+    rare = aligned(texts.select("row", *LISTS), "row")
     of_rare = rare.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", F.struct(*INFO).alias("info")))).alias("of_rare"))
     of_unit = F.transform("units", lambda n: F.struct(n.cast("long").alias("number"), F.when(n < 0, F.get("of_rare", -n - 1)["info"]).alias("info")))
     rows = texts.select("row", "_key", "units").join(of_rare.hint("merge"), "row", "left").select("row", "_key", F.posexplode(of_unit).alias("pos", "x"))
@@ -223,7 +272,7 @@ def aligned_texts(texts: DataFrame, common: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(common.select("number", F.struct(*INFO).alias("found"))), "number", "left").withColumn("info", F.coalesce("info", "found"))
     parts = F.array_sort(F.collect_list(F.struct("pos", F.col("info.groups").alias("groups"))))
     return rows.groupBy("row", "_key").agg(
-        *(F.sum(f"info.{c}").alias(c) for c in ("n_a", "n_b", "n_groups")), F.flatten(F.collect_list("info.links")).alias("links"),
+        *(F.sum(f"info.{c}").alias(c) for c in ("n_a", "n_b", "n_groups")), F.array_sort(F.flatten(F.collect_list("info.links"))).alias("links"),
         F.sha2(F.array_join(F.transform(parts, lambda x: x["groups"]), ";"), 256).alias("groups_sha256"),
     ).withColumn("n_links", F.size("links").cast("long"))
 
@@ -269,7 +318,7 @@ def alignments(
     held = units.select("number", "unit").toArrow()
     numbers = {u.encode(): n for n, u in zip(held["number"].to_pylist(), held["unit"].to_pylist(), strict=True)}
     texts = scratch.table(unit_numbers(source, numbers, cuts, paths), "unit-numbers")
-    common = scratch.table(aligned(units.repartition("number"), ["number"]), "aligned-units")
+    common = scratch.table(aligned(units.repartition("number"), "number"), "aligned-units")
     done = scratch.table(aligned_texts(texts, common), "aligned-texts")
     sums = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     counted = done.drop("links").join(link_sums(done, most_broadcast), "row")

@@ -22,8 +22,12 @@ def test_units_are_cut_where_both_tokenizers_cut(text):
         assert parts == []
         return
     assert "".join(" " + p for p in parts) == " " + text
-    whole, split = t.encode([text])[0], t.encode(parts)
+    whole, split = t.encode(text), [t.encode(p) for p in parts]
     assert whole is not None and [sum((s[i] for s in split), []) for i in range(2)] == list(whole)
+    unit, tokens, n = t.flat(parts)
+    for i, (a, b) in enumerate(split):
+        assert tokens[unit == i].tolist() == [x * 2 for x in a] + [x * 2 + 1 for x in b]
+    assert n.tolist() == [(t.b_len if x % 2 else t.a_len)[x // 2] for x in tokens]
     assert whole[0] == a_tokenizer().encode(" " + text, add_special_tokens=False).ids
 
 
@@ -55,7 +59,7 @@ def plain(rows):
     t = tokenizers(None, None)
     links, out, docs = [], [], Counter()
     for _, text in rows:
-        found = t.encode([text])[0] if text else None
+        found = t.encode(text) if text else None
         pairs, groups, n = [], [], (0, 0)
         if found:
             spans = []
@@ -93,7 +97,7 @@ def plain(rows):
 
 
 ODD = [
-    (1, None), (2, ""), (3, " "), (4, "  two  spaces \n and\n\nlines \t"), (5, "a▁b is changed by B"), (6, "<|endoftext|> <s> </s> <0x41> it's"), (7, "Ünïcödé — 漢字 ́ ß 😀 \x00"),
+    (1, None), (2, ""), (3, " "), (20, "a▁▁b c"), (4, "  two  spaces \n and\n\nlines \t"), (5, "a▁b is changed by B"), (6, "<|endoftext|> <s> </s> <0x41> it's"), (7, "Ünïcödé — 漢字 ́ ß 😀 \x00"),
     (8, "the same words the same words"), (8, "the same words the same words"), (None, "no key at all"), (9, "xyx" * 3000), (10, "the of and " * 8000), (11, "ends with a space "), (12, "　wide  spaces here"),
 ]
 
