@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections import Counter
@@ -18,8 +19,8 @@ from .packing import byte_characters
 
 #: Distinct units that a task counts before it emits them, and units that it encodes in one go.
 AT_ONCE, ENCODED = 300_000, 2048
-#: Tokens of rare units in a partition of texts.
-IN_PARTITION = 2_000_000
+#: Units, and tokens of those without a number, in a partition of texts.
+IN_PARTITION = 1_000_000
 #: UTF-8 of white space, by Unicode's property and Python's; where such a character is beside a space, no cut is known.
 WIDE = rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)"
 BESIDE = [re.compile(x) for x in (rb" [\t-\r\x1c-\x20]", rb"[\t-\r\x1c-\x1f] ")]
@@ -149,46 +150,45 @@ def units_of(text: bytes | None, cuts_at_spaces: bool = True) -> list[bytes]:
 
 
 def token_ends(units: DataFrame, key: str) -> DataFrame:
-    """(key, k, end, a, b): the byte ends of both sides' tokens, by running sums of lengths, with the token of each side that ends there.
+    """(key, k, side, id, end): the tokens of both sides with their byte ends, by running sums of lengths.
 
-    A full equi-join of the sides on unit and end, written as a grouping: ``units`` is dealt by the key, so its tokens
-    are never shuffled.
+    ``units`` is dealt by the key, so its tokens are never shuffled.
     """
-    keys = [key, "k"]
     of_unit = F.flatten(F.transform("sizes", lambda n, i: F.array_repeat(i, n)))
     rows = units.select(key, F.posexplode(F.arrays_zip(F.col("tokens").alias("t"), F.col("lens").alias("n"), of_unit.alias("k"))).alias("pos", "x"))
-    rows = rows.select(key, "pos", "x.k", "x.n", F.shiftright("x.t", 1).alias("id"), F.when(F.col("x.t") % 2 == 0, "a").otherwise("b").alias("side"))
-    end = F.sum("n").over(Window.partitionBy(*keys, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.select(*keys, end.alias("end"), "side", "id")
-    return rows.groupBy(*keys, "end").agg(*(F.max(F.when(F.col("side") == s, F.col("id"))).alias(s) for s in ("a", "b")))
+    rows = rows.select(key, "pos", "x.k", "x.n", F.shiftright("x.t", 1).alias("id"), F.col("x.t").bitwiseAND(1).alias("side"))
+    end = F.sum("n").over(Window.partitionBy(key, "k", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select(key, "k", "side", "id", end.cast("int").alias("end"))
 
 
 def aligned(units: DataFrame, key: str) -> DataFrame:
     """(key, k, INFO) of the k-th unit in each row of (key, LISTS), from 0; both sides have the same bytes.
 
-    The sides meet at equal ends. Ends that both have are cuts, and the number of cuts from an end on is its group.
-    Between two neighbouring ends of either side lies one token of A and one of B, the next ones that end: these
-    are the links, each pair of overlapping tokens once. ``links`` holds A's id times 2^32 plus B's.
+    The sides meet at equal ends: in the order of falling ends a token of A stands right before B's with its end, so
+    this equi-join on unit and end needs neither a shuffle nor a second sort. Ends that both have are cuts, and the
+    number of cuts from an end on is its group. Between two neighbouring ends of either side lies one token of A and
+    one of B, the next ones that end: these are the links, each pair of overlapping tokens once. ``links`` holds A's
+    id times 2^32 plus B's.
     """
-    keys = [key, "k"]
-    later = Window.partitionBy(*keys).orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = token_ends(units, key).select(
-        *keys, "end", "a", "b",
-        F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(later).alias("from_end"),
-        (F.shiftleft(F.last("a", True).over(later).cast("long"), 32) + F.last("b", True).over(later)).alias("link"),
+    falling = Window.partitionBy(key, "k").orderBy(F.desc("end"), "side")
+    so_far = falling.rowsBetween(Window.unboundedPreceding, 0)
+    rows = token_ends(units, key).withColumn("cut", F.coalesce(F.lead("end").over(falling) == F.col("end"), F.lit(False)))
+    last = lambda i: F.last(F.when(F.col("side") == i, F.col("id")), True).over(so_far)
+    rows = rows.select(
+        key, "k", "side", "id", "end", F.count_if("cut").over(so_far).cast("int").alias("from_end"),
+        F.when(~F.col("cut"), F.shiftleft(last(0).cast("long"), 32) + last(1)).alias("link"),
+    )
+    grouped = rows.groupBy(key, "k").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("from_end")).alias("group"), "side", "end", "id"))).alias("tokens"),
+        F.count_if(F.col("side") == 0).alias("n_a"), F.count_if(F.col("side") == 1).alias("n_b"), F.max("from_end").cast("long").alias("n_groups"), F.collect_list("link").alias("links"),
     )
-    one = lambda side, i: F.struct((-F.col("from_end")).alias("group"), F.lit(i).alias("side"), "end", F.col(side).alias("id"))
-    both = F.collect_list(F.array(one("a", 0), one("b", 1)))
-    grouped = rows.groupBy(*keys).agg(
-        both.alias("tokens"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max("from_end").alias("n_groups"), F.collect_list("link").alias("links"),
-    ).withColumn("tokens", F.array_sort(F.filter(F.flatten("tokens"), lambda t: t["id"].isNotNull())))
 
     def shown(t, i):
         after = F.get("tokens", i + 1)
         mark = F.when(after.isNull(), "").when(after["group"] != t["group"], ";").when(after["side"] != t["side"], "|").otherwise(",")
         return F.concat(t["id"].cast("string"), mark)
 
-    return grouped.select(*keys, F.array_join(F.transform("tokens", shown), "").alias("groups"), *INFO[1:])
+    return grouped.select(key, "k", F.array_join(F.transform("tokens", shown), "").alias("groups"), *INFO[1:])
 
 
 def common_units(df: DataFrame, cuts: bool, most: int, longest: int, paths: tuple) -> DataFrame:
@@ -255,43 +255,79 @@ def unit_numbers(df: DataFrame, common: dict[bytes, int], cuts: bool, paths: tup
     return df.select(F.monotonically_increasing_id().alias("row"), "_key", "_text").mapInArrow(run, f"row long, _key {kind}, units array<int>, {LIST_DDL}")
 
 
-def aligned_texts(texts: DataFrame, common: DataFrame) -> DataFrame:
-    """(row, _key, n_a, n_b, n_groups, n_links, groups_sha256, links) of texts with units.
+class Aligned:
+    """What aligned units hold, by their number: strings of groups, counts, and links one after another."""
+
+    def __init__(self, rows: pa.RecordBatch | pa.Table):
+        self.groups = rows["groups"].to_pylist()
+        self.counts = np.stack([rows[c].to_numpy(zero_copy_only=False) for c in ("n_a", "n_b", "n_groups")], 1).reshape(-1, 3)
+        links = rows["links"].combine_chunks() if isinstance(rows, pa.Table) else rows["links"]
+        self.sizes = links.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.links = links.flatten().to_numpy(zero_copy_only=False)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def links_of(self, at: np.ndarray) -> np.ndarray:
+        """The links of some units, one after another."""
+        sizes = self.sizes[at]
+        before = np.cumsum(sizes) - sizes
+        return self.links[np.repeat(self.starts[at] - before, sizes) + np.arange(sizes.sum())]
+
 
-    ``common`` (number, INFO) is broadcast. A text's other units are aligned where the text is: it is shuffled once,
-    into partitions of about IN_PARTITION of their tokens.
+def aligned_texts(texts: DataFrame, common: Aligned) -> DataFrame:
+    """(row, _key, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of texts with units.
+
+    A text's units without a number are aligned where the text is: it is shuffled once, into partitions of about
+    IN_PARTITION units and tokens. Then each text is put together from its units' results, in their order; ``times``
+    is how often it has each of its ``pairs`` of ids linked.
     """
-    tokens = texts.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
-    n = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // IN_PARTITION))
+    size = texts.agg(F.coalesce(F.sum(F.size("tokens") + F.size("units")), F.lit(0))).first()[0]
+    n = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // IN_PARTITION))
     texts = texts.filter(F.size("units") > 0).repartition(n, "row")
     rare = aligned(texts.select("row", *LISTS), "row")
-    of_rare = rare.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", F.struct(*INFO).alias("info")))).alias("of_rare"))
-    of_unit = F.transform("units", lambda n: F.struct(n.cast("long").alias("number"), F.when(n < 0, F.get("of_rare", -n - 1)["info"]).alias("info")))
-    rows = texts.select("row", "_key", "units").join(of_rare.hint("merge"), "row", "left").select("row", "_key", F.posexplode(of_unit).alias("pos", "x"))
-    rows = rows.select("row", "_key", "pos", F.col("x.number").alias("number"), F.col("x.info").alias("info"))
-    rows = rows.join(F.broadcast(common.select("number", F.struct(*INFO).alias("found"))), "number", "left").withColumn("info", F.coalesce("info", "found"))
-    parts = F.array_sort(F.collect_list(F.struct("pos", F.col("info.groups").alias("groups"))))
-    return rows.groupBy("row", "_key").agg(
-        *(F.sum(f"info.{c}").alias(c) for c in ("n_a", "n_b", "n_groups")), F.array_sort(F.flatten(F.collect_list("info.links"))).alias("links"),
-        F.sha2(F.array_join(F.transform(parts, lambda x: x["groups"]), ";"), 256).alias("groups_sha256"),
-    ).withColumn("n_links", F.size("links").cast("long"))
+    of_rare = rare.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", *INFO))).alias("of_rare"))
+    rows = texts.select("row", "_key", "units").join(of_rare.hint("merge"), "row", "left").select("row", "_key", "units", "of_rare")
+    shared = texts.sparkSession.sparkContext.broadcast(common)
+    names = ["row", "_key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            held = batch.column(3)
+            own = Aligned(pa.RecordBatch.from_arrays(held.flatten().flatten()[1:], INFO))
+            first, out = 0, []
+            for units, count in zip(batch.column(2), held.value_lengths().fill_null(0).to_pylist(), strict=True):
+                u = units.values.to_numpy()
+                here = slice(first, first + count)
+                shown = [known.groups[x] if x >= 0 else own.groups[first - 1 - x] for x in u.tolist()]
+                usual = u[u >= 0]
+                counts = known.counts[usual].sum(0) + own.counts[here].sum(0)
+                links = np.concatenate((known.links_of(usual), own.links_of(np.arange(here.start, here.stop))))
+                pairs, times = np.unique(links, return_counts=True)
+                out.append((*counts.tolist(), len(links), hashlib.sha256(";".join(shown).encode()).hexdigest(), pairs, times))
+                first += count
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+            arrays = [pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names)
+
+    kind = texts.schema["_key"].dataType.simpleString()
+    return rows.mapInArrow(run, f"row long, _key {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>")
 
 
 def link_sums(texts: DataFrame, most_broadcast: int) -> DataFrame:
     """(row, n_best, count_sum): over each text's links, how many texts have the pair of ids, and whether no pair of that A id is in more.
 
-    The counts of the commonest pairs are broadcast; the others' are joined to each text's own count of them.
+    The counts of the commonest pairs are broadcast; the others are joined.
     """
-    counts = scratch.table(texts.select(F.explode(F.array_distinct("links")).alias("pair")).groupBy("pair").agg(F.count("*").alias("c")), "pair-counts")
+    counts = scratch.table(texts.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("c")), "pair-counts")
     a = F.shiftright("pair", 32).cast("int").alias("a")
     best = counts.groupBy(a).agg(F.max("c").alias("best"))  # no more rows than A has ids
     scored = counts.select("pair", "c", a).join(F.broadcast(best), "a").select("pair", "c", (F.col("c") == F.col("best")).cast("long").alias("is_best"))
-    links = texts.select("row", F.explode("links").alias("pair"))
+    links = texts.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
     found = links.join(F.broadcast(commonest(scored, most_broadcast)), "pair", "left")
-    common = found.filter("c IS NOT NULL").groupBy("row").agg(F.sum("is_best").alias("n_best"), F.sum("c").alias("count_sum"))
-    other = found.filter("c IS NULL").groupBy("row", "pair").agg(F.count("*").alias("times")).join(scored, "pair")
-    other = other.groupBy("row").agg(F.sum(F.col("is_best") * F.col("times")).alias("n_best"), F.sum(F.col("c") * F.col("times")).alias("count_sum"))
-    return common.unionByName(other).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    other = found.filter("c IS NULL").select("row", "pair", "times").join(scored, "pair")
+    sums = (F.sum(F.col("is_best") * F.col("times")).alias("n_best"), F.sum(F.col("c") * F.col("times")).alias("count_sum"))
+    parts = found.filter("c IS NOT NULL").groupBy("row").agg(*sums).unionByName(other.groupBy("row").agg(*sums))
+    return parts.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 
 
 def alignments(
@@ -304,7 +340,7 @@ def alignments(
     and what lies in a unit is the same wherever it stands. Units' tokens become rows, lengths are summed up in
     windows, the sides meet on unit and end, running counts of common ends are the groups and neighbouring ends the
     links (``aligned``). Frequent units, at most ``frequent`` of at most ``longest`` bytes, are aligned once and
-    broadcast; the others are aligned in their texts. A pair of ids is counted once for each row whose text has it
+    broadcast; the others are aligned in their texts, which are put together from them. A pair of ids is counted once for each row whose text has it
     linked, so repeated rows count each.
 
     Null and empty texts, and those whose bytes a tokenizer changes, have zeros and an empty digest and count
@@ -318,9 +354,9 @@ def alignments(
     held = units.select("number", "unit").toArrow()
     numbers = {u.encode(): n for n, u in zip(held["number"].to_pylist(), held["unit"].to_pylist(), strict=True)}
     texts = scratch.table(unit_numbers(source, numbers, cuts, paths), "unit-numbers")
-    common = scratch.table(aligned(units.repartition("number"), "number"), "aligned-units")
+    common = Aligned(aligned(units.repartition("number"), "number").toArrow().sort_by("number"))
     done = scratch.table(aligned_texts(texts, common), "aligned-texts")
     sums = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    counted = done.drop("links").join(link_sums(done, most_broadcast), "row")
+    counted = done.drop("pairs", "times").join(link_sums(done, most_broadcast), "row")
     zeros = texts.filter(F.size("units") == 0).select(F.col("_key").alias(key), *(F.lit(0).cast("long").alias(c) for c in sums), F.lit("").alias("groups_sha256"))
     return counted.select(F.col("_key").alias(key), *(F.col(c).cast("long").alias(c) for c in sums), "groups_sha256").unionByName(zeros)
