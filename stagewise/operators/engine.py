@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagewise.functions import text as T
@@ -20,6 +20,8 @@ from . import reconcile as R
 LEFT_OUT, REFERENCE = ("SUPERSEDED", "CANCELLED"), ("APPROVED", "FOR_CONSTRUCTION")
 #: Columns of an extracted value, beside its keys, stage, position, ``bad`` and ``conflict``.
 VALUE = ("num", "str", "flag", "coords", "unit", "places")
+#: Columns of a matrix row that :func:`value_hit` reads; ``codes`` (any or lost) makes a text a set of systems.
+PARAM = ("data_type", "parsed", "direction", "percent", "absolute", "below", "above", "trigger_unit", "unit", "scale", "codes")
 
 
 def selected_files(files: DataFrame, owner: Sequence[str]) -> DataFrame:
@@ -76,7 +78,7 @@ def value_hit(p: dict[str, Column], e: Column, a: Column) -> Column:
     """Whether an actual value triggers against the expected one (null if there is none); null if they can't be compared.
 
     ``p`` has data_type, parsed, direction, percent, absolute, below, above, trigger_unit, unit and
-    scale; values are structs of VALUE. A number that is no number on both sides is compared as text;
+    scale, and perhaps codes; values are structs of VALUE. Two sets of systems are compared as such. A number that is no number on both sides is compared as text;
     a limit needs no expected value; thresholds are converted to the values' unit.
     """
     null = F.lit(None).cast("boolean")
@@ -90,8 +92,10 @@ def value_hit(p: dict[str, Column], e: Column, a: Column) -> Column:
         R.number_hit(e["num"], a["num"], p["direction"], p["percent"], *converted, F.coalesce(places, F.lit(0)))
     )
     same_text = T.key(e["str"]) == T.key(a["str"])
+    sets = R.codes_hit(R.code_list(e["str"]), R.code_list(a["str"]), p["codes"])
     return (
-        F.when(numeric & a["num"].isNull() & shift.isNotNull(), shift)
+        F.when(p["codes"].isNotNull() & sets.isNotNull(), sets)
+        .when(numeric & a["num"].isNull() & shift.isNotNull(), shift)
         .when(numeric & ~as_text, F.when(p["parsed"], number))
         .when(e.isNull(), null)
         .when((p["data_type"] == "enum") & (F.size(p["scale"]) > 0), F.when(p["parsed"], R.enum_hit(p["scale"], e["str"], a["str"], p["direction"])))
@@ -103,48 +107,70 @@ def value_hit(p: dict[str, Column], e: Column, a: Column) -> Column:
 def staged_points(extractions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per control point: of each stage its first value by ``pos``, least and greatest shown form; flags of all."""
     at = lambda s, x: F.when(F.col("stage") == s, x)
-    value = F.struct("pos", "stage", *VALUE)
+    value = F.struct("pos", "stage", *VALUE, "shown")
     parts = [x for s in R.STAGES for x in (F.min(at(s, value)).alias(s), F.min(at(s, F.col("shown"))).alias(f"{s}_lo"), F.max(at(s, F.col("shown"))).alias(f"{s}_hi"))]
     return extractions.groupBy(*keys).agg(*parts, F.bool_or("bad").alias("bad"), F.bool_or("conflict").alias("conflict"))
 
 
 def outcomes(extractions: DataFrame, matrix: DataFrame, presence: DataFrame, owner: str = "object_id", param: str = "param", point: str = "point") -> DataFrame:
-    """One row per control point: keys, verdict, completeness, expected, actual, actual_stage, delta.
+    """One row per control point: keys, verdict, completeness, expected, actual, actual_stage, delta, changed, comparisons.
 
     ``extractions`` has the keys, stage, pos, shown, bad, conflict and VALUE; ``matrix`` has code,
-    stages (the required ones, the first is the reference) and what :func:`value_hit` reads;
-    ``presence`` has the owner's ``present`` stages. Values of other stages than required don't count.
-    The pair shown is the first one that triggers, else the first, in the order of extraction. Null
-    points are one point of their parameter.
+    stages (the required ones, the first is the reference) and PARAM (codes may lack); ``presence`` has the owner's
+    ``present`` stages. Values of other stages than required don't count. Null points are one point of their parameter.
+
+    - A matrix row with ``own`` marks of which the owner's ``marks`` (a column of ``presence``) have none is
+      NOT_APPLICABLE; without marks on either side it applies.
+    - A null point that could be compared while its parameter also has points with a place is not: it isn't known
+      which place its values belong to, so it is CLARIFICATION_REQUIRED.
+    - The pair shown (``expected`` and ``actual`` as they stand, ``delta`` of numbers, ``changed`` of sets) is the
+      first one that triggers, else the first, in the order of extraction; ``comparisons`` has one for each actual
+      stage, in the stages' order: (stage, value, delta, triggered).
     """
+    for name, kind, at in (("codes", "string", "m"), ("own", "array<string>", "m"), ("marks", "array<string>", "p")):
+        if at == "m" and name not in matrix.columns:
+            matrix = matrix.withColumn(name, F.lit(None).cast(kind))
+        if at == "p" and name not in presence.columns:
+            presence = presence.withColumn(name, F.lit(None).cast(kind))
     rules = matrix.withColumnRenamed("code", param)
     rows = extractions.join(rules.select(param, "stages"), param).filter(F.array_contains("stages", F.col("stage"))).drop("stages")
     points = staged_points(rows, [owner, param, point]).join(rules, param).join(presence, owner, "left")
-    p = {c: F.col(c) for c in ("data_type", "parsed", "direction", "percent", "absolute", "below", "above", "trigger_unit", "unit", "scale")}
+    p = {c: F.col(c) for c in PARAM}
     ref = F.get("stages", F.lit(0))
     pick = lambda suffix: F.coalesce(*(F.when(ref == s, F.col(f"{s}{suffix}")) for s in R.STAGES))
     spread = lambda s: F.coalesce(F.col(f"{s}_lo") != F.col(f"{s}_hi"), F.lit(False))
-    points = points.withColumn("e", pick("")).withColumn("actuals", F.array_sort(F.array_compact(F.array(*(F.when(ref != s, F.col(s)) for s in R.STAGES)))))
-    tried = F.transform("actuals", lambda a: F.struct(a["stage"].alias("stage"), a["num"].alias("num"), a["str"].alias("str"), value_hit(p, F.col("e"), a).alias("hit")))
-    points = points.withColumn("tried", tried)
+    points = points.withColumn("e", pick("")).withColumn("placed", F.max(F.col(point).isNotNull()).over(Window.partitionBy(owner, param)))
+    # the hit of each stage is a column of its own, so that no expression of all kinds is repeated
+    for s in R.STAGES:
+        points = points.withColumn(f"{s}_hit", F.when(F.col(s).isNotNull() & (ref != s), value_hit(p, F.col("e"), F.col(s))))
+    tried = (F.when((ref != s) & F.col(s).isNotNull(), F.struct(F.col(f"{s}.pos").alias("pos"), F.lit(s).alias("stage"), F.col(f"{s}.num").alias("num"), F.col(f"{s}.str").alias("str"), F.col(f"{s}.shown").alias("shown"), F.col(f"{s}_hit").alias("hit"))) for s in R.STAGES)
+    points = points.withColumn("by_stage", F.array_compact(F.array(*tried)))
+    points = points.withColumn("tried", F.array_sort("by_stage"))
     limit_only = F.col("below").isNotNull() | F.col("above").isNotNull()
     missing = lambda stages: F.coalesce(F.size(F.array_intersect(stages, F.col("present"))) == 0, F.lit(True))
     others = F.filter("stages", lambda s: s != ref)
     first = F.coalesce(F.get(F.filter("tried", lambda x: x["hit"]), F.lit(0)), F.get("tried", F.lit(0)))
     verdict = (
-        F.when(F.col("conflict"), R.CLARIFY)
+        F.when(~F.coalesce(F.arrays_overlap("own", "marks"), F.lit(True)), R.NOT_APPLICABLE)
+        .when(F.col("conflict"), R.CLARIFY)
         .when(F.col("bad"), R.NOT_COMPARABLE)
         .when(F.col("e").isNull() & ~limit_only, F.when(missing(F.array(ref)), R.MISSING).otherwise(R.NOT_COMPARABLE))
-        .when(F.size("actuals") == 0, F.when((F.size(others) > 0) & missing(others), R.MISSING).otherwise(R.NOT_COMPARABLE))
+        .when(F.size("tried") == 0, F.when((F.size(others) > 0) & missing(others), R.MISSING).otherwise(R.NOT_COMPARABLE))
+        .when(F.col(point).isNull() & F.col("placed") & (F.size("tried") + F.col("e").isNotNull().cast("int") > 1), R.CLARIFY)
         .when(spread("PD") | spread("RD") | spread("ID"), R.CLARIFY)
         .when(F.exists("tried", lambda x: x["hit"].isNull()), R.NOT_COMPARABLE)
         .when(F.exists("tried", lambda x: x["hit"]), R.CANDIDATE)
         .otherwise(R.NEGATIVE)
     )
     done = points.withColumn("verdict", verdict).withColumn("chosen", F.when(F.col("verdict").isin(R.CANDIDATE, R.NEGATIVE), first))
+    delta = lambda a: a["num"] - F.col("e.num")
+    changed = R.codes_delta(R.code_list(F.col("e.str")), R.code_list(F.col("chosen.str")))
+    compared = F.transform("by_stage", lambda a: F.struct(a["stage"].alias("stage"), a["shown"].alias("value"), delta(a).alias("delta"), a["hit"].alias("triggered")))
+    whole = F.col("chosen").isNotNull()
     return done.select(
-        owner, param, point, "verdict", F.when(F.col("chosen").isNull(), F.col("verdict")).otherwise("COMPLETE").alias("completeness"),
-        F.col("chosen.stage").alias("actual_stage"), (F.col("chosen.num") - F.col("e.num")).alias("delta"),
+        owner, param, point, "verdict", F.when(whole, "COMPLETE").otherwise(F.col("verdict")).alias("completeness"),
+        F.when(whole, F.col("e.shown")).alias("expected"), F.col("chosen.shown").alias("actual"), F.col("chosen.stage").alias("actual_stage"), delta(F.col("chosen")).alias("delta"),
+        F.when(F.col("codes").isNotNull(), changed).alias("changed"), F.when(whole, compared).alias("comparisons"),
     )
 
 

@@ -112,3 +112,53 @@ def concrete_classes(text):
     """The known strength classes that a text names, in order, each once; a small letter before a number is a preposition."""
     found = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\d])[BВ]\s?\d{1,3}(?:[.,]5)?(?![\d\p{L}])"), F.lit(0))
     return F.array_distinct(F.filter(F.transform(found, lambda x: F.translate(F.regexp_replace(lookalike(x), r"\s", ""), ",", ".")), lambda x: x.isin(*CONCRETE)))
+
+
+# A strength class as written, what heads a specification and what names an act, and how far a name reaches:
+# cells to the left, characters before, pages after.
+GRADE = r"(?<![\p{L}\d])[BВ]\s?\d{1,3}(?:[.,]5)?(?![\d\p{L}])"
+SPECIFICATION, ACT = r"(?iU)специфика\w*\s+(?:материал|элемент)", r"[АA][КK][ТT]\s+(?:№\s*\S+\s+)?освидетельствования"
+CELLS_LEFT, CHARACTERS_BEFORE, PAGES_AFTER = 4, 220, 4
+
+
+def element_classes(cells: DataFrame, blocks: DataFrame, document: str = "doc_id", page: str = "page") -> DataFrame:
+    """(document, page, element, class, method): which element each strength class belongs to, once a page.
+
+    ``cells`` and ``blocks`` have document, page, x0, y0, x1, y1 and text. The name nearest to a class counts: in its
+    cell, in the few cells before it in its row, in the lowest specification title above it in its column (``table``),
+    or in the sentence before it in a text (``text``). A page without any takes the element that the last pages of
+    an act named (``context``): from the first page on that names an act.
+    """
+    from stagewise.functions import lexicon as L
+
+    from .matching import banded
+
+    keys = [document, page]
+    box = ["x0", "y0", "x1", "y1"]
+    rows = banded(cells.select(*keys, *box, "text"), keys, "y0", "y1", ["y0", "x0"])
+    before = F.array_join(F.collect_list("text").over(Window.partitionBy(*keys, "band").orderBy("x0", "y0").rowsBetween(-CELLS_LEFT, -1)), " ")
+    graded = rows.withColumn("before", before).withColumn("class", F.explode(concrete_classes(F.col("text")))).withColumn("near", F.coalesce(L.element(F.col("text")), L.element(F.col("before"))))
+    titles = blocks.filter(F.col("text").rlike(SPECIFICATION)).select(*keys, F.col("x0").alias("tx0"), F.col("x1").alias("tx1"), F.col("y1").alias("ty"), L.element(F.col("text")).alias("title")).filter("title IS NOT NULL")
+    named = graded.filter("near IS NOT NULL").select(*keys, F.col("near").alias("element"), "class")
+    alone = graded.filter("near IS NULL").join(titles, keys).filter((F.col("ty") <= F.col("y1")) & (F.col("tx0") <= F.col("x1")) & (F.col("tx1") >= F.col("x0")))
+    by_title = alone.groupBy(*keys, *box, "class").agg(F.max_by("title", F.struct("ty", "title")).alias("element")).select(*keys, "element", "class")
+
+    found = F.regexp_extract_all("text", F.lit(GRADE), F.lit(0))
+    parts = F.split("text", GRADE)
+    start = lambda i: F.aggregate(F.slice(F.transform(F.arrays_zip(parts.alias("p"), found.alias("m")), lambda x: F.length(F.concat(x["p"], F.coalesce(x["m"], F.lit(""))))), F.lit(1), i), F.lit(0), lambda n, x: n + x) + F.length(F.get(parts, i))
+    heads = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.col("text").substr(F.greatest(start(i) - CHARACTERS_BEFORE + 1, F.lit(1)), F.least(start(i), F.lit(CHARACTERS_BEFORE))).alias("head")))
+    in_text = blocks.filter(F.col("text").rlike(GRADE)).select(*keys, F.explode(heads).alias("h"))
+    in_text = in_text.select(*keys, L.element(F.col("h.head")).alias("element"), F.explode(concrete_classes(F.col("h.m"))).alias("class")).filter("element IS NOT NULL")
+    own = named.unionByName(by_title).withColumn("method", F.lit("table")).unionByName(in_text.withColumn("method", F.lit("text")))
+    own = own.groupBy(*keys, "element", "class").agg(F.min("method").alias("method"))
+
+    none = F.lit(None)
+    texts = blocks.withColumn("named", L.element(F.col("text"))).select(*keys, "x0", "y0", "text", "named")
+    texts = texts.unionByName(cells.select(*keys).distinct().select(*keys, none.cast("double").alias("x0"), none.cast("double").alias("y0"), F.lit("").alias("text"), none.cast("string").alias("named")))
+    pages = texts.groupBy(*keys).agg(F.bool_or(F.col("text").rlike(ACT)).alias("act"), F.min(F.when(F.col("named").isNotNull(), F.struct("y0", "x0", "named"))).alias("n"))
+    so_far = Window.partitionBy(document).orderBy(page).rowsBetween(Window.unboundedPreceding, 0)
+    pages = pages.withColumn("in_act", F.max("act").over(so_far)).withColumn("last", F.last(F.when(F.col("in_act") & F.col("n").isNotNull(), F.struct(F.col(page).alias("at"), F.col("n.named").alias("element"))), True).over(so_far))
+    pages = pages.filter(F.col("in_act") & (F.col(page) - F.col("last.at") <= PAGES_AFTER)).select(*keys, F.col("last.element").alias("element"))
+    pages = pages.join(own.select(*keys).distinct(), keys, "left_anti")
+    every = cells.select(*keys, "text").unionByName(blocks.select(*keys, "text")).select(*keys, F.explode(concrete_classes(F.col("text"))).alias("class")).distinct()
+    return own.unionByName(every.join(pages, keys).select(*keys, "element", "class", F.lit("context").alias("method")))

@@ -90,6 +90,41 @@ def missing_codes(expected: Column, actual: Column) -> Column:
     return F.filter(expected, lambda x: ~F.exists(actual, lambda y: same(x, y)))
 
 
+# A ventilation system's code: supply or exhaust, natural ones also without a number.
+SYSTEM_CODE, NATURAL = r"^(?:[ВП]Е(?:\d+(?:\.\d+)*)?|[ВП]\d+(?:\.\d+)*|[ВП])$", ("ВЕ", "ПЕ")
+DRAWN_CODE, MEANT_CODE = "BE", "ВЕ"
+
+
+def code_list(text: Column) -> Column:
+    """The different system codes that a text lists between commas; null if any part is none."""
+    parts = F.transform(F.split(text, ","), lambda x: F.translate(F.upper(F.regexp_replace(x, r"\s+", "")), DRAWN_CODE, MEANT_CODE))
+    return F.when(F.forall(parts, lambda x: x.rlike(SYSTEM_CODE)), F.array_distinct(parts))
+
+
+def absent_codes(own: Column, other: Column) -> Column:
+    """Codes of ``own`` that ``other`` hasn't, neither as such nor as the whole or a part of a group or a natural one with its number.
+
+    A code of ``other`` that stands in ``own`` by itself is that one's partner and nobody else's.
+    """
+    number = r"^\d+(?:\.\d+)*$"
+    bare = lambda x, y: x.isin(*NATURAL) & F.startswith(y, x) & F.substring(y, F.lit(3), F.length(y)).rlike(number)
+    like = lambda x, y: F.startswith(x, F.concat(y, F.lit("."))) | F.startswith(y, F.concat(x, F.lit("."))) | bare(x, y) | bare(y, x)
+    return F.filter(own, lambda x: ~F.array_contains(other, x) & ~F.exists(other, lambda y: like(x, y) & ~F.array_contains(own, y)))
+
+
+def codes_hit(expected: Column, actual: Column, mode: Column) -> Column:
+    """Whether a set of systems changed: ``any`` change counts, or only that some are ``lost``; null if either is no set."""
+    lost, added = absent_codes(expected, actual), absent_codes(actual, expected)
+    return F.when(expected.isNotNull() & actual.isNotNull(), (F.size(lost) > 0) | ((mode == "any") & (F.size(added) > 0)))
+
+
+def codes_delta(expected: Column, actual: Column) -> Column:
+    """``−П2, −В1; +В3``: what was lost and what was added; null without a change."""
+    signed = lambda codes, sign: F.array_join(F.transform(codes, lambda x: F.concat(F.lit(sign), x)), ", ")
+    text = F.array_join(F.filter(F.array(signed(absent_codes(expected, actual), "−"), signed(absent_codes(actual, expected), "+")), lambda x: x != ""), "; ")
+    return F.nullif(text, F.lit(""))
+
+
 def control_points(extractions: DataFrame, keys: Sequence[str], stage: str = "stage", value: str = "value", bad: str = "bad") -> DataFrame:
     """One row per control point: for each stage least and greatest value and count, and bad rows.
 

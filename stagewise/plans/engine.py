@@ -10,46 +10,68 @@ from stagewise.operators import engine as E
 from .registry import Tables, query
 
 # One parameter for each brand; its number picks the kind of value, the stages and the trigger.
-MATRIX_SQL = """m AS (SELECT code, n, ['number','enum','boolean','string'][n % 4 + 1] data_type,
+MATRIX_SQL = """m AS (SELECT code, n, CASE WHEN n % 6 <> 5 THEN ['number','enum','boolean','string'][n % 4 + 1] ELSE 'string' END data_type, CASE WHEN n % 6 = 5 THEN CASE WHEN n % 12 = 5 THEN 'any' ELSE 'lost' END END codes, CASE WHEN n % 8 = 7 THEN ['m1', 'm2'] END own,
   CASE n % 3 WHEN 0 THEN ['PD','RD','ID'] WHEN 1 THEN ['PD','RD'] ELSE ['RD','ID'] END stages,
   CASE n % 5 WHEN 2 THEN 'down' WHEN 3 THEN 'up' ELSE 'any' END direction, n % 7 <> 6 parsed,
   CASE WHEN n % 5 = 0 THEN 10.0::DOUBLE END percent, CASE WHEN n % 5 = 1 THEN 0.5::DOUBLE END absolute, CASE WHEN n % 5 = 4 THEN 30.0::DOUBLE END below
   FROM (SELECT DISTINCT p_brand code, CAST(substr(p_brand, 7) AS INT) n FROM part))"""
 VALUES_SQL = """x AS (SELECT l_suppkey object_id, p_brand param, CASE WHEN p_size % 11 <> 0 THEN p_size % 5 END point,
   CASE WHEN l_linenumber % 3 = 1 THEN 'PD' WHEN l_linenumber % 3 = 2 OR l_suppkey % 7 = 0 THEN 'RD' ELSE 'ID' END stage,
-  l_orderkey * 10 + l_linenumber pos, l_quantity num, ['AIR','FOB','MAIL','RAIL','REG AIR','SHIP','TRUCK'][l_partkey % 7 + 1] str, l_linestatus = 'F' flag,
+  l_orderkey * 10 + l_linenumber pos, l_quantity num, CASE WHEN CAST(substr(p_brand, 7) AS INT) % 6 = 5 THEN ['П1, B2','П1,В2.1','П1','ПЕ, В2','ПЕ3, В2','В2, П1','нет'][l_partkey % 7 + 1] ELSE ['AIR','FOB','MAIL','RAIL','REG AIR','SHIP','TRUCK'][l_partkey % 7 + 1] END str, l_linestatus = 'F' flag,
   CASE WHEN l_suppkey % 3 = 0 THEN 'мм' WHEN l_suppkey % 3 = 1 THEN 'см' END unit, l_linenumber % 2 places,
   l_returnflag = 'A' AND l_quantity > 48 bad, l_orderkey % 97 = 0 conflict FROM lineitem JOIN part ON l_partkey = p_partkey)"""
-PRESENT_SQL = "present AS (SELECT object_id, list(DISTINCT stage) present FROM x GROUP BY 1)"
+PRESENT_SQL = "present AS (SELECT object_id, list(DISTINCT stage) present, CASE WHEN object_id % 10 <> 0 THEN ['m' || (object_id % 4)] END marks FROM x GROUP BY 1)"
+
+
+def listed_sql(text: str) -> str:
+    """The codes of a text, or null."""
+    codes = f"list_transform(string_split({text}, ','), lambda z: translate(replace(z, ' ', ''), 'BE', 'ВЕ'))"
+    return f"CASE WHEN {text} <> 'нет' THEN {codes} END"
+
+
+def absent_sql(own: str, other: str) -> str:
+    bare = lambda x, y: f"({x} IN ('ВЕ', 'ПЕ') AND regexp_full_match({y}, {x} || '[0-9]+([.][0-9]+)*'))"
+    like = f"(starts_with(q, o || '.') OR starts_with(o, q || '.') OR {bare('q', 'o')} OR {bare('o', 'q')})"
+    return f"list_filter({own}, lambda q: NOT list_contains({other}, q) AND len(list_filter({other}, lambda o: {like} AND NOT list_contains({own}, o))) = 0)"
+
+
+ABSENT = {"lost": absent_sql("ec", "ac"), "added": absent_sql("ac", "ec")}
 # The comparison written a second time, value by value.
 OUTCOMES_SQL = f"""WITH {MATRIX_SQL}, {VALUES_SQL}, {PRESENT_SQL},
-  shown AS (SELECT x.*, m.*, CASE data_type WHEN 'number' THEN num::VARCHAR WHEN 'boolean' THEN flag::VARCHAR ELSE str END shown FROM x JOIN m ON param = code WHERE list_contains(stages, stage)),
-  s AS (SELECT object_id, param, point, stage, count(DISTINCT shown) kinds, min(pos) pos, arg_min({{'num': num, 'str': str, 'flag': flag, 'unit': unit, 'places': places}}, pos) v FROM shown GROUP BY ALL),
+  shown AS (SELECT x.*, m.*, CASE data_type WHEN 'number' THEN printf('%.1f', num) WHEN 'boolean' THEN CASE WHEN flag THEN 'F' ELSE 'O' END ELSE str END shown FROM x JOIN m ON param = code WHERE list_contains(stages, stage)),
+  s AS (SELECT object_id, param, point, stage, count(DISTINCT shown) kinds, min(pos) pos, arg_min({{'num': num, 'str': str, 'shown': shown, 'flag': flag, 'unit': unit, 'places': places}}, pos) v FROM shown GROUP BY ALL),
   pt AS (SELECT object_id, param, point, bool_or(bad) bad, bool_or(conflict) conflict FROM shown GROUP BY ALL),
   pairs AS (SELECT a.object_id, a.param, a.point, a.stage, a.pos, a.v.num - e.v.num delta, m.*, e.v IS NULL no_e, a.v.num an, e.v.num en, list_position(['AIR','FOB','MAIL','RAIL','REG AIR','SHIP'], a.v.str) ai,
-      list_position(['AIR','FOB','MAIL','RAIL','REG AIR','SHIP'], e.v.str) ei, a.v.flag af, e.v.flag ef, a.v.str atext, e.v.str etext,
+      list_position(['AIR','FOB','MAIL','RAIL','REG AIR','SHIP'], e.v.str) ei, a.v.flag af, e.v.flag ef, a.v.str atext, e.v.str etext, a.v.shown ashown, e.v.shown eshown, {listed_sql('a.v.str')} ac, {listed_sql('e.v.str')} ec,
       0.5 / 10 ** least(a.v.places, e.v.places) tolerance, CASE coalesce(a.v.unit, e.v.unit) WHEN 'мм' THEN 10.0 ELSE 1.0 END factor
     FROM s a JOIN m ON a.param = m.code LEFT JOIN s e ON e.object_id = a.object_id AND e.param = a.param AND e.point IS NOT DISTINCT FROM a.point AND e.stage = stages[1] WHERE a.stage <> stages[1]),
-  hits AS (SELECT *, CASE data_type
+  sets AS (SELECT *, {ABSENT['lost']} lost, {ABSENT['added']} added FROM pairs),
+  hits AS (SELECT *, CASE WHEN codes IS NOT NULL AND ac IS NOT NULL AND ec IS NOT NULL THEN len(lost) > 0 OR (codes = 'any' AND len(added) > 0) ELSE CASE data_type
       WHEN 'number' THEN CASE WHEN NOT parsed THEN NULL WHEN below IS NOT NULL THEN an < below * factor - 1e-9 WHEN no_e THEN NULL WHEN abs(an - en) <= tolerance + 1e-9 THEN false
         WHEN (direction = 'down' AND an > en) OR (direction = 'up' AND an < en) THEN false WHEN percent IS NOT NULL THEN abs(an - en) / abs(en) * 100 > percent + 1e-9
         WHEN absolute IS NOT NULL THEN abs(an - en) > absolute * factor + 1e-9 ELSE true END
       WHEN 'enum' THEN CASE WHEN no_e OR NOT parsed OR ai IS NULL OR ei IS NULL THEN NULL ELSE ai <> ei AND NOT (direction = 'down' AND ai > ei) AND NOT (direction = 'up' AND ai < ei) END
       WHEN 'boolean' THEN CASE WHEN no_e THEN NULL ELSE ef <> af AND NOT (direction = 'down' AND af) AND NOT (direction = 'up' AND NOT af) END
-      ELSE CASE WHEN no_e THEN NULL ELSE atext <> etext END END hit FROM pairs),
-  h AS (SELECT object_id, param, point, count(*) actuals, bool_or(hit IS NULL) unlike, bool_or(hit) any_hit, coalesce(arg_min(stage, pos) FILTER (hit), arg_min(stage, pos)) actual_stage,
+      ELSE CASE WHEN no_e THEN NULL ELSE atext <> etext END END END hit,
+      CASE WHEN codes IS NOT NULL THEN nullif(concat_ws('; ', nullif(array_to_string(list_transform(lost, lambda z: '−' || z), ', '), ''), nullif(array_to_string(list_transform(added, lambda z: '+' || z), ', '), '')), '') END changed FROM sets),
+  h AS (SELECT object_id, param, point, count(*) actuals, bool_or(hit IS NULL) unlike, bool_or(hit) any_hit, coalesce(arg_min({{'stage': stage, 'shown': ashown, 'changed': changed}}, pos) FILTER (hit), arg_min({{'stage': stage, 'shown': ashown, 'changed': changed}}, pos)) c, min(eshown) eshown,
+      string_agg(stage || '=' || ashown || CASE WHEN hit THEN '!' ELSE '' END, ' ' ORDER BY list_position(['PD','RD','ID'], stage)) compared,
       CASE WHEN bool_or(hit) THEN arg_min(delta, pos) FILTER (hit) ELSE arg_min(delta, pos) END delta FROM hits GROUP BY ALL),
   ek AS (SELECT object_id, param, point, max(kinds) kinds, bool_or(stage = stages[1]) has_e FROM s JOIN m ON param = code GROUP BY ALL),
-  v AS (SELECT pt.object_id, pt.param, pt.point, CASE WHEN conflict THEN 'CLARIFICATION_REQUIRED' WHEN bad THEN 'NOT_COMPARABLE'
+  pl AS (SELECT object_id, param, bool_or(point IS NOT NULL) placed FROM shown GROUP BY ALL),
+  v AS (SELECT pt.object_id, pt.param, pt.point, CASE WHEN own IS NOT NULL AND marks IS NOT NULL AND NOT list_has_any(own, marks) THEN 'NOT_APPLICABLE' WHEN conflict THEN 'CLARIFICATION_REQUIRED' WHEN bad THEN 'NOT_COMPARABLE'
       WHEN NOT has_e AND below IS NULL THEN CASE WHEN list_contains(present, stages[1]) THEN 'NOT_COMPARABLE' ELSE 'MISSING_EVIDENCE' END
       WHEN actuals IS NULL THEN CASE WHEN list_has_any(present, stages[2:]) THEN 'NOT_COMPARABLE' ELSE 'MISSING_EVIDENCE' END
-      WHEN kinds > 1 THEN 'CLARIFICATION_REQUIRED' WHEN unlike THEN 'NOT_COMPARABLE' WHEN any_hit THEN 'CANDIDATE' ELSE 'NEGATIVE_VERIFIED' END verdict, h.actual_stage, h.delta
-    FROM pt JOIN m ON pt.param = code JOIN present USING (object_id) JOIN ek ON ek.object_id = pt.object_id AND ek.param = pt.param AND ek.point IS NOT DISTINCT FROM pt.point
+      WHEN pt.point IS NULL AND placed AND actuals + has_e::INT > 1 THEN 'CLARIFICATION_REQUIRED' WHEN kinds > 1 THEN 'CLARIFICATION_REQUIRED' WHEN unlike THEN 'NOT_COMPARABLE' WHEN any_hit THEN 'CANDIDATE' ELSE 'NEGATIVE_VERIFIED' END verdict, h.c.stage actual_stage, h.c.shown actual, h.c.changed, h.eshown expected, h.compared, h.delta
+    FROM pt JOIN m ON pt.param = code JOIN present USING (object_id) JOIN pl ON pl.object_id = pt.object_id AND pl.param = pt.param JOIN ek ON ek.object_id = pt.object_id AND ek.param = pt.param AND ek.point IS NOT DISTINCT FROM pt.point
     LEFT JOIN h ON h.object_id = pt.object_id AND h.param = pt.param AND h.point IS NOT DISTINCT FROM pt.point)"""
 MODES = ("AIR", "FOB", "MAIL", "RAIL", "REG AIR", "SHIP", "TRUCK")
 SCALE = MODES[:-1]
 
 
+SYSTEMS = ("П1, B2", "П1,В2.1", "П1", "ПЕ, В2", "ПЕ3, В2", "В2, П1", "нет")
+
+
 def mode() -> Column:
     return F.element_at(F.array(*map(F.lit, MODES)), (F.col("l_partkey") % 7 + 1).cast("int"))
 
@@ -59,7 +81,8 @@ def matrix(t: Tables) -> DataFrame:
     pick = lambda k, *cases: F.element_at(F.array(*cases), (n % k + 1).cast("int"))
     stages = lambda *s: F.array(*map(F.lit, s))
     return t.part.select(F.col("p_brand").alias("code"), F.substring("p_brand", 7, 100).cast("int").alias("n")).distinct().select(
-        "code", pick(4, *map(F.lit, ("number", "enum", "boolean", "string"))).alias("data_type"), pick(3, stages("PD", "RD", "ID"), stages("PD", "RD"), stages("RD", "ID")).alias("stages"),
+        "code", F.when(n % 6 != 5, pick(4, *map(F.lit, ("number", "enum", "boolean", "string")))).otherwise("string").alias("data_type"), F.when(n % 12 == 5, "any").when(n % 6 == 5, "lost").alias("codes"),
+        F.when(n % 8 == 7, F.array(F.lit("m1"), F.lit("m2"))).alias("own"), pick(3, stages("PD", "RD", "ID"), stages("PD", "RD"), stages("RD", "ID")).alias("stages"),
         F.when(n % 5 == 2, "down").when(n % 5 == 3, "up").otherwise("any").alias("direction"), (n % 7 != 6).alias("parsed"), F.when(n % 5 == 0, 10.0).alias("percent"),
         F.when(n % 5 == 1, 0.5).alias("absolute"), F.when(n % 5 == 4, 30.0).alias("below"), F.lit(None).cast("double").alias("above"), F.lit("см").alias("trigger_unit"),
         F.lit(None).cast("string").alias("unit"), F.array(*map(F.lit, SCALE)).alias("scale"),
@@ -67,12 +90,14 @@ def matrix(t: Tables) -> DataFrame:
 
 
 def values(t: Tables) -> DataFrame:
-    line, kind = F.col("l_linenumber"), F.substring("p_brand", 7, 100).cast("int") % 4
+    n = F.substring("p_brand", 7, 100).cast("int")
+    line, kind = F.col("l_linenumber"), F.when(n % 6 != 5, n % 4).otherwise(3)
+    text = F.when(n % 6 != 5, mode()).otherwise(F.element_at(F.array(*map(F.lit, SYSTEMS)), (F.col("l_partkey") % 7 + 1).cast("int")))
     stage = F.when(line % 3 == 1, "PD").when((line % 3 == 2) | (F.col("l_suppkey") % 7 == 0), "RD").otherwise("ID")
-    shown = F.when(kind == 0, F.col("l_quantity").cast("string")).when(kind == 2, F.col("l_linestatus")).otherwise(mode())
+    shown = F.when(kind == 0, F.format_string("%.1f", F.col("l_quantity").cast("double"))).when(kind == 2, F.col("l_linestatus")).otherwise(text)
     return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_suppkey").alias("object_id"), F.col("p_brand").alias("param"), F.when(F.col("p_size") % 11 != 0, F.col("p_size") % 5).alias("point"), stage.alias("stage"),
-        (F.col("l_orderkey") * 10 + line).alias("pos"), shown.alias("shown"), F.when(kind == 0, F.col("l_quantity").cast("double")).alias("num"), mode().alias("str"),
+        (F.col("l_orderkey") * 10 + line).alias("pos"), shown.alias("shown"), F.when(kind == 0, F.col("l_quantity").cast("double")).alias("num"), text.alias("str"),
         (F.col("l_linestatus") == "F").alias("flag"), F.lit(None).cast("array<double>").alias("coords"),
         F.when(F.col("l_suppkey") % 3 == 0, "мм").when(F.col("l_suppkey") % 3 == 1, "см").alias("unit"), (line % 2).alias("places"),
         ((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 48)).alias("bad"), (F.col("l_orderkey") % 97 == 0).alias("conflict"),
@@ -80,7 +105,8 @@ def values(t: Tables) -> DataFrame:
 
 
 def presence(x: DataFrame) -> DataFrame:
-    return x.groupBy("object_id").agg(F.collect_set("stage").alias("present"))
+    by = x.groupBy("object_id").agg(F.collect_set("stage").alias("present"))
+    return by.withColumn("marks", F.when(F.col("object_id") % 10 != 0, F.array(F.concat(F.lit("m"), (F.col("object_id") % 4).cast("string")))))
 
 
 def found(t: Tables) -> DataFrame:
@@ -90,9 +116,31 @@ def found(t: Tables) -> DataFrame:
 
 @query("cmp07_outcomes", f"{OUTCOMES_SQL} SELECT object_id, param, point, verdict, CASE WHEN verdict IN ('CANDIDATE','NEGATIVE_VERIFIED') THEN 'COMPLETE' ELSE verdict END completeness FROM v")
 def cmp07_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six outcomes occur: applicability by marks, the guard of values without a place, sets, numbers, scales, flags, texts."""
     return found(Tables(spark, sf_dir)).select("object_id", "param", "point", "verdict", "completeness")
 
 
+@query("cmp07_compared_values", f"""{OUTCOMES_SQL} SELECT v.object_id, v.param, v.point, v.expected, v.actual, v.changed, v.compared FROM v WHERE verdict IN ('CANDIDATE','NEGATIVE_VERIFIED')""")
+def cmp07_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was held against what: the pair shown, the systems lost and added, and one comparison for each stage."""
+    rows = found(Tables(spark, sf_dir)).filter("completeness = 'COMPLETE'")
+    compared = F.array_join(F.transform("comparisons", lambda c: F.concat(c["stage"], F.lit("="), c["value"], F.when(c["triggered"], "!").otherwise(""))), " ")
+    return rows.select("object_id", "param", "point", "expected", "actual", "changed", compared.alias("compared"))
+
+
+@query("cmp14_system_sets", f"""WITH {MATRIX_SQL}, {VALUES_SQL}, t AS (SELECT DISTINCT str FROM x JOIN m ON code = param WHERE codes IS NOT NULL AND str <> 'нет'), c AS (SELECT a.str e, b.str a, {listed_sql('a.str')} ec, {listed_sql('b.str')} ac FROM t a JOIN t b ON true)
+  SELECT e, a, len({ABSENT['lost']}) > 0 lost_any, len({ABSENT['lost']}) + len({ABSENT['added']}) > 0 changed_any FROM c""")
+def cmp14_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two sets of systems that occur, by the two rules: only losses count, or any change."""
+    from stagewise.operators import reconcile as R
+
+    t = Tables(spark, sf_dir)
+    texts = values(t).join(matrix(t).filter("codes IS NOT NULL").select(F.col("code").alias("param")), "param").filter("str <> 'нет'").select("str").distinct()
+    pairs = texts.withColumnRenamed("str", "e").crossJoin(F.broadcast(texts.withColumnRenamed("str", "a")))  # the seven texts of SYSTEMS
+    lists = [R.code_list(F.col(c)) for c in "ea"]
+    return pairs.select("e", "a", R.codes_hit(*lists, F.lit("lost")).alias("lost_any"), R.codes_hit(*lists, F.lit("any")).alias("changed_any"))
+
+
 @query("cmp08_pair_in_extraction_order", f"""{OUTCOMES_SQL} SELECT v.object_id, v.param, v.point, v.actual_stage, CASE WHEN data_type = 'number' THEN v.delta END delta FROM v JOIN m ON param = code
   WHERE verdict IN ('CANDIDATE','NEGATIVE_VERIFIED')""")
 def cmp08_pair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,35 @@ def src08_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("accepted_rows")).crossJoin(shown.agg(F.count("*").alias("shown_errors")))
 
 
+@query("src08_errors_by_line", """WITH r AS (SELECT p_size, row_number() OVER (ORDER BY p_partkey) + 3 AS row FROM part) SELECT row, 'doc_stage' error FROM r WHERE p_size % 4 = 3 UNION ALL SELECT row, 'sha256' FROM r WHERE p_size % 5 = 0""")
+def src08_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry with a title and a blank line above its header; an error names its line in the file."""
+    size, quoted = F.col("p_size"), lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    stage = F.element_at(F.array(*map(F.lit, ("ПД", "rd", "ИД", "xx"))), size % 4 + 1)
+    line = F.concat_ws(";", quoted(F.concat("p_name", F.lit('; ""a"".pdf'))), stage, F.when(size % 5 == 0, "nohash").otherwise(F.sha2(F.col("p_partkey").cast("string"), 256)))
+    head = spark.createDataFrame([(-3, "Реестр документов, лист 1, экз. 2, том 3"), (-2, ""), (-1, "Имя файла;Стадия;Хеш")], "n long, value string")
+    path = place(spark, "csv")
+    head.unionByName(Tables(spark, sf_dir).part.select(F.col("p_partkey").alias("n"), line.alias("value"))).coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    return I.registry_rows(I.read_registry(spark, path, "csv"))[1]
+
+
+@query("src09_expected_documents", """SELECT p_brand discipline, CASE p_size % 3 WHEN 0 THEN 'PD' ELSE 'RD' END doc_stage, p_name title FROM part WHERE p_size % 3 <> 2""")
+def src09_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that JSON registries (here, one for each brand) say should be there; unknown stages are errors."""
+    stage = F.element_at(F.array(*map(F.lit, ("ПД", "rd", "??"))), F.col("p_size") % 3 + 1)
+    entry = F.struct(F.col("p_brand").alias("discipline"), stage.alias("doc_stage"), F.col("p_name").alias("title"))
+    path = place(spark, "json")
+    Tables(spark, sf_dir).part.groupBy("p_brand").agg(F.to_json(F.struct(F.array().cast("array<string>").alias("files"), F.collect_list(entry).alias("expected"))).alias("value")).select("value").repartition(4).write.text(path)
+    return I.read_expected(spark, path)[0].select("discipline", "doc_stage", "title")
+
+
+@query("src11_rejected_import", "SELECT p_brand code, 'invalid' change FROM part WHERE p_size < 9 GROUP BY 1 HAVING count(*) > 1")
+def src11_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix that repeats codes is refused as a whole; the report names them."""
+    rows = Tables(spark, sf_dir).part.select(F.col("p_brand").alias("code"), F.col("p_name").alias("title"), "p_size")
+    return I.upserted(rows.dropDuplicates(["code"]), rows.filter("p_size < 9"))[1]
+
+
 @query("src10_registry_names", "SELECT url, regexp_matches(url, '(?i)(?:^|/)(?:document_)?(?:registry|manifest|реестр|перечень)[^/]*\\.(?:csv|tsv|json|jsonl|xlsx)$') registry FROM (SELECT unnest([url || '/registry_' || page_id || '.csv', url]) url FROM pages)")
 def src10(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = Tables(spark, sf_dir).pages.select(F.explode(F.array(F.concat("url", F.lit("/registry_"), F.col("page_id").cast("string"), F.lit(".csv")), F.col("url"))).alias("url"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stagewise.functions import lexicon as L
@@ -148,6 +148,63 @@ def ext03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.room_schedule(rows.select("table_id", "row", "c.*"), ["table_id"])
 
 
+FLOORS_SQL = """r AS (SELECT l_suppkey t, l_linenumber f, l_partkey k, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_partkey) i, (l_partkey % 50 + 10) * 4 + 1 q FROM (SELECT DISTINCT l_suppkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber <= 4))"""
+
+
+@query("ext03_floor_totals", f"""WITH {FLOORS_SQL}, f AS (SELECT t, f, count(*) rooms, sum(q) / 4.0 area FROM r GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY f) - 1 floor FROM f)
+  SELECT t, floor, rooms, area, area + CASE WHEN t % 3 = 0 AND f = 2 THEN 1 ELSE 0 END total, NOT (t % 3 = 0 AND f = 2) agrees FROM n UNION ALL SELECT t, -1, sum(rooms), sum(area), sum(area), true FROM f GROUP BY 1""")
+def ext03_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schedule for each supplier: rooms by floor, a sum of a section among them, floors' totals (some wrong), the building's total."""
+    k, f = F.col("l_partkey"), F.col("l_linenumber")
+    rooms = Tables(spark, sf_dir).lineitem.filter("l_linenumber <= 4").select(F.col("l_suppkey").alias("t"), f.alias("f"), k.alias("k")).distinct()
+    rooms = rooms.withColumn("i", F.row_number().over(Window.partitionBy("t", "f").orderBy("k"))).withColumn("q", (F.col("k") % 50 + 10) * 4 + 1)
+    shown = lambda q: F.regexp_replace(F.format_string("%.2f", q / 4.0), r"\.", ",")
+    line = lambda at, number, name, area: F.struct(at.cast("long").alias("row"), number.alias("number"), F.lit(name).alias("name"), shown(area).alias("area"))
+    at = F.col("f") * 10_000_000
+    own = rooms.select("t", F.explode(F.array_compact(F.array(
+        line(at + F.col("i") * 10, F.concat(F.col("f").cast("string"), F.lit("-"), (F.col("i") % 1000).cast("string")), "Кабинет", F.col("q")),
+        F.when(F.col("i") % 5 == 2, line(at + F.col("i") * 10 - 5, F.lit(""), "Итого раздел", F.lit(4_000_000))),
+    ))).alias("x"))
+    floors = rooms.groupBy("t", "f").agg(F.sum("q").alias("q"))
+    wrong = F.when((F.col("t") % 3 == 0) & (F.col("f") == 2), 4).otherwise(0)
+    totals = floors.select("t", line(at + 9_000_000, F.lit(""), "Итого по этажу", F.col("q") + wrong).alias("x"))
+    whole = floors.groupBy("t").agg(F.sum("q").alias("q")).select("t", line(F.lit(90_000_000), F.lit(""), "Итого по зданию", F.col("q")).alias("x"))
+    cell = lambda c, name: F.struct(F.lit(c).alias("column"), F.col(f"x.{name}").alias("text"))
+    cells = own.unionByName(totals).unionByName(whole).select("t", "x.row", F.explode(F.array(cell(0, "number"), cell(1, "name"), cell(2, "area"))).alias("c")).select("t", "row", "c.*")
+    return O.floor_schedule(cells, ["t"])[1].select("t", "floor", "rooms", "area", "total", "agrees")
+
+
+GRADES, NAMES = ("B15", "B20", "B22.5", "B25", "B30"), ("Ростверк", "Лестницы", "Фундаментная плита", "Бетонная подготовка")
+CLASSES_SQL = f"""c AS (SELECT l_orderkey doc_id, l_linenumber page, {list(GRADES)}[l_partkey % 5 + 1] class, {list(NAMES)}[l_suppkey % 4 + 1] element, l_quantity::INT % 4 way, l_orderkey % 3 = 0 act FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1)),
+  o AS (SELECT *, last_value(CASE WHEN way <> 3 THEN {{'page': page, 'element': element}} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page) w FROM c)"""
+
+
+@query("ext08_classes_by_element", f"""WITH {CLASSES_SQL} SELECT doc_id, page, element, class, CASE way WHEN 2 THEN 'text' ELSE 'table' END AS method FROM o WHERE way <> 3
+  UNION ALL SELECT doc_id, page, w.element, class, 'context' FROM o WHERE way = 3 AND act AND page - w.page <= 4""")
+def ext08_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of each order line with a class of concrete: its element stands in its row, above it, before it, or only on an earlier page of an act."""
+    from stagewise.operators.extract import element_classes
+
+    forms = ("ростверка", "лестничных маршей", "фундаментной плиты", "бетонной подготовки")
+    pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), (at + 1).cast("int"))
+    way, act = F.col("l_quantity").cast("int") % 4, F.col("l_orderkey") % 3 == 0
+    lines = Tables(spark, sf_dir).lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("m")).select("l_orderkey", "l_linenumber", "m.*")
+    rows = lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), way.alias("way"), act.alias("act"), pick([g.replace("B", "В").replace(".", ",") for g in GRADES], F.col("l_partkey") % 5).alias("grade"), pick(forms, F.col("l_suppkey") % 4).alias("form"))
+    box = lambda x, y, text: F.struct(F.lit(x).alias("x0"), F.lit(y).alias("y0"), F.lit(x + 0.9).alias("x1"), F.lit(y + 0.8).alias("y1"), text.alias("text"))
+    some = lambda *boxes: F.array_compact(F.array(*boxes))
+    cells = some(
+        F.when(F.col("way") == 0, box(0.0, 2.0, F.concat(F.lit("Устройство "), F.col("form")))), F.when(F.col("way") == 0, box(1.0, 2.0, F.lit("м3"))),
+        F.when(F.col("way") != 2, box(2.0, 2.0, F.concat(F.lit("бетон "), F.col("grade"), F.lit(" F150")))),
+    )
+    blocks = some(
+        F.when(F.col("act"), box(0.0, 0.0, F.lit("АКТ освидетельствования скрытых работ"))), F.when(F.col("way") == 1, box(2.0, 1.0, F.concat(F.lit("Спецификация элементов "), F.col("form")))),
+        F.when(F.col("way") == 2, box(0.0, 4.0, F.concat(F.lit("Для "), F.col("form"), F.lit(" принят бетон класса "), F.col("grade"), F.lit(", бетон тяжёлый")))),
+        F.when(F.col("way") == 0, box(5.0, 5.0, F.concat(F.lit("Работы по устройству "), F.col("form")))),
+    )
+    one = lambda what: rows.select("doc_id", "page", F.explode(what).alias("b")).select("doc_id", "page", "b.*")
+    return element_classes(one(cells), one(blocks))
+
+
 @query("ext11_room_systems", """SELECT l_orderkey page, l_partkey room, min(l_suppkey % 9) FILTER (true) AS system FROM lineitem GROUP BY 1, 2""")
 def ext11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The system mark nearest to each room number of a page; marks stand at a distance of their number."""

@@ -287,3 +287,36 @@ def ext08(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ext04(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Tables(spark, sf_dir).lineitem.select(F.col("l_orderkey").alias("d"), (F.col("l_returnflag") == "A").alias("t"), F.col("l_quantity").cast("int").alias("q"))
     return v.groupBy("d").agg(F.coalesce(F.max(F.when(F.col("t"), F.col("q"))), F.max("q")).alias("area"))
+
+
+# A page of each part in two versions: three blocks; every few words one that only this part has, so that pages are like their own version alone.
+OWN_SQL = "translate(p_partkey::VARCHAR, '0123456789', 'абвгдежзик')"
+REVISED_SQL = f"""p AS (SELECT p_partkey a, p_size n, {OWN_SQL} w, p_partkey % 7 <> 3 paired FROM part)"""
+
+
+def page_versions(t: Tables) -> DataFrame:
+    k, n = F.col("p_partkey"), F.col("p_size")
+    own = F.translate(k.cast("string"), "0123456789", "абвгдежзик")
+    fill = lambda form, *values: F.format_string(form.replace("@", "%1$s"), own, *values)
+    levels = " ".join(f"@ {x} м" for x in ("0,1", "1,2", "2,3", "3,4", "4,6", "5,7", "6,8", "7,9", "8,1", "9,2", "10,3", "11,4"))
+
+    def side(i: int) -> DataFrame:
+        width, flow = n + F.when((k % 3 == 0) & F.lit(i == 1), 1).otherwise(0), n % 9 + F.when((k % 4 == 1) & F.lit(i == 1), 1).otherwise(0)
+        about = F.when((k % 5 == 2) & F.lit(i == 1), " примерно").otherwise("")
+        blocks = [
+            F.concat(fill("Проём @ стены @ этажа @ ширина @ составляет %2$d мм @ на всю @ длину", width), about), fill(f"отметки {levels}"),
+            fill("расход @ воды @ здания @ равен %2$d,5 м3/сут @ подписано @ в @ срок %3$d.10.2022 @ лист %4$d", flow, F.lit(10 + i), k + i),
+        ]
+        rows = t.part.select(F.lit(i).alias("side"), k.alias("page"), F.array(*(F.struct(b.alias("text"), F.array(F.lit(0.0), F.lit(float(j)), F.lit(1.0), F.lit(j + 0.9)).alias("bbox")) for j, b in enumerate(blocks))).alias("blocks"))
+        return rows if i == 0 else rows.filter("page % 7 <> 3")
+
+    return side(0).unionByName(side(1))
+
+
+@query("ext19_revised_pages", f"""WITH {REVISED_SQL} SELECT a, n::VARCHAR AS before, (n + 1)::VARCHAR AS after, 'мм' unit, length('Проём  стены  этажа  ширина  составляет ') + 4 * length(w) a_start, 0.0::DOUBLE a_top FROM p WHERE paired AND a % 3 = 0
+  UNION ALL SELECT a, n % 9 || ',5', (n % 9 + 1) || ',5', 'м3/сут', length('Проём  стены  этажа  ширина  составляет  мм  на всю  длину') + 6 * length(w) + length(n::VARCHAR) + 1 + length('отметки  0,1 м  1,2 м  2,3 м  3,4 м  4,6 м  5,7 м  6,8 м  7,9 м  8,1 м  9,2 м  10,3 м  11,4 м') + 12 * length(w) + 1 + length('расход  воды  здания  равен ') + 3 * length(w), 2.0::DOUBLE FROM p WHERE paired AND a % 4 = 1""")
+def ext19_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages matched, aligned and compared: changed widths and flows, not the dates and sheet numbers that changed too."""
+    from stagewise.operators.revised import revised_pages
+
+    return revised_pages(page_versions(Tables(spark, sf_dir))).select("a", "before", "after", "unit", "a_start", F.get("a_box", F.lit(1)).alias("a_top"))

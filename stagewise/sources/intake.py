@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagewise.functions import text as T
 
-from .tabular import checked_rows, find_header, plain_name, read_csv, read_json, read_sheets
+from .tabular import DAMAGED, checked_rows, find_header, plain_name, read_csv, read_records
 
 # Registry columns and the other names that they have, without case, marks and spaces.
 ALIASES = {
@@ -60,23 +60,39 @@ def mapped_sheet(rows: DataFrame, aliases: Mapping[str, Sequence[str]] = ALIASES
     return rows.filter(F.col("row") > at).select("row", *(cell(n).alias(n) for n in aliases))
 
 
+# A row with one of these names is a registry's header.
+ANCHORS = ("file_name", "sha256", "file_id")
+EXPECTED = {"doc_stage": (), "discipline": (), "document_code": (), "title": ()}
+
+
 def read_registry(spark: SparkSession, path: str, kind: str | None = None, aliases: Mapping[str, Sequence[str]] = ALIASES) -> DataFrame:
-    """Registry rows with their number, by the file's kind: csv, json, jsonl or xlsx (the path's ending, if not given)."""
+    """(path, row, error, known columns) of registries as csv, json, jsonl or xlsx: by the path's ending if ``kind`` isn't given, and by content.
+
+    The header is looked for in the ten leading rows; ``row`` is the place in the file (see ``read_records``). A
+    damaged file, or one without a header, is a row 0 with an error.
+    """
     kind = kind or path.rstrip("/").rpartition(".")[2].lower()
-    if kind == "xlsx":
-        return mapped_sheet(read_sheets(spark, path).select("row", "cells"), aliases)
-    if kind in ("json", "jsonl"):
-        names = {a for name, others in aliases.items() for a in (name, *others)}
-        rows = mapped(read_json(spark, path, ", ".join(f"`{n}`:string" for n in sorted(names))), aliases)
-    elif kind in ("csv", "tsv"):
-        rows = mapped(read_csv(spark, path), aliases)
-    else:
+    if kind not in ("csv", "tsv", "json", "jsonl", "xlsx"):
         raise ValueError(f"a registry is csv, json, jsonl or xlsx, not {kind!r}")
-    return rows.withColumn("row", F.monotonically_increasing_id()).filter(F.coalesce(*aliases).isNotNull())
+    return read_records(spark, path, kind, aliases, ANCHORS)
+
+
+def read_expected(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(expected documents, errors by row) of the ``expected`` lists of JSON registries; other files have none.
+
+    Stages get their own names; an unknown or missing one is an error of its entry.
+    """
+    lists = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
+    fields = ", ".join(f"{n}: string" for n in EXPECTED)
+    rows = lists.select("path", F.posexplode(F.from_json(F.get_json_object("text", "$.expected"), f"array<struct<{fields}>>")).alias("at", "e"))
+    stages = F.create_map(*(F.lit(x) for kv in STAGE_NAMES.items() for x in kv))
+    stage = F.element_at(stages, F.lower(F.trim("e.doc_stage")))
+    found = rows.select("path", (F.col("at") + 1).cast("long").alias("row"), stage.alias("doc_stage"), *(F.col(f"e.{n}").alias(n) for n in list(EXPECTED)[1:]))
+    return found.filter("doc_stage IS NOT NULL"), found.filter("doc_stage IS NULL").select("path", "row", F.lit("doc_stage").alias("error"))
 
 
 def registry_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows, errors by row): values in their own form, every fault of every row kept."""
+    """(good rows, errors by row): values in their own form, every fault of every row kept; a file that couldn't be read is a fault of its row 0."""
     stage, approval = F.lower(F.trim("doc_stage")), F.upper(F.trim("approval_status"))
     stages = F.create_map(*(F.lit(x) for kv in STAGE_NAMES.items() for x in kv))
     date = T.any_date(F.trim("approval_date"))
@@ -85,15 +101,16 @@ def registry_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.element_at(stages, stage).alias("doc_stage"), F.when(approval.isin(*APPROVALS), approval).alias("approval_status"), date.alias("approval_date"),
         stage.alias("_stage"), approval.alias("_approval"), F.col("approval_date").alias("_date"),
     )
-    checks = {
+    checks = {"file": F.col("error").isNull()} if "error" in rows.columns else {}
+    checks |= {
         "sha256": F.col("sha256").rlike("^[0-9a-f]{64}$"),
         "doc_stage": F.col("_stage").isNull() | F.col("doc_stage").isNotNull(),
         "approval_status": F.col("_approval").isNull() | F.col("approval_status").isNotNull(),
         "approval_date": F.col("_date").isNull() | F.col("approval_date").isNotNull(),
-        "file_name": F.col("file_name").isNotNull() | F.col("sha256").isNotNull(),
+        "file_name": F.col("file_name").isNotNull() | F.col("sha256").isNotNull() | (F.col("error").isNotNull() if "error" in rows.columns else F.lit(False)),
     }
     good, errors = checked_rows(given, checks)
-    return good.drop("_stage", "_approval", "_date"), errors
+    return good.drop("_stage", "_approval", "_date", "error"), errors
 
 
 def accepted(good: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,8 +134,12 @@ def read_matrix(spark: SparkSession, path: str, lists: Sequence[str] = ("enum_va
 def upserted(current: DataFrame, incoming: DataFrame, key: str = "code") -> tuple[DataFrame, DataFrame]:
     """(merged table, report): incoming rows win, absent ones stay; the report has added, updated, unchanged and absent by key.
 
-    Rows that repeat a key in the incoming table, or have none, make the import invalid: use :func:`invalid_keys` first.
+    Keys that repeat in the incoming table, or are null, make the import invalid: nothing is taken, and the report has
+    these keys alone, as invalid.
     """
+    invalid = invalid_keys(incoming, key)
+    if not invalid.isEmpty():
+        return current, invalid.select(key, F.lit("invalid").alias("change"))
     columns = [c for c in current.columns if c != key]
     old = current.select(key, F.struct(*columns).alias("_old"))
     new = incoming.select(key, F.struct(*(F.col(c).cast(current.schema[c].dataType).alias(c) for c in columns)).alias("_new"))
@@ -173,28 +194,34 @@ def unzipped(archives: DataFrame, most_entries: int = 5000, most_entry: int = 1
     """(path, name, size, content, error) of the files in ZIP archives (path, content).
 
     Sizes are held against the limits before anything is unpacked; an archive that breaks one, is damaged
-    or has a name that leads out of it gives one row with the error and no files. Folders aren't rows.
+    or has a name that leads out of it gives one row with the error and no files. Folders aren't rows. An archive is
+    checked whole and then unpacked entry by entry, so a task holds one entry at a time.
     """
 
-    def listed(path: str, data: bytes) -> list[tuple]:
-        try:
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                infos = [i for i in z.infolist() if not i.is_dir()]
-                if len(infos) > most_entries:
-                    raise ValueError("too many entries")
-                if any(i.file_size > most_entry for i in infos) or sum(i.file_size for i in infos) > most_total:
-                    raise ValueError("entries are too large")
-                if any(i.filename.startswith("/") or ".." in i.filename.replace("\\", "/").split("/") for i in infos):
-                    raise ValueError("a name leads out of the archive")
-                return [(path, i.filename, i.file_size, z.read(i), None) for i in infos]
-        except (ValueError, zipfile.BadZipFile, NotImplementedError, RuntimeError) as e:
-            return [(path, None, None, None, str(e) or type(e).__name__)]
+    def entries(path: str, data: bytes) -> Iterator[tuple]:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            infos = [i for i in z.infolist() if not i.is_dir()]
+            if len(infos) > most_entries:
+                raise ValueError("too many entries")
+            if any(i.file_size > most_entry for i in infos) or sum(i.file_size for i in infos) > most_total:
+                raise ValueError("entries are too large")
+            if any(i.filename.startswith("/") or ".." in i.filename.replace("\\", "/").split("/") for i in infos):
+                raise ValueError("a name leads out of the archive")
+            if damaged := z.testzip():  # reads all in small blocks
+                raise ValueError(f"{damaged} is damaged")
+            for i in infos:
+                yield path, i.filename, i.file_size, z.read(i), None
 
     def run(batches):
         import pandas as pd
 
+        columns = ["path", "name", "size", "content", "error"]
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame(listed(path, bytes(data or b"")), columns=["path", "name", "size", "content", "error"])
+                try:
+                    for entry in entries(path, bytes(data or b"")):
+                        yield pd.DataFrame([entry], columns=columns)
+                except DAMAGED as e:
+                    yield pd.DataFrame([(path, None, None, None, str(e) or type(e).__name__)], columns=columns)
 
     return archives.select("path", "content").mapInPandas(run, "path string, name string, size long, content binary, error string")

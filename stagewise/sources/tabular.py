@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import json
 import re
+import struct
 import zipfile
-from collections.abc import Mapping, Sequence
+import zlib
+from collections.abc import Iterator, Mapping, Sequence
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,6 +103,114 @@ def sheet_rows(data: bytes) -> list[list[str | None]]:
         return rows
 
 
+#: What a damaged ZIP, XML, JSON or text raises while it is read.
+DAMAGED = (ValueError, zipfile.BadZipFile, zlib.error, EOFError, KeyError, IndexError, OSError, struct.error, NotImplementedError, RuntimeError, SyntaxError)
+#: Rows that a task hands on at a time.
+AT_ONCE = 10_000
+
+
+def kind_of(data: bytes, named: str) -> str:
+    """xlsx, json or csv by what a file holds; its name decides only between kinds of text."""
+    if data[:4] == b"PK\x03\x04":
+        return "xlsx"
+    start = data.removeprefix(b"\xef\xbb\xbf").lstrip()[:1]
+    return "json" if start in (b"{", b"[") and named in ("json", "jsonl", "xlsx") else "csv" if named != "xlsx" else "unknown"
+
+
+def csv_records(text: str) -> Iterator[tuple[int, list[str]]]:
+    """(line, cells) of quoted CSV: the delimiter is the one that most of the leading lines have most of."""
+    leading = text.split("\n")[:HEADER_ROWS]
+    delimiter = max(DELIMITERS, key=lambda d: (sum(delimiter_of(line) == d and d in line for line in leading), -DELIMITERS.index(d)))
+    reader = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)
+    began = 1
+    for cells in reader:
+        yield began, cells
+        began = reader.line_num + 1
+
+
+def json_records(text: str, roots: Sequence[str]) -> Iterator[tuple[int, dict]]:
+    """(number, record) of an array, of the first list under one of ``roots``, or of a record in each line."""
+    try:
+        whole = json.loads(text)
+    except ValueError:
+        whole = None
+    if isinstance(whole, dict):
+        whole = next((whole[r] for r in roots if isinstance(whole.get(r), list)), [whole])
+    if whole is not None:
+        yield from enumerate(whole if isinstance(whole, list) else [], 1)
+        return
+    for i, line in enumerate(text.split("\n"), 1):
+        if line.strip():
+            yield i, json.loads(line)
+
+
+def named_records(data: bytes, named: str, aliases: Mapping[str, Sequence[str]], anchors: Sequence[str], roots: Sequence[str]) -> Iterator[tuple[int, dict[str, str]]]:
+    """(line or number, values by known name) of a file; of several columns of one name the first value counts.
+
+    The header of a table is the first of its ten leading rows that names one of ``anchors``; without one the file
+    is no table of this kind. A record that is no object has no values.
+    """
+    known = {plain_name(a): name for name, names in aliases.items() for a in (name, *names)}
+    kind = kind_of(data, named)
+    if kind == "unknown":
+        raise ValueError("neither a sheet nor text")
+    if kind == "json":
+        for i, record in json_records(data.decode("utf-8-sig"), roots):
+            out: dict[str, str] = {}
+            for k, v in record.items() if isinstance(record, dict) else ():
+                name = known.get(plain_name(k))
+                if name and v is not None and not isinstance(v, (dict, list)):
+                    out.setdefault(name, v if isinstance(v, str) else json.dumps(v))
+            yield i, out
+        return
+    records = enumerate(sheet_rows(data), 1) if kind == "xlsx" else csv_records(data.decode("utf-8-sig"))
+    columns: list[str | None] | None = None
+    for i, (line, cells) in enumerate(records):
+        if columns is None:
+            names = [known.get(plain_name(c)) if c else None for c in cells]
+            if any(n in anchors for n in names):
+                columns = names
+            elif i + 1 >= HEADER_ROWS:
+                break
+            continue
+        out = {}
+        for name, cell in zip(columns, cells, strict=False):
+            if name and cell and cell.strip():
+                out.setdefault(name, cell.strip())
+        if out:
+            yield line, out
+    if columns is None:
+        raise ValueError("no header in the leading rows")
+
+
+def read_records(spark: SparkSession, path: str, named: str, aliases: Mapping[str, Sequence[str]], anchors: Sequence[str], roots: Sequence[str] = ("files", "registry")) -> DataFrame:
+    """(path, row, error, known columns) of all files at ``path``: ``row`` is the line of a CSV or JSON-lines file, the row of a
+    sheet, the number in a list; a file that can't be read, or has no header, is one row 0 with its error.
+
+    A file is read by one task, record by record; such files are written by people, so they fit.
+    """
+    names = list(aliases)
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for at, data in zip(batch["path"], batch["content"], strict=True):
+                rows: list[tuple] = []
+                try:
+                    for line, values in named_records(bytes(data), named, aliases, anchors, roots):
+                        rows.append((at, line, None, *(values.get(n) for n in names)))
+                        if len(rows) >= AT_ONCE:
+                            yield pd.DataFrame(rows, columns=["path", "row", "error", *names])
+                            rows = []
+                except DAMAGED as e:
+                    rows.append((at, 0, f"{type(e).__name__}: {e}", *[None] * len(names)))
+                yield pd.DataFrame(rows, columns=["path", "row", "error", *names])
+
+    ddl = "path string, row long, error string, " + ", ".join(f"`{n}` string" for n in names)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ddl)
+
+
 class SpreadsheetSource(DataSource):
     """``spark.read.format("sheet")`` over an .xlsx path that workers can open: row number and cells."""
 
@@ -118,20 +230,30 @@ class SpreadsheetSource(DataSource):
 
             def read(self, partition):
                 with open(partition.value.removeprefix("file://"), "rb") as f:
-                    for i, cells in enumerate(sheet_rows(f.read())):
-                        yield i, cells
+                    try:
+                        rows = sheet_rows(f.read())
+                    except DAMAGED as e:
+                        raise ValueError(f"{partition.value} is no readable sheet: {e}") from e
+                yield from enumerate(rows)
 
         return Reader()
 
 
 def read_sheets(spark: SparkSession, path: str) -> DataFrame:
-    """(path, row, cells) of the first sheets of all files at ``path``, in any store that Spark reads."""
+    """(path, row, cells, error) of the first sheets of all files at ``path``, in any store that Spark reads.
+
+    A damaged file is one row without a number and cells, with its error.
+    """
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
-            out = [(p, i, cells) for p, data in zip(batch["path"], batch["content"], strict=True) for i, cells in enumerate(sheet_rows(bytes(data)))]
-            yield pd.DataFrame(out, columns=["path", "row", "cells"])
+            for p, data in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    out = [(p, i, cells, None) for i, cells in enumerate(sheet_rows(bytes(data)))]
+                except DAMAGED as e:
+                    out = [(p, None, None, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(out, columns=["path", "row", "cells", "error"]).astype({"row": "Int32"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row int, cells array<string>")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row int, cells array<string>, error string")

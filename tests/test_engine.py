@@ -172,3 +172,25 @@ def test_guard_names_the_state(spark):
     assert D.guarded(df.filter("i = 1"), "s", ["OPEN"], "closed").count() == 1
     with pytest.raises(Exception, match="closed: state FINAL"):
         D.guarded(df, "s", ["OPEN"], "closed").collect()
+
+
+def test_applicability_guard_sets_and_comparisons(spark):
+    rows = [
+        value("off", "PD", 1, 1.0), value("off", "RD", 2, 9.0), value("on", "PD", 3, 1.0), value("on", "RD", 4, 9.0), value("on", "ID", 5, 1.0), value("loose", "PD", 6, 1.0, point=None), value("loose", "RD", 7, 9.0, point=None),
+        value("loose", "PD", 8, 1.0), value("loose", "RD", 9, 1.0), value("whole", "PD", 10, 1.0, point=None), value("whole", "RD", 11, 9.0, point=None), value("half", "PD", 12, 1.0, point=None), value("half", "PD", 13, 1.0),
+        value("any", "PD", 14, text="П1, B2"), value("any", "RD", 15, text="п1,В2, В3.1"), value("lost", "PD", 16, text="П1, ПЕ, В12"), value("lost", "RD", 17, text="П1, ПЕ4, В12.1"), value("lost2", "PD", 18, text="П1, В2"), value("lost2", "RD", 19, text="П1"),
+        value("taken", "PD", 20, text="П2, П3"), value("taken", "RD", 21, text="П2, П2.1"), value("words", "PD", 22, text="есть"), value("words", "RD", 23, text="П1"),
+    ]
+    codes = {"any": "any", "lost": "lost", "lost2": "lost", "taken": "any", "words": "any"}
+    rules = [(*rule(c, "string" if c in codes else "number"), codes.get(c), own) for c, own in [("off", ["x"]), ("on", ["x", "y"]), *((c, None) for c in ("loose", "whole", "half", *codes))]]
+    present = spark.createDataFrame([(1, ["PD", "RD", "ID"], ["y"])], "object_id int, present array<string>, marks array<string>")
+    got = {(r.param, r.point): r for r in E.outcomes(spark.createDataFrame(rows, VALUES), spark.createDataFrame(rules, f"{MATRIX}, codes string, own array<string>"), present).collect()}
+    assert {k: r.verdict for k, r in got.items()} == {
+        ("off", "p"): R.NOT_APPLICABLE, ("on", "p"): R.CANDIDATE, ("loose", None): R.CLARIFY, ("loose", "p"): R.NEGATIVE, ("whole", None): R.CANDIDATE, ("half", None): R.NOT_COMPARABLE, ("half", "p"): R.NOT_COMPARABLE,
+        ("any", "p"): R.CANDIDATE, ("lost", "p"): R.NEGATIVE, ("lost2", "p"): R.CANDIDATE, ("taken", "p"): R.CANDIDATE, ("words", "p"): R.CANDIDATE,
+    }
+    on = got["on", "p"]
+    assert (on.expected, on.actual, on.actual_stage, on.delta) == ("1.0", "9.0", "RD", 8.0)
+    assert [tuple(c) for c in on.comparisons] == [("RD", "9.0", 8.0, True), ("ID", "1.0", 0.0, False)]
+    assert [got[c, "p"].changed for c in codes] == ["+В3.1", None, "−В2", "−П3; +П2.1", None]
+    assert got["off", "p"].expected is None and got["off", "p"].comparisons is None

@@ -10,6 +10,7 @@ from stagewise.functions import lexicon as L
 from stagewise.functions import rules
 from stagewise.operators import layout as O
 from stagewise.sources import intake as I
+from stagewise.sources import tabular
 from stagewise.streaming import jobs
 
 
@@ -98,3 +99,55 @@ def test_job_states():
     walk = lambda *signs: __import__("functools").reduce(lambda s, x: jobs.next_state(*s, x), signs, ("SENT", 1))
     assert walk("FAILED", "FAILED", "DONE") == ("DONE", 3) and walk("FAILED", "FAILED", "FAILED", "DONE") == ("FAILED", 3)
     assert walk("TIMEOUT", "DONE") == ("FAILED", 1) and walk("SUPERSEDED", "FAILED") == ("SUPERSEDED", 1)
+
+
+def test_damaged_archives_end_no_job(spark):
+    """Every archive with one byte changed gives its files or one error row."""
+    good = zipped(a=b"one " * 60, b__c=b"two " * 60)
+    rows = [(str(i), bytes([*good[:i], good[i] ^ 0xFF, *good[i + 1 :]])) for i in range(0, len(good), 3)]
+    got = I.unzipped(spark.createDataFrame(rows, "path string, content binary").repartition(4)).collect()
+    assert {r.path for r in got} == {p for p, _ in rows}
+    for p, _ in rows:
+        mine = [r for r in got if r.path == p]
+        assert all(r.error is None for r in mine) or (len(mine) == 1 and mine[0].error and mine[0].content is None)
+
+
+def registry_of(spark, folder, kind, **files):
+    folder.mkdir()
+    for name, body in files.items():
+        (folder / f"{name}.{kind}").write_bytes(body if isinstance(body, bytes) else body.encode())
+    return I.read_registry(spark, str(folder), kind)
+
+
+def test_registry_headers_lines_and_damage(spark, tmp_path):
+    late = "\n" * 11 + "file_name;stage\na;RD\n"
+    rows = registry_of(
+        spark, tmp_path / "c", "csv", a='Title, with, commas\n\nFile name;Stage;note\n"two\nlines";RD;x\nb;??;\n;;\n', b="sha256,stage\n" + "0" * 64 + ",PD\n", c=late, d=b"\xff\xfe\x00 no text", e="", f=b"PK\x03\x04 torn",
+    )
+    name = F.regexp_extract("path", r"(\w+)\.csv", 1).alias("file")
+    assert {(r.file, r.row, r.file_name, r.doc_stage) for r in rows.filter("error IS NULL").select(name, "row", "file_name", "doc_stage").collect()} == {("a", 4, "two\nlines", "RD"), ("a", 6, "b", "??"), ("b", 2, None, "PD")}
+    assert {(r.file, r.row) for r in rows.filter("error IS NOT NULL").select(name, "row").collect()} == {(f, 0) for f in "cdef"}
+    errors = I.registry_rows(rows)[1].collect()
+    assert sorted((r.row, r.error) for r in errors) == [(0, "file")] * 4 + [(6, "doc_stage")]
+
+
+def test_json_registries(spark, tmp_path):
+    rows = registry_of(spark, tmp_path / "j", "json", a='{"files": [{"File Name": "a", "x": {}}, 7], "expected": [{"doc_stage": "РД", "title": "t"}, {"title": "no stage"}]}', b='[{"file_name": "b", "revision": 2}]', c='{"file_name": "c"}\n\n{"sha256": "d"}', d='{"file_name": ')
+    got = {(r.path[-6], r.row, r.file_name, r.sha256, r.revision, r.error is None) for r in rows.collect()}
+    assert got == {("a", 1, "a", None, None, True), ("a", 2, None, None, None, True), ("b", 1, "b", None, "2", True), ("c", 1, "c", None, None, True), ("c", 3, None, "d", None, True), ("d", 0, None, None, None, False)}
+    found, errors = I.read_expected(spark, str(tmp_path / "j"))
+    assert [(r.row, r.doc_stage, r.title) for r in found.collect()] == [(1, "RD", "t")] and [(r.row, r.error) for r in errors.collect()] == [(2, "doc_stage")]
+
+
+def test_damaged_sheets_are_rows(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.xlsx").write_bytes(b"PK\x03\x04 torn")
+    (tmp_path / "s" / "b.xlsx").write_bytes(zipped(xl__worksheets__sheet1_xml=b"").replace(b"sheet1_xml", b"sheet1.xml"))
+    got = tabular.read_sheets(spark, str(tmp_path / "s")).collect()
+    assert len(got) == 2 and all(r.error and r.cells is None for r in got)
+
+
+def test_a_matrix_with_repeated_codes_is_refused(spark):
+    current = spark.createDataFrame([("a", 1)], "code string, x int")
+    merged, report = I.upserted(current, spark.createDataFrame([("b", 1), ("b", 2), (None, 3), ("c", 4)], "code string, x int"))
+    assert [tuple(r) for r in merged.collect()] == [("a", 1)] and {tuple(r) for r in report.collect()} == {("b", "invalid"), (None, "invalid")}

@@ -72,3 +72,61 @@ def test_line_errors_of_whole_lines(spark):
                     row[j] = min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (p != q))
             wrong[a] = row[-1]
     assert (got.errors, got.characters) == (sum(wrong.get(n, len(t)) for _, n, t in reference), sum(len(t) for _, _, t in reference))
+
+
+def test_outlets_with_several_diameters(spark):
+    from stagewise.functions import lexicon as L
+
+    rows = [("два выпуска бытовой канализации диаметрами 100, 150 мм и 200 мм",), ("выпуск К2-3 диаметром 110, в футляре диаметром 300",), ("выпуск К1 Ø160",)]
+    got = [[(x.key, x.diameter) for x in r.v] for r in spark.createDataFrame(rows, "t string").select(L.outlet_values(F.col("t")).alias("v")).collect()]
+    assert got == [[("Выпуски К1", 100.0), ("Выпуски К1", 150.0), ("Выпуски К1", 200.0)], [("Выпуск К2-3", 110.0)], [("Выпуски К1", 160.0)]]
+
+
+def test_further_units(spark):
+    from stagewise.functions import lexicon as L
+
+    cases = {" А на фазу": "amp", " а также": None, " кВт·ч/м2 в год": "specific", " Вт/(м·°С)": "conductivity", " м2·°С/Вт": "resistance", " м2": "area", " кВт": "power", " м": "len"}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", L.unit_after(F.col("t")).alias("u")).collect()
+    assert {r.t: r.u for r in rows} == cases
+
+
+def test_classes_belong_to_the_nearest_element(spark):
+    cell = lambda page, row, x, text: (1, page, float(x), float(row), x + 0.9, row + 0.8, text)
+    cells = [
+        cell(1, 1, 0, "Ростверк"), cell(1, 1, 1, "м3"), cell(1, 1, 2, "В25 F150"), cell(1, 2, 0, "Лестничные марши В30"), cell(1, 3, 2, "В35"), cell(1, 4, 8, "В40"), cell(2, 1, 0, "В20"),
+        cell(5, 1, 0, "Бетон В22,5"), cell(9, 1, 0, "В15"), cell(12, 1, 0, "В10"),
+    ]
+    block = lambda page, y, x0, x1, text: (1, page, float(x0), float(y), float(x1), y + 0.5, text)
+    blocks = [
+        block(1, 0, 0, 5, "Спецификация элементов фундаментной плиты"), block(1, 0, 6, 7, "План"), block(3, 0, 0, 9, "Плита перекрытия из бетона класса В25, бетонная подготовка из бетона B7,5; и B12.5."), block(3, 1, 0, 9, "Бетон В60 без места"),
+        block(4, 0, 0, 9, "АКТ № 7 освидетельствования скрытых работ"), block(4, 1, 0, 9, "Устройство обвязочной балки"),
+    ]
+    box = "doc_id int, page int, x0 double, y0 double, x1 double, y1 double, text string"
+    got = {(r.page, r.element, r["class"], r.method) for r in extract.element_classes(spark.createDataFrame(cells, box), spark.createDataFrame(blocks, box)).collect()}
+    assert got == {
+        (1, "Ростверк", "B25", "table"), (1, "Лестницы", "B30", "table"), (1, "Фундаментная плита", "B35", "table"), (3, "Плиты перекрытия", "B25", "text"), (3, "Бетонная подготовка", "B7.5", "text"),
+        (3, "Бетонная подготовка", "B12.5", "text"), (5, "Обвязочная балка", "B22.5", "context"),
+    }
+
+
+def test_floors_and_their_totals(spark):
+    rows, n = [], 0
+
+    def line(*texts):
+        nonlocal n
+        rows.extend(("t", n, c, x) for c, x in enumerate(texts))
+        n += 1
+
+    for floor in (1, 2):
+        for i in range(1, 5):
+            line(f"{floor}-0{i}", "Кабинет", f"{10 * i},50")
+        if floor == 1:
+            line("", "Итого раздел", "60,00")
+            line("1-09", "Холл", "12,00")
+        line("", "Итого по этажу", "114,00" if floor == 1 else "100,00")
+    line("", "Итого по зданию", "214,00")
+    rooms, floors = layout.floor_schedule(spark.createDataFrame(rows, "t string, row int, column int, text string"), ["t"])
+    assert sorted((r.floor, r.number) for r in rooms.collect()) == [(0, f"1-0{i}") for i in (1, 2, 3, 4, 9)] + [(1, f"2-0{i}") for i in range(1, 5)]
+    got = {r.floor: (r.rooms, r.area, r.total, r.agrees) for r in floors.collect()}
+    assert got[0] == (5, 114.0, 114.0, True) and got[1] == (4, 102.0, 100.0, False)
+    assert got[-1] == (9, 216.0, 214.0, False)
