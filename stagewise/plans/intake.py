@@ -80,7 +80,7 @@ def src09_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = F.element_at(F.array(*map(F.lit, ("ПД", "rd", "??"))), F.col("p_size") % 3 + 1)
     entry = F.struct(F.col("p_brand").alias("discipline"), stage.alias("doc_stage"), F.col("p_name").alias("title"))
     path = place(spark, "json")
-    Tables(spark, sf_dir).part.groupBy("p_brand").agg(F.to_json(F.struct(F.array().cast("array<string>").alias("files"), F.collect_list(entry).alias("expected"))).alias("value")).select("value").repartition(4).write.text(path)
+    Tables(spark, sf_dir).part.groupBy("p_brand").agg(F.to_json(F.struct(F.array().cast("array<string>").alias("files"), F.collect_list(entry).alias("expected"))).alias("value")).repartition("p_brand").write.partitionBy("p_brand").text(path)
     return I.read_expected(spark, path)[0].select("discipline", "doc_stage", "title")
 
 

@@ -69,7 +69,7 @@ def read_registry(spark: SparkSession, path: str, kind: str | None = None, alias
     """(path, row, error, known columns) of registries as csv, json, jsonl or xlsx: by the path's ending if ``kind`` isn't given, and by content.
 
     The header is looked for in the ten leading rows; ``row`` is the place in the file (see ``read_records``). A
-    damaged file, or one without a header, is a row 0 with an error.
+    damaged file, or one without a header, is a row 0 with an error; an empty file has no rows.
     """
     kind = kind or path.rstrip("/").rpartition(".")[2].lower()
     if kind not in ("csv", "tsv", "json", "jsonl", "xlsx"):
