@@ -13,48 +13,55 @@ from stagewise.operators import layout as O
 from .registry import Tables, query
 from .similarity import greedy_sql
 
-# What a part's number stands for: a phrase in some form, and what is found in it.
-PHRASES = (
-    ("бетонирование фундаментной плиты", "Фундаментная плита"), ("для монолитных лестничных маршей", "Лестницы"), ("пилоны, колонны, стены на отм. -3.500", "Вертикальные конструкции подземной части"),
-    ("колонн и наружных стен", "Вертикальные конструкции"), ("устройство ростверка", "Ростверк"), ("стенд для плитки", None), ("стены и пилоны выше", "Вертикальные конструкции"), ("плит перекрытия", "Плиты перекрытия"),
-)
-MARKS = (("B2.7,8,9", "В2.7,В2.8,В2.9"), ("П2/ВЕ", "П2,ВЕ"), ("П17.1, 17.2", "П17.1,П17.2"), ("BE16; комната 5", "ВЕ16"), ("нет систем", ""), ("П1,2 В3", "П1,П2,В3"))
-CODES = (("ЖС-РД-270121-П-АР", "ЖС-РД-270121"), ("П-2025-04-266-КЖ02", "П-2025-04-266"), ("НВС-2025.03-4.2-КР2", "НВС-2025.03"), ("1-П-ИОС5.3.4", None), ("без шифра", None))
-UNIT_TEXTS = ((" м2 площади", "area"), (" куб. м/сут", "flow_day"), ("мм", "len_mm"), (" м", "len"), (" шт.", "count"), ("%", "pct"), (" тыс. руб.", "money"), (" попугаев", None))
-OUTLET_TEXTS = (
-    ("Выпуск К1-1 Ø110; выпуск 2-К2 Ø160 в стальном футляре Ø325", "Выпуск К1-1:110,Выпуск К2-2:160"), ("три выпуска бытовой канализации Д100, два выпуска дождевой Д160", "Выпуски К1:100,Выпуски К2:160"),
-    ("Стояк К2-6 Ø250", ""), ("Выпуск производственной К3 Ø100", ""),
+# Units as they are written after a number, and their classes.
+UNIT_TEXTS = (
+    (" м2 площади", "area"), (" куб. м/сут", "flow_day"), ("мм", "len_mm"), (" м", "len"), (" шт.", "count"), ("%", "pct"), (" тыс. руб.", "money"), (" попугаев", "none"), (" м3/ч", "flow_h"), (" л/с", "flow_ls"), (" Гкал/ч", "heat"),
+    (" мм2", "area_mm"), (" м3 грунта", "vol"), (" кВт", "power"), ("‰", "permille"), (" минут", "min"), (" суток", "days"), (" А", "amp"), (" кВт·ч/м2", "specific"), (" Вт/(м·°С)", "conductivity"), (" м2·°С/Вт", "resistance"),
 )
 
 
+def one_of(key: str, *texts: Column) -> Column:
+    """One of the texts, by the row's number."""
+    return F.element_at(F.array(*texts), (F.col(key) % len(texts) + 1).cast("int"))
+
+
 def chosen(cases: tuple, at: int, key: str) -> Column:
     """The text of one of the cases, by the row's number."""
     return F.element_at(F.array(*(F.lit(c[at]) for c in cases)), (F.col(key) % len(cases) + 1).cast("int"))
 
 
-def cases_sql(cases: tuple, column: str, table: str, key: str) -> str:
-    quoted = ", ".join("NULL" if c[1] is None else f"'{c[1]}'" for c in cases)
-    return f"SELECT {key}, [{quoted}][{key} % {len(cases)} + 1] {column} FROM {table}"
-
-
-@query("str09_str10_elements", cases_sql(PHRASES, "element", "part", "p_partkey"))
+@query("str09_str10_elements", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Фундаментная плита' WHEN 1 THEN 'Вертикальные конструкции' || CASE WHEN p_size % 2 = 1 THEN ' подземной части' ELSE '' END WHEN 2 THEN 'Ростверк' END element FROM part""")
 def str10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).part.select("p_partkey", L.element(chosen(PHRASES, 0, "p_partkey")).alias("element"))
+    """Works on a numbered element, in a form of its name; a negative level makes it one below ground, other names are none."""
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    level = F.when(F.col("p_size") % 2 == 1, F.concat(F.lit("-"), n, F.lit(".500"))).otherwise(F.concat(F.lit("+"), n, F.lit(".500")))
+    text = one_of("p_partkey", F.concat(F.lit("бетонирование фундаментной плиты № "), k), F.concat(F.lit("армирование колонн и наружных стен на отм. "), level), F.concat(F.lit("участок "), k, F.lit(" ростверка")), F.concat(F.lit("стенд № "), k, F.lit(" для плитки")))
+    return Tables(spark, sf_dir).part.select("p_partkey", L.element(text).alias("element"))
 
 
-@query("str11_systems", cases_sql(MARKS, "systems", "part", "p_partkey"))
+@query("str11_systems", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'В' || p_size || '.' || b || ',В' || p_size || '.' || (b + 10) WHEN 1 THEN 'П' || p_size || ',ВЕ' WHEN 2 THEN 'П' || p_size || '.' || b || ',П' || p_size || '.' || (b + 10) ELSE 'ВЕ' || p_size END systems FROM (SELECT *, p_partkey % 9 + 1 b FROM part)""")
 def str11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).part.select("p_partkey", F.array_join(L.systems(chosen(MARKS, 0, "p_partkey")), ",").alias("systems"))
+    """Marks made of a row's numbers: short numbers after a comma or a space belong to the last whole one, letters may be Latin."""
+    n, b = F.col("p_size").cast("string"), (F.col("p_partkey") % 9 + 1).cast("string")
+    c = (F.col("p_partkey") % 9 + 11).cast("string")
+    text = one_of("p_partkey", F.concat(F.lit("B"), n, F.lit("."), b, F.lit(","), c), F.concat(F.lit("П"), n, F.lit("/ВЕ")), F.concat(F.lit("П"), n, F.lit("."), b, F.lit(", "), n, F.lit("."), c), F.concat(F.lit("BE"), n, F.lit("; комната "), b))
+    return Tables(spark, sf_dir).part.select("p_partkey", F.array_join(L.systems(text), ",").alias("systems"))
 
 
-@query("str25_project_codes", cases_sql(CODES, "project", "part", "p_partkey"))
+@query("str25_project_codes", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'ЖС-РД-' || p_partkey WHEN 1 THEN 'П-2025-' || p_size || '-' || p_partkey WHEN 2 THEN 'НВС-' || p_partkey || '.03' END project FROM part""")
 def str25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).part.select("p_partkey", L.project_code(chosen(CODES, 0, "p_partkey")).alias("project"))
+    """Document codes made of a row's numbers, with stage and section, with a section alone, with a volume, and without a section."""
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    code = one_of("p_partkey", F.concat(F.lit("ЖС-РД-"), k, F.lit("-П-АР")), F.concat(F.lit("П-2025-"), n, F.lit("-"), k, F.lit("-КЖ02")), F.concat(F.lit("НВС-"), k, F.lit(".03-"), n, F.lit(".2-КР2")), F.concat(F.lit("1-П-"), k))
+    return Tables(spark, sf_dir).part.select("p_partkey", L.project_code(code).alias("project"))
 
 
-@query("str31_units", cases_sql(UNIT_TEXTS, "unit", "part", "p_partkey"))
+@query("str31_units", f"""WITH t AS (SELECT p_partkey, p_size, {[c[1] for c in UNIT_TEXTS]}[p_partkey % {len(UNIT_TEXTS)} + 1] unit FROM part) SELECT p_partkey, nullif(unit, 'none') unit, CASE WHEN unit <> 'none' THEN p_size + 0.5 END AS value FROM t""")
 def str31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).part.select("p_partkey", L.unit_after(chosen(UNIT_TEXTS, 0, "p_partkey")).alias("unit"))
+    """A number in a phrase, with the class of the unit behind it; without a known unit it is no quantity."""
+    phrase = F.concat(F.lit("показатель "), F.col("p_size").cast("string"), F.lit(",5"), chosen(UNIT_TEXTS, 0, "p_partkey"))
+    unit = L.unit_after(F.regexp_extract(phrase, r"\d+,\d+(.*)$", 1))
+    return Tables(spark, sf_dir).part.select("p_partkey", unit.alias("unit"), F.when(unit.isNotNull(), T.number(F.regexp_extract(phrase, r"(\d+,\d+)", 1))).alias("value"))
 
 
 @query("str31_roots", r"SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(lower(text), '[а-яa-z]{3,}'), lambda w: substr(w, 1, 4)))) roots FROM documents")
@@ -62,26 +69,22 @@ def str31_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).documents.select("doc_id", F.size(L.beginnings(F.col("text"), 4)).cast("long").alias("roots"))
 
 
-@query("ext10_outlets", f"""WITH c AS ({cases_sql(OUTLET_TEXTS, 'found', 'part', 'p_partkey')}), f AS (SELECT p_partkey % 10 document, unnest(string_split(found, ',')) x FROM c WHERE found <> '')
-  SELECT document, split_part(x, ':', 1) outlet, max(split_part(x, ':', 2)::DOUBLE) diameter FROM f GROUP BY 1, 2""")
+@query("ext10_outlets", """WITH p AS (SELECT p_partkey k, p_partkey % 10 document, p_partkey % 20 + 1 n, p_size + 50 d FROM part),
+  f AS (SELECT document, 'Выпуск К1-' || n outlet, d FROM p WHERE k % 3 = 0 UNION ALL SELECT document, 'Выпуски К2', unnest([d, d + 10, d + 20]) FROM p WHERE k % 3 = 1 UNION ALL SELECT document, 'Выпуск К2-' || n, d FROM p WHERE k % 3 = 2)
+  SELECT document, outlet, max(d)::DOUBLE diameter FROM f GROUP BY 1, 2""")
 def ext10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each outlet of a document the greatest diameter."""
-    pages = Tables(spark, sf_dir).part.select((F.col("p_partkey") % 10).alias("document"), F.explode(L.outlet_values(chosen(OUTLET_TEXTS, 0, "p_partkey"))).alias("x"))
+    """Of each outlet of a document the greatest diameter: by mark, listed after the word itself, not the sleeve's or a riser's."""
+    n, d = (F.col("p_partkey") % 20 + 1).cast("string"), F.col("p_size") + 50
+    shown = lambda x: x.cast("string")
+    text = one_of(
+        "p_partkey", F.concat(F.lit("Выпуск К1-"), n, F.lit(" Ø"), shown(d), F.lit("; стояк К2-6 Ø250")),
+        F.concat(F.lit("три выпуска дождевой канализации диаметрами "), shown(d), F.lit(", "), shown(d + 10), F.lit(" мм и "), shown(d + 20), F.lit(" мм")),
+        F.concat(F.lit("Выпуск "), n, F.lit("-К2 Ø"), shown(d), F.lit(" в стальном футляре Ø"), shown(d + 150)),
+    )
+    pages = Tables(spark, sf_dir).part.select((F.col("p_partkey") % 10).alias("document"), F.explode(L.outlet_values(text)).alias("x"))
     return pages.groupBy("document", F.col("x.key").alias("outlet")).agg(F.max("x.diameter").alias("diameter"))
 
 
-@query("str24_organisations", """SELECT o_custkey % 7 AS "group", 'АО "' || ['Север', 'Юг'][o_custkey % 2 + 1] || ' проект"' organisation, count(*) pages FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2
-  QUALIFY row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY count(*) DESC, 'АО "' || ['Север', 'Юг'][o_custkey % 2 + 1] || ' проект"') = 1""")
-def str24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The organisation that most pages of a group name, in either kind of quotes."""
-    from stagewise.operators.relational import first_per_group
-
-    k = F.col("o_custkey")
-    name = F.concat(F.lit("Разработчик АО «"), F.when(k % 2 == 0, "Север  проект").otherwise("Юг проект"), F.lit("», лист 3"))
-    pages = Tables(spark, sf_dir).orders.select((k % 7).alias("group"), F.explode(L.organisations(F.when(F.col("o_orderkey") % 3 == 0, name).otherwise("без названия"))).alias("organisation"))
-    return first_per_group(pages.groupBy("group", "organisation").agg(F.count("*").alias("pages")), ["group"], [F.desc("pages"), "organisation"])
-
-
 @query("dsl07_unknown_codes", "SELECT 'a' AS rule, 'Brand#99' code UNION ALL SELECT 'c', 'Brand#77'")
 def dsl07(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that refer to codes which the matrix lacks; the matrix has one row for each code."""
