@@ -118,7 +118,7 @@ class Scorer:
 
 
 def training_units(learn: DataFrame, scorer: Scorer, total: int) -> DataFrame:
-    """(k): the word numbers of about UNIT tokens of whole texts, dealt by the key's hash: every training row is in one unit."""
+    """(k): the word numbers of about UNIT tokens of whole texts, dealt by the hash of key and text: every training row is in one unit."""
     shared = learn.sparkSession.sparkContext.broadcast(scorer)
 
     def numbers(batches):
@@ -145,7 +145,8 @@ def training_units(learn: DataFrame, scorer: Scorer, total: int) -> DataFrame:
 
 def averaged(units: DataFrame, model: LogBilinear, scorer: Scorer, seed: int, **options) -> LogBilinear:
     """The model after one pass over every unit: each is trained on from ``model``, and each row of the parameters
-    becomes the mean of the units that moved it, weighted by how often they did."""
+    becomes the mean of the units that moved it, weighted by how often they did. A task sums its units up, so what is
+    shuffled grows with the tasks and not with the units."""
     spark, end, counts = units.sparkSession, scorer.end, scorer.word_counts
     shared = spark.sparkContext.broadcast((model, counts))
     v, c, d = len(model.vectors), len(model.contexts), model.near.shape[0]
@@ -153,22 +154,25 @@ def averaged(units: DataFrame, model: LogBilinear, scorer: Scorer, seed: int, **
 
     def run(batches):
         single_threaded()
+        sums, times = np.zeros((v + c + 2 * d, d + 1), np.int64), np.zeros(v + c + 2 * d, np.int64)
         for batch in batches:
             for value in batch.column(0):
                 start, counts = shared.value
                 m = LogBilinear(*(x.copy() for x in vars(start).values()))
                 tokens = np.frombuffer(value.as_buffer(), np.int32)
                 moved = improve(m, tokens, end, counts, seed=seed, **options)
-                n = np.concatenate((moved["vectors"], moved["contexts"], np.full(2 * d, len(tokens), np.int32)))
-                at = np.flatnonzero(n)
+                n = np.concatenate((moved["vectors"], moved["contexts"], np.full(2 * d, len(tokens), np.int32))).astype(np.int64)
                 x = np.zeros((v + c + 2 * d, d + 1), np.float32)
                 x[:, :d] = np.concatenate((m.vectors, m.contexts, m.near, m.far))
                 x[:v, d] = m.bias
-                x = np.round(x[at] / GRAIN).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), *(pa.array(np.ascontiguousarray(col)) for col in x.T)], names)
-
-    moved = units.mapInArrow(run, ", ".join(f"{name} int" for name in names))
-    means = moved.groupBy("id").agg(*((F.sum(F.col(name).cast("long") * F.col("n")) / F.sum("n")).alias(name) for name in names[2:])).toArrow()
+                sums += np.round(x / GRAIN).astype(np.int64) * n[:, None]
+                times += n
+        at = np.flatnonzero(times)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(times[at]), *(pa.array(np.ascontiguousarray(col)) for col in sums[at].T)], names)
+
+    moved = units.mapInArrow(run, "id int, " + ", ".join(f"{name} long" for name in names[1:]))
+    means = moved.groupBy("id").agg(*((F.sum(name) / F.sum("n")).alias(name) for name in names[2:])).toArrow()
     x = np.concatenate((np.column_stack((model.vectors, model.bias)), np.pad(np.concatenate((model.contexts, model.near, model.far)), ((0, 0), (0, 1)))))
     if means.num_rows:
         x[means["id"].to_numpy()] = np.stack([means[name].to_numpy() for name in names[2:]], 1) * GRAIN
@@ -233,7 +237,7 @@ def language_scores(
     scorer = Scorer(top["h"].to_numpy().view(np.uint64), top["c"].to_numpy(), max(words, total // TOKENS_A_WORD), total)
     contexts = min(scorer.end, int(words * max(1.0, (total / MORE_CONTEXTS) ** (1 / 3)))) + 2
     model = untrained(scorer.other + 1, contexts, scorer.word_counts, d, seed)
-    units = training_units(learn.select(F.xxhash64(key), body), scorer, total)
+    units = training_units(learn.select(F.xxhash64(key, text), body), scorer, total)
     for i in range(epochs):
         model = averaged(units, model, scorer, seed + i, **options)
     scorer.take(model, normalisers(spark, model))

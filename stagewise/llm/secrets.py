@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stagewise import scratch
+
 from .automata import Automaton, best_format, default_automata
 
 KINDS = ("assign", "access", "hex", "format")
@@ -102,6 +104,7 @@ def secret_spans(
     repeated rows a result each, an empty table no rows. The automata (a few hundred states, by default inferred
     from :func:`automata.labelled_credentials`) go to the workers with the function.
     """
+    scratch.not_among(key, ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format", "found"])
     kind = df.schema[key].dataType.simpleString()
     automata = default_automata() if automata is None else automata
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stagewise import scratch
+
 
 def draw(keys: Sequence[Column], shard: int, weight: float) -> Column:
     """Cost of a record on a shard: an exponential variate with the shard's weight as its rate."""
@@ -40,11 +42,12 @@ def shard_rows(
     length plus 8; a null text counts as empty; a null key is a key of its own; repeated rows get
     a slot each; an empty table gives no rows. ``slot`` numbers each shard's rows from 0 without
     gaps. Ranking is in two steps, so that no task ever holds a shard: rows are numbered within
-    (shard, bucket of the key's hash), and the buckets' counts (at most shards x ``buckets`` rows,
-    hence broadcast) give each bucket's first slot. Counting reads the key column only.
+    (shard, bucket of the hash of key and text), and the buckets' counts (at most shards x ``buckets`` rows,
+    hence broadcast) give each bucket's first slot. Only rows that repeat both key and text share a bucket for certain.
     """
+    scratch.not_among(key, ["size", "text_crc32", "law", "shard", "slot", "grown_shard"])
     at = rendezvous([F.col(key)], weights)
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit("bucket")), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit("bucket")), F.lit(buckets)).cast("int")
     body = F.coalesce(F.encode(F.col(text).cast("string"), "UTF-8"), F.lit(b""))
     new = len(weights)
     rows = df.select(

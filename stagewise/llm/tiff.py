@@ -413,6 +413,7 @@ def stored_texts(
     each, an empty table none; equal texts have equal values. Columns: key, n_bytes,
     payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_pages.
     """
+    scratch.not_among(key, ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pages"])
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):

@@ -63,6 +63,12 @@ def test_any_key_name(spark, name, key):
         assert {r[key] for r in call(df, key=key).collect()} == {1, 2}
 
 
+@pytest.mark.parametrize(("call", "key"), [(secrets.secret_spans, "spans"), (sharding.shard_rows, "size"), (tiff.stored_texts, "feature")])
+def test_a_key_named_like_a_result_is_refused(spark, call, key):
+    with pytest.raises(ValueError):
+        call(spark.createDataFrame([(1, "a")], f"{key} int, text string"), key=key)
+
+
 def test_first_of_each_has_a_defined_choice(spark):
     df = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (1, "a", 1), (2, None, 5), (2, None, 4)], "doc_id int, text string, x int")
     assert sorted(map(tuple, neardup.first_of_each(df).collect())) == [(1, "a", 1), (2, None, 4)]
