@@ -37,7 +37,10 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of 4096 tokens."""
+    """The pieces of all documents in windows of 4096 tokens.
+
+    A null or empty text is its end token alone; repeated rows are packed each; an empty table gives no pieces.
+    """
     return packing.pack(docs)
 
 
