@@ -204,7 +204,8 @@ def set_twins(df: DataFrame, key: str, items: str, least: float) -> DataFrame:
 def letter_places(text: Column) -> Column:
     """Each character of a text with the number of its like before it: two texts share as many of these as they have characters in common."""
     letters = F.array_sort(F.filter(F.split(text, ""), lambda x: x != ""))
-    return F.transform(letters, lambda x, i: F.concat(x, (i + 1 - F.array_position(letters, x)).cast("string")))
+    # bound to a variable, so that the letters are sorted once and not for each of them
+    return F.get(F.transform(F.array(letters), lambda all_: F.transform(all_, lambda x, i: F.concat(x, (i + 1 - F.array_position(all_, x)).cast("string")))), F.lit(0))
 
 
 def may_reach(a: Column, b: Column, shared_letters: Column, score: float) -> Column:
