@@ -193,3 +193,41 @@ def snk08(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = place(spark, "parquet")
     by.unpivot("run", ["count", "mean", "max"], "name", "value").write.partitionBy("run").parquet(path)
     return spark.read.parquet(path).select("run", "name", "value")
+
+
+# Line where the table begins: a title, then a text of as many lines as the order's number says, on a second page if the first is too short.
+WORD_SQL = """o AS (SELECT o_orderkey k, o_orderkey % 50 + 1 p FROM orders), s AS (SELECT k, CASE WHEN p > 49 THEN p ELSE p + 1 END s, CASE WHEN p > 49 THEN 2 ELSE 1 END page FROM o),
+  r AS (SELECT l_orderkey k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_partkey) r, l_linenumber n, l_quantity::INT q, l_partkey part FROM lineitem),
+  c AS (SELECT k, 0 r, 0 col, 1 span, 'line' t FROM s UNION ALL SELECT k, 0, 1, 2, 'amount' FROM s UNION ALL SELECT k, r, 0, 1, n::VARCHAR FROM r UNION ALL SELECT k, r, 1, 1, q::VARCHAR FROM r UNION ALL SELECT k, r, 2, 1, 'part ' || part FROM r),
+  w AS (SELECT *, r >= greatest(50 - s, 1) AS beyond FROM c JOIN s USING (k))"""
+
+
+@query("src14_word_pages", f"""WITH {WORD_SQL} SELECT k AS doc, page + beyond::INT page, CASE WHEN beyond THEN r - greatest(50 - s, 1) ELSE s + r END line, 'cell' kind, 0 AS "table", CASE WHEN beyond THEN r - greatest(50 - s, 1) ELSE r END AS "row", col AS "column", span, t AS text FROM w
+  UNION ALL SELECT k, 1, 0, 'title_block', NULL, NULL, NULL, NULL, 'order ' || k FROM s UNION ALL SELECT k, page, CASE WHEN page = 2 THEN 0 ELSE 1 END, 'text', NULL, NULL, NULL, NULL, repeat('x', ((k % 50) * 100 + 1)::INT) FROM s""")
+def src14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a word-processor file: a title in the header, a text of some lines, and its lines as a table with a wide head and nested tables."""
+    from stagewise.sources.documents import word_pages
+
+    def packed(head: str, body: str) -> bytes:
+        import io
+        import zipfile
+
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("word/header1.xml", f'<w:hdr xmlns:w="w">{head}</w:hdr>')
+            z.writestr("word/header2.xml", f'<w:hdr xmlns:w="w">{head}</w:hdr>')
+            z.writestr("word/document.xml", f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>')
+        return out.getvalue()
+
+    t = Tables(spark, sf_dir)
+    shown = lambda c: F.concat(F.lit("<w:p><w:r><w:t>"), c.cast("string"), F.lit("</w:t></w:r></w:p>"))
+    cell = lambda c, more="": F.concat(F.lit(f"<w:tc>{more}"), c, F.lit("</w:tc>"))
+    inner = F.concat(F.lit("<w:tbl><w:tr>"), cell(shown(F.lit("part"))), cell(shown(F.col("l_partkey"))), F.lit("</w:tr></w:tbl>"))
+    row = F.concat(F.lit("<w:tr>"), cell(shown(F.col("l_linenumber"))), cell(shown(F.col("l_quantity").cast("int"))), cell(inner), F.lit("</w:tr>"))
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_partkey", row.alias("r")))), lambda x: x["r"]), "").alias("rows"))
+    top = F.concat(F.lit("<w:tr>"), cell(shown(F.lit("line"))), cell(shown(F.lit("amount")), '<w:tcPr><w:gridSpan w:val="2"/></w:tcPr>'), F.lit("</w:tr>"))
+    k = F.col("o_orderkey")
+    body = F.concat(shown(F.expr("repeat('x', CAST(o_orderkey % 50 * 100 + 1 AS INT))")), F.lit("<w:tbl>"), top, F.coalesce("rows", F.lit("")), F.lit("</w:tbl>"))
+    texts = t.orders.join(rows, F.col("l_orderkey") == k, "left").select(k.cast("string").alias("path"), shown(F.concat(F.lit("order "), k.cast("string"))).alias("head"), body.alias("body"))
+    files = texts.select("path", F.udf(packed, "binary", useArrow=True)("head", "body").alias("content"))
+    return word_pages(files).filter("kind <> 'row'").select(F.col("path").cast("long").alias("doc"), "page", "line", "kind", "table", "row", "column", "span", "text")

@@ -306,3 +306,52 @@ def ext05(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = Tables(spark, sf_dir).part.select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.element_at(F.array(*map(F.lit, FACTS)), (F.col("p_partkey") % 3 + 1).cast("int")).alias("text"))
     return X.chosen_values(X.rule_values(pages)).select("doc_id", "code", "key", "value", "raws")
+
+
+# A line for each event, seven a page, of ten pixels a character, read in four tiles: two columns and two rows that overlap by 160 pixels.
+@query("ext17_seams", """WITH l AS (SELECT event_id // 7 page, event_id % 7 + 1 n, 100 + 20 * (event_id * 37 % 21) x, 50 + 2 * (event_id * 13 % 39) size, sha256(event_id::VARCHAR) || sha256('x' || event_id) t FROM events)
+  SELECT page, n AS line, x::DOUBLE x0, (x + 10 * size)::DOUBLE x1, substr(t, 1, size::INT) AS text FROM l""")
+def ext17_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines cut by the seams of tiles come back whole, each once."""
+    c = F.col
+    e, k = c("event_id"), c("event_id").cast("string")
+    lines = Tables(spark, sf_dir).events.select(
+        F.floor(e / 7).alias("page"), (e % 7 + 1).alias("line"), (100 + 20 * (e * 37 % 21)).alias("x"), (50 + 2 * (e * 13 % 39)).cast("int").alias("size"), F.concat(F.sha2(k, 256), F.sha2(F.concat(F.lit("x"), k), 256)).alias("t"),
+    )
+    tiles = F.array(*(F.struct(F.lit(x).alias("x0"), F.lit(y).alias("y0"), F.lit(x + 1000).alias("x1"), F.lit(y + 280).alias("y1")) for x in (0, 840) for y in (0, 120)))
+    seen = lines.select("*", F.posexplode(tiles).alias("tile", "b")).withColumn("y", 40 * c("line"))
+    first, last = F.greatest(F.ceil((c("b.x0") - c("x")) / 10), F.lit(0)), F.least(F.floor((c("b.x1") - c("x")) / 10), c("size"))
+    seen = seen.withColumn("from", first).withColumn("to", last).filter("to > from AND y >= b.y0 AND y < b.y1")
+    pieces = seen.select(
+        "page", (c("line") * 4 + c("tile")).alias("n"), (c("x") + 10 * c("from")).alias("x0"), c("y").alias("y0"), (c("x") + 10 * c("to")).alias("x1"), F.least(c("y") + 20, c("b.y1")).alias("y1"),
+        F.substring("t", (c("from") + 1).cast("int"), (c("to") - c("from")).cast("int")).alias("text"), (0.9 - c("tile") / 100).alias("confidence"),
+        *(c(f"b.{s}").alias(f"tile_{s}") for s in ("x0", "y0", "x1", "y1")), F.lit(1840).alias("width"), F.lit(400).alias("height"),
+    )
+    return O.stitched_lines(pieces, ["page"]).select("page", F.round(c("y0") / 40).cast("long").alias("line"), "x0", "x1", "text")
+
+
+# Rooms of a sheet stand in rows a tenth of it apart, marks above them and a little aside; hundredths and thousandths, so none is as far as a limit.
+SCHEME_SQL = """e AS (SELECT event_id // 40 doc, event_id // 20 % 2 page, event_id n, event_id * 31 % 101 a, event_id * 17 % 89 b FROM events),
+  r AS (SELECT doc, page, n, 'r' || a % 30 room, a % 7 = 0 chamber, a / 100.0::DOUBLE x, (10 * (1 + n % 3) + b % 3) / 100.0::DOUBLE y FROM e),
+  m AS (SELECT doc, page, n, (a + b % 7 - 3) / 100.0::DOUBLE + 0.004 x, (10 * (n % 4) + b % 5) / 100.0::DOUBLE + 0.003 y, CASE b % 3 WHEN 0 THEN ['П' || b % 9] WHEN 1 THEN ['П' || b % 9, 'В1'] ELSE ['П1'] END systems FROM e),
+  f AS (SELECT m.*, (SELECT min(y) FROM r WHERE r.doc = m.doc AND r.page = m.page AND r.y > m.y) AS row FROM m),
+  a AS (SELECT f.doc, f.page, f.n, arg_min(r.room, {'d': round(abs(r.x - f.x), 9), 'n': r.n}) room FROM f JOIN r ON r.doc = f.doc AND r.page = f.page AND r.y >= f.row AND r.y - f.row < 0.025 AND abs(r.x - f.x) < 0.03 WHERE f.row - f.y <= 0.12 GROUP BY ALL),
+  b AS (SELECT m.doc, m.page, m.n, arg_min(r.room, {'d': round(abs(r.x - m.x), 9), 'n': r.n}) room FROM m JOIN r ON r.doc = m.doc AND r.page = m.page AND r.chamber WHERE len(list_filter(m.systems, lambda s: s[1] <> 'П')) = 0 AND NOT EXISTS (FROM a WHERE a.doc = m.doc AND a.page = m.page AND a.n = m.n) GROUP BY ALL),
+  u AS (SELECT DISTINCT doc, page, room, unnest(systems) s FROM (FROM a UNION ALL FROM b) JOIN m USING (doc, page, n)),
+  g AS (SELECT doc, room, page, count(*) c FROM u GROUP BY ALL),
+  t AS (SELECT doc, room, arg_max(page, {'c': c, 'p': -page}) page FROM g GROUP BY ALL),
+  k AS (SELECT doc, room, arg_max(chamber, {'p': -page, 'n': -n}) chamber FROM r GROUP BY ALL)"""
+
+
+@query("ext11_scheme_systems", f"""WITH {SCHEME_SQL} SELECT doc, room, t.page, chamber, string_agg(DISTINCT s, ',' ORDER BY s) systems FROM u JOIN k USING (doc, room) JOIN t USING (doc, room) WHERE NOT chamber OR s[1] = 'П' GROUP BY ALL""")
+def ext11_scheme(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Systems of each room of a document from the marks above the rows of its schemes."""
+    c = F.col
+    n = c("event_id")
+    e = Tables(spark, sf_dir).events.select(F.floor(n / 40).alias("doc"), (F.floor(n / 20) % 2).alias("page"), n.cast("long").alias("n"), (n * 31 % 101).alias("a"), (n * 17 % 89).alias("b"))
+    rooms = e.select("doc", "page", "n", F.concat(F.lit("r"), (c("a") % 30).cast("string")).alias("room"), (c("a") % 7 == 0).alias("chamber"), (c("a") / 100).alias("x"), ((10 * (1 + c("n") % 3) + c("b") % 3) / 100).alias("y"))
+    mark = F.concat(F.lit("П"), (c("b") % 9).cast("string"))
+    text = F.when(c("b") % 3 == 0, mark).when(c("b") % 3 == 1, F.concat(mark, F.lit(" B1"))).otherwise("П1")
+    marks = e.select("doc", "page", "n", L.systems(text).alias("systems"), ((c("a") + c("b") % 7 - 3) / 100 + 0.004).alias("x"), ((10 * (c("n") % 4) + c("b") % 5) / 100 + 0.003).alias("y"))
+    assigned = O.scheme_marks(rooms, marks, ["doc", "page"])
+    return O.room_systems(assigned, marks, rooms, ["doc"], "page").select("doc", "room", "page", "chamber", F.array_join("systems", ",").alias("systems"))

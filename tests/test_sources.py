@@ -55,3 +55,37 @@ def test_blocks(spark, tmp_path):
     for r in sorted(got, key=lambda r: (r.path, r.block)):
         by.setdefault(r.path[-6:], []).append(r.text or r.error)
     assert by == {"d.docx": ["one line", "cell"], "/e.xml": ["/a@x: 1", "/a/b: text"], "/f.xml": ["ParseError"]}
+
+
+def word_file(body, **parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>')
+        for name, text in parts.items():
+            z.writestr(f"word/{name}.xml", f'<w:hdr xmlns:w="w">{text}</w:hdr>')
+    return out.getvalue()
+
+
+def test_word_pages(spark):
+    p = lambda t, more="": f"<w:p>{more}<w:r><w:t>{t}</w:t></w:r></w:p>"
+    c = lambda t, more="": f"<w:tc>{more}{t}</w:tc>"
+    stamp = f"<w:tbl><w:tr>{c(p('sheet'))}{c(p('7'))}</w:tr></w:tbl>"
+    wide = '<w:tcPr><w:gridSpan w:val="2"/></w:tcPr>'
+    grid = f"<w:tbl><w:tr>{c(p('a'), wide)}{c(p('b'))}</w:tr><w:tr>{c('')}{c('')}</w:tr><w:tr>{c(p('c') + stamp)}</w:tr></w:tbl>"
+    files = {
+        "a": word_file(p("x" * 101) + f"<w:sdt><w:sdtContent>{grid}</w:sdtContent></w:sdt>" + p("") + p("end", "<w:pPr><w:pageBreakBefore/></w:pPr>"), header1=p("top") + stamp, footer1=p("top")),
+        "b": word_file(p("y" * 4900) + "<w:tbl>" + f"<w:tr>{c(p('1'))}</w:tr>" * 3 + "</w:tbl>" + p("z" * 9000)),
+        "c": b"no archive", "d": word_file("")[:-30], "e": None, "f": word_file("<w:tbl/>"),
+        "g": word_file(f"<w:tbl><w:tr>{c(p('a'), wide.replace('2', 'two'))}</w:tr></w:tbl>"),
+    }
+    got = {}
+    for r in documents.word_pages(spark.createDataFrame(list(files.items()), "path string, content binary")).collect():
+        got.setdefault(r.path, []).append(r.error or (r.page, r.line, r.kind, r.table, r.row, r.column, r.span, r.text[:7]))
+    none = (None,) * 4
+    assert got["a"] == [
+        (1, 0, "title_block", *none, "top"), (1, 1, "title_block", *none, "sheet 7"), (1, 2, "text", *none, "x" * 7),
+        (1, 4, "row", 0, 0, None, None, "a b"), (1, 4, "cell", 0, 0, 0, 2, "a"), (1, 4, "cell", 0, 0, 2, 1, "b"),
+        (1, 5, "row", 0, 1, None, None, "c sheet"), (1, 5, "cell", 0, 1, 0, 1, "c sheet"), (2, 0, "text", *none, "end"),
+    ]
+    assert [x[:6] for x in got["b"] if x[2] != "row"] == [(1, 0, "text", *none[:3]), (1, 49, "cell", 0, 0, 0), (2, 0, "cell", 0, 0, 0), (2, 1, "cell", 0, 1, 0), (3, 0, "text", *none[:3])]
+    assert got["c"] == got["d"] == got["e"] == ["BadZipFile"] and "f" not in got and got["g"] == ["ValueError"]
