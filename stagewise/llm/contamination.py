@@ -19,15 +19,17 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 #: Odd multiplier of the rolling hash of windows.
 ROLL = 0x9E3779B97F4A7C15
-#: A window set has at most this many bytes for each byte of item text: a text of one-character words has
-#: half a window a byte, of 8 bytes for the hash, 8 for the place, 4 for the length, and 12 for the item.
-BYTES_A_BYTE = 18
+#: A window set has at most this many bytes for each byte of item text, and for each item: a text of one-character
+#: words has half a window a byte, of 8 bytes for the hash, 8 for the place, 4 for the length, 4 for the list of its
+#: items and 4 to 12 in that list; the words themselves stand beside them.
+BYTES_A_BYTE, BYTES_AN_ITEM = 20, 48
 
 
 class Grams:
-    """Windows of benchmark items as arrays: by length, sorted hashes, where the window's words stand, and its items.
+    """Windows of benchmark items as arrays: by length, sorted hashes, where the window's words stand, and its list of items.
 
-    Words are kept once, as the items' normalised text, so a hit is verified on the words themselves.
+    Words are kept once, as the items' normalised text, so a hit is verified on the words themselves. A window is one
+    row however many items hold it, and windows of the same items share one list.
     """
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], width: int):
@@ -46,22 +48,47 @@ class Grams:
             at += len(texts[-1])
         self.text = b"".join(texts)
         self.tables: dict[int, tuple[np.ndarray, ...]] = {}
+        lists: dict[bytes, int] = {}
         for n, parts in found.items():
             h, where, size, item = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((item, h))
-            self.tables[n] = h[order], where[order].astype(np.int64), size[order].astype(np.int32), item[order].astype(np.int32)
+            h, where, size, item = h[order], where[order].astype(np.int64), size[order].astype(np.int32), item[order].astype(np.int32)
+            rows, ids = self._windows(h, where, size, item, lists)
+            self.tables[n] = h[rows], where[rows], size[rows], ids
+        self.ends = np.cumsum([0, *(len(x) // 4 for x in lists)], dtype=np.int64)
+        self.lists = np.frombuffer(b"".join(lists), np.int32) if lists else np.zeros(0, np.int32)
+
+    def _windows(self, h, where, size, item, lists: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The first row of each different window, and the number of its list of items among ``lists``."""
+        listed = lambda x: lists.setdefault(x.tobytes(), len(lists))
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        many = np.diff(np.append(starts, len(h))) > 1
+        rows = starts[~many]
+        alone, which = np.unique(item[rows], return_inverse=True)
+        ids = np.array([listed(x) for x in alone], np.int32)[which]
+        more_rows, more_ids = [], []
+        for a, z in zip(starts[many].tolist(), np.append(starts, len(h))[1:][many].tolist(), strict=True):
+            by_text: dict[bytes, list[int]] = {}
+            for r in range(a, z):
+                by_text.setdefault(self.text[where[r] : where[r] + size[r]], []).append(r)
+            for same in by_text.values():
+                more_rows.append(same[0])
+                more_ids.append(listed(np.unique(item[same])))
+        rows, ids = np.concatenate((rows, np.array(more_rows, np.int64))), np.concatenate((ids, np.array(more_ids, np.int32)))
+        order = np.argsort(rows)
+        return rows[order], ids[order]
 
     def size(self) -> int:
-        return len(self.text) + sum(x.nbytes for t in self.tables.values() for x in t)
+        return len(self.text) + self.ends.nbytes + self.lists.nbytes + sum(x.nbytes for t in self.tables.values() for x in t)
 
     def scan(self, text: bytes | None) -> tuple[int, np.ndarray, set[int]]:
         """Number of words, which of them lie in an occurring window, and the items met."""
         words = alnum_words(text)
         hit, met = np.zeros(len(words), bool), set()
         if not words or not self.tables:
-            return len(words), hit, met
+            return len(words), hit, set()
         each = hashes(words)
-        for n, (known, where, size, item) in self.tables.items():
+        for n, (known, where, size, held) in self.tables.items():
             if len(words) < n:
                 continue
             h = window_hashes(each, n)
@@ -73,9 +100,9 @@ class Grams:
                     window = window or b" ".join(words[i : i + n])
                     if self.text[where[at] : where[at] + size[at]] == window:
                         hit[i : i + n] = True
-                        met.add(int(item[at]))
+                        met.add(int(held[at]))
                     at += 1
-        return len(words), hit, met
+        return len(words), hit, {int(k) for m in met for k in self.lists[self.ends[m] : self.ends[m + 1]]}
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -103,8 +130,8 @@ def contamination(
     one window; null texts have no words; an item without words never occurs; repeated rows get a
     result each, repeated items count once for their id; empty tables give no rows or no hits.
     ``hit_runs`` lists the hit words as (start, end) in words.
-    A broadcast window set has at most ``most_bytes``, bounded from the items' measured text. A
-    larger benchmark takes one pass over the documents for each set, one after another; each pass
+    A broadcast window set has at most ``most_bytes``, by the measured text of its items; long items
+    are cut between windows. A larger benchmark takes one pass over the documents for each set, one after another; each pass
     is a written table, and documents are told apart by key and digest of the text.
     """
     scratch.not_among(key, ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_runs"])
@@ -132,7 +159,7 @@ def contamination(
 
         return source.mapInArrow(run, ddl)
 
-    parts = benchmark_parts(benchmark, item, item_text, most_bytes)
+    parts = benchmark_parts(benchmark, item, item_text, most_bytes, width)
     if len(parts) == 1:
         found = scanned(broadcast_grams(parts[0], width), False)
     else:
@@ -173,12 +200,48 @@ def joined_runs(spans):
     return F.aggregate(F.array_sort(spans), empty, add)
 
 
-def benchmark_parts(benchmark: DataFrame, item: str, item_text: str, most_bytes: int) -> list[DataFrame]:
-    """The items (i, t) in as many parts, by hash, as keep a part's window set within about ``most_bytes``."""
+def pieces_of(text: bytes | None, width: int, most: int) -> list[bytes]:
+    """A text as pieces of about ``most`` bytes at most that have each of its windows once, in order."""
+    words = alnum_words(text)
+    if text is None or len(text) <= most or len(words) <= width:
+        return [text] if words else []
+    ends = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words])))
+    out, at = [], 0
+    while at + width <= len(words):
+        to = max(int(np.searchsorted(ends, ends[at] + most, "right")) - 1, at + width)
+        out.append(b" ".join(words[at:to]))
+        at = to - width + 1
+    return out
+
+
+def benchmark_parts(benchmark: DataFrame, item: str, item_text: str, most_bytes: int, width: int) -> list[DataFrame]:
+    """The items (i, t) in parts whose window sets each have at most ``most_bytes``.
+
+    A small benchmark is one part as it is. Else items are cut into pieces that take an eighth of the bound at most and
+    repeated ones go. Buckets by hash, 64 for each bound's worth, are measured and put together up to the bound; only
+    a window longer than the bound by itself would go beyond it.
+    """
     items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).cast("string").cast("binary").alias("t"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n = max(1, -(-size * BYTES_A_BYTE // most_bytes))
-    return [items if n == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) for b in range(n)]
+    cost = F.octet_length("t") * F.lit(BYTES_A_BYTE) + F.lit(BYTES_AN_ITEM)
+    size = items.agg(F.coalesce(F.sum(cost), F.lit(0))).first()[0]
+    if size <= most_bytes:
+        return [items]
+    most = max(most_bytes // 8 // BYTES_A_BYTE, 1)
+
+    def run(batches):
+        for batch in batches:
+            cut = [(i, t) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in pieces_of(text, width, most)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in cut], pa.string()), pa.array([t for _, t in cut], pa.binary())], ["i", "t"])
+
+    pieces = scratch.table(items.mapInArrow(run, "i string, t binary").distinct(), "benchmark")
+    bucket = F.pmod(F.xxhash64("i", "t"), F.lit(64 * -(-size // most_bytes)))
+    parts, room = [], 0
+    for b, cost_of in pieces.groupBy(bucket.alias("b")).agg(F.sum(cost).alias("s")).orderBy("b").collect():
+        if not parts or cost_of > room:
+            parts.append([b, b])
+            room = most_bytes
+        parts[-1][1], room = b, room - cost_of
+    return [pieces.filter(bucket.between(lo, hi)) for lo, hi in parts] or [items]
 
 
 def broadcast_grams(part: DataFrame, width: int):
@@ -211,7 +274,7 @@ def decontaminate(
         return of(F.col(text).cast("string").cast("binary"))
 
     hit, more = scratch.fresh(df, "_hit"), scratch.fresh(df, "_more")
-    parts = benchmark_parts(benchmark, item, item_text, most_bytes)
+    parts = benchmark_parts(benchmark, item, item_text, most_bytes, width)
     now = df
     for i, part in enumerate(parts):
         shared = broadcast_grams(part, width)

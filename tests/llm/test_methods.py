@@ -169,8 +169,40 @@ def test_window_sets_keep_within_their_bound():
     r = random.Random(8)
     for words in (["a", "b", "c"], [f"word{i}" for i in range(500)], ["é" * 9]):
         items = [(str(i), " ".join(r.choice(words) for _ in range(r.choice([3, 10, 400]))).encode()) for i in range(60)]
-        grams = contamination.Grams(items, 10)
-        assert 0 < grams.size() <= contamination.BYTES_A_BYTE * sum(len(t) for _, t in items)
+        for had in (items, items + [(f"{i}+", t) for i, t in items]):
+            grams = contamination.Grams(had, 10)
+            assert 0 < grams.size() <= sum(contamination.BYTES_A_BYTE * len(t) + contamination.BYTES_AN_ITEM for _, t in had)
+
+
+def test_pieces_have_each_window_once():
+    r = random.Random(9)
+    for size in (1, 9, 10, 11, 57, 400):
+        words = [r.choice(["a", "bb", "é" * 40]).encode() for _ in range(size)]
+        want = [words[i : i + 10] for i in range(max(1, size - 9))]
+        for most in (1, 30, 200, 1 << 20):
+            pieces = [contamination.alnum_words(p) for p in contamination.pieces_of(b" ".join(words), 10, most)]
+            assert [p[i : i + 10] for p in pieces for i in range(max(1, len(p) - 9))] == want
+    assert contamination.pieces_of(None, 10, 1) == contamination.pieces_of(b" - ", 10, 1) == []
+
+
+def test_a_long_item_is_cut_into_sets_within_the_bound(spark):
+    r = random.Random(10)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(20_000))
+    bench = spark.createDataFrame([("long", long), ("same", long), ("short", "of two"), (None, "of two")], "item_id string, text string")
+    most = 1 << 20
+    parts = contamination.benchmark_parts(bench, "item_id", "text", most, 10)
+    sets = [contamination.broadcast_grams(p, 10).value for p in parts]
+    assert len(sets) > 4 and all(0 < g.size() <= most for g in sets)
+    docs = spark.createDataFrame([(1, "x " + " ".join(long.split()[9_000:9_030]) + " y of two"), (2, long), (3, "nothing of it, two")], "doc_id int, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in contamination.contamination(docs, bench, most_bytes=most).collect()}
+    assert got == {1: (32, 3), 2: (20_000, 2), 3: (0, 0)}
+
+
+def test_items_of_a_window_are_listed_once():
+    text = " ".join(f"w{i}" for i in range(209)).encode()
+    grams = contamination.Grams([(str(i), text) for i in range(300)] + [("more", text + b" end")], 10)
+    assert grams.tables[10][0].size == 201 and len(grams.lists) == 302
+    assert grams.scan(text)[2] == set(range(301)) and grams.scan(text[-40:] + b" end")[2] == set()
 
 
 def test_contamination_against_plain_windows(spark, documents, sf_dir):
