@@ -46,6 +46,24 @@ def model_states(models: DataFrame, line: str, number: str, accepted: Column, de
     return models.join(last, line, "left").withColumn("state", state).drop("_last")
 
 
+def registered_models(models: DataFrame, datasets: DataFrame, at: str) -> DataFrame:
+    """Adds ``error`` to registrations (model_version, dataset_version, split_hashes) in the order of ``at``; null is accepted.
+
+    BAD_VERSION: no name of 1 to 64 letters, digits, dots, dashes and underscores; MODEL_EXISTS: accepted before;
+    DATASET_UNKNOWN: not among ``datasets`` (version, split_hashes); DATASET_HASH_MISMATCH: the parts' hashes are not
+    the dataset's, key by key. A missing map is empty, a repeated dataset counts by its greatest hashes. Only the first
+    accepted place of each version is joined back, so a version with very many registrations is in no one task.
+    """
+    hashes = lambda c: F.coalesce(F.array_sort(F.map_entries(c)), F.expr("CAST(array() AS array<struct<key:string,value:string>>)"))
+    known = datasets.groupBy(F.col("version").alias("_dataset")).agg(F.max(hashes(F.col("split_hashes"))).alias("_hashes"))
+    named = models.withColumn("_version", F.regexp_replace("model_version", r"^\s+|\s+$", "")).join(known, F.col("dataset_version") == F.col("_dataset"), "left")
+    bad, unknown = ~F.coalesce(F.col("_version").rlike(r"^[\w.-]{1,64}$"), F.lit(False)), F.col("_dataset").isNull()
+    differ = hashes(F.col("split_hashes")) != F.col("_hashes")
+    first = named.filter(~bad & ~unknown & ~differ).groupBy(F.col("_version").alias("_named")).agg(F.min(at).alias("_first"))
+    error = F.when(bad, "BAD_VERSION").when(F.col(at) > F.col("_first"), "MODEL_EXISTS").when(unknown, "DATASET_UNKNOWN").when(differ, "DATASET_HASH_MISMATCH")
+    return named.join(first, F.col("_version") == F.col("_named"), "left").withColumn("error", error).drop("_version", "_dataset", "_hashes", "_named", "_first")
+
+
 def set_digest(df: DataFrame, keys: Sequence[str], item: Column) -> DataFrame:
     """(keys, digest) of each group's set of items: a hash of 256 hashes, each of the items that begin with its byte.
 

@@ -87,6 +87,21 @@ def cmp31(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.model_states(Tables(spark, sf_dir).orders, "o_custkey", "o_orderkey", status == "F", status != "O").select("o_orderkey", "state")
 
 
+@query("cmp31_registered_models", """WITH m AS (SELECT o_orderkey n, 'm-' || o_custkey v, o_orderkey % 11 = 0 bad, o_orderkey % 30 > 24 unknown, o_orderkey % 3 > 0 differ FROM orders)
+  SELECT n, CASE WHEN bad THEN 'BAD_VERSION' WHEN n > min(n) FILTER (NOT (bad OR unknown OR differ)) OVER (PARTITION BY v) THEN 'MODEL_EXISTS' WHEN unknown THEN 'DATASET_UNKNOWN' WHEN differ THEN 'DATASET_HASH_MISMATCH' END error FROM m""")
+def cmp31_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models named after customers, trained on versions named after nations; of every three one lacks a hash and one has another."""
+    t, k = Tables(spark, sf_dir), F.col("o_orderkey")
+    train, test = (lambda n: F.md5(n.cast("string"))), (lambda n: F.md5(F.concat(F.lit("t"), n.cast("string"))))
+    n = F.col("n_nationkey")
+    datasets = t.nation.select(F.concat(F.lit("d"), n.cast("string")).alias("version"), F.create_map(F.lit("TRAIN"), train(n), F.lit("TEST"), test(n)).alias("split_hashes"))
+    of = k % 30
+    split = F.when(k % 3 == 1, F.create_map(F.lit("TRAIN"), train(of))).otherwise(F.create_map(F.lit("TEST"), F.when(k % 3 == 0, test(of)).otherwise("other"), F.lit("TRAIN"), train(of)))
+    name = F.concat(F.when(k % 11 == 0, "no name ").otherwise(" "), F.lit("m-"), F.col("o_custkey").cast("string"), F.lit(" "))
+    models = t.orders.select(k.alias("n"), name.alias("model_version"), F.concat(F.lit("d"), of.cast("string")).alias("dataset_version"), split.alias("split_hashes"))
+    return D.registered_models(models, datasets, "n").select("n", "error")
+
+
 @query("stm07_deferred_packages", """SELECT event_id, CASE WHEN ts < max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id) THEN 'APPLIED' ELSE 'DEFERRED' END state FROM events""")
 def stm07(spark: SparkSession, sf_dir: str) -> DataFrame:
     open_until = F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(Window.partitionBy("user_id"))

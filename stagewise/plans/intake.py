@@ -133,9 +133,14 @@ def src18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again).select("sha256")
 
 
-@query("src19_corpus_summary", "SELECT 'parquet' extension, 14::BIGINT files")
+@query("src19_corpus_summary", "SELECT 'json' extension, count(DISTINCT source) files, (sum(length(source)) + 9 * count(*))::BIGINT bytes FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) UNION ALL SELECT 'txt', count(DISTINCT lang), (sum(length(lang)) + count(*))::BIGINT FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)")
 def src19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.corpus_summary(I.listed_files(spark, sf_dir, "*.parquet")).select("extension", "files")
+    """A folder with a file for each source and each language of the documents, by ending."""
+    documents, path = Tables(spark, sf_dir).documents, place(spark, "folder")
+    sources, langs = (documents.select(c).filter(f"{c} IS NOT NULL").distinct() for c in ("source", "lang"))
+    sources.withColumn("n", F.col("source")).write.partitionBy("source").json(f"{path}/sources")
+    langs.select(F.col("lang").alias("value"), F.col("lang").alias("of")).write.partitionBy("of").text(f"{path}/langs")
+    return I.corpus_summary(I.listed_files(spark, path, "part-*")).select("extension", "files", "bytes")
 
 
 @query("src20_labels", "SELECT doc_id::VARCHAR id, quality::VARCHAR AS label, CASE WHEN doc_id % 2 = 0 THEN 'TEST' ELSE 'TRAIN' END split FROM labels WHERE doc_id % 9 <> 0")

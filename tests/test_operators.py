@@ -69,3 +69,19 @@ def test_newton_on_a_table_is_newton_on_arrays(spark):
 def test_confusion_of_nothing(spark):
     got = L.confusion(spark.createDataFrame([], "t boolean, p boolean"), F.col("t"), F.col("p")).first()
     assert (got.tp, got.precision, got.f1) == (0, 0.0, 0.0)
+
+
+def test_registered_models(spark):
+    from stagewise.operators import decisions
+
+    good, datasets = {"TRAIN": "a", "TEST": "b"}, [("d1", {"TEST": "b", "TRAIN": "a"}), ("d2", None)]
+    models = [
+        (1, "m", "d3", good), (2, "m", "d1", {"TRAIN": "a"}), (3, " m ", "d1", good), (4, "m", "d3", good), (5, "m", "d1", good), (6, "a b", "d1", good), (7, None, "d1", good),
+        (8, "n", "d2", None), (9, "x" * 65, "d1", good), (10, "o", None, good), (11, "p", "d1", {"TRAIN": "a", "TEST": "c"}), (12, "", "d1", good),
+    ]
+    kind = "n int, model_version string, dataset_version string, split_hashes map<string,string>"
+    known = spark.createDataFrame(datasets, "version string, split_hashes map<string,string>")
+    got = {r.n: r.error for r in decisions.registered_models(spark.createDataFrame(models, kind), known, "n").collect()}
+    bad, exists, unknown, differ = "BAD_VERSION", "MODEL_EXISTS", "DATASET_UNKNOWN", "DATASET_HASH_MISMATCH"
+    assert got == {1: unknown, 2: differ, 3: None, 4: exists, 5: exists, 6: bad, 7: bad, 8: None, 9: bad, 10: unknown, 11: differ, 12: bad}
+    assert decisions.registered_models(spark.createDataFrame([], kind), known, "n").count() == 0
