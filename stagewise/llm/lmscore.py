@@ -16,8 +16,8 @@ from .words import hashes, space_words
 
 #: A word has no space, so no word has this hash by its spelling.
 END = xxhash.xxh3_64_intdigest(b" end")
-#: Tokens counted or scored in one go.
-AT_ONCE = 1 << 19
+#: Tokens scored in one go, and those counted: fewer rows come from longer runs, which take 8 bytes a token.
+AT_ONCE, COUNTED = 1 << 19, 1 << 21
 #: Tokens of whole texts that a task trains on before its parameters go into the average.
 UNIT = 1 << 21
 #: Training tokens for each word that the model predicts by itself, and from which on it has more context classes.
@@ -33,27 +33,34 @@ def remainder(key: str, modulus: int) -> Column:
 
 def token_hashes(text: bytes | None) -> np.ndarray:
     words = space_words(text)
-    return np.append(hashes(words), np.uint64(END))
+    h = np.empty(len(words) + 1, np.uint64)
+    h[:-1], h[-1] = hashes(words), END
+    return h
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
     """(h, c): how often each token hash occurs in the texts, ends included."""
 
     def run(batches):
-        def rows(parts):
-            h, c = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+        room, held = np.empty(COUNTED, np.uint64), 0
+
+        def rows(some):
+            some.sort()
+            starts = np.flatnonzero(np.concatenate((np.ones(min(len(some), 1), bool), some[1:] != some[:-1])))
+            return pa.RecordBatch.from_arrays([pa.array(some[starts].view(np.int64)), pa.array(np.diff(starts, append=len(some)))], ["h", "c"])
 
         for batch in batches:
-            parts, held = [], 0
             for value in batch.column(0):
-                parts.append(token_hashes(value.as_buffer().to_pybytes() if value.is_valid else None))
-                held += len(parts[-1])
-                if held >= AT_ONCE:
-                    yield rows(parts)
-                    parts, held = [], 0
-            if parts:
-                yield rows(parts)
+                h = token_hashes(value.as_buffer().to_pybytes() if value.is_valid else None)
+                if held + len(h) > COUNTED:
+                    yield rows(room[:held])
+                    held = 0
+                if len(h) > COUNTED:
+                    yield rows(h)
+                else:
+                    room[held : held + len(h)] = h
+                    held += len(h)
+        yield rows(room[:held])
 
     return texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -88,6 +95,9 @@ class Scorer:
         by_place[ranked] = np.arange(len(ranked))
         by_place[frequent == END] = self.end
         self.klass = by_place[order]
+        # where the frequent tokens with each beginning of the hash start
+        self.bits = np.uint64(64 - max(1, len(order).bit_length()))
+        self.first = np.searchsorted(self.known >> self.bits, np.arange((1 << 64 - int(self.bits)) + 1, dtype=np.uint64)).astype(np.int32)
         self.log_count = np.log10(self.count + 1.0)
         self.word_counts = np.zeros(self.other + 1)
         np.add.at(self.word_counts, self.klass, self.count)
@@ -97,8 +107,17 @@ class Scorer:
         """Word number and place of each token, and whether it is a frequent one."""
         if not len(self.known):
             return np.where(h == END, self.end, self.other), np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        ok = self.known[at] == h
+        bucket = (h >> self.bits).astype(np.int64)
+        at = np.minimum(self.first.take(bucket), len(self.known) - 1)
+        ok = self.known.take(at) == h
+        left, on = np.flatnonzero(~ok), 1
+        while len(left):
+            place = self.first.take(bucket[left]) + on
+            inside = place < self.first.take(bucket[left] + 1)
+            left, place = left[inside], place[inside]
+            found = self.known.take(place) == h[left]
+            at[left[found]], ok[left[found]] = place[found], True
+            left, on = left[~found], on + 1
         # an end that no training text has (no training text at all) is still the end
         return np.where(ok, self.klass[at], np.where(h == END, self.end, self.other)), at, ok
 
@@ -113,7 +132,9 @@ class Scorer:
         for at in range(0, len(out), block):
             to = min(at + block, len(out))
             far, near, word = c[at:to], c[at + 1 : to + 1], k[at + 2 : to + 2]
-            out[at:to] = np.einsum("ij,ij->i", self.near[near] + self.far[far], m.vectors[word]) + m.bias[word] - self.norm[far, near]
+            q = self.near.take(near, axis=0)
+            q += self.far.take(far, axis=0)
+            out[at:to] = np.einsum("ij,ij->i", q, m.vectors.take(word, axis=0)) + m.bias.take(word) - self.norm.take(far * self.norm.shape[1] + near)
         return out
 
 
@@ -122,9 +143,20 @@ def training_units(learn: DataFrame, scorer: Scorer, total: int) -> DataFrame:
     shared = learn.sparkSession.sparkContext.broadcast(scorer)
 
     def numbers(batches):
+        def rows(batch, at, tokens):
+            ends = np.cumsum([0, *map(len, tokens)]) * 4
+            k = shared.value.classes(np.concatenate(tokens))[0].astype(np.int32)
+            texts = pa.Array.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(k)])
+            return pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(tokens)), texts], ["o", "k"])
+
         for batch in batches:
-            rows = [shared.value.classes(token_hashes(v.as_buffer().to_pybytes() if v.is_valid else None))[0].astype(np.int32).tobytes() for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["o", "k"])
+            at, tokens, held = 0, [], 0
+            for i, v in enumerate(batch.column(1)):
+                tokens.append(token_hashes(v.as_buffer().to_pybytes() if v.is_valid else None))
+                held += len(tokens[-1])
+                if held >= AT_ONCE or i + 1 == batch.num_rows:
+                    yield rows(batch, at, tokens)
+                    at, tokens, held = i + 1, [], 0
 
     def units(batches):
         parts, held = [], 0

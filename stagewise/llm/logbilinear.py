@@ -91,21 +91,38 @@ def untrained(words: int, classes: int, counts: np.ndarray, d: int = 24, seed: i
     return LogBilinear(small(words, d), small(classes, d), np.eye(d, dtype=np.float32), np.eye(d, dtype=np.float32) * np.float32(0.5), np.log(p).astype(np.float32))
 
 
-def descend(table: np.ndarray, sums: np.ndarray, at: np.ndarray, grad: np.ndarray, rate: float) -> np.ndarray:
-    """One AdaGrad step of the rows ``at``, of which equal ones add up; returns the distinct rows."""
-    # a stable sort of 16-bit numbers is a radix sort
-    order = np.argsort(at.astype(np.uint16) if len(table) <= 1 << 16 else at, kind="stable")
-    at = at[order]
-    first = np.concatenate(([True], at[1:] != at[:-1]))
-    rows, width = at[first], grad.shape[1]
-    group = np.empty(len(at), np.int64)
-    group[order] = (np.cumsum(first) - 1) * width
-    cells = (group[:, None] + np.arange(width)).ravel()
-    g = np.bincount(cells, grad.ravel(), len(rows) * width).reshape(-1, width).astype(np.float32)
-    x = sums[rows] + g * g
-    sums[rows] = x
-    table[rows] -= rate * g / np.sqrt(x)
-    return rows
+class Descent:
+    """AdaGrad steps of a table's rows."""
+
+    def __init__(self, table: np.ndarray, most: int):
+        """``most``: rows of a step, equal ones counted each."""
+        self.table, self.sums = table, np.full_like(table, 1e-3)
+        rows, self.width = table.shape
+        #: With few rows more it is quicker to step through the whole table than to find the distinct ones.
+        self.whole = rows <= 2 * most
+        self.places, self.at = np.arange(max(rows if self.whole else 0, most)), np.zeros(0 if self.whole else rows, np.int64)
+        self.cells = np.arange(len(self.places) * self.width).reshape(-1, self.width)
+
+    def step(self, at: np.ndarray, grad: np.ndarray, rate: float) -> None:
+        """One step of the rows ``at``, of which equal ones add up; a row without a gradient stays as it is."""
+        if self.whole:
+            g = np.bincount(self.cells.take(at, axis=0).ravel(), grad.ravel(), self.table.size).reshape(-1, self.width).astype(np.float32)
+            x, rows = self.sums, slice(None)
+            x += g * g
+        else:
+            # each row's gradients are summed up at the last of its places
+            here = self.places[: len(at)]
+            self.at[at] = here
+            last = self.at.take(at)
+            own = np.flatnonzero(last == here)
+            g = np.bincount(self.cells.take(last, axis=0).ravel(), grad.ravel(), grad.size).reshape(-1, self.width).take(own, axis=0).astype(np.float32)
+            rows = at.take(own)
+            x = self.sums.take(rows, axis=0)
+            x += g * g
+            self.sums[rows] = x
+        g *= rate
+        g /= np.sqrt(x)
+        self.table[rows] -= g
 
 
 def improve(
@@ -123,36 +140,41 @@ def improve(
     lift = (np.log(p) + np.log(noise)).astype(np.float32)
     d = m.near.shape[0]
     out = np.column_stack((m.vectors, m.bias))  # the last column is the bias
-    sums = {"out": np.full_like(out, 1e-3)} | {k: np.full_like(vars(m)[k], 1e-3) for k in ("contexts", "near", "far")}
+    sums = {k: np.full_like(vars(m)[k], 1e-3) for k in ("near", "far")}
     moved = {"vectors": np.zeros(len(m.vectors), np.int32), "contexts": np.zeros(len(m.contexts), np.int32)}
     rows, real = segments(tokens, end, length)
+    of_word = m.classes(np.arange(len(m.vectors)), end)
     step = max(1, batch // length)
+    of_out, of_contexts = Descent(out, step * length + noise), Descent(m.contexts, step * (length + 1))
     for _ in range(epochs):
         order = r.permutation(len(rows))
         for start in range(0, len(order), step):
             here = order[start : start + step]
             now, ok = rows[here], real[here].ravel()
             word, n = now[:, 2:].ravel(), ok.size
-            context = m.classes(now[:, :-1], end)
+            context = of_word.take(now[:, :-1].ravel())
             other = np.minimum(np.searchsorted(drawn, r.random(noise)), len(p) - 1)
-            x = m.contexts[context]
+            x = m.contexts.take(context, axis=0).reshape(-1, length + 1, d)
             x_near, x_far = x[:, 1:].reshape(n, d), x[:, :-1].reshape(n, d)
             q = np.ones((n, d + 1), np.float32)
-            q[:, :d] = x_near @ m.near + x_far @ m.far
-            v_word, v_other = out[word], out[other]
+            q[:, :d] = x_near @ m.near
+            q[:, :d] += x_far @ m.far
+            v_word, v_other = out.take(word, axis=0), out.take(other, axis=0)
             true = np.einsum("ij,ij->i", q, v_word) - lift[word]
-            false = q @ v_other.T
-            false -= lift[other]
             # sigmoid(s) = (1 + tanh(s / 2)) / 2, weighted by each word's share of the batch
             share = (ok * (0.5 / max(int(ok.sum()), 1))).astype(np.float32)
-            false *= 0.5
+            false = q @ (v_other * np.float32(0.5)).T
+            false -= lift[other] * np.float32(0.5)
             np.tanh(false, out=false)
             false += 1
             false *= share[:, None]
             g_true = (np.tanh(true * np.float32(0.5)) - 1) * share
             v_word *= g_true[:, None]
-            dq = false @ v_other[:, :d] + v_word[:, :d]
-            grad = np.concatenate((g_true[:, None] * q, false.T @ q))
+            dq = false @ v_other[:, :d]
+            dq += v_word[:, :d]
+            grad = np.empty((n + noise, d + 1), np.float32)
+            np.multiply(q, g_true[:, None], out=grad[:n])
+            np.matmul(false.T, q, out=grad[n:])
             grad_c = np.zeros(x.shape, np.float32)
             grad_c[:, 1:] = (dq @ m.near.T).reshape(-1, length, d)
             grad_c[:, :-1] += (dq @ m.far.T).reshape(-1, length, d)
@@ -160,8 +182,12 @@ def improve(
                 g = side.T @ dq
                 sums[name] += g * g
                 vars(m)[name][:] -= rate * g / np.sqrt(sums[name])
-            moved["vectors"][descend(out, sums["out"], np.concatenate((word, other)), grad, rate)] += 1
-            moved["contexts"][descend(m.contexts, sums["contexts"], context.ravel(), grad_c.reshape(-1, d), rate)] += 1
+            drawn_or_met = np.concatenate((word, other))
+            of_out.step(drawn_or_met, grad, rate)
+            of_contexts.step(context, grad_c.reshape(-1, d), rate)
+            # equal rows count once
+            moved["vectors"][drawn_or_met] += 1
+            moved["contexts"][context] += 1
     m.vectors, m.bias = np.ascontiguousarray(out[:, :d]), np.ascontiguousarray(out[:, d])
     return moved
 
