@@ -13,8 +13,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     Each round points every node's larger neighbours, then its smaller ones and itself, at the least
     node near (large-star, small-star); the forest is done when a round changes nothing, after
-    O(log^2 n) rounds. Every round is a written table, so lineage stays short; nothing but a count
-    reaches the driver. A node's neighbours are only ever reduced to their minimum, never gathered,
+    O(log^2 n) rounds. Both steps of a round are written tables, so lineage and plans stay short: the
+    driver keeps each plan's text and metrics. Nothing but a count reaches it. A node's neighbours are only ever reduced to their minimum, never gathered,
     and edges repeat to each neighbour by a join that can be split, so hot nodes do no harm.
     """
     now = scratch.table(
@@ -25,7 +25,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u > v").distinct()
+        # written, as both halves of the next step read it: in one plan it would be there twice
+        large = scratch.table(large.filter("u > v").distinct(), "large-stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))

@@ -237,7 +237,9 @@ def near_duplicates(
     ).select(NODE, "t.*")
     keys = tables.groupBy("key").agg(F.min(NODE).alias("center"), F.count("*").alias("size")).filter("size > 1")
     met = scratch.table(tables.join(keys, "key"), "met")
-    sets = scratch.table(full_sets(df, able.join(met.select(NODE).distinct(), NODE, "left_semi").select(NODE, "rep"), key, text, width, most_broadcast), "sets")
+    # what several places of a plan read is written first: the driver holds the text and metrics of every plan
+    wanted = scratch.table(able.join(met.select(NODE).distinct(), NODE, "left_semi").select(NODE, "rep"), "wanted")
+    sets = scratch.table(full_sets(df, wanted, key, text, width, most_broadcast), "sets")
     sizes = able.select(NODE, "n")
     stars = met.filter(F.col(NODE) != F.col("center")).select(F.col("center").alias("a"), F.col(NODE).alias("b")).distinct()
     stars = (
@@ -263,9 +265,9 @@ def near_duplicates(
         .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
         .join(sets.drop("items"), NODE).join(able.select(NODE, "coll"), NODE)
     )
-    more = confirmed(cross_pairs(open_rows, percent), sets, percent)
-    links = scratch.table(links.unionByName(more), "all-links")
-    final = components(links)
+    candidates = scratch.table(cross_pairs(open_rows, percent), "pairs")
+    links = scratch.table(links.unionByName(confirmed(candidates, sets, percent)), "all-links")
+    final = scratch.table(components(links), "final")
     least = nodes.select(NODE, "rep").join(final.withColumnRenamed("node", NODE), NODE).groupBy("component").agg(F.min("rep").alias("least"))
     by_node = final.withColumnRenamed("node", NODE).join(least, "component").select(NODE, "least")
     home = nodes.select(NODE, "rep", "copies").join(by_node, NODE, "left").select(NODE, F.coalesce("least", "rep").alias("component_id"), "copies")
