@@ -28,10 +28,11 @@ BESIDE_WIDE = [re.compile(x) for x in (b" " + WIDE, WIDE + b" ", rb"\A" + WIDE,
 SPACES = b" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 #: In a text with a space before it: a space between two other characters.
 CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Of some units: tokens as twice their id, and one more for B, each with its bytes, and how many tokens each unit has.
-LISTS, LIST_TYPES = ["tokens", "lens", "sizes"], ["array<int>", "array<short>", "array<int>"]
-LIST_DDL = ", ".join(f"{n} {t}" for n, t in zip(LISTS, LIST_TYPES, strict=True))
-INFO = ["groups", "n_a", "n_b", "n_groups", "links"]
+#: Of some units: tokens as twice their id, and one more for B, the byte of its unit where each ends, and how many tokens each unit has.
+LISTS = ["tokens", "ends", "sizes"]
+LIST_DDL = ", ".join(f"{n} array<int>" for n in LISTS)
+#: Where tokens end, as in ``aligned``: the unit, the byte in it and whose tokens end there, and the link before it.
+INFO = ["places", "links"]
 # Fixed value: how byte-level pre-tokenizers cut a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -121,11 +122,12 @@ class Tokenizers:
         unit, tokens, n = found
         sizes = np.bincount(unit, minlength=int(counts.sum()))
         last = np.cumsum(counts)
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        offsets = lambda x: pa.array(np.concatenate(([0], x)).astype(np.int32))
-        by_token = offsets(ends[last])
-        lists = [pa.ListArray.from_arrays(by_token, pa.array(tokens.astype(np.int32))), pa.ListArray.from_arrays(by_token, pa.array(n.astype(np.int16)))]
-        return [*lists, pa.ListArray.from_arrays(offsets(last), pa.array(sizes.astype(np.int32)))], bad
+        offsets = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], last))]
+        runs = np.flatnonzero(np.diff(unit * 2 + (tokens & 1), prepend=-1))  # a unit's tokens of one side
+        stop = np.cumsum(n, dtype=np.int64)
+        ends = stop - np.repeat((stop - n)[runs], np.diff(runs, append=len(unit)))
+        lists = ((offsets, tokens), (offsets, ends), (np.concatenate(([0], last)), sizes))
+        return [pa.ListArray.from_arrays(*(pa.array(x.astype(np.int32)) for x in y)) for y in lists], bad
 
 
 @lru_cache(2)
@@ -149,46 +151,25 @@ def units_of(text: bytes | None, cuts_at_spaces: bool = True) -> list[bytes]:
     return [part[1:].encode() for part in CUT.split(" " + text.decode("utf-8", "replace"))]
 
 
-def token_ends(units: DataFrame, key: str) -> DataFrame:
-    """(key, k, side, id, end): the tokens of both sides with their byte ends, by running sums of lengths.
-
-    ``units`` is dealt by the key, so its tokens are never shuffled.
-    """
-    of_unit = F.flatten(F.transform("sizes", lambda n, i: F.array_repeat(i, n)))
-    rows = units.select(key, F.posexplode(F.arrays_zip(F.col("tokens").alias("t"), F.col("lens").alias("n"), of_unit.alias("k"))).alias("pos", "x"))
-    rows = rows.select(key, "pos", "x.k", "x.n", F.shiftright("x.t", 1).alias("id"), F.col("x.t").bitwiseAND(1).alias("side"))
-    end = F.sum("n").over(Window.partitionBy(key, "k", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select(key, "k", "side", "id", end.cast("int").alias("end"))
-
-
 def aligned(units: DataFrame, key: str) -> DataFrame:
-    """(key, k, INFO) of the k-th unit in each row of (key, LISTS), from 0; both sides have the same bytes.
-
-    The sides meet at equal ends: in the order of falling ends a token of A stands right before B's with its end, so
-    this equi-join on unit and end needs neither a shuffle nor a second sort. Ends that both have are cuts, and the
-    number of cuts from an end on is its group. Between two neighbouring ends of either side lies one token of A and
-    one of B, the next ones that end: these are the links, each pair of overlapping tokens once. ``links`` holds A's
-    id times 2^32 plus B's.
+    """(key, INFO) of the units in each row of (key, LISTS); both sides of a unit have the same bytes.
+
+    The sides meet at equal ends: grouped by unit and end, a token of A and B's with its end are one row, as by a full
+    outer equi-join, and ``units`` is dealt by the key, so no token is shuffled. Between two neighbouring ends of
+    either side lies one token of A and one of B, the next ones that end: these are the links, each pair of overlapping
+    tokens once. In the order of falling ends they are the last ones met. ``links`` holds A's id times 2^32 plus B's;
+    ``places`` beside it the unit times 2^33, four times the end, and 1 where a token of A ends, 2 where one of B, 3 for
+    a cut. The last end of a unit is a cut, so nothing is carried from one unit into the next.
     """
-    falling = Window.partitionBy(key, "k").orderBy(F.desc("end"), "side")
-    so_far = falling.rowsBetween(Window.unboundedPreceding, 0)
-    rows = token_ends(units, key).withColumn("cut", F.coalesce(F.lead("end").over(falling) == F.col("end"), F.lit(False)))
-    last = lambda i: F.last(F.when(F.col("side") == i, F.col("id")), True).over(so_far)
-    rows = rows.select(
-        key, "k", "side", "id", "end", F.count_if("cut").over(so_far).cast("int").alias("from_end"),
-        F.when(~F.col("cut"), F.shiftleft(last(0).cast("long"), 32) + last(1)).alias("link"),
-    )
-    grouped = rows.groupBy(key, "k").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("from_end")).alias("group"), "side", "end", "id"))).alias("tokens"),
-        F.count_if(F.col("side") == 0).alias("n_a"), F.count_if(F.col("side") == 1).alias("n_b"), F.max("from_end").cast("long").alias("n_groups"), F.collect_list("link").alias("links"),
-    )
-
-    def shown(t, i):
-        after = F.get("tokens", i + 1)
-        mark = F.when(after.isNull(), "").when(after["group"] != t["group"], ";").when(after["side"] != t["side"], "|").otherwise(",")
-        return F.concat(t["id"].cast("string"), mark)
-
-    return grouped.select(key, "k", F.array_join(F.transform("tokens", shown), "").alias("groups"), *INFO[1:])
+    of_unit = F.flatten(F.transform("sizes", lambda n, i: F.array_repeat(i, n))).alias("of_unit")
+    rows = units.select(key, F.explode(F.arrays_zip("tokens", "ends", of_unit)).alias("x"))
+    place = F.shiftleft(F.col("x.of_unit").cast("long"), 33) + F.shiftleft(F.col("x.ends").cast("long"), 2)
+    rows = rows.select(key, place.alias("place"), F.shiftright("x.tokens", 1).alias("id"), F.col("x.tokens").bitwiseAND(1).alias("side"))
+    met = rows.groupBy(key, "place").agg(*(F.max(F.when(F.col("side") == i, F.col("id"))).alias(n) for i, n in enumerate("ab")))
+    falling = Window.partitionBy(key).orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+    link = F.shiftleft(F.last("a", True).over(falling).cast("long"), 32) + F.last("b", True).over(falling)
+    ending = F.when(F.col("a").isNull(), 2).when(F.col("b").isNull(), 1).otherwise(3)
+    return met.select(key, (F.col("place") + ending).alias("place"), link.alias("link")).groupBy(key).agg(F.collect_list("place").alias("places"), F.collect_list("link").alias("links"))
 
 
 def common_units(df: DataFrame, cuts: bool, most: int, longest: int, paths: tuple) -> DataFrame:
@@ -255,16 +236,37 @@ def unit_numbers(df: DataFrame, common: dict[bytes, int], cuts: bool, paths: tup
     return df.select(F.monotonically_increasing_id().alias("row"), "_key", "_text").mapInArrow(run, f"row long, _key {kind}, units array<int>, {LIST_DDL}")
 
 
-class Aligned:
-    """What aligned units hold, by their number: strings of groups, counts, and links one after another."""
+@lru_cache(1)
+def shown_ids(n: int) -> list[str]:
+    """The ids below n with nothing, a comma, a bar and a semicolon behind."""
+    return [f"{i}{mark}" for mark in ("", ",", "|", ";") for i in range(n)]
 
-    def __init__(self, rows: pa.RecordBatch | pa.Table):
-        self.groups = rows["groups"].to_pylist()
-        self.counts = np.stack([rows[c].to_numpy(zero_copy_only=False) for c in ("n_a", "n_b", "n_groups")], 1).reshape(-1, 3)
-        links = rows["links"].combine_chunks() if isinstance(rows, pa.Table) else rows["links"]
-        self.sizes = links.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        self.links = links.flatten().to_numpy(zero_copy_only=False)
-        self.starts = np.cumsum(self.sizes) - self.sizes
+
+class Aligned:
+    """What aligned units hold, one after another: strings of groups, counts, and links. Rows come from ``aligned``."""
+
+    def __init__(self, places: pa.ListArray, links: pa.ListArray):
+        row = np.repeat(np.arange(len(places)), places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        place, link = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (places, links))
+        order = np.lexsort((place, row))
+        row, place, self.links = row[order], place[order], link[order]
+        first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(place >> 33, prepend=-1) != 0))
+        self.starts, self.sizes = first, np.diff(first, append=len(row))
+        sides = [(place >> i & 1).astype(bool) for i in range(2)]
+        cut = sides[0] & sides[1]
+        self.counts = np.stack([np.add.reduceat(x, first, dtype=np.int64) for x in (*sides, cut)], 1) if len(first) else np.zeros((0, 3), np.int64)
+        group = np.cumsum(cut) - cut
+        where = np.concatenate([group[side] * 2 + i for i, side in enumerate(sides)])
+        order = np.argsort(where, kind="stable")
+        where, ids = where[order], np.concatenate((self.links[sides[0]] >> 32, self.links[sides[1]] & 0xFFFFFFFF))[order]
+        after = np.append(where[1:], -1)
+        mark = np.where(after == where, 1, np.where(after >> 1 == where >> 1, 2, 3))
+        stops = np.cumsum(self.counts[:, 0] + self.counts[:, 1])
+        mark[stops - 1] = 0
+        most = max(1 << 16, 1 << int(ids.max(initial=0)).bit_length())
+        shown = list(map(shown_ids(most).__getitem__, (mark * most + ids).tolist()))
+        stops = stops.tolist()
+        self.groups = ["".join(shown[i:j]) for i, j in zip([0, *stops[:-1]], stops, strict=True)] if stops else []
 
     def links_of(self, at: np.ndarray) -> np.ndarray:
         """The links of some units, one after another."""
@@ -284,27 +286,25 @@ def aligned_texts(texts: DataFrame, common: Aligned) -> DataFrame:
     n = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // IN_PARTITION))
     texts = texts.filter(F.size("units") > 0).repartition(n, "row")
     rare = aligned(texts.select("row", *LISTS), "row")
-    of_rare = rare.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", *INFO))).alias("of_rare"))
-    rows = texts.select("row", "_key", "units").join(of_rare.hint("merge"), "row", "left").select("row", "_key", "units", "of_rare")
+    rows = texts.select("row", "_key", "units").join(rare.hint("merge"), "row", "left").select("row", "_key", "units", *INFO)
     shared = texts.sparkSession.sparkContext.broadcast(common)
     names = ["row", "_key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
 
     def run(batches):
         known = shared.value
         for batch in batches:
-            held = batch.column(3)
-            own = Aligned(pa.RecordBatch.from_arrays(held.flatten().flatten()[1:], INFO))
+            own = Aligned(batch.column(3), batch.column(4))
             first, out = 0, []
-            for units, count in zip(batch.column(2), held.value_lengths().fill_null(0).to_pylist(), strict=True):
+            for units in batch.column(2):
                 u = units.values.to_numpy()
-                here = slice(first, first + count)
+                here = slice(first, first + np.count_nonzero(u < 0))
                 shown = [known.groups[x] if x >= 0 else own.groups[first - 1 - x] for x in u.tolist()]
                 usual = u[u >= 0]
                 counts = known.counts[usual].sum(0) + own.counts[here].sum(0)
                 links = np.concatenate((known.links_of(usual), own.links_of(np.arange(here.start, here.stop))))
                 pairs, times = np.unique(links, return_counts=True)
                 out.append((*counts.tolist(), len(links), hashlib.sha256(";".join(shown).encode()).hexdigest(), pairs, times))
-                first += count
+                first = here.stop
             columns = list(zip(*out, strict=True)) if out else [[]] * 7
             arrays = [pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names)
@@ -354,7 +354,8 @@ def alignments(
     held = units.select("number", "unit").toArrow()
     numbers = {u.encode(): n for n, u in zip(held["number"].to_pylist(), held["unit"].to_pylist(), strict=True)}
     texts = scratch.table(unit_numbers(source, numbers, cuts, paths), "unit-numbers")
-    common = Aligned(aligned(units.repartition("number"), "number").toArrow().sort_by("number"))
+    found = aligned(units.repartition("number"), "number").toArrow().sort_by("number")
+    common = Aligned(*(found[c].combine_chunks() for c in INFO))
     done = scratch.table(aligned_texts(texts, common), "aligned-texts")
     sums = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     counted = done.drop("pairs", "times").join(link_sums(done, most_broadcast), "row")

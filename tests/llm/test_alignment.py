@@ -1,15 +1,17 @@
 """Alignment of two tokenizers against brute force over whole texts."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from stagewise.llm.alignment import alignments, tokenizers, units_of
+from stagewise.llm.alignment import INFO, LISTS, Aligned, aligned, alignments, tokenizers, units_of
 
 
 @given(st.text(" \n\tab.'é  \x1c漢<|endoftext|>", max_size=40))
@@ -125,3 +127,23 @@ def test_empty_table_and_key_names(spark):
     assert [r.row for r in alignments(df, key="row").collect()] == [1]
     with pytest.raises(ValueError):
         alignments(df.withColumnRenamed("row", "n_a"), key="n_a")
+
+
+def test_units_side_by_side_in_a_row_stay_apart(spark):
+    """Also if what was collected of a row comes in any order, and for rows without units."""
+    t = tokenizers(None, None)
+    rows = [["漢字", "ß", "wordsandmore", "x" * 70], [], ["ß"]]
+    lists, bad = t.columns(rows)
+    assert not bad.any()
+    table = pa.table([pa.array(range(len(rows))), *lists], ["row", *LISTS])
+    held = {r.row: list(zip(*(r[c] for c in INFO), strict=True)) for r in aligned(spark.createDataFrame(table), "row").collect()}
+    assert sorted(held) == [0, 2]
+    for seed in range(3):
+        mixed = [random.Random(seed).sample(held[i], len(held[i])) if i in held else None for i in range(len(rows))]
+        own = Aligned(*(pa.array([m and [x[i] for x in m] for m in mixed], pa.list_(pa.int64())) for i in range(2)))
+        for i, unit in enumerate(u for r in rows for u in r):
+            a, b = t.encode(unit)
+            shown = own.groups[i].split(";")
+            assert [",".join(g.split("|")[j] for g in shown) for j in range(2)] == [",".join(map(str, ids)) for ids in (a, b)]
+            assert own.counts[i].tolist() == [len(a), len(b), len(shown)]
+            assert own.sizes[i] == len(a) + len(b) - len(shown)

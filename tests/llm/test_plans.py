@@ -5,7 +5,7 @@ import re
 import pytest
 
 from stagewise import scratch
-from stagewise.llm import neardup
+from stagewise.llm import alignment, neardup
 from stagewise.llm.components import components
 
 
@@ -35,3 +35,18 @@ def test_near_duplicates_are_short_plans(spark, exchanges):
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: r.component_id for r in got.collect()} == dict.fromkeys(range(8), 0) | {20: 20, 21: 20, 30: 30, 31: 31}
     assert max(exchanges.values()) <= 11
+
+
+def test_tokens_are_aligned_in_one_window(spark, monkeypatch):
+    """Sorts and windows over tokens took most of the time: sides meet by a grouping, one window finds the links."""
+    plans, write = {}, scratch.table
+
+    def table(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(scratch, "table", table)
+    rows = [(1, "some words and 漢字 ß"), (2, "some other wordsandmore"), (3, None)]
+    got = alignment.alignments(spark.createDataFrame(rows, "doc_id long, text string"), frequent=2)
+    assert {r.doc_id: r.n_groups > 0 for r in got.collect()} == {1: True, 2: True, 3: False}
+    assert len(re.findall(r"[ -] Window ", plans["aligned-texts"])) == 1
