@@ -129,16 +129,19 @@ def element_classes(cells: DataFrame, blocks: DataFrame, document: str = "doc_id
     or in the sentence before it in a text (``text``). A page without any takes the element that the last pages of
     an act named (``context``): from the first page on that names an act.
     """
+    from stagewise import scratch
     from stagewise.functions import lexicon as L
 
     from .matching import banded
 
     keys = [document, page]
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  a filter on the column does not name it a second time
     box = ["x0", "y0", "x1", "y1"]
     rows = banded(cells.select(*keys, *box, "text"), keys, "y0", "y1", ["y0", "x0"])
     before = F.array_join(F.collect_list("text").over(Window.partitionBy(*keys, "band").orderBy("x0", "y0").rowsBetween(-CELLS_LEFT, -1)), " ")
-    graded = rows.withColumn("before", before).withColumn("class", F.explode(concrete_classes(F.col("text")))).withColumn("near", F.coalesce(L.element(F.col("text")), L.element(F.col("before"))))
-    titles = blocks.filter(F.col("text").rlike(SPECIFICATION)).select(*keys, F.col("x0").alias("tx0"), F.col("x1").alias("tx1"), F.col("y1").alias("ty"), L.element(F.col("text")).alias("title")).filter("title IS NOT NULL")
+    graded = rows.withColumn("before", before).withColumn("class", F.explode(concrete_classes(F.col("text")))).withColumn("near", once(F.coalesce(L.element(F.col("text")), L.element(F.col("before")))))
+    graded = scratch.table(graded.select(*keys, *box, "class", "near"), "graded")
+    titles = blocks.filter(F.col("text").rlike(SPECIFICATION)).select(*keys, F.col("x0").alias("tx0"), F.col("x1").alias("tx1"), F.col("y1").alias("ty"), once(L.element(F.col("text"))).alias("title")).filter("title IS NOT NULL")
     named = graded.filter("near IS NOT NULL").select(*keys, F.col("near").alias("element"), "class")
     alone = graded.filter("near IS NULL").join(titles, keys).filter((F.col("ty") <= F.col("y1")) & (F.col("tx0") <= F.col("x1")) & (F.col("tx1") >= F.col("x0")))
     by_title = alone.groupBy(*keys, *box, "class").agg(F.max_by("title", F.struct("ty", "title")).alias("element")).select(*keys, "element", "class")
@@ -148,12 +151,12 @@ def element_classes(cells: DataFrame, blocks: DataFrame, document: str = "doc_id
     start = lambda i: F.aggregate(F.slice(F.transform(F.arrays_zip(parts.alias("p"), found.alias("m")), lambda x: F.length(F.concat(x["p"], F.coalesce(x["m"], F.lit(""))))), F.lit(1), i), F.lit(0), lambda n, x: n + x) + F.length(F.get(parts, i))
     heads = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.col("text").substr(F.greatest(start(i) - CHARACTERS_BEFORE + 1, F.lit(1)), F.least(start(i), F.lit(CHARACTERS_BEFORE))).alias("head")))
     in_text = blocks.filter(F.col("text").rlike(GRADE)).select(*keys, F.explode(heads).alias("h"))
-    in_text = in_text.select(*keys, L.element(F.col("h.head")).alias("element"), F.explode(concrete_classes(F.col("h.m"))).alias("class")).filter("element IS NOT NULL")
+    in_text = in_text.select(*keys, "h", F.explode(concrete_classes(F.col("h.m"))).alias("class")).select(*keys, once(L.element(F.col("h.head"))).alias("element"), "class").filter("element IS NOT NULL")
     own = named.unionByName(by_title).withColumn("method", F.lit("table")).unionByName(in_text.withColumn("method", F.lit("text")))
-    own = own.groupBy(*keys, "element", "class").agg(F.min("method").alias("method"))
+    own = scratch.table(own.groupBy(*keys, "element", "class").agg(F.min("method").alias("method")), "own")
 
     none = F.lit(None)
-    texts = blocks.withColumn("named", L.element(F.col("text"))).select(*keys, "x0", "y0", "text", "named")
+    texts = blocks.withColumn("named", once(L.element(F.col("text")))).select(*keys, "x0", "y0", "text", "named")
     texts = texts.unionByName(cells.select(*keys).distinct().select(*keys, none.cast("double").alias("x0"), none.cast("double").alias("y0"), F.lit("").alias("text"), none.cast("string").alias("named")))
     pages = texts.groupBy(*keys).agg(F.bool_or(F.col("text").rlike(ACT)).alias("act"), F.min(F.when(F.col("named").isNotNull(), F.struct("y0", "x0", "named"))).alias("n"))
     so_far = Window.partitionBy(document).orderBy(page).rowsBetween(Window.unboundedPreceding, 0)

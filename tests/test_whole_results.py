@@ -130,3 +130,12 @@ def test_floors_and_their_totals(spark):
     got = {r.floor: (r.rooms, r.area, r.total, r.agrees) for r in floors.collect()}
     assert got[0] == (5, 114.0, 114.0, True) and got[1] == (4, 102.0, 100.0, False)
     assert got[-1] == (9, 216.0, 214.0, False)
+
+
+def test_an_element_is_looked_for_in_a_text_that_is_named_once(spark):
+    from stagewise.functions import lexicon as L
+
+    texts = ["Устройство фундаментной плиты", "Пилоны, колонны и стены на отм. -3.300", "Стены подвала", None, "", "лестничных железобетонных маршей", "плитка", "ростверковый"]
+    got = [r.e for r in spark.createDataFrame([(t,) for t in texts], "t string").select(L.element(F.col("t")).alias("e")).collect()]
+    assert got == ["Фундаментная плита", "Вертикальные конструкции подземной части", "Стены подвала", None, None, "Лестницы", None, None]
+    assert str(L.element(F.col("named_text"))).count("named_text") <= 2
