@@ -139,3 +139,42 @@ def test_an_element_is_looked_for_in_a_text_that_is_named_once(spark):
     got = [r.e for r in spark.createDataFrame([(t,) for t in texts], "t string").select(L.element(F.col("t")).alias("e")).collect()]
     assert got == ["Фундаментная плита", "Вертикальные конструкции подземной части", "Стены подвала", None, None, "Лестницы", None, None]
     assert str(L.element(F.col("named_text"))).count("named_text") <= 2
+
+
+def test_equal_places_make_no_pairs(spark):
+    from tests.plans import most_rows
+
+    e = spark.range(4000).selectExpr("0 AS page", "id AS room", "CAST(id % 5 AS DOUBLE) AS x", "CAST(id % 3 AS DOUBLE) AS y")
+    found = layout.equipment_gap(e, e.filter("room % 5 < 3"), e.filter("room % 5 < 2"), ["page"], 0.9)
+    assert most_rows(found, "Join") <= 4000
+    assert {r.room for r in found.collect()} == {i for i in range(4000) if i % 5 == 2}
+
+
+def test_right_rows_that_many_share_make_no_pairs(spark):
+    from stagewise.operators import relational as R
+    from tests.plans import most_rows
+
+    left, right = (spark.range(n).selectExpr(f"id AS {k}", f"{name} AS name", "'s' AS sha") for n, k, name in ((3000, "fk", "'n'"), (2000, "rk", "CASE WHEN id % 2 = 1 THEN 'n' ELSE 'm' END")))
+    found = R.prioritised_match(left, right, [[("name", "name"), ("sha", "sha")], [("sha", "sha")]], "fk", ["r_rk"])
+    assert most_rows(found, "Join") <= 3000
+    assert {(r.r_rk, r.priority) for r in found.collect()} == {(1, 1)}
+
+
+def test_digests_of_equal_sets_are_made_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        asked.add(1)
+        return x
+
+    d = spark.createDataFrame([(1, "a b"), (2, "b a"), (3, "c")], "id int, t string").select("id", F.split(F.udf(count)("t"), " ").alias("s"))
+    assert {(r.id, r.first) for r in M.same_sets(d, "id", "s").collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert asked.value <= 6
+
+
+def test_order_lines_with_large_keys_stand_in_rows_of_their_own(spark, tmp_path):
+    from stagewise.plans import registry
+
+    kind = "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double"
+    spark.createDataFrame([(1, 2, 100, 7, 3.0), (1, 1, 200, 7, 6.0), (1, 1, 200, 7, 6.0), (1, 3, 0, 7, 4.0)], kind).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {(r.value, r.n) for r in registry.queries()["ext02_named_rows"](spark, str(tmp_path)).collect()} == {("3", 1), ("6", 2)}
