@@ -32,12 +32,15 @@ def prioritised_match(left: DataFrame, right: DataFrame, levels: Sequence[Sequen
 
     Each level is a list of (left, right) column pairs, all equal. Levels are separate equi-joins put
     together, never one join with OR, which could only be a nested loop. ``priority`` is the level, from 1.
-    Null keys match nothing.
+    Null keys match nothing. ``order`` names columns of the right side (``r_`` and the name) and makes it total: of right
+    rows that are equal in a level's columns only the first one is joined, so rows that many share make no pairs.
     """
     found = None
+    ranked = right.select([F.col(c).alias(f"r_{c}") for c in right.columns])
     for i, level in enumerate(levels, 1):
-        on = every([F.col(f"l.{a}") == F.col(f"r.{b}") for a, b in level])
-        one = left.alias("l").join(right.alias("r"), on).select("l.*", *[F.col(f"r.{c}").alias(f"r_{c}") for c in right.columns], F.lit(i).alias("priority"))
+        on = every([F.col(f"l.{a}") == F.col(f"r.r_{b}") for a, b in level])
+        first = first_per_group(ranked, [f"r_{b}" for _, b in level], order)
+        one = left.alias("l").join(first.alias("r"), on).select("l.*", "r.*", F.lit(i).alias("priority"))
         found = one if found is None else found.unionByName(one)
     return first_per_group(found, [key], ["priority", *order])
 
