@@ -126,17 +126,17 @@ CELLS_SQL = "c AS (SELECT l_orderkey page, l_linenumber AS row, l_suppkey * 1000
 
 
 def cells(t: Tables) -> DataFrame:
-    """A row of three cells for each order line: name, value and a unit that is no number."""
-    q, line = F.col("l_quantity").cast("int"), F.col("l_linenumber") * 100000 + F.col("l_suppkey") * 1000 + F.col("l_partkey")
+    """A row of three cells for each order line: name, value and a unit that is no number. Lines stand below each other by their number, so that no two share a row, whatever their keys."""
+    q, line = F.col("l_quantity").cast("int"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_quantity"))
     name = F.when(q % 3 == 0, "Строительного объёма здания, м3").when(q % 3 == 1, "Объём строительных отходов по видам, всего, в год").otherwise("Прочее")
     cell = lambda x, text: F.struct(F.lit(x).alias("x0"), F.lit(x + 0.1).alias("x1"), text.alias("text"))
-    rows = t.lineitem.select(F.col("l_orderkey").alias("page"), line.alias("y0"), (line + 0.9).alias("y1"), F.explode(F.array(cell(0.1, name), cell(0.4, q.cast("string")), cell(0.8, F.lit("м2 по проекту")))).alias("c"))
+    rows = t.lineitem.withColumn("line", line).select(F.col("l_orderkey").alias("page"), F.col("line").alias("y0"), (F.col("line") + 0.9).alias("y1"), F.explode(F.array(cell(0.1, name), cell(0.4, q.cast("string")), cell(0.8, F.lit("м2 по проекту")))).alias("c"))
     return rows.select("page", "y0", "y1", "c.*")
 
 
 @query("ext02_named_rows", f"WITH {CELLS_SQL} SELECT page, q::VARCHAR AS value, count(*) n FROM c WHERE q % 3 = 0 GROUP BY 1, 2")
 def ext02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = O.named_rows(cells(Tables(spark, sf_dir)).dropDuplicates(["page", "y0", "x0", "text"]), ["page"], ["строительный объем"])
+    found = O.named_rows(cells(Tables(spark, sf_dir)), ["page"], ["строительный объем"])
     return found.groupBy("page", "value").agg(F.count("*").alias("n"))
 
 
