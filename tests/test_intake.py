@@ -151,3 +151,11 @@ def test_a_matrix_with_repeated_codes_is_refused(spark):
     current = spark.createDataFrame([("a", 1)], "code string, x int")
     merged, report = I.upserted(current, spark.createDataFrame([("b", 1), ("b", 2), (None, 3), ("c", 4)], "code string, x int"))
     assert [tuple(r) for r in merged.collect()] == [("a", 1)] and {tuple(r) for r in report.collect()} == {("b", "invalid"), (None, "invalid")}
+
+
+def test_archives_of_many_documents_are_whole(spark, tmp_path):
+    from stagewise.plans import registry
+
+    spark.range(7 * 5002).selectExpr("id AS doc_id", "CASE WHEN id % 5 > 0 THEN CAST(id AS string) END AS text").filter("doc_id % 7 IN (0, 3)").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["src21_archives"](spark, str(tmp_path)).groupBy("path").agg(F.count("*").alias("n"), F.count_distinct("name").alias("names")).collect()
+    assert {(r.path, r.n, r.names) for r in got} == {("a0.zip", 5002, 5002), ("a3.zip", 1, 0)}
