@@ -178,3 +178,20 @@ def test_order_lines_with_large_keys_stand_in_rows_of_their_own(spark, tmp_path)
     kind = "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double"
     spark.createDataFrame([(1, 2, 100, 7, 3.0), (1, 1, 200, 7, 6.0), (1, 1, 200, 7, 6.0), (1, 3, 0, 7, 4.0)], kind).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {(r.value, r.n) for r in registry.queries()["ext02_named_rows"](spark, str(tmp_path)).collect()} == {("3", 1), ("6", 2)}
+
+
+def test_keys_with_one_common_mark_are_not_shuffled_as_pairs(spark):
+    from tests.plans import most_rows
+
+    marks = spark.range(400).selectExpr("id AS k", "explode(array(id DIV 20, 100 + id % 20)) AS m")
+    marks = marks.unionByName(spark.createDataFrame([(900, 500), (900, 501), (901, 500), (901, 501)], "k long, m long"))
+    found = M.weighted_jaccard(marks, M.inverse_frequency(marks, "k", "m"), "k", "m")
+    assert most_rows(found, "HashAggregate") <= 1000
+    assert [(r.a, r.b, round(r.score, 9)) for r in found.collect()] == [(900, 901, 1.0)]
+
+
+def test_labels_of_small_parameters_go_to_python_together(spark):
+    rows = [(o, f"{kind} {n}", s) for o in range(40) for n in (1, 2) for kind, s in (("Помещение", "PD"), ("помещ.", "RD"), ("Зал", "ID"))]
+    found = M.match_points(spark.createDataFrame(rows, "o int, label string, stage string"), ["o"])
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.label, r.point) for r in found.collect()} == {(l, p) for n in (1, 2) for l, p in M.merged_labels([(f"{k} {n}", {s}) for k, s in (("Зал", "ID"), ("Помещение", "PD"), ("помещ.", "RD"))]).items()}
