@@ -195,3 +195,21 @@ def test_labels_of_small_parameters_go_to_python_together(spark):
     found = M.match_points(spark.createDataFrame(rows, "o int, label string, stage string"), ["o"])
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.label, r.point) for r in found.collect()} == {(l, p) for n in (1, 2) for l, p in M.merged_labels([(f"{k} {n}", {s}) for k, s in (("Зал", "ID"), ("Помещение", "PD"), ("помещ.", "RD"))]).items()}
+
+
+def test_whole_sets_go_only_where_first_items_allow_it(spark, monkeypatch):
+    r = random.Random(7)
+    base = [[f"{f}-{i}" for i in range(40)] for f in range(6)]
+    sets = {i: sorted({x for x in base[i % 6] if r.random() > 0.03 * (i % 8)} | {f"own{i}-{j}" for j in range(i % 5)} | {"all", "every"}) for i in range(90)}
+    sets |= {100 + i: sorted({"all", "every"} | {f"{i}.{j}" for j in range(30)}) for i in range(60)}
+    written, table = {}, M.scratch.table
+    monkeypatch.setattr(M.scratch, "table", lambda df, name: written.setdefault(name, table(df, name)))
+    d = spark.createDataFrame(list(sets.items()), "id int, w array<string>")
+    got = {(x.a, x.b): (x.shared, round(x.jaccard, 9)) for x in M.set_twins(d, "id", "w", 0.5).collect()}
+    first = {}
+    for i, w in sets.items():
+        first.setdefault(tuple(w), i)
+    both = lambda a, b: len(set(sets[a]) & set(sets[b]))
+    of = {(a, b): (both(a, b), round(both(a, b) / len(set(sets[a]) | set(sets[b])), 9)) for a in first.values() for b in first.values() if a < b}
+    assert got == {k: v for k, v in of.items() if v[1] >= 0.5}
+    assert written["pairs"].count() <= 2 * len(got)
