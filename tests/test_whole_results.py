@@ -213,3 +213,20 @@ def test_whole_sets_go_only_where_first_items_allow_it(spark, monkeypatch):
     of = {(a, b): (both(a, b), round(both(a, b) / len(set(sets[a]) | set(sets[b])), 9)) for a in first.values() for b in first.values() if a < b}
     assert got == {k: v for k, v in of.items() if v[1] >= 0.5}
     assert written["pairs"].count() <= 2 * len(got)
+
+
+def test_equal_titles_are_compared_once(spark):
+    from tests.plans import most_rows
+
+    sheets = spark.range(600).selectExpr("'x' AS block", "CAST(id % 2 AS INT) AS side", "id AS sheet", "concat('план этажа ', id DIV 2 % 3) AS title")
+    kept = []
+    greedy, M.greedy_pairs = M.greedy_pairs, lambda df, *a: kept.append(df) or df
+    try:
+        M.sheet_pairs(sheets, spark.createDataFrame([], "sheet long, mark int"))
+    finally:
+        M.greedy_pairs = greedy
+    assert most_rows(kept[0], "Join") <= 300 * 36
+    names = {r.sheet: (r.side, r.title) for r in sheets.collect()}
+    for a in (0, 202, 598):
+        likest = sorted((-round(M.token_sort_ratio(names[a][1], t), 4), b) for b, (side, t) in names.items() if side)[:12]
+        assert sorted((-r.score, r.b) for r in kept[0].filter(f"a = {a}").collect()) == likest
